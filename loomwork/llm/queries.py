@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, rules, secret_scan, shard
+from . import bpe, pii, rules, secret_scan, shard
 from .common import table
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -25,7 +31,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_pii, op6_quality_rules, op8_sharding, op10_secret_scan)}
+    return {f.__name__: f for f in (op2_byte_bpe, op5_pii, op6_quality_rules, op8_sharding, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
