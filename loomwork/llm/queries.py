@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii, rules, secret_scan, shard
+from . import bpe, pii, quality, rules, secret_scan, shard
 from .common import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -31,7 +35,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_byte_bpe, op5_pii, op6_quality_rules, op8_sharding, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_byte_bpe, op5_pii, op6_quality_rules, op8_sharding, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
