@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii, quality, rules, secret_scan, shard
+from . import bpe, ngram_join, pii, quality, rules, secret_scan, shard
 from .common import table
 
 
@@ -30,12 +30,16 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.place(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.component_table(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_byte_bpe, op5_pii, op6_quality_rules, op8_sharding, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_byte_bpe, op5_pii, op6_quality_rules, op8_sharding, op9_ngram_jaccard_join, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
