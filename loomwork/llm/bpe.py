@@ -87,7 +87,7 @@ def _split(pattern: str, buckets: int):
         words = [words[i] for i in order]
         of = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
         compress = zstandard.ZstdCompressor(level=3).compress
-        yield {"chunk": no, "bucket": -1, "route": no % buckets, "n": len(codes), "data": _pack(rank[codes] if len(codes) else codes), "more": _pack(of), "counts": counts, "doc_ids": ids}
+        yield {"chunk": no, "bucket": -1, "route": zlib.crc32(b"%d" % no) % buckets, "n": len(codes), "data": _pack(rank[codes] if len(codes) else codes), "more": _pack(of), "counts": counts, "doc_ids": ids}
         by = np.argsort(of, kind="stable")
         cuts = np.searchsorted(of[by], np.arange(buckets + 1))
         for b in np.unique(of):

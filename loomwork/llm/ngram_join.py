@@ -1,11 +1,12 @@
 """Jaccard join of documents on word shingles, exact, as a metric-space join.
 
 1. Equal shingle sets are one node (a 128-bit digest); nothing else is done per copy.
-2. Nodes that could link share one of their rarest shingles (a prefix of 15 % of
-   the set at a similarity of 85 %: fewer are missing in any partner) and differ
-   little in size. Chains over these shingles give coarse regions. How common a
-   shingle is comes from a table of counters of fixed size over all documents, so
-   that passages that many documents share come last and seldom count.
+2. Coarse regions, without losing a link: nodes of one or two neighbouring size
+   classes deal their shingles by hash into more parts than two linked sets can
+   differ in (plus the parts that are empty), so a linked pair agrees in a part
+   that has shingles. Chains over equal parts give the regions. A part joins
+   several shingles of a set from all over the text, so passages that many
+   documents share do not chain them together.
 3. Each region is joined in the Jaccard metric. Pivots are drawn; a node is
    compared with them, links within the radius are kept, and nodes go to the
    Voronoi cell of their nearest pivot and to each cell whose pivot is no more
@@ -22,6 +23,9 @@ equal sets only; an empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,10 +34,10 @@ from pyspark.sql import functions as F
 from .common import cut
 from .graph import components
 
-#: Counters of shingle frequency (a power of two), and bytes of input for each route of the shingle shuffle.
-COUNTERS, ROUTE_BYTES, ROUTES = 1 << 20, 8 << 20, (16, 4096)
+#: Bytes of input for each route of the part shuffle.
+ROUTE_BYTES, ROUTES = 8 << 20, (16, 4096)
 #: A region goes to one task when it has at most so many nodes and shingles.
-REGION_NODES, REGION_SHINGLES, PIVOTS = 4000, 4_000_000, 16
+REGION_NODES, REGION_SHINGLES, PIVOTS = 1000, 2_000_000, 16
 _CACHE, _FLUSH = 400_000, 1 << 21
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -106,58 +110,41 @@ def _texts(batch: pa.RecordBatch, size: int = 512):
         yield part, part.column("text").to_pylist()
 
 
-def _sum_counters(batches):
-    """Adds packed counters; their size is fixed."""
-    import zstandard
-
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
-            total[block] = total.get(block, 0) + np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i8")
-    for block, counts in total.items():
-        yield _counter_row(block, 0, counts)
-
-
-def _counter_row(block: int, part: int, counts: np.ndarray) -> pa.RecordBatch:
-    import zstandard
+def size_class(n: int, percent: int) -> int:
+    """Sets that link are in one class or in neighbouring ones: class c ends where sizes are (100 / percent) ** (c + 1)."""
+    c = int(math.log(n) / math.log(100 / percent) + 1e-9)
+    return c
 
-    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([zstandard.ZstdCompressor().compress(counts.astype("<i8").tobytes())], pa.binary())], ["block", "part", "data"])
 
+@functools.lru_cache(4096)
+def parts_of(c: int, percent: int) -> tuple[int, int]:
+    """Parts for pairs of classes c and c + 1 (or c alone), and the empty parts that are one too many."""
+    top = math.ceil((100 / percent) ** (c + 1)) + 1
+    differ = (100 - percent) * (top + top * 100 // percent + 1) // (100 + percent)
+    parts = differ + 4
+    for _ in range(8):
+        empty = parts * math.exp(-((100 / percent) ** c) / parts)
+        parts = differ + 4 + math.ceil(empty + 3 * math.sqrt(empty))
+    return parts, parts - differ
 
-def counters(documents: DataFrame, words: int) -> np.ndarray:
-    """How often shingles occur over all documents, by the top bits of their hash, as levels above what most have (0 to 60)."""
-    blocks = 64
 
-    def count(batches):
-        from pyspark import TaskContext
-
-        shingler, total = Shingler(words), np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            for _, texts in _texts(batch):
-                total += np.bincount((shingler(texts)[0] >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
-        part = TaskContext.get().partitionId() % 32
-        for b, piece in enumerate(np.split(total, blocks)):
-            yield _counter_row(b, part, piece)
-
-    schema = "block int, part int, data binary"
-    rows = documents.select("text").mapInArrow(count, schema)
-    for keys in (("block", "part"), ("block",)):
-        rows = rows.repartition(blocks, *keys).mapInArrow(_sum_counters, schema)
-    import zstandard
-
-    total = np.zeros(COUNTERS, np.float64)
-    size = COUNTERS // blocks
-    for r in rows.collect():  # always as many rows as blocks
-        total[r.block * size : (r.block + 1) * size] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r.data)), "<i8")
-    return np.floor(np.log2(np.maximum(1.0, total / (4 * total.mean() + 8)))).astype(np.uint8)
-
-
-def prefix(shingles: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
-    """The rarest shingles of a set: a partner lacks fewer than there are of them."""
-    n = len(shingles)
-    length = n - -(-percent * n // 100) + 1
-    key = (levels[(shingles >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(57)) | (shingles * _ODD[0]) >> np.uint64(7)
-    return shingles[np.argpartition(key, length - 1)[:length]] if length < n else shingles
+def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """Hashes of the set's parts that hold shingles, for its own class and the one below."""
+    c, out = size_class(len(shingles), percent), []
+    mixed = _mix(shingles)
+    for k in (c, c - 1):
+        if k < 0:
+            continue
+        parts, limit = parts_of(k, percent)
+        at = ((shingles >> np.uint64(11)) % np.uint64(parts)).astype(np.int64)
+        sums = np.zeros(parts, np.uint64)
+        np.add.at(sums, at, mixed)
+        full = np.flatnonzero(np.bincount(at, minlength=parts))
+        salt = _ODD[4] * np.uint64(2 * k + 1)
+        out.append(_mix(sums[full] * _ODD[5] + full.astype(np.uint64) * _ODD[6] + salt))
+        if parts - len(full) >= limit:  # so many empty parts that these alone might agree: such sets meet by their class
+            out.append(_mix(np.array([salt ^ np.uint64(0xE)], np.uint64)))
+    return np.unique(np.concatenate(out))
 
 
 def _pair(name: str, a: list[bytes], b: list[bytes]) -> pa.RecordBatch:
@@ -206,20 +193,19 @@ def node_table(documents: DataFrame, words: int) -> DataFrame:
 
 
 def candidates(documents: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links a, b of nodes that share a prefix shingle and are near in size: chains, not pairs."""
-    shared = documents.sparkSession.sparkContext.broadcast(counters(documents, words))  # COUNTERS bytes
+    """Links a, b of nodes that agree in a part and are near in size: chains, not pairs."""
     routes = _routes(documents.select("text"))
 
     def spread(batches):
-        shingler, levels = Shingler(words), shared.value
+        shingler = Shingler(words)
         nodes: dict[bytes, int] = {}
         sizes: list[int] = []
-        rare: list[np.ndarray] = []
+        found_parts: list[np.ndarray] = []
         held = 0
 
         def flush():
-            h = np.concatenate(rare)
-            of = np.repeat(np.arange(len(rare), dtype=np.uint32), [len(r) for r in rare])
+            h = np.concatenate(found_parts)
+            of = np.repeat(np.arange(len(found_parts), dtype=np.uint32), [len(r) for r in found_parts])
             route = (h % np.uint64(routes)).astype(np.int64)
             order = np.lexsort((h, route))
             h, of, route = h[order], of[order], route[order]
@@ -237,12 +223,12 @@ def candidates(documents: DataFrame, words: int, percent: int) -> DataFrame:
                     if len(s) and (d := digest_of(s)) not in nodes:
                         nodes[d] = len(sizes)
                         sizes.append(len(s))
-                        rare.append(prefix(s, levels, percent))
-                        held += len(rare[-1])
+                        found_parts.append(signatures(s, percent))
+                        held += len(found_parts[-1])
                 if held > _FLUSH:
                     yield from flush()
-                    nodes, sizes, rare, held = {}, [], [], 0
-        if rare:
+                    nodes, sizes, found_parts, held = {}, [], [], 0
+        if found_parts:
             yield from flush()
 
     def meet(batches):
@@ -353,6 +339,7 @@ def _compare(words: int, percent: int):
             for k, v in zip(out, (a, b, cell, near), strict=True):
                 out[k].append(v)
 
+        flat = None
         for part, texts in _texts(rows):
             for node, is_pivot, s in zip(part.column("node").to_pylist(), part.column("is_pivot").to_pylist(), shingler.sets(texts), strict=True):
                 if digest_of(s) != node:
@@ -361,10 +348,18 @@ def _compare(words: int, percent: int):
                     if all(node != p for p, _ in pivots):
                         pivots.append((node, s))
                     continue
-                if any(node == p for p, _ in pivots):
+                if flat is None:  # pivots come first
+                    names, size = {p for p, _ in pivots}, np.array([len(p) for _, p in pivots])
+                    flat, owner = np.concatenate([p for _, p in pivots]), np.repeat(np.arange(len(pivots)), size)
+                    order = np.argsort(flat, kind="stable")
+                    flat, owner = flat[order], owner[order]
+                if node in names:
                     continue  # compared with all others already, as their pivot
-                inter = np.array([len(np.intersect1d(s, p, assume_unique=True)) for _, p in pivots])
-                size = np.array([len(p) for _, p in pivots])
+                low, high = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
+                low, count = low[high > low], (high - low)[high > low]
+                ends = np.cumsum(count)
+                hits = owner[np.repeat(low - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
+                inter = np.bincount(hits, minlength=len(pivots))
                 for i in np.flatnonzero(_linked(inter, len(s), size, percent)):
                     put(node, pivots[i][0], None, None)
                 d = 1 - inter / (len(s) + size - inter)
@@ -403,9 +398,10 @@ def links(documents: DataFrame, nodes: DataFrame, words: int, percent: int) -> D
         if large.isEmpty():
             break
         rest = members.join(large, "region")
-        # Pivots: the PIVOTS members of each region with the smallest hashes, by a top-k that combines before the shuffle.
+        # Pivots: in each of so many slots the member with the smallest hash, combined before the shuffle.
         key = F.struct(F.xxhash64("node").alias("k"), F.col("node").alias("node"))
-        chosen = members.join(large.select("region"), "region", "left_semi").withColumn("slot", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(PIVOTS))).groupBy("region", "slot").agg(F.min(key).alias("p")).select("region", F.col("p.node").alias("node"))
+        wanted = F.least(F.lit(16 * PIVOTS), F.greatest(F.lit(PIVOTS), F.col("parts") * PIVOTS))
+        chosen = rest.withColumn("slot", F.pmod(F.xxhash64("node", F.lit(3)), wanted)).groupBy("region", "slot").agg(F.min(key).alias("p")).select("region", F.col("p.node").alias("node"))
         pivots = members.join(chosen, ["region", "node"]).join(large, "region")
         dealt = rest.select("region", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int").alias("part"), "node", "text", F.lit(False).alias("is_pivot"))
         every = pivots.select("region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", "text", F.lit(True).alias("is_pivot"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ngram_join, pii, quality, rules, secret_scan, shard
+from . import bpe, decontaminate, ngram_join, pii, quality, rules, secret_scan, shard
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.place(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_byte_bpe, op5_pii, op6_quality_rules, op8_sharding, op9_ngram_jaccard_join, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_byte_bpe, op5_pii, op6_quality_rules, op7_benchmark_decontamination, op8_sharding, op9_ngram_jaccard_join, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
