@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, license_scan, ngram_join, pii, quality, rules, secret_scan, shard
+from . import bpe, decontaminate, license_scan, ngram_join, pii, quality, rules, secret_scan, shard, suffix_dedup
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_byte_bpe, op4_license_scan, op5_pii, op6_quality_rules, op7_benchmark_decontamination, op8_sharding, op9_ngram_jaccard_join, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_byte_bpe, op3_suffix_array_dedup, op4_license_scan, op5_pii, op6_quality_rules, op7_benchmark_decontamination, op8_sharding, op9_ngram_jaccard_join, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
