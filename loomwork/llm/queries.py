@@ -50,8 +50,27 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_byte_bpe, op3_suffix_array_dedup, op4_license_scan, op5_pii, op6_quality_rules, op7_benchmark_decontamination, op8_sharding, op9_ngram_jaccard_join, op10_secret_scan)}
+    named = (
+        op1_quality_classifier,
+        op2_byte_bpe,
+        op3_suffix_array_dedup,
+        op4_license_scan,
+        op5_pii,
+        op6_quality_rules,
+        op7_benchmark_decontamination,
+        op8_sharding,
+        op9_ngram_jaccard_join,
+        op10_secret_scan,
+        pipeline,
+    )
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
