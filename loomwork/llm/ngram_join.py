@@ -3,10 +3,11 @@
 1. Equal shingle sets are one node (a 128-bit digest); nothing else is done per copy.
 2. Coarse regions, without losing a link: nodes of one or two neighbouring size
    classes deal their shingles by hash into more parts than two linked sets can
-   differ in (plus the parts that are empty), so a linked pair agrees in a part
-   that has shingles. Chains over equal parts give the regions. A part joins
-   several shingles of a set from all over the text, so passages that many
-   documents share do not chain them together.
+   differ in, with some to spare, so a linked pair agrees in several parts.
+   Chains over equal parts give the regions. A part joins several shingles of a
+   set from all over the text, so passages that many documents share do not
+   chain them together; parts of hot shingles alone are left out where the parts
+   to spare allow it. Hot shingles come from counters of a fixed number.
 3. Each region is joined in the Jaccard metric. Pivots are drawn; a node is
    compared with them, links within the radius are kept, and nodes go to the
    Voronoi cell of their nearest pivot and to each cell whose pivot is no more
@@ -23,7 +24,6 @@ equal sets only; an empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import math
 
 import numpy as np
@@ -37,7 +37,11 @@ from .graph import components
 #: Bytes of input for each route of the part shuffle.
 ROUTE_BYTES, ROUTES = 8 << 20, (16, 4096)
 #: A region goes to one task when it has at most so many nodes and shingles.
-REGION_NODES, REGION_SHINGLES, PIVOTS = 1000, 2_000_000, 16
+REGION_NODES, REGION_SHINGLES, PIVOTS = 5000, 3_000_000, 16
+#: Counters of shingle frequency over all documents (2 to this many), kept and sent in blocks; a shingle is hot whose counter is so many times the mean.
+COUNTER_BITS, COUNTER_BLOCKS, HOT = 21, 32, 4
+_ALL = (1 << 64) - 1
+_PARTS: dict[tuple[int, int], tuple[int, int]] = {}
 _CACHE, _FLUSH = 400_000, 1 << 21
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -97,6 +101,10 @@ class Shingler:
             yield np.unique(shingles[end - n : end])
 
 
+def _counter(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
+
 def digest_of(shingles: np.ndarray) -> bytes:
     import xxhash
 
@@ -116,22 +124,29 @@ def size_class(n: int, percent: int) -> int:
     return c
 
 
-@functools.lru_cache(4096)
 def parts_of(c: int, percent: int) -> tuple[int, int]:
     """Parts for pairs of classes c and c + 1 (or c alone), and the empty parts that are one too many."""
+    if (c, percent) in _PARTS:
+        return _PARTS[c, percent]
     top = math.ceil((100 / percent) ** (c + 1)) + 1
     differ = (100 - percent) * (top + top * 100 // percent + 1) // (100 + percent)
     parts = differ + 4
     for _ in range(8):
         empty = parts * math.exp(-((100 / percent) ** c) / parts)
         parts = differ + 4 + math.ceil(empty + 3 * math.sqrt(empty))
-    return parts, parts - differ
+    _PARTS[c, percent] = parts, parts - differ
+    return _PARTS[c, percent]
 
 
-def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the set's parts that hold shingles, for its own class and the one below."""
+def signatures(shingles: np.ndarray, percent: int, hot: np.ndarray) -> np.ndarray:
+    """Hashes of the set's parts that hold shingles, for its own class and the one below.
+
+    Linked sets agree in at least ``limit`` parts. A set in which fewer are empty
+    or made of hot shingles alone leaves those out: a partner must agree with it
+    in another one. Only sets of mostly hot shingles meet by them.
+    """
     c, out = size_class(len(shingles), percent), []
-    mixed = _mix(shingles)
+    mixed, cold = _mix(shingles), ~hot[_counter(shingles)]
     for k in (c, c - 1):
         if k < 0:
             continue
@@ -139,11 +154,13 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
         at = ((shingles >> np.uint64(11)) % np.uint64(parts)).astype(np.int64)
         sums = np.zeros(parts, np.uint64)
         np.add.at(sums, at, mixed)
-        full = np.flatnonzero(np.bincount(at, minlength=parts))
-        salt = _ODD[4] * np.uint64(2 * k + 1)
+        full = np.flatnonzero(np.bincount(at[cold], minlength=parts))
+        salt = np.uint64(int(_ODD[4]) * (2 * k + 1) & _ALL)
+        if common := parts - len(full) >= limit:
+            full = np.flatnonzero(np.bincount(at, minlength=parts))
         out.append(_mix(sums[full] * _ODD[5] + full.astype(np.uint64) * _ODD[6] + salt))
-        if parts - len(full) >= limit:  # so many empty parts that these alone might agree: such sets meet by their class
-            out.append(_mix(np.array([salt ^ np.uint64(0xE)], np.uint64)))
+        if common:  # so many empty or hot parts that these alone might agree: such sets meet by their class too
+            out.append(_mix(np.array([int(salt) ^ 0xE], np.uint64)))
     return np.unique(np.concatenate(out))
 
 
@@ -175,29 +192,72 @@ def _routes(documents: DataFrame) -> int:
     return min(ROUTES[1], max(ROUTES[0], size // ROUTE_BYTES + 1))
 
 
-def node_table(documents: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles and node (the digest of the set, null without shingles), written once."""
+def node_table(documents: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
+    """doc_id, n_shingles and node (the digest of the set, null without shingles), written once; and which counters are hot.
+
+    One pass over the texts gives both: a partition's counters follow its rows.
+    """
     kind = dict(documents.dtypes)["doc_id"]
+    names = ["doc_id", "n_shingles", "node", "block", "data"]
 
     def each(batches):
-        shingler = Shingler(words)
+        import zstandard
+
+        shingler, total = Shingler(words), np.zeros(1 << COUNTER_BITS, np.int32)
+        seen = None
         for batch in batches:
             for part, texts in _texts(batch):
-                n, node = [], []
+                n, node, sets = [], [], []
                 for s in shingler.sets(texts):
                     n.append(len(s))
                     node.append(digest_of(s) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.binary())], ["doc_id", "n_shingles", "node"])
-
-    return cut(documents.select("doc_id", "text").mapInArrow(each, f"doc_id {kind}, n_shingles bigint, node binary"))
+                    sets.append(s)
+                np.add.at(total, _counter(np.concatenate(sets)), 1)
+                seen = part.column("doc_id")
+                yield pa.RecordBatch.from_arrays([seen, pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
+        if seen is not None:
+            press = zstandard.ZstdCompressor(level=1).compress
+            for b, counts in enumerate(np.split(total, COUNTER_BLOCKS)):
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, seen.type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([b], pa.int32()), pa.array([press(counts.astype("<i8").tobytes())], pa.binary())], names)
+
+    def add(batches):
+        import zstandard
+
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                sums[b] = sums.get(b, 0) + np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i8")
+        press = zstandard.ZstdCompressor(level=1).compress
+        for b, counts in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([press(counts.tobytes())], pa.binary())], ["block", "data"])
 
+    def mark(batches):
+        import zstandard
 
-def candidates(documents: DataFrame, words: int, percent: int) -> DataFrame:
+        for batch in batches:
+            for b, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                counts = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([np.packbits(counts > HOT * counts.mean() + 8).tobytes()], pa.binary())], ["block", "data"])
+
+    written = cut(documents.select("doc_id", "text").mapInArrow(each, f"doc_id {kind}, n_shingles bigint, node binary, block int, data binary"))
+    packed = "block int, data binary"
+    counters = written.where("block IS NOT NULL").select("block", "data", F.pmod(F.xxhash64("data"), F.lit(16)).alias("part"))
+    # In parts first: however many tasks there were, no task adds them all.
+    counters = counters.repartition(COUNTER_BLOCKS, "block", "part").select("block", "data").mapInArrow(add, packed)
+    hot = np.zeros(1 << COUNTER_BITS, bool)
+    size = len(hot) // COUNTER_BLOCKS
+    for r in counters.repartition(COUNTER_BLOCKS, "block").mapInArrow(add, packed).mapInArrow(mark, packed).collect():  # COUNTER_BLOCKS rows of bits
+        hot[r.block * size : (r.block + 1) * size] = np.unpackbits(np.frombuffer(bytes(r.data), np.uint8)).astype(bool)
+    return written.where("block IS NULL").select("doc_id", "n_shingles", "node"), hot
+
+
+def candidates(documents: DataFrame, hot: np.ndarray, words: int, percent: int) -> DataFrame:
     """Links a, b of nodes that agree in a part and are near in size: chains, not pairs."""
+    shared = documents.sparkSession.sparkContext.broadcast(np.packbits(hot))  # a bit for each counter
     routes = _routes(documents.select("text"))
 
     def spread(batches):
-        shingler = Shingler(words)
+        shingler, common = Shingler(words), np.unpackbits(shared.value).astype(bool)
         nodes: dict[bytes, int] = {}
         sizes: list[int] = []
         found_parts: list[np.ndarray] = []
@@ -223,7 +283,7 @@ def candidates(documents: DataFrame, words: int, percent: int) -> DataFrame:
                     if len(s) and (d := digest_of(s)) not in nodes:
                         nodes[d] = len(sizes)
                         sizes.append(len(s))
-                        found_parts.append(signatures(s, percent))
+                        found_parts.append(signatures(s, percent, common))
                         held += len(found_parts[-1])
                 if held > _FLUSH:
                     yield from flush()
@@ -284,10 +344,10 @@ def join_region(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     _, dense = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.cumsum(sizes) - sizes
     mark = np.zeros(int(dense.max()) + 1, bool)
-    forest, links, todo = Forest(len(sets)), [], [np.arange(len(sets))]
+    label, links, todo = np.arange(len(sets)), [], [np.arange(len(sets))]
     while todo:
         nodes = todo.pop()
-        if len(nodes) < 2 or len({forest.root(int(x)) for x in nodes}) < 2:
+        if len(nodes) < 2 or (label[nodes] == label[nodes[0]]).all():
             continue
         pivot, rest = int(nodes[len(nodes) // 2]), np.delete(nodes, len(nodes) // 2)
         own = dense[starts[pivot] : starts[pivot] + sizes[pivot]]
@@ -298,7 +358,8 @@ def join_region(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         inter = np.add.reduceat(mark[dense[at]].astype(np.int64), ends - lengths)
         mark[own] = False
         for x in rest[_linked(inter, sizes[pivot], lengths, percent)].tolist():
-            if forest.join(pivot, x):
+            if label[pivot] != label[x]:
+                label[label == label[x]] = label[pivot]
                 links.append((pivot, x))
         distance = 1 - inter / (sizes[pivot] + lengths - inter)
         order = np.argsort(distance, kind="stable")
@@ -379,10 +440,10 @@ def _compare(words: int, percent: int):
     return run
 
 
-def links(documents: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+def links(documents: DataFrame, nodes: DataFrame, hot: np.ndarray, words: int, percent: int) -> DataFrame:
     """Links a, b of different nodes; they connect exactly the nodes that similarity connects."""
     radius = 1 - percent / 100 + 1e-9
-    roots = components(candidates(documents, words, percent))
+    roots = components(candidates(documents, hot, words, percent))
     regions = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     first = nodes.where("doc_id IS NOT NULL AND node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     members = first.join(regions.withColumnRenamed("root", "region"), "node")
@@ -425,8 +486,8 @@ def links(documents: DataFrame, nodes: DataFrame, words: int, percent: int) -> D
 
 def component_table(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per document."""
-    nodes = node_table(documents, words)
-    roots = components(links(documents, nodes, words, percent))
+    nodes, hot = node_table(documents, words)
+    roots = components(links(documents, nodes, hot, words, percent))
     least = nodes.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
     rooted = least.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "low", "copies")
     final = rooted.groupBy("root").agg(F.min("low").alias("component_id"))

@@ -241,11 +241,11 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", fit_r
 
 def score(documents: DataFrame, vectors: np.ndarray, net: Network, keep: bool = False) -> DataFrame:
     """doc_id and score of each document; with ``keep`` all columns and the score."""
-    shared = documents.sparkSession.sparkContext.broadcast((vectors, net))
+    shared = documents.sparkSession.sparkContext.broadcast(vectors)
     rows = documents if keep else documents.select("doc_id", "text")
 
     def run(batches):
-        table, model = shared.value
+        table, model = shared.value, net
         number = Numberer()
         for batch in batches:
             scores = pa.array(model(pool(table, number, batch.column("text").to_pylist())), pa.float64())
