@@ -1 +1 @@
-"""See the package docstring."""
+"""Column expressions: hashes, tokens, markup, paths, canonical text and time."""
