@@ -110,18 +110,24 @@ def _induce(t: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, budget: int) ->
 
 
 def _ranks(names: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks of the suffixes of a reduced string by their first ``depth`` names at least, doubling what is known each round."""
+    """Ranks of the suffixes of a reduced string by their first ``depth`` names at least; what is known grows twofold or more each round."""
     rank, known = names.astype(np.int64), 1
     while known < depth:
-        after = np.zeros(len(rank), np.int64)
-        after[:-known] = rank[known:] + 1
-        key = rank * (int(rank.max()) + 2) + after
-        order = np.argsort(key, kind="stable")
+        most = int(rank.max()) + 2
+        key, times = rank, 1
+        for times in (2, 3):  # three ranks to a key where they fit
+            if most**times >= 1 << 62:
+                times -= 1
+                break
+            after = np.zeros(len(rank), np.int64)
+            after[: -known * (times - 1)] = rank[known * (times - 1) :] + 1
+            key = key * most + after
+        order = np.argsort(key)
         new = np.empty(len(key), np.int64)
         new[order] = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
         if new.max() == len(new) - 1:
             return new
-        rank, known = new, known * 2
+        rank, known = new, known * times
     return rank
 
 

@@ -32,7 +32,7 @@ from .common import cut
 from .induced_sort import suffix_order
 
 LENGTH, K = 100, 32
-CHUNK_BYTES, INPUT_PER_ROUTE, ROUTES = 4 << 20, 4 << 20, (16, 1 << 16)
+CHUNK_BYTES, INPUT_PER_ROUTE, ROUTES, PARTITIONS = 4 << 20, 1 << 20, (16, 1 << 22), 1 << 15
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 _NONE = np.iinfo(np.int64).min
@@ -336,12 +336,13 @@ def dedup(documents: DataFrame, keep_text: bool = True, budget: int = 64 << 20)
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, where asked for, the kept bytes."""
     kind = dict(documents.dtypes)["doc_id"]
     routes = _routes(documents.select("doc_id", "text"))
+    partitions = min(PARTITIONS, max(16, routes // 4))
     chunks = pack(documents)
     told = chunks.mapInArrow(_announce(routes), "chunk bigint, route int, hashes binary, twice binary, digests binary, orders binary, docs binary")
-    answers = told.repartition(routes, "route").mapInArrow(_answer, "chunk bigint, hashes binary, copies binary")
+    answers = told.repartition(partitions, "route").mapInArrow(_answer, "chunk bigint, hashes binary, copies binary")
     answers = answers.groupBy("chunk").agg(F.collect_list("hashes").alias("hashes"), F.collect_list("copies").alias("copies"))
     shipped = chunks.join(answers, "chunk", "left").mapInArrow(_ship(routes), "chunk bigint, route int, runs binary, meta binary, text binary")
-    dealt = shipped.withColumn("to", F.when(F.col("route") < 0, F.pmod(F.col("chunk"), F.lit(routes))).otherwise(F.col("route"))).repartition(routes, "to").drop("to").sortWithinPartitions("route")
+    dealt = shipped.withColumn("to", F.when(F.col("route") < 0, F.pmod(F.col("chunk"), F.lit(routes))).otherwise(F.col("route"))).repartition(partitions, "to").drop("to").sortWithinPartitions("route")
     runs = dealt.mapInArrow(_sort(budget), "chunk bigint, route int, runs binary, meta binary, text binary").groupBy("chunk").agg(F.collect_list("runs").alias("runs"))
     schema = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * keep_text
     return chunks.join(runs, "chunk", "left").mapInArrow(_finish(keep_text), schema)
