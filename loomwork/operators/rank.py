@@ -28,7 +28,7 @@ def audit(rows: DataFrame, key: str, order: list[Column], reasons: list[tuple[Co
     return ranked.withColumn("reason", reason.otherwise(last))
 
 
-def first_rule(rows: DataFrame, rules: list[tuple[str, str]], text: Column, otherwise: str) -> Column:
+def first_rule(rules: list[tuple[str, str]], text: Column, otherwise: str) -> Column:
     """The name of the first rule whose pattern the text matches."""
     out = F.when(F.lit(False), "")
     for name, pattern in rules:

@@ -1 +1 @@
-"""See the package docstring."""
+"""Operators bound to the tables as named queries, and the same queries as SQL."""
