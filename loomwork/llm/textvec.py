@@ -8,8 +8,6 @@ import pyarrow.compute as pc
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 #: Letters and digits of ASCII, and every byte of other characters.
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
@@ -36,8 +34,8 @@ def slices(column: pa.Array, most: int = 1 << 21):
 
 
 def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the lower-cased words of all texts in order, and the number of words of each text."""
-    texts = pc.fill_null(column.cast(pa.large_string()), "")
+    """64-bit hashes of the words, lower-cased in any script, of all texts in order, and the number of words of each text."""
+    texts = pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), ""))
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     n = int(offsets[-1] - offsets[0])
     if not n:
@@ -54,7 +52,7 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     _grow(n + 1)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * _powers[0][:n], out=total[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[0][:n], out=total[1:])
     h = (total[ends] - total[starts]) * _powers[1][starts]
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(29)), np.diff(np.searchsorted(starts, offsets))
