@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from .common import arrow_map
 
 #: Bytes of text in a chunk, and bytes of input for each bucket of words.
-CHUNK_BYTES, BUCKET_BYTES, BUCKETS = 16 << 20, 8 << 20, (32, 1 << 14)
+CHUNK_BYTES, BUCKET_BYTES, BUCKETS = 12 << 20, 8 << 20, (32, 1 << 14)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

@@ -42,7 +42,7 @@ REGION_NODES, REGION_SHINGLES, PIVOTS = 5000, 3_000_000, 16
 COUNTER_BITS, COUNTER_BLOCKS, HOT = 21, 32, 4
 _ALL = (1 << 64) - 1
 _PARTS: dict[tuple[int, int], tuple[int, int]] = {}
-_CACHE, _FLUSH = 400_000, 1 << 21
+_CACHE, _FLUSH = 300_000, 1 << 20
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 

@@ -26,10 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map
+from .textvec import slices
 
 BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 64, 2, 2
 #: Rows of the matrix of context vectors in a block, and at most so many words at once in memory.
-BLOCK, SLICE = 256, 1 << 18
+BLOCK, SLICE = 256, 1 << 16
 #: Weight of a word that makes up a share p of the corpus: DAMP / (DAMP + p).
 DAMP = 0.003
 #: Pseudo-words at the corpus mean (the origin), which hold back documents of a few words.
@@ -38,7 +39,7 @@ FIT_ROWS, HIDDEN, EPOCHS, RATE, DECAY, CALIBRATE = 20_000, 32, 60, 0.01, 1e-4, 0
 THRESHOLD = 0.3
 SAME = 0  # the bucket of a word that repeats the one before it
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
-_CACHE = 1 << 20
+_CACHE = 400_000
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -74,13 +75,21 @@ class Numberer:
         return ids, counts
 
 
+def _texts(batches):
+    """The texts of batches in stretches of about 2 MB."""
+    for batch in batches:
+        column = batch.column("text")
+        for at, n in slices(column):
+            yield column.slice(at, n).to_pylist()
+
+
 def _contexts(batches):
     """A partition's context vectors and word counts, by blocks of rows."""
     places, signs = index_vectors()
     number, total = Numberer(), np.zeros(BUCKETS * DIM)
     seen = np.zeros(BUCKETS)
-    for batch in batches:
-        ids, counts = number(batch.column("text").to_pylist())
+    for texts in _texts(batches):
+        ids, counts = number(texts)
         doc = np.repeat(np.arange(len(counts)), counts)
         for at in range(0, len(ids), SLICE):
             part, of = ids[at : at + SLICE + WINDOW], doc[at : at + SLICE + WINDOW]
@@ -227,7 +236,8 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", fit_r
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # fit_rows rows of two numbers
 
     def each(batch: pa.RecordBatch):
-        x = pool(shared.value, Numberer(), batch.column("text").to_pylist())
+        number = Numberer()
+        x = np.concatenate([pool(shared.value, number, texts) for texts in _texts([batch])])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y").cast(pa.float64()), pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))], ["doc_id", "y", "x"])
 
     kind = dict(documents.dtypes)["doc_id"]
@@ -248,7 +258,7 @@ def score(documents: DataFrame, vectors: np.ndarray, net: Network, keep: bool =
         table, model = shared.value, net
         number = Numberer()
         for batch in batches:
-            scores = pa.array(model(pool(table, number, batch.column("text").to_pylist())), pa.float64())
+            scores = pa.array(np.concatenate([model(pool(table, number, texts)) for texts in _texts([batch])] or [np.zeros(0)]), pa.float64())
             if keep:
                 yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "_score"])
             else:
