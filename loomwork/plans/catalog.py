@@ -536,3 +536,15 @@ def reconcile_reviews(spark, d):
     return merge.reconcile(a.select((F.col("user_id") * 100 + F.col("event_id") % 100).alias("uid"), decision.alias("decision"), proposal.alias("proposal")), "uid")
 
 
+
+
+# Streams ------------------------------------------------------------------------------------------------
+
+
+@query
+def attempt_stream(spark, d):
+    from ..streaming import attempts as stream
+
+    counts = stream.progress(stream.read_events(spark, d))
+    out = stream.drain(counts, "complete")
+    return out.select(F.unix_micros("window_start").alias("window_micros"), "event_type", "n", F.round("total", 2).alias("total"))

@@ -142,4 +142,5 @@ ORACLE: dict[str, str] = {
     "row_validation": "WITH b AS (SELECT CASE WHEN p_partkey % 89 = 0 THEN -p_partkey ELSE p_partkey END AS k, CASE WHEN p_partkey % 31 = 0 AND p_partkey % 89 <> 0 OR (p_partkey % 89 = 0 AND p_partkey % 31 = 0) THEN '' ELSE p_name END AS name, p_size FROM part UNION ALL SELECT p_partkey, p_name, 0 FROM part WHERE p_partkey % 71 = 0), r AS (SELECT b.*, p.p_size AS base, p.p_partkey IS NOT NULL AS known, row_number() OVER (PARTITION BY k ORDER BY b.p_size DESC, name) > 1 AS again FROM b LEFT JOIN part p ON p.p_partkey = k) SELECT k AS p_partkey, 'VAL001' AS code, 'error' AS severity FROM r WHERE NOT known UNION ALL SELECT k, 'VAL002', 'error' FROM r WHERE again UNION ALL SELECT k, 'VAL003', 'error' FROM r WHERE known AND p_size <> base UNION ALL SELECT k, 'VAL102', 'warning' FROM r WHERE name = ''",
     "immutable_diff": "SELECT p_partkey, 'p_name' AS column_name, p_name AS expected, upper(p_name) AS returned FROM part WHERE p_partkey % 37 = 0 AND upper(p_name) <> p_name",
     "reconcile_reviews": "WITH r AS (SELECT user_id * 100 + event_id % 100 AS uid, event_type = 'click' AS revise, CASE WHEN event_id % 9 > 0 THEN 'p' || event_id % 2 END AS proposal FROM events WHERE event_type IN ('click', 'view', 'error')), g AS (SELECT uid, count(*) AS n_reviews, count(*) FILTER (revise AND proposal IS NULL) AS blank, count(DISTINCT CASE WHEN revise THEN proposal END) AS n_proposals, min(CASE WHEN revise THEN proposal END) AS one FROM r GROUP BY uid), x AS (SELECT *, CASE WHEN blank > 0 OR n_proposals > 1 THEN 'conflict' WHEN n_proposals = 1 THEN 'adopted' ELSE 'unchanged' END AS resolution FROM g) SELECT uid, n_reviews, n_proposals, resolution, CASE WHEN resolution = 'adopted' THEN one END AS resolved_text FROM x",
+    "attempt_stream": "SELECT epoch_us(date_trunc('day', ts)) AS window_micros, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
 }

@@ -1 +1 @@
-"""See the package docstring."""
+"""Readers and writers with explicit schemas."""
