@@ -24,10 +24,11 @@ def progress(events: DataFrame, width: str = "1 day", late: str = "2 hours") ->
     return counts.select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
 
 
-def item_states(events: DataFrame, max_attempts: int = 3, lease: str = "5 minutes") -> DataFrame:
+def item_states(events: DataFrame, max_attempts: int = 3, lease_seconds: int = 300, late: str = "10 seconds") -> DataFrame:
     """Each item's attempts, status and reason as they change; a running attempt that outlives its lease becomes retryable.
 
-    ``events``: uid string, outcome string, ts timestamp. State is one count and one status per item.
+    ``events``: uid string, outcome string, ts timestamp. State is one count and
+    one status per item. Leases run on event time, so a replay gives the same.
     """
 
     def update(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -38,16 +39,19 @@ def item_states(events: DataFrame, max_attempts: int = 3, lease: str = "5 minute
                 status, reason = ("failed-retryable" if count < max_attempts else "failed-final"), "lease"
             state.update((count, status))
         else:
+            last = 0
             for frame in frames:
-                for outcome in frame.sort_values("ts")["outcome"]:
+                frame = frame.sort_values("ts")
+                last = max(last, int(frame["ts"].iloc[-1].timestamp() * 1000))
+                for outcome in frame["outcome"]:
                     count += 1
                     status = {"succeeded": "succeeded", "running": "running"}.get(outcome) or ("failed-retryable" if outcome == "retryable" and count < max_attempts else "failed-final")
             state.update((count, status))
             if status == "running":
-                state.setTimeoutDuration(lease)
+                state.setTimeoutTimestamp(max(last + lease_seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"uid": [key[0]], "attempt_count": [count], "status": [status], "reason": [reason]})
 
-    return events.groupBy("uid").applyInPandasWithState(update, "uid string, attempt_count long, status string, reason string", "attempt_count long, status string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark("ts", late).groupBy("uid").applyInPandasWithState(update, "uid string, attempt_count long, status string, reason string", "attempt_count long, status string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:

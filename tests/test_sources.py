@@ -82,7 +82,8 @@ def test_writers(spark, tmp_path):
 def test_item_states_stream(spark, tmp_path):
     from loomwork.streaming import attempts
 
-    spark.createDataFrame([("a", "retryable", 1), ("a", "succeeded", 2), ("b", "retryable", 1), ("b", "retryable", 2), ("b", "retryable", 3)], "uid string, outcome string, s long").selectExpr("uid", "outcome", "timestamp_seconds(s) AS ts").write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([("a", "retryable", 1), ("a", "succeeded", 2), ("b", "retryable", 1), ("b", "retryable", 2), ("b", "retryable", 3), ("c", "running", 1), ("d", "succeeded", 9999)], "uid string, outcome string, s long").selectExpr("uid", "outcome", "timestamp_seconds(s) AS ts").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("uid string, outcome string, ts timestamp").parquet(str(tmp_path / "in"))
-    got = {r.uid: (r.attempt_count, r.status) for r in attempts.drain(attempts.item_states(stream), "update").collect()}
-    assert got == {"a": (2, "succeeded"), "b": (3, "failed-final")}
+    got = {(r.uid, r.attempt_count, r.status, r.reason) for r in attempts.drain(attempts.item_states(stream), "update").collect()}
+    want = {("a", 2, "succeeded", "attempt"), ("b", 3, "failed-final", "attempt"), ("c", 1, "running", "attempt"), ("d", 1, "succeeded", "attempt")}
+    assert got == want | {("c", 1, "failed-retryable", "lease")}
