@@ -26,10 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_map
+from .common import arrow_map, lean
 
 #: Bytes of text in a chunk, and bytes of input for each bucket of words.
-CHUNK_BYTES, BUCKET_BYTES, BUCKETS = 12 << 20, 8 << 20, (32, 1 << 14)
+CHUNK_BYTES, BUCKET_BYTES, BUCKETS = 16 << 20, 8 << 20, (32, 1 << 14)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -205,8 +205,8 @@ def encode(documents: DataFrame, vocabulary: str, pattern: str, keep_ids: bool =
     kind = dict(documents.dtypes)["doc_id"]
     buckets = buckets_for(documents.select("doc_id", "text"))
     packed = f"chunk bigint, bucket int, route bigint, n bigint, data binary, more binary, counts array<bigint>, doc_ids array<{kind}>"
-    words = documents.select("doc_id", "text").mapInArrow(_split(pattern, buckets), packed)
-    encoded = words.repartition(buckets, "route").mapInArrow(_encode(ranks, pattern), packed)
+    words = documents.select("doc_id", "text").mapInArrow(lean(_split(pattern, buckets)), packed)
+    encoded = words.repartition(buckets, "route").mapInArrow(lean(_encode(ranks, pattern)), packed)
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * keep_ids
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
     return encoded.groupBy("chunk").applyInArrow(_assemble(ranks, names, keep_ids), schema)
