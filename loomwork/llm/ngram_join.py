@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lean
 from .graph import components
 
 #: Bytes of input for each route of the part shuffle.
@@ -42,7 +42,7 @@ REGION_NODES, REGION_SHINGLES, PIVOTS = 5000, 3_000_000, 16
 COUNTER_BITS, COUNTER_BLOCKS, HOT = 21, 32, 4
 _ALL = (1 << 64) - 1
 _PARTS: dict[tuple[int, int], tuple[int, int]] = {}
-_CACHE, _FLUSH = 300_000, 1 << 20
+_CACHE, _FLUSH = 150_000, 1 << 20
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -232,21 +232,20 @@ def node_table(documents: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([press(counts.tobytes())], pa.binary())], ["block", "data"])
 
     def mark(batches):
-        import zstandard
+        for batch in add(batches):
+            import zstandard
 
-        for batch in batches:
-            for b, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                counts = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([np.packbits(counts > HOT * counts.mean() + 8).tobytes()], pa.binary())], ["block", "data"])
+            counts = np.frombuffer(zstandard.ZstdDecompressor().decompress(batch.column("data")[0].as_py()), "<i8")
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array([np.packbits(counts > HOT * counts.mean() + 8).tobytes()], pa.binary())], ["block", "data"])
 
-    written = cut(documents.select("doc_id", "text").mapInArrow(each, f"doc_id {kind}, n_shingles bigint, node binary, block int, data binary"))
+    written = cut(documents.select("doc_id", "text").mapInArrow(lean(each), f"doc_id {kind}, n_shingles bigint, node binary, block int, data binary"))
     packed = "block int, data binary"
     counters = written.where("block IS NOT NULL").select("block", "data", F.pmod(F.xxhash64("data"), F.lit(16)).alias("part"))
     # In parts first: however many tasks there were, no task adds them all.
-    counters = counters.repartition(COUNTER_BLOCKS, "block", "part").select("block", "data").mapInArrow(add, packed)
+    counters = counters.repartition(COUNTER_BLOCKS, "block", "part").select("block", "data").mapInArrow(lean(add), packed)
     hot = np.zeros(1 << COUNTER_BITS, bool)
     size = len(hot) // COUNTER_BLOCKS
-    for r in counters.repartition(COUNTER_BLOCKS, "block").mapInArrow(add, packed).mapInArrow(mark, packed).collect():  # COUNTER_BLOCKS rows of bits
+    for r in counters.repartition(COUNTER_BLOCKS, "block").mapInArrow(lean(mark), packed).collect():  # COUNTER_BLOCKS rows of bits
         hot[r.block * size : (r.block + 1) * size] = np.unpackbits(np.frombuffer(bytes(r.data), np.uint8)).astype(bool)
     return written.where("block IS NULL").select("doc_id", "n_shingles", "node"), hot
 
@@ -325,8 +324,8 @@ def candidates(documents: DataFrame, hot: np.ndarray, words: int, percent: int)
         for at in range(0, len(linked), 10_000):
             yield _pair("candidates", [names[x] for x in linked[at : at + 10_000]], [names[x] for x in roots[at : at + 10_000]])
 
-    packed = documents.select("text").mapInArrow(spread, "route int, h binary, of binary, nodes binary, sizes binary")
-    return packed.repartition(routes, "route").mapInArrow(meet, "a binary, b binary").where("a <> b")
+    packed = documents.select("text").mapInArrow(lean(spread), "route int, h binary, of binary, nodes binary, sizes binary")
+    return packed.repartition(routes, "route").mapInArrow(lean(meet), "a binary, b binary").where("a <> b")
 
 
 def _linked(inter, n, m, percent: int):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, lean
 from .textvec import slices
 
 BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 64, 2, 2
@@ -39,7 +39,7 @@ FIT_ROWS, HIDDEN, EPOCHS, RATE, DECAY, CALIBRATE = 20_000, 32, 60, 0.01, 1e-4, 0
 THRESHOLD = 0.3
 SAME = 0  # the bucket of a word that repeats the one before it
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
-_CACHE = 400_000
+_CACHE = 150_000
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -139,9 +139,9 @@ def _sum_blocks(batches):
 def word_vectors(documents: DataFrame) -> np.ndarray:
     """BUCKETS x DIM word vectors, damped by frequency, from all documents."""
     schema = "block int, part int, data binary"
-    blocks = documents.select("text").mapInArrow(_contexts, schema)
+    blocks = documents.select("text").mapInArrow(lean(_contexts), schema)
     for keys in (("block", "part"), ("block",)):  # in parts first: however many tasks there were, no task sums them all
-        blocks = blocks.repartition(64, *keys).mapInArrow(_sum_blocks, schema)
+        blocks = blocks.repartition(64, *keys).mapInArrow(lean(_sum_blocks), schema)
     gathered = np.zeros((BUCKETS, DIM + 1))
     for r in blocks.collect():  # BUCKETS / BLOCK rows of fixed size
         gathered[r.block * BLOCK : (r.block + 1) * BLOCK] = _open(bytes(r.data))
@@ -190,7 +190,7 @@ class Network:
 def fit(x: np.ndarray, y: np.ndarray, seed: int = 11) -> Network:
     """Adam on the log loss over all but the last CALIBRATE of the rows, which set the temperature."""
     rng = np.random.default_rng(seed)
-    mean, scale = x.mean(0), x.std(0) + 1e-6
+    mean, scale = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
     net = Network(mean, scale, rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.1, HIDDEN), 0.0)
     if len(y) == 0 or y.min() == y.max():
         net.w2[:], share = 0, (y.sum() + 1) / (len(y) + 2)
@@ -268,7 +268,7 @@ def score(documents: DataFrame, vectors: np.ndarray, net: Network, keep: bool =
 
     kind = documents.schema["doc_id"].dataType
     schema = StructType([*rows.schema.fields, StructField("_score", DoubleType())]) if keep else StructType([StructField("doc_id", kind), StructField("score", DoubleType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -30,7 +30,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "guess")
 #: Credential words beside those of the base, and a value after them; the value is group 1.
-CONTEXT = re.compile(r"""(?<![A-Za-z])(?:pwd|pass(?:word|wd|phrase|code)?|secret|credentials?|auth|bearer|token|api[_-]?key|private[_-]?key|client[_-]?secret|access[_-]?key)["']?[\x20\t]*(?::|=>?|\bis\b)[\x20\t]*["']?([^\s"'<>,;]{6,})""", re.IGNORECASE | re.ASCII)
+CONTEXT = re.compile(r"""(?<![A-Za-z])(?:pwd|pass(?:word|wd|phrase|code)?|secret|credentials?|auth|bearer|token|api[_-]?key|private[_-]?key|client[_-]?secret|access[_-]?key)["']?[\x20\t]*(?::|=>?)[\x20\t]*["']?([^\s"'<>,;]{6,})""", re.IGNORECASE | re.ASCII)
 MIN_LOG10 = 10.0
 
 #: Common words in passwords, most frequent first; the rank is the guess count.

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lean
 from .induced_sort import suffix_order
 
 LENGTH, K = 100, 32
@@ -132,7 +132,7 @@ def pack(documents: DataFrame) -> DataFrame:
         if ids:
             yield row()
 
-    return cut(documents.select("doc_id", "text").mapInArrow(run, f"chunk bigint, ids array<{kind}>, lengths binary, data binary"))
+    return cut(documents.select("doc_id", "text").mapInArrow(lean(run), f"chunk bigint, ids array<{kind}>, lengths binary, data binary"))
 
 
 class Chunk:
@@ -338,11 +338,11 @@ def dedup(documents: DataFrame, keep_text: bool = True, budget: int = 64 << 20)
     routes = _routes(documents.select("doc_id", "text"))
     partitions = min(PARTITIONS, max(16, routes // 4))
     chunks = pack(documents)
-    told = chunks.mapInArrow(_announce(routes), "chunk bigint, route int, hashes binary, twice binary, digests binary, orders binary, docs binary")
-    answers = told.repartition(partitions, "route").mapInArrow(_answer, "chunk bigint, hashes binary, copies binary")
+    told = chunks.mapInArrow(lean(_announce(routes)), "chunk bigint, route int, hashes binary, twice binary, digests binary, orders binary, docs binary")
+    answers = told.repartition(partitions, "route").mapInArrow(lean(_answer), "chunk bigint, hashes binary, copies binary")
     answers = answers.groupBy("chunk").agg(F.collect_list("hashes").alias("hashes"), F.collect_list("copies").alias("copies"))
-    shipped = chunks.join(answers, "chunk", "left").mapInArrow(_ship(routes), "chunk bigint, route int, runs binary, meta binary, text binary")
+    shipped = chunks.join(answers, "chunk", "left").mapInArrow(lean(_ship(routes)), "chunk bigint, route int, runs binary, meta binary, text binary")
     dealt = shipped.withColumn("to", F.when(F.col("route") < 0, F.pmod(F.col("chunk"), F.lit(routes))).otherwise(F.col("route"))).repartition(partitions, "to").drop("to").sortWithinPartitions("route")
-    runs = dealt.mapInArrow(_sort(budget), "chunk bigint, route int, runs binary, meta binary, text binary").groupBy("chunk").agg(F.collect_list("runs").alias("runs"))
+    runs = dealt.mapInArrow(lean(_sort(budget)), "chunk bigint, route int, runs binary, meta binary, text binary").groupBy("chunk").agg(F.collect_list("runs").alias("runs"))
     schema = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * keep_text
-    return chunks.join(runs, "chunk", "left").mapInArrow(_finish(keep_text), schema)
+    return chunks.join(runs, "chunk", "left").mapInArrow(lean(_finish(keep_text)), schema)
