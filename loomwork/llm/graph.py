@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, drop_cut
 
-ROUNDS = 60
+#: Rounds at most, and parts that a node's links are dealt to: a hub of thousands is no hot task.
+ROUNDS, PARTS = 60, 8
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -16,7 +17,7 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     least = near.groupBy("u").agg(F.min("v").alias("m"))
     if not small:
         least = least.select("u", F.least("u", "m").alias("m"))
-    met = near.join(least, "u")
+    met = near.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int")).join(least.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), ["u", "part"])
     moved = met.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v") if small else met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return (moved.unionByName(least.select("u", F.col("m").alias("v"))) if small else moved).where("u <> v").distinct()
 
