@@ -35,7 +35,7 @@ from .common import cut, lean
 from .graph import components
 
 #: Bytes of input for each route of the part shuffle.
-ROUTE_BYTES, ROUTES = 8 << 20, (16, 4096)
+ROUTE_BYTES, ROUTES = 2 << 20, (16, 1 << 15)
 #: A region goes to one task when it has at most so many nodes and shingles.
 REGION_NODES, REGION_SHINGLES, PIVOTS = 5000, 3_000_000, 16
 #: Counters of shingle frequency over all documents (2 to this many), kept and sent in blocks; a shingle is hot whose counter is so many times the mean.
