@@ -5,8 +5,9 @@ equal texts stand together. Splitters are quantiles of a key sample drawn with a
 chance in proportion to size; the fine ranges they bound hold near equal bytes,
 ranges that come out overfull are cut again, and sizes summed over ranges and
 within each range place every record on one line of bytes, which the shards
-divide evenly. A hot text is cut like any other range, as the key goes on with
-the document's id.
+divide evenly. Records of one text stay in one shard while they hold no more than
+WHOLE of a shard's bytes: they move with the middle of their group. A hot text is
+cut like any other range, as the key goes on with the document's id.
 
 Only DataFrame functions. Defined cases: null text has size 16 and the CRC of an
 empty text; repeated rows are separate records; null ids hash like any value; an
@@ -26,6 +27,8 @@ from .common import cut
 RANGE_BYTES, MIN_RANGES, SAMPLE_SHARE = 4 << 20, 64, 1 / 256
 #: A range is overfull beyond so many times the wanted bytes, and is then cut again, at most ROUNDS times.
 OVERFULL, ROUNDS = 2.0, 2
+#: Share of a shard's bytes up to which a group of equal texts is not cut.
+WHOLE = 0.02
 OVERHEAD = 16
 
 
@@ -69,7 +72,8 @@ def place(documents: DataFrame, shards: int = 40) -> DataFrame:
     rows = cut(records(documents))
     total = rows.agg(F.sum("size").alias("b")).first().b or 0
     n = max(MIN_RANGES, math.ceil(total / RANGE_BYTES))
-    splitters = _splitters(rows, n, total)
+    # First splitters fall between texts; only overfull ranges are cut within one.
+    splitters = sorted({k >> 31 << 31 for k in _splitters(rows, n, total)})
     for _ in range(ROUNDS):
         sizes = rows.groupBy(_range_of(splitters).alias("part")).agg(F.sum("size").alias("b"), F.max("size").alias("most"), F.count_distinct("key").alias("keys"))
         over = sizes.where((F.col("b") > F.lit(OVERFULL * total / n)) & (F.col("b") > 2 * F.col("most")) & (F.col("keys") > 1)).collect()  # at most n / OVERFULL rows
@@ -85,8 +89,11 @@ def place(documents: DataFrame, shards: int = 40) -> DataFrame:
     starts = ranged.groupBy("part").agg(F.sum("size").alias("b"))
     starts = starts.select("part", (F.sum("b").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).alias("start"))
     before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lined = ranged.withColumn("before", before).join(F.broadcast(starts), "part")  # a row of 16 bytes for each RANGE_BYTES of input
-    middle = F.coalesce("start", F.lit(0)) + F.col("before") + F.col("size") / 2
+    group = Window.partitionBy("part", "text_crc32")
+    lined = ranged.withColumn("before", before).withColumn("group_size", F.sum("size").over(group)).withColumn("group_before", F.min("before").over(group))
+    lined = lined.join(F.broadcast(starts), "part")  # a row of 16 bytes for each RANGE_BYTES of input
+    own, whole = F.col("before") + F.col("size") / 2, F.col("group_before") + F.col("group_size") / 2
+    middle = F.coalesce("start", F.lit(0)) + F.when(F.col("group_size") * shards <= F.lit(WHOLE * total), whole).otherwise(own)
     placed = lined.select("doc_id", "size", "text_crc32", "key", "tie", "part", F.least(F.lit(shards - 1), F.floor(middle * shards / F.lit(max(1, total)))).cast("int").alias("shard"))
     # Slots: counts of the shard's earlier ranges, then the place within this range.
     counts = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("c"))

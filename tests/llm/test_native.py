@@ -142,3 +142,14 @@ def test_licenses(spark):
 @pytest.mark.parametrize("run", [pii.digest, rules.judge, shard.place, license_scan.scan])
 def test_empty_tables(spark, run):
     assert run(frame(spark, EDGE).limit(0)).collect() == []
+
+
+def test_small_groups_stay_whole(spark):
+    rows = [(i, f"text {i % 700} " * (1 + i % 9), "s") for i in range(6300)]
+    where, size = defaultdict(set), Counter()
+    out = shard.place(frame(spark, rows), 8).collect()
+    for r in out:
+        where[r.text_crc32].add(r.shard)
+        size[r.shard] += r.size
+    assert all(len(s) == 1 for s in where.values())
+    assert max(size.values()) <= 1.05 * sum(size.values()) / 8
