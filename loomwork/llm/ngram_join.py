@@ -164,7 +164,7 @@ def signatures(shingles: np.ndarray, percent: int, hot: np.ndarray) -> np.ndarra
     return np.unique(np.concatenate(out))
 
 
-def _pair(name: str, a: list[bytes], b: list[bytes]) -> pa.RecordBatch:
+def _pair(a: list[bytes], b: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
@@ -291,41 +291,56 @@ def candidates(documents: DataFrame, hot: np.ndarray, words: int, percent: int)
             yield from flush()
 
     def meet(batches):
-        hs, ofs, sizes = [], [], []
-        number: dict[bytes, int] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                names = row["nodes"]
-                local = np.array([number.setdefault(names[i : i + 16], len(number)) for i in range(0, len(names), 16)], np.int64)
-                n = np.frombuffer(row["sizes"], "<u4")
+        names: dict[bytes, int] = {}  # linked nodes of all routes so far
+        forest = Forest(0)
+
+        def settle(rows: list[dict]) -> None:
+            """Chains of one route into the partition's forest."""
+            hs, ofs, sizes = [], [], []
+            number: dict[bytes, int] = {}
+            for row in rows:
+                digests = row["nodes"]
+                local = np.array([number.setdefault(digests[i : i + 16], len(number)) for i in range(0, len(digests), 16)], np.int64)
                 sizes += [0] * (len(number) - len(sizes))
-                for i, x in zip(local.tolist(), n.tolist(), strict=True):
+                for i, x in zip(local.tolist(), np.frombuffer(row["sizes"], "<u4").tolist(), strict=True):
                     sizes[i] = x
                 hs.append(np.frombuffer(row["h"], "<u8"))
                 ofs.append(local[np.frombuffer(row["of"], "<u4")])
-        if not hs:
-            return
-        h, of, size, names = np.concatenate(hs), np.concatenate(ofs), np.array(sizes, np.int64), list(number)
-        order = np.argsort(h, kind="stable")
-        h, of = h[order], of[order]
-        same = h[1:] == h[:-1]
-        more = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        h, of = h[more], of[more]
-        order = np.lexsort((of, size[of], h))
-        h, of = h[order], of[order]
-        a, b = of[:-1], of[1:]
-        near = (h[1:] == h[:-1]) & (a != b) & (100 * size[a] >= percent * size[b])
-        pairs = np.unique(a[near] * len(names) + b[near])
-        forest = Forest(len(names))
-        for p in pairs.tolist():
-            forest.join(p // len(names), p % len(names))
-        linked = sorted({x for p in pairs.tolist() for x in divmod(p, len(names))})
-        roots = [forest.root(x) for x in linked]
-        for at in range(0, len(linked), 10_000):
-            yield _pair("candidates", [names[x] for x in linked[at : at + 10_000]], [names[x] for x in roots[at : at + 10_000]])
+            h, of, size = np.concatenate(hs), np.concatenate(ofs), np.array(sizes, np.int64)
+            order = np.argsort(h)
+            h, of = h[order], of[order]
+            same = h[1:] == h[:-1]
+            more = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            h, of = h[more], of[more]
+            order = np.lexsort((of, size[of], h))
+            h, of = h[order], of[order]
+            a, b = of[:-1], of[1:]
+            near = (h[1:] == h[:-1]) & (a != b) & (100 * size[a] >= percent * size[b])
+            own = list(number)
+            for pair in np.unique(a[near] * len(own) + b[near]).tolist():
+                x, y = (names.setdefault(own[i], len(names)) for i in divmod(pair, len(own)))
+                forest.up += range(len(forest.up), len(names))
+                forest.join(x, y)
+
+        held: list[dict] = []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if held and held[0]["route"] != row["route"]:
+                    settle(held)
+                    held = []
+                held.append(row)
+        if held:
+            settle(held)
+        digests = list(names)
+        for at in range(0, len(digests), 10_000):
+            part = range(at, min(len(digests), at + 10_000))
+            yield _pair([digests[x] for x in part], [digests[forest.root(x)] for x in part])
 
     packed = documents.select("text").mapInArrow(lean(spread), "route int, h binary, of binary, nodes binary, sizes binary")
-    return packed.repartition(routes, "route").mapInArrow(lean(meet), "a binary, b binary").where("a <> b")
+    # A partition takes several routes in turn and links each of its nodes once, whichever of them it meets others in.
+    dealt = packed.repartition(max(ROUTES[0], routes // 4), "route").sortWithinPartitions("route")
+    return dealt.mapInArrow(lean(meet), "a binary, b binary").where("a <> b")
 
 
 def _linked(inter, n, m, percent: int):
