@@ -127,6 +127,30 @@ def test_leaks(spark):
     assert decontaminate.leaks(docs.limit(0), benchmark).collect() == [] == decontaminate.leaks(docs, benchmark.limit(0)).collect()
 
 
+def test_leaks_of_frequent_short_items(spark):
+    rng = random.Random(4)
+    words = [f"{a}{b}{c}" for a in "bdfgklmn" for b in "aeiou" for c in ("rt", "sh", "ng", "l", "x")]
+    text = lambda n: [rng.choice(words) + rng.choice(words) for _ in range(n)]
+    items = [text(15) for _ in range(3)]
+    rows, truth = [], set()
+    for d in range(300):
+        body = text(rng.choice([60, 200]))
+        if d % 3 == 0:  # in a third of the documents
+            piece = list(items[0])
+            if d % 6 == 0:
+                piece[rng.randrange(15)] = "other"
+            body[(at := rng.randrange(len(body))) : at] = piece
+            truth.add((d, 0))
+        elif d % 50 == 1:  # between repeats of one rare word
+            body = [f"again{d}"] * 40 + items[1] + [f"again{d}"] * 40
+            truth.add((d, 1))
+        rows.append((d, " ".join(body)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    found = decontaminate.leaks(docs, benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == truth and len(found) == len(truth) and all(r.covered >= 0.6 and r.cosine is not None for r in found)
+
+
 def base_secrets(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 6]
     out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
