@@ -119,7 +119,8 @@ def find(text: str, min_log10: float = MIN_LOG10) -> list[tuple[int, int, int, f
     if separated:
         known = [(s, e) for s, _, e, _ in out]
         for m in CONTEXT.finditer(text):
-            if not any(s < m.end(1) and m.start(1) < e for s, e in known) and (cost := guess_cost(m[1])) >= min_log10:
+            # A base span may stop within the value; only one that covers it whole settles it.
+            if not any(s <= m.start(1) and m.end(1) <= e for s, e in known) and (cost := guess_cost(m[1])) >= min_log10:
                 out.append((m.start(1), 3, m.end(1), cost))
     return sorted(out)
 
@@ -144,9 +145,13 @@ def digest(documents: DataFrame, min_log10: float = MIN_LOG10) -> DataFrame:
 
 
 def masked(text: str, min_log10: float = MIN_LOG10, mask: str = "[SECRET]") -> str:
-    """``text`` with each stretch covered by spans replaced by one mask."""
+    """``text`` with each stretch covered by spans replaced by one mask; a value of which a span holds the beginning goes whole."""
     out, at = [], 0
-    for s, _, e, _ in find(text, min_log10):
+    spans = find(text, min_log10)
+    values = [m.span(1) for m in CONTEXT.finditer(text)] if any(k == 0 for _, k, _, _ in spans) else []
+    for s, k, e, _ in spans:
+        if k == 0:
+            e = max([e, *(end for start, end in values if start < e < end)])
         if s >= at:
             out += [text[at:s], mask]
         at = max(at, e)

@@ -183,6 +183,13 @@ def test_guess_costs():
     assert spans("pwd: kT9$vQz7!mWp2") == "guess:5:18" and spans("pwd: password123") == ""
 
 
+def test_values_longer_than_their_base_span():
+    text = 'a password: Tr0ub4d&or#3x! b "token": "Zx81mQ%pl9vvK" c secret=abcdef$5 d'
+    assert secret_scan.joined(secret_scan.find("password: Tr0ub4d&or#3x!")) == "assign:0:17,guess:10:24"
+    assert secret_scan.joined(secret_scan.find("password: Tr0ub4dor3x")) == "assign:0:21"
+    assert secret_scan.masked(text) == 'a [SECRET] b "[SECRET]" c [SECRET] d'
+
+
 def test_redact(spark):
     docs = spark.createDataFrame([(1, "a token=abcdefgh b", 18, "s"), (2, None, None, "s"), (3, "clean", 5, None)], "doc_id long, text string, n_chars long, source string")
     out = secret_scan.redact(docs)
