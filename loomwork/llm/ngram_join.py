@@ -347,8 +347,8 @@ def _linked(inter, n, m, percent: int):
     return 100 * inter >= percent * (n + m - inter)
 
 
-def join_region(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect just what similarity connects, by pivots and rings in memory.
+def join_region(sets: list[np.ndarray], percent: int, every: bool = False) -> list[tuple[int, int]]:
+    """Links that connect just what similarity connects, or ``every`` link once, by pivots and rings in memory.
 
     Distances to a pivot are 1-Lipschitz: after sorting by them, nodes on either
     side of a gap wider than the radius cannot link, so rings are joined apart.
@@ -361,7 +361,7 @@ def join_region(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     label, links, todo = np.arange(len(sets)), [], [np.arange(len(sets))]
     while todo:
         nodes = todo.pop()
-        if len(nodes) < 2 or (label[nodes] == label[nodes[0]]).all():
+        if len(nodes) < 2 or (not every and (label[nodes] == label[nodes[0]]).all()):
             continue
         pivot, rest = int(nodes[len(nodes) // 2]), np.delete(nodes, len(nodes) // 2)
         own = dense[starts[pivot] : starts[pivot] + sizes[pivot]]
@@ -372,7 +372,9 @@ def join_region(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         inter = np.add.reduceat(mark[dense[at]].astype(np.int64), ends - lengths)
         mark[own] = False
         for x in rest[_linked(inter, sizes[pivot], lengths, percent)].tolist():
-            if label[pivot] != label[x]:
+            if every:
+                links.append((pivot, x))
+            elif label[pivot] != label[x]:
                 label[label == label[x]] = label[pivot]
                 links.append((pivot, x))
         distance = 1 - inter / (sizes[pivot] + lengths - inter)
@@ -454,15 +456,64 @@ def _compare(words: int, percent: int):
     return run
 
 
-def links(documents: DataFrame, nodes: DataFrame, hot: np.ndarray, words: int, percent: int) -> DataFrame:
-    """Links a, b of different nodes; they connect exactly the nodes that similarity connects."""
-    radius = 1 - percent / 100 + 1e-9
+def _members(documents: DataFrame, nodes: DataFrame, hot: np.ndarray, words: int, percent: int) -> DataFrame:
+    """region, node, n (shingles) and text: the nodes that candidates chain together; all links lie within regions."""
     roots = components(candidates(documents, hot, words, percent))
     regions = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     first = nodes.where("doc_id IS NOT NULL AND node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     members = first.join(regions.withColumnRenamed("root", "region"), "node")
     # One text for each node of a region; the digest tells it from others with the same id.
-    members = cut(members.join(documents.select("doc_id", "text"), "doc_id").select("region", "node", "n", "text"))
+    return cut(members.join(documents.select("doc_id", "text"), "doc_id").select("region", "node", "n", "text"))
+
+
+def _count(words: int, percent: int):
+    """A pair of parts of a region in one task: for each node, the copies of the nodes that it links with."""
+
+    def run(table: pa.Table) -> pa.Table:
+        shingler = Shingler(words)
+        table = table.sort_by("node")
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        nodes, parts, copies, sets = [], [], [], []
+        for batch, texts in _texts(table.combine_chunks()):
+            for node, part, n, s in zip(*(batch.column(k).to_pylist() for k in ("node", "part", "copies")), shingler.sets(texts), strict=True):
+                if digest_of(s) == node and (not nodes or nodes[-1] != node):
+                    nodes.append(node)
+                    parts.append(part)
+                    copies.append(n)
+                    sets.append(s)
+        met = [0] * len(nodes)
+        for x, y in join_region(sets, percent, every=True) if len(nodes) > 1 else ():
+            if low == high or parts[x] != parts[y]:  # links within a part are counted where it meets itself
+                met[x] += copies[y]
+                met[y] += copies[x]
+        return pa.table({"node": pa.array(nodes, pa.binary()), "met": pa.array(met, pa.int64())})
+
+    return run
+
+
+def link_counts(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_links: for each document, how many other rows link with it, equal sets among them; every link counts.
+
+    A region too large for one task is dealt to parts, and each pair of parts is joined in a task of its own.
+    """
+    nodes, hot = node_table(documents, words)
+    copies = nodes.where("node IS NOT NULL").groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
+    members = _members(documents, nodes, hot, words, percent)
+    size = members.groupBy("region").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("shingles"))
+    # Two parts meet in a task, so each has half of what a task can hold.
+    parts = size.select("region", F.greatest(F.lit(1), F.ceil(F.greatest(2 * F.col("nodes") / REGION_NODES, 2 * F.col("shingles") / REGION_SHINGLES))).cast("int").alias("parts"))
+    dealt = members.join(parts, "region").join(copies, "node").withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select("region", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "copies", "text")
+    found = met.groupBy("region", "low", "high").applyInArrow(_count(words, percent), "node binary, met bigint").groupBy("node").agg(F.sum("met").alias("met"))
+    counted = copies.join(found, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("met", F.lit(0))).alias("n_links"))
+    return nodes.join(counted, "node", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
+def links(documents: DataFrame, nodes: DataFrame, hot: np.ndarray, words: int, percent: int) -> DataFrame:
+    """Links a, b of different nodes; they connect exactly the nodes that similarity connects, but are not all links (see link_counts)."""
+    radius = 1 - percent / 100 + 1e-9
+    members = _members(documents, nodes, hot, words, percent)
     found = []
     for _ in range(1000):
         size = members.groupBy("region").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("shingles"))

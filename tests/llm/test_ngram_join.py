@@ -60,6 +60,20 @@ def test_against_all_pairs(spark, monkeypatch, k, percent, nodes, seed):
     assert got == brute(rows, k, percent)
 
 
+@pytest.mark.parametrize("nodes", [4000, 6])
+def test_every_link_counts(spark, monkeypatch, nodes):
+    monkeypatch.setattr(ngram_join, "REGION_NODES", nodes)
+    rng = random.Random(3)
+    base = [f"v{rng.randrange(500)}" for _ in range(150)]
+    near = [(2000 + i, " ".join(base[:i] + [f"new{i}"] + base[i + 1 :])) for i in range(20, 60)]  # all link with each other
+    rows = corpus(9) + near + [(3000, near[0][1])]
+    sets = [shingles(t, 4) for _, t in rows]
+    want = {d: sum(i != j and bool(s) and bool(o) and 100 * len(s & o) >= 85 * len(s | o) for j, o in enumerate(sets)) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_links for r in ngram_join.link_counts(docs, 4, 85).collect()} == want
+    assert min(want[d] for d, _ in near) == 40 and ngram_join.link_counts(docs.limit(0)).collect() == []
+
+
 def test_repeated_rows_null_ids_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "z z"), (3, "q")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id) for r in ngram_join.component_table(docs).collect()), key=str)
