@@ -11,7 +11,8 @@ Only what can repeat is sorted: hashes of minimizers and digests of documents
 meet first (a few bytes for each segment). A document equal to an earlier one is
 removed whole, and segments whose minimizer occurs once stay where they are.
 Equal segments of one chunk travel once. Both keep a hot passage from filling a
-shard: at most one copy for each chunk arrives.
+shard: at most one copy for each chunk arrives. Different segments of one
+minimizer are not split: a shard must fit the memory of its task.
 
 Order is by document id, then by place in the written chunks for repeated ids
 (null ids first), then by offset. Defined cases: null and empty texts have no
