@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHINGLE, CONTAINED, BANDS = 5, 0.8, 24
@@ -84,6 +84,23 @@ def _bands(shingles: Column) -> Column:
     return F.array(*[F.struct(F.lit(b).alias("band"), _lowest(shingles, b).alias("low")) for b in range(BANDS)])
 
 
+def families(templates: list[list[str]]) -> list[int]:
+    """For each template the first of its versions: those that share half of the shorter one's shingles."""
+    shingles = [{tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)} for words in templates]
+    family = list(range(len(templates)))
+    for i, a in enumerate(shingles):
+        for j, b in enumerate(shingles[:i]):
+            if 2 * len(a & b) >= min(len(a), len(b)) and family[i] != family[j]:
+                low, high = sorted((family[i], family[j]))
+                family = [low if f == high else f for f in family]
+    return family
+
+
+def _overlap(x: Column, y: Column) -> Column:
+    """Words that two matches have in common."""
+    return F.least(x["end"], y["end"]) - F.greatest(x["start"], y["start"])
+
+
 def scan(documents: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """doc_id, license, containment, first_word, n_words: the best window of each license in each document."""
     spark = documents.sparkSession
@@ -93,33 +110,40 @@ def scan(documents: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATE
     bases = length_classes([len(w) for _, w in parsed])
     base_of = {n: min(b for b in bases if b >= n) for n in {len(w) for _, w in parsed}}
     keys = anchors([w for _, w in parsed])
-    table = spark.createDataFrame([(i, name, base_of[len(w)], w) for i, (name, w) in enumerate(parsed)], "template int, license string, base int, words array<string>")
-    table = table.select("template", "license", "base", _shingles(F.col("words")).alias("wanted"))
+    table = spark.createDataFrame([(i, family, name, base_of[len(w)], w) for i, ((name, w), family) in enumerate(zip(parsed, families([w for _, w in parsed]), strict=True))], "template int, family int, license string, base int, words array<string>")
+    table = table.select("template", "family", "license", "base", _shingles(F.col("words")).alias("wanted"))
     table = table.select("*", F.inline(_bands(F.col("wanted"))))  # as many rows as templates times bands
 
     lower = F.lower("text")
     rows = documents.select("doc_id", "text").where(lower.rlike("|".join(keys)))
     split = F.filter(F.split(F.lower("text"), "[^a-z0-9]+", -1), lambda w: w != "")
-    rows = rows.select("doc_id", split.alias("words")).where(F.size("words") >= SHINGLE)
+    rows = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), split.alias("words")).where(F.size("words") >= SHINGLE)
     # Places of anchors, so that only windows around them are cut.
     hits = F.filter(F.transform("words", lambda w, i: F.when(w.isin(keys), i)), lambda i: i.isNotNull())
-    rows = rows.select("doc_id", "words", hits.alias("hits"))
+    rows = rows.select("doc_id", "row", "words", hits.alias("hits"))
     sizes = F.array(*[F.struct(F.lit(b).alias("base"), F.lit(b + b // 4).alias("size"), F.lit(max(1, b // 4 + 1)).alias("step")) for b in bases])
-    rows = rows.select("doc_id", "words", "hits", F.inline(sizes))
+    rows = rows.select("doc_id", "row", "words", "hits", F.inline(sizes))
     last = F.greatest(F.lit(0), F.size("words") - F.col("size"))
     near = lambda h: F.sequence(F.floor(F.greatest(h - F.col("size") + 1, F.lit(0)) / F.col("step")), F.floor(h / F.col("step")))
     # A window of step k starts at k * step, or where the last whole one does.
     starts = F.array_distinct(F.transform(F.flatten(F.transform("hits", near)), lambda k: F.least(k * F.col("step"), last.cast("bigint"))))
-    cuts = rows.select("doc_id", "words", "base", "size", F.explode(starts).alias("first"))
-    windows = cuts.select("doc_id", "base", F.col("first").cast("int").alias("first"), F.slice("words", (F.col("first") + 1).cast("int"), F.col("size")).alias("window"))
-    windows = windows.select("doc_id", "base", "first", F.size("window").alias("n"), _shingles(F.col("window")).alias("held"))
+    cuts = rows.select("doc_id", "row", "words", "base", "size", F.explode(starts).alias("first"))
+    windows = cuts.select("doc_id", "row", "base", F.col("first").cast("int").alias("first"), F.slice("words", (F.col("first") + 1).cast("int"), F.col("size")).alias("window"))
+    windows = windows.select("doc_id", "row", "base", "first", F.size("window").alias("n"), _shingles(F.col("window")).alias("held"))
     banded = windows.select("*", F.inline(_bands(F.col("held"))))
     met = banded.join(F.broadcast(table), ["base", "band", "low"])
     share = F.size(F.array_intersect("wanted", "held")) / F.size("wanted")
-    found = met.select("doc_id", "base", "license", share.alias("containment"), "first", "n").where(F.col("containment") >= CONTAINED).distinct()
-    # Versions of a license differ by a word: of those that one stretch of words matches, the best stay.
-    reach = bases[0] + bases[0] // 4
-    here = Window.partitionBy("doc_id", "base").orderBy("first").rangeBetween(-reach, reach)
-    found = found.withColumn("best_here", F.max("containment").over(here)).where("containment = best_here")
+    found = met.select("doc_id", "row", "template", "family", "license", share.alias("containment"), "first", "n", "wanted", "held").where(F.col("containment") >= CONTAINED)
+    found = found.dropDuplicates(["row", "template", "first", "n"])
+    # The stretch of words that matches: from the first to the last of the template's shingles in the window.
+    places = F.transform(F.array_intersect("held", "wanted"), lambda x: F.array_position("held", x))
+    start = F.col("first") + F.array_min(places) - 1
+    match = F.struct("license", "containment", "first", "n", start.alias("start"), (F.col("first") + F.array_max(places) + SHINGLE - 1).alias("end"))
+    met = found.groupBy("row", "family").agg(F.first("doc_id").alias("doc_id"), F.collect_list(match).alias("all"))
+    # Of one license, what overlaps a better match is a part of it.
+    tops = F.filter("all", lambda x: ~F.exists("all", lambda y: (y["license"] == x["license"]) & (y["containment"] > x["containment"]) & (_overlap(x, y) > 0)))
+    # Versions of a license differ by a word: a match yields to a better one of another version on the same words, and to no other.
+    yields = lambda x: F.exists("tops", lambda y: (y["license"] != x["license"]) & (y["containment"] > x["containment"]) & (2 * _overlap(x, y) >= x["end"] - x["start"]))
+    found = met.select("doc_id", tops.alias("tops")).select("doc_id", F.inline(F.filter("tops", lambda x: ~yields(x))))
     best = F.max(F.struct("containment", (-F.col("first")).alias("back"), "n")).alias("best")
     return found.groupBy("doc_id", "license").agg(best).select("doc_id", "license", F.round("best.containment", 6).alias("containment"), (-F.col("best.back")).alias("first_word"), F.col("best.n").alias("n_words"))

@@ -139,6 +139,18 @@ def test_licenses(spark):
     assert {k[0] for k in got} <= set(range(101)) and license_scan.anchors([["a", "b", "c", "d", "e"]])
 
 
+def test_licenses_side_by_side(spark):
+    notice = [words for _, words in license_scan.TEMPLATES]
+    isc = notice[15].replace("purpose", "reason")
+    cc = notice[12].replace("This work", "The work")
+    gpl2 = notice[8].replace("redistribute", "share")
+    rows = [(1, f"{isc} {notice[6]}", "s"), (2, f"{notice[6]}\n{isc}", "s"), (3, f"{notice[5]} {cc}", "s"), (4, f"{notice[6]} some words between {gpl2}", "s"), (5, f"a b c d e {notice[6]} f g", "s"), (6, f"a b c d e {notice[5]} f g h", "s")]
+    got = {}
+    for r in license_scan.scan(frame(spark, rows)).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert got == {1: {"ISC", "GPL-3.0"}, 2: {"ISC", "GPL-3.0"}, 3: {"GPL-3.0", "CC-BY-4.0"}, 4: {"GPL-3.0", "GPL-2.0"}, 5: {"GPL-3.0"}, 6: {"GPL-3.0"}}
+
+
 @pytest.mark.parametrize("run", [pii.digest, rules.judge, shard.place, license_scan.scan])
 def test_empty_tables(spark, run):
     assert run(frame(spark, EDGE).limit(0)).collect() == []
