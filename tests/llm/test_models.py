@@ -151,6 +151,14 @@ def test_leaks_of_frequent_short_items(spark):
     assert {(r.doc_id, r.item_id) for r in found} == truth and len(found) == len(truth) and all(r.covered >= 0.6 and r.cosine is not None for r in found)
 
 
+def test_keep_clean_tells_rows_apart_by_text(spark):
+    item = " ".join(f"word{i}" for i in range(20))
+    rows = [(None, f"before {item} after"), (None, "clean one"), (1, f"some {item} more"), (1, "clean two"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = decontaminate.keep_clean(docs, spark.createDataFrame([(0, item)], "item_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
+
+
 def base_secrets(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 6]
     out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
