@@ -4,26 +4,33 @@
 2. Coarse regions, without losing a link: nodes of one or two neighbouring size
    classes deal their shingles by hash into more parts than two linked sets can
    differ in, with some to spare, so a linked pair agrees in several parts.
-   Chains over equal parts give the regions. A part joins several shingles of a
-   set from all over the text, so passages that many documents share do not
-   chain them together; parts of hot shingles alone are left out where the parts
+   Chains over equal parts give the regions: unrelated texts are all at distance 1
+   from every pivot, so that pivots alone could not tell them apart. Parts (or pairs
+   of parts, for short texts) of one or of hot shingles are left out where the parts
    to spare allow it. Hot shingles come from counters of a fixed number.
-3. Each region is joined in the Jaccard metric. Pivots are drawn; a node is
-   compared with them, links within the radius are kept, and nodes go to the
-   Voronoi cell of their nearest pivot and to each cell whose pivot is no more
-   than two radii farther away (triangle inequality); cells are joined again
-   until nothing is left. A region that one task can hold recurses in memory,
-   a larger one is split by pivots across the cluster first.
-4. Links meet in a distributed components computation.
+3. Every region, whatever its size, is joined in the Jaccard metric by pivots.
+   About half the root of its nodes are pivots, the nodes with the least hashes.
+   Nodes are compared with the pivots in as many tasks as the region asks for; a
+   node belongs to the Voronoi cell of its nearest pivot (of equally near ones,
+   the one its hash picks) and is copied to each cell whose pivot is no more than
+   two radii farther away than its own: by the triangle inequality every partner
+   of a cell's own nodes is then in the cell.
+4. Cells are joined again in tasks of their own, split by the same rule in memory
+   as long as that saves comparisons; a cell with very many copied nodes is dealt
+   to several tasks. Each link is met from either end, once.
+5. Links meet in a distributed components computation, their numbers in a sum.
 
 Defined cases: null and empty texts have no shingles and stay alone; a document
-with fewer words than a shingle has its whole sequence as one; repeated rows are
-equal sets; rows without an id are told apart by their sets alone and link with
-equal sets only; an empty table gives an empty table; other columns are ignored.
+with fewer words than a shingle has its whole sequence as one; very long texts are
+sets like any other, read in slices of bounded bytes (one text at least); repeated
+rows are equal sets and link with each other; ties between pivots fall by hash;
+rows without an id link like others but lend no id to a component; an empty table
+gives an empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -31,15 +38,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lean
+from .common import cut, drop_cut, lean
 from .graph import components
+from .textvec import slices
 
 #: Bytes of input for each route of the part shuffle.
-ROUTE_BYTES, ROUTES = 2 << 20, (16, 1 << 15)
-#: A region goes to one task when it has at most so many nodes and shingles.
-REGION_NODES, REGION_SHINGLES, PIVOTS = 5000, 3_000_000, 16
+ROUTE_BYTES, LEAST, PARTITIONS = 2 << 20, 16, 1 << 15
+#: Linked nodes of several routes that a task of chains holds before it passes them on.
+CHAINED = 1 << 19
+#: Size classes with at most so many parts chain over pairs of parts, drawn within GROUPS groups of them.
+PAIRED, GROUPS = 32, 3
+#: Nodes and shingles that are dealt to one task of a cell, beside the cell's own, and shingles to one of comparisons with pivots.
+CELL_NODES, TASK_SHINGLES = 4096, 4_000_000
+#: Comparisons at a time, and own nodes below which a cell is not split again.
+BLOCK, LEAF = 1 << 22, 32
 #: Counters of shingle frequency over all documents (2 to this many), kept and sent in blocks; a shingle is hot whose counter is so many times the mean.
 COUNTER_BITS, COUNTER_BLOCKS, HOT = 21, 32, 4
+#: Parts that a large region's rows meet its numbers in; a name that no column of documents has.
+SALTS, KEY = 16, "_loomwork_text_key"
 _ALL = (1 << 64) - 1
 _PARTS: dict[tuple[int, int], tuple[int, int]] = {}
 _CACHE, _FLUSH = 150_000, 1 << 20
@@ -111,11 +127,12 @@ def digest_of(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def _texts(batch: pa.RecordBatch, size: int = 512):
-    """Slices of a batch with few enough texts to handle at once."""
-    for at in range(0, batch.num_rows, size):
-        part = batch.slice(at, size)
-        yield part, part.column("text").to_pylist()
+def _texts(batch, most: int = 4 << 20):
+    """Slices of a batch or table with few enough bytes of text to handle at once."""
+    for chunk in batch.to_batches() if isinstance(batch, pa.Table) else (batch,):
+        for at, n in slices(chunk.column("text"), most):
+            part = chunk.slice(at, n)
+            yield part, part.column("text").to_pylist()
 
 
 def size_class(n: int, percent: int) -> int:
@@ -141,9 +158,13 @@ def parts_of(c: int, percent: int) -> tuple[int, int]:
 def signatures(shingles: np.ndarray, percent: int, hot: np.ndarray) -> np.ndarray:
     """Hashes of the set's parts that hold shingles, for its own class and the one below.
 
-    Linked sets agree in at least ``limit`` parts. A set in which fewer are empty
-    or made of hot shingles alone leaves those out: a partner must agree with it
-    in another one. Only sets of mostly hot shingles meet by them.
+    Linked sets agree in at least ``limit`` parts, and a part's content decides what
+    it is to both. Many parts: those with fewer than two cold shingles are weak; a
+    set with fewer weak parts than ``limit`` agrees with each partner in a strong
+    one. Few parts: of more than GROUPS agreeing parts two are in one group, so
+    sets chain over pairs of cold parts. A set that has too many weak parts for
+    that adds what is weaker: its single cold parts, then hot ones and its class.
+    Everyone sends the strong hashes, so such a set still meets all others.
     """
     c, out = size_class(len(shingles), percent), []
     mixed, cold = _mix(shingles), ~hot[_counter(shingles)]
@@ -154,12 +175,25 @@ def signatures(shingles: np.ndarray, percent: int, hot: np.ndarray) -> np.ndarra
         at = ((shingles >> np.uint64(11)) % np.uint64(parts)).astype(np.int64)
         sums = np.zeros(parts, np.uint64)
         np.add.at(sums, at, mixed)
-        full = np.flatnonzero(np.bincount(at[cold], minlength=parts))
+        n_cold = np.bincount(at[cold], minlength=parts)
         salt = np.uint64(int(_ODD[4]) * (2 * k + 1) & _ALL)
-        if common := parts - len(full) >= limit:
-            full = np.flatnonzero(np.bincount(at, minlength=parts))
-        out.append(_mix(sums[full] * _ODD[5] + full.astype(np.uint64) * _ODD[6] + salt))
-        if common:  # so many empty or hot parts that these alone might agree: such sets meet by their class too
+        single = _mix(sums * _ODD[5] + np.arange(parts, dtype=np.uint64) * _ODD[6] + salt)
+        full = np.flatnonzero(n_cold)
+        if parts <= PAIRED:
+            enough = parts - len(full) < limit - GROUPS
+            for g in range(GROUPS):
+                own = full[full % GROUPS == g]
+                x, y = np.triu_indices(len(own), 1)
+                out.append(_mix(single[own[x]] * _ODD[1] + single[own[y]]))
+        else:
+            strong = np.flatnonzero(n_cold > 1)
+            enough = parts - len(strong) < limit
+            out.append(single[strong])
+        if enough:
+            continue
+        out.append(single[full])
+        if parts - len(full) >= limit:  # so many empty or hot parts that these alone might agree: such sets meet by their class too
+            out.append(single[np.flatnonzero(np.bincount(at, minlength=parts))])
             out.append(_mix(np.array([int(salt) ^ 0xE], np.uint64)))
     return np.unique(np.concatenate(out))
 
@@ -189,16 +223,20 @@ class Forest:
 def _routes(documents: DataFrame) -> int:
     size = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     size = ROUTE_BYTES * documents.rdd.getNumPartitions() if size >= 1 << 50 else size
-    return min(ROUTES[1], max(ROUTES[0], size // ROUTE_BYTES + 1))
+    return max(LEAST, size // ROUTE_BYTES + 1)
+
+
+def _tasks(documents: DataFrame) -> int:
+    return min(PARTITIONS, max(LEAST, _routes(documents.select("text")) // 4))
 
 
 def node_table(documents: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, n_shingles and node (the digest of the set, null without shingles), written once; and which counters are hot.
+    """doc_id, key (a hash of the text), n_shingles and node (the digest of the set, null without shingles), written once; and which counters are hot.
 
     One pass over the texts gives both: a partition's counters follow its rows.
     """
     kind = dict(documents.dtypes)["doc_id"]
-    names = ["doc_id", "n_shingles", "node", "block", "data"]
+    names = ["doc_id", "key", "n_shingles", "node", "block", "data"]
 
     def each(batches):
         import zstandard
@@ -214,11 +252,11 @@ def node_table(documents: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]
                     sets.append(s)
                 np.add.at(total, _counter(np.concatenate(sets)), 1)
                 seen = part.column("doc_id")
-                yield pa.RecordBatch.from_arrays([seen, pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([seen, part.column("key"), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
         if seen is not None:
             press = zstandard.ZstdCompressor(level=1).compress
             for b, counts in enumerate(np.split(total, COUNTER_BLOCKS)):
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, seen.type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([b], pa.int32()), pa.array([press(counts.astype("<i8").tobytes())], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, seen.type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([b], pa.int32()), pa.array([press(counts.astype("<i8").tobytes())], pa.binary())], names)
 
     def add(batches):
         import zstandard
@@ -238,7 +276,7 @@ def node_table(documents: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]
             counts = np.frombuffer(zstandard.ZstdDecompressor().decompress(batch.column("data")[0].as_py()), "<i8")
             yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array([np.packbits(counts > HOT * counts.mean() + 8).tobytes()], pa.binary())], ["block", "data"])
 
-    written = cut(documents.select("doc_id", "text").mapInArrow(lean(each), f"doc_id {kind}, n_shingles bigint, node binary, block int, data binary"))
+    written = cut(documents.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(lean(each), f"doc_id {kind}, key bigint, n_shingles bigint, node binary, block int, data binary"))
     packed = "block int, data binary"
     counters = written.where("block IS NOT NULL").select("block", "data", F.pmod(F.xxhash64("data"), F.lit(16)).alias("part"))
     # In parts first: however many tasks there were, no task adds them all.
@@ -247,7 +285,7 @@ def node_table(documents: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]
     size = len(hot) // COUNTER_BLOCKS
     for r in counters.repartition(COUNTER_BLOCKS, "block").mapInArrow(lean(mark), packed).collect():  # COUNTER_BLOCKS rows of bits
         hot[r.block * size : (r.block + 1) * size] = np.unpackbits(np.frombuffer(bytes(r.data), np.uint8)).astype(bool)
-    return written.where("block IS NULL").select("doc_id", "n_shingles", "node"), hot
+    return written.where("block IS NULL").select("doc_id", "key", "n_shingles", "node"), hot
 
 
 def candidates(documents: DataFrame, hot: np.ndarray, words: int, percent: int) -> DataFrame:
@@ -269,12 +307,11 @@ def candidates(documents: DataFrame, hot: np.ndarray, words: int, percent: int)
             order = np.lexsort((h, route))
             h, of, route = h[order], of[order], route[order]
             names, n = np.frombuffer(b"".join(nodes), np.uint8).reshape(-1, 16), np.array(sizes, "<u4")
-            cuts = np.searchsorted(route, np.arange(routes + 1))
-            for r in range(routes):
-                own = slice(cuts[r], cuts[r + 1])
-                if own.start < own.stop:
-                    which, short = np.unique(of[own], return_inverse=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([h[own].astype("<u8").tobytes()], pa.binary()), pa.array([short.astype("<u4").tobytes()], pa.binary()), pa.array([names[which].tobytes()], pa.binary()), pa.array([n[which].tobytes()], pa.binary())], ["route", "h", "of", "nodes", "sizes"])
+            begin = np.flatnonzero(np.append(True, route[1:] != route[:-1]))
+            for low, high in zip(begin.tolist(), np.append(begin[1:], len(route)).tolist(), strict=True):
+                own = slice(low, high)
+                which, short = np.unique(of[own], return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array([route[low]], pa.int64()), pa.array([h[own].astype("<u8").tobytes()], pa.binary()), pa.array([short.astype("<u4").tobytes()], pa.binary()), pa.array([names[which].tobytes()], pa.binary()), pa.array([n[which].tobytes()], pa.binary())], ["route", "h", "of", "nodes", "sizes"])
 
         for batch in batches:
             for _, texts in _texts(batch):
@@ -322,6 +359,14 @@ def candidates(documents: DataFrame, hot: np.ndarray, words: int, percent: int)
                 forest.up += range(len(forest.up), len(names))
                 forest.join(x, y)
 
+        def emit():
+            digests = list(names)
+            for at in range(0, len(digests), 10_000):
+                part = range(at, min(len(digests), at + 10_000))
+                yield _pair([digests[x] for x in part], [digests[forest.root(x)] for x in part])
+            names.clear()
+            forest.up.clear()
+
         held: list[dict] = []
         for batch in batches:
             for i in range(batch.num_rows):
@@ -329,17 +374,16 @@ def candidates(documents: DataFrame, hot: np.ndarray, words: int, percent: int)
                 if held and held[0]["route"] != row["route"]:
                     settle(held)
                     held = []
+                    if len(names) > CHAINED:
+                        yield from emit()
                 held.append(row)
         if held:
             settle(held)
-        digests = list(names)
-        for at in range(0, len(digests), 10_000):
-            part = range(at, min(len(digests), at + 10_000))
-            yield _pair([digests[x] for x in part], [digests[forest.root(x)] for x in part])
+        yield from emit()
 
-    packed = documents.select("text").mapInArrow(lean(spread), "route int, h binary, of binary, nodes binary, sizes binary")
+    packed = documents.select("text").mapInArrow(lean(spread), "route bigint, h binary, of binary, nodes binary, sizes binary")
     # A partition takes several routes in turn and links each of its nodes once, whichever of them it meets others in.
-    dealt = packed.repartition(max(ROUTES[0], routes // 4), "route").sortWithinPartitions("route")
+    dealt = packed.repartition(_tasks(documents), "route").sortWithinPartitions("route")
     return dealt.mapInArrow(lean(meet), "a binary, b binary").where("a <> b")
 
 
@@ -347,222 +391,269 @@ def _linked(inter, n, m, percent: int):
     return 100 * inter >= percent * (n + m - inter)
 
 
-def join_region(sets: list[np.ndarray], percent: int, every: bool = False) -> list[tuple[int, int]]:
-    """Links that connect just what similarity connects, or ``every`` link once, by pivots and rings in memory.
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of ``a`` with every set of ``b``.
 
-    Distances to a pivot are 1-Lipschitz: after sorting by them, nodes on either
-    side of a gap wider than the radius cannot link, so rings are joined apart.
+    Shingles that many pairs share are counted by products of 0/1 matrices, all
+    others along their postings.
     """
-    radius = 1 - percent / 100 + 1e-9
-    sizes = np.array([len(s) for s in sets], np.int64)
-    _, dense = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.cumsum(sizes) - sizes
-    mark = np.zeros(int(dense.max()) + 1, bool)
-    label, links, todo = np.arange(len(sets)), [], [np.arange(len(sets))]
-    while todo:
-        nodes = todo.pop()
-        if len(nodes) < 2 or (not every and (label[nodes] == label[nodes[0]]).all()):
-            continue
-        pivot, rest = int(nodes[len(nodes) // 2]), np.delete(nodes, len(nodes) // 2)
-        own = dense[starts[pivot] : starts[pivot] + sizes[pivot]]
-        mark[own] = True
-        lengths = sizes[rest]
-        ends = np.cumsum(lengths)
-        at = np.repeat(starts[rest] - (ends - lengths), lengths) + np.arange(ends[-1])
-        inter = np.add.reduceat(mark[dense[at]].astype(np.int64), ends - lengths)
-        mark[own] = False
-        for x in rest[_linked(inter, sizes[pivot], lengths, percent)].tolist():
-            if every:
-                links.append((pivot, x))
-            elif label[pivot] != label[x]:
-                label[label == label[x]] = label[pivot]
-                links.append((pivot, x))
-        distance = 1 - inter / (sizes[pivot] + lengths - inter)
-        order = np.argsort(distance, kind="stable")
-        rest, distance = rest[order], distance[order]
-        todo += np.split(rest, np.flatnonzero(np.diff(distance) > radius) + 1)
-    return links
-
-
-def _verify(words: int, percent: int):
-    """A region in one task: links of its nodes."""
+    out = np.zeros((len(a), len(b)), np.int64)
+    if not len(a) or not len(b):
+        return out
+    known, of_a = np.unique(np.concatenate(a), return_inverse=True)
+    row = np.repeat(np.arange(len(a)), [len(s) for s in a])
+    flat, column = np.concatenate(b), np.repeat(np.arange(len(b)), [len(s) for s in b])
+    of_b = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+    met = known[of_b] == flat
+    of_b, column = of_b[met], column[met]
+    n_a, n_b = np.bincount(of_a, minlength=len(known)), np.bincount(of_b, minlength=len(known))
+    dense = n_a * n_b * 64 > len(a) * len(b)
+    width = max(1, BLOCK // max(len(a), len(b)))
+    number, total = np.cumsum(dense) - 1, int(dense.sum())
+    for at in range(0, total, width):
+        x, y = (np.zeros((n, min(width, total - at)), np.float32) for n in out.shape)
+        for m, rows, shingle in ((x, row, of_a), (y, column, of_b)):
+            own = dense[shingle] & (number[shingle] >= at) & (number[shingle] < at + width)
+            m[rows[own], number[shingle[own]] - at] = 1
+        out += (x @ y.T).astype(np.int64)
+    own = ~dense[of_a] & (n_b[of_a] > 0)
+    row, of_a = row[own], of_a[own]
+    order = np.argsort(of_b, kind="stable")
+    column, first = column[order], np.cumsum(n_b) - n_b
+    times = n_b[of_a]
+    ends = np.cumsum(times)
+    at = 0
+    while at < len(row):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, "right")))
+        n = times[at:stop]
+        place = np.repeat(first[of_a[at:stop]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        low = int(row[at])
+        counted = np.bincount((np.repeat(row[at:stop], n) - low) * len(b) + column[place])
+        out[low : low + -(-len(counted) // len(b))].reshape(-1)[: len(counted)] += counted
+        at = stop
+    return out
 
-    def run(table: pa.Table) -> pa.Table:
-        shingler = Shingler(words)
-        table = table.sort_by("node")
-        nodes, sets = [], []
+
+def voronoi(distance: np.ndarray, radius: float, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of distances to pivots: the cell each belongs to, and all cells that it is copied to (its own among them).
+
+    If x is of cell i and links with y, then d(y, i) <= d(x, i) + r <= d(x, j) + r <= d(y, j) + 2 r for each pivot j.
+    """
+    least, k = distance.min(axis=1, keepdims=True), distance.shape[1]
+    turn = (np.arange(k)[None, :] + pick[:, None]) % k
+    return np.where(distance <= least, turn, k).argmin(axis=1), distance <= least + 2 * radius + 1e-9
+
+
+def pivots_of(n: int) -> int:
+    """Pivots of a region of n nodes."""
+    return math.ceil(math.sqrt(n) / 2)
+
+
+def _distance(inter: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return 1 - inter / (n[:, None] + m[None, :] - inter)
+
+
+def join_cell(sets: list[np.ndarray], own: np.ndarray, others: np.ndarray, percent: int):
+    """(x, all y that link with it) for x of ``own`` and y of ``others`` (numbers of sets), by pivots within the cell.
+
+    The same step in memory that regions take across tasks: pivots of the own
+    nodes, cells, windows; where it would not halve the comparisons, they are made.
+    """
+    radius, size = 1 - percent / 100, np.array([len(s) for s in sets], np.int64)
+    take = lambda which: [sets[i] for i in which.tolist()]
+    todo = [(own, others)]
+    while todo:
+        q, t = todo.pop()
+        if len(q) > LEAF and len(t) > LEAF:
+            pivots = q[:: -(-len(q) // pivots_of(len(q)))]
+            apart = [_distance(overlaps(take(rows), take(pivots)), size[rows], size[pivots]) for rows in (q, t)]
+            cell, _ = voronoi(apart[0], radius, q)
+            _, within = voronoi(apart[1], radius, t)
+            parts = [(q[cell == j], t[within[:, j]]) for j in range(len(pivots))]
+            if 2 * sum(len(x) * len(y) for x, y in parts) <= len(q) * len(t):
+                todo += [(x, y) for x, y in parts if len(x) and len(y)]
+                continue
+        step = max(1, BLOCK // max(1, len(t)))
+        for at in range(0, len(q), step):
+            rows = q[at : at + step]
+            linked = _linked(overlaps(take(rows), take(t)), size[rows][:, None], size[t][None, :], percent) & (rows[:, None] != t[None, :])
+            for i in np.flatnonzero(linked.any(axis=1)).tolist():
+                yield int(rows[i]), t[linked[i]]
+
+
+class _Rows:
+    """The rows of a group with their sets: one for each node, texts of other rows under a repeated id left out."""
+
+    def __init__(self, table: pa.Table, words: int) -> None:
+        shingler, places = Shingler(words), {}
+        self.sets, kept, at = [], [], 0
+        self.queries = set()
+        flags = table.column("own").to_pylist()
         for part, texts in _texts(table.combine_chunks()):
             for node, s in zip(part.column("node").to_pylist(), shingler.sets(texts), strict=True):
-                if digest_of(s) == node and (not nodes or nodes[-1] != node):
-                    nodes.append(node)
-                    sets.append(s)
-        links = join_region(sets, percent) if len(nodes) > 1 else []
-        return pa.table({"a": pa.array([nodes[x] for x, _ in links], pa.binary()), "b": pa.array([nodes[y] for _, y in links], pa.binary())})
+                if digest_of(s) == node:
+                    if node not in places:
+                        places[node] = len(kept)
+                        kept.append(at)
+                        self.sets.append(s)
+                    if flags[at]:
+                        self.queries.add(places[node])
+                at += 1
+        self.table = table.take(pa.array(kept, pa.int64()))
+        self.nodes = self.table.column("node").to_pylist()
+
+
+_CELLS = "cell binary, node binary, n bigint, copies bigint, text string, own boolean, a binary, b binary"
+_MET = "node binary, met bigint, root binary"
+
+
+def _compare(words: int, percent: int, every: bool):
+    """A part of a region against its pivots: a row for each node and cell it goes to, and the links with pivots."""
+    radius = 1 - percent / 100
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = _Rows(table.sort_by([("node", "ascending"), ("own", "ascending")]), words)
+        flags = {node for node, own in zip(table.column("node").to_pylist(), table.column("own").to_pylist(), strict=True) if not own}
+        size = np.array([len(s) for s in rows.sets], np.int64)
+        pivots = np.array([i for i, node in enumerate(rows.nodes) if node in flags], np.int64)
+        mine = np.array(sorted(rows.queries), np.int64)
+        region = table.column("region")[0].as_py()
+        names = [rows.nodes[i] for i in pivots.tolist()]
+        cells = pa.array([hashlib.md5(region + name).digest() for name in names], pa.binary())
+        out, step = [], max(1, BLOCK // max(1, len(pivots)))
+        for at in range(0, len(mine), step):
+            these = mine[at : at + step]
+            d = _distance(overlaps([rows.sets[i] for i in these], [rows.sets[i] for i in pivots]), size[these], size[pivots])
+            pick = np.array([int.from_bytes(rows.nodes[i][:6], "little") for i in these], np.int64)
+            home, within = voronoi(d, radius, pick)
+            tied = d <= radius + 1e-12
+            if not every:  # a node that links with a pivot meets all that do so there
+                within &= ~tied
+                within[np.arange(len(these)), home] = True
+            x, j = np.nonzero(within)
+            taken = rows.table.take(pa.array(these[x]))
+            none = pa.nulls(len(x), pa.binary())
+            out.append(pa.table([cells.take(pa.array(j)), *(taken.column(c) for c in ("node", "n", "copies", "text")), pa.array(home[x] == j), none, none], names=["cell", "node", "n", "copies", "text", "own", "a", "b"]))
+            if not every:
+                inter = _linked(overlaps([rows.sets[i] for i in these], [rows.sets[i] for i in pivots]), size[these][:, None], size[pivots][None, :], percent)
+                x, j = np.nonzero(inter & (these[:, None] != pivots[None, :]))
+                none = [pa.nulls(len(x), kind) for kind in (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.bool_())]
+                out.append(pa.table([*none, pa.array([rows.nodes[i] for i in these[x].tolist()], pa.binary()), pa.array([names[i] for i in j.tolist()], pa.binary())], names=["cell", "node", "n", "copies", "text", "own", "a", "b"]))
+        return pa.concat_tables(out)
 
     return run
 
 
-def _compare(words: int, percent: int):
-    """A part of a large region against its pivots: links (cell null), or cells to go to (b null)."""
-    radius = 1 - percent / 100 + 1e-9
+def _join_cell(words: int, percent: int):
+    """A task of a cell: for each own node the copies of the nodes that it links with, and the least node its links connect it with here."""
 
     def run(table: pa.Table) -> pa.Table:
-        shingler = Shingler(words)
-        rows = table.sort_by([("is_pivot", "descending"), ("node", "ascending")]).combine_chunks()
-        pivots: list[tuple[bytes, np.ndarray]] = []
-        out: dict[str, list] = {"a": [], "b": [], "cell": [], "near": []}
-
-        def put(a, b, cell, near):
-            for k, v in zip(out, (a, b, cell, near), strict=True):
-                out[k].append(v)
-
-        flat = None
-        for part, texts in _texts(rows):
-            for node, is_pivot, s in zip(part.column("node").to_pylist(), part.column("is_pivot").to_pylist(), shingler.sets(texts), strict=True):
-                if digest_of(s) != node:
-                    continue
-                if is_pivot:
-                    if all(node != p for p, _ in pivots):
-                        pivots.append((node, s))
-                    continue
-                if flat is None:  # pivots come first
-                    names, size = {p for p, _ in pivots}, np.array([len(p) for _, p in pivots])
-                    flat, owner = np.concatenate([p for _, p in pivots]), np.repeat(np.arange(len(pivots)), size)
-                    order = np.argsort(flat, kind="stable")
-                    flat, owner = flat[order], owner[order]
-                if node in names:
-                    continue  # compared with all others already, as their pivot
-                low, high = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
-                low, count = low[high > low], (high - low)[high > low]
-                ends = np.cumsum(count)
-                hits = owner[np.repeat(low - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
-                inter = np.bincount(hits, minlength=len(pivots))
-                for i in np.flatnonzero(_linked(inter, len(s), size, percent)):
-                    put(node, pivots[i][0], None, None)
-                d = 1 - inter / (len(s) + size - inter)
-                least = float(d.min())
-                if least <= 1 - 2 * radius:
-                    for i in np.flatnonzero(d <= least + 2 * radius):
-                        put(node, None, pivots[i][0], float(d[i]))
-                if least > 1 - 3 * radius:
-                    put(node, None, b"", 2.0)  # far from every pivot: the remainder is a cell of its own
-        # Pivots link among themselves here too.
-        for i, (p, s) in enumerate(pivots):
-            for q, t in pivots[:i]:
-                if _linked(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t), percent):
-                    put(p, q, None, None)
-        return pa.table({"region": pa.array([rows.column("region")[0].as_py()] * len(out["a"]), pa.binary()), "a": pa.array(out["a"], pa.binary()), "b": pa.array(out["b"], pa.binary()), "cell": pa.array(out["cell"], pa.binary()), "near": pa.array(out["near"], pa.float64())})
+        rows = _Rows(table.sort_by("node"), words)
+        copies = np.array(rows.table.column("copies").to_pylist(), np.int64)
+        goal = {node for node, there in zip(table.column("node").to_pylist(), table.column("there").to_pylist(), strict=True) if there}
+        others = np.array([i for i, node in enumerate(rows.nodes) if node in goal], np.int64)
+        met, label = np.zeros(len(rows.sets), np.int64), np.arange(len(rows.sets))
+        for x, ys in join_cell(rows.sets, np.array(sorted(rows.queries), np.int64), others, percent):
+            met[x] = copies[ys].sum()
+            known = np.append(label[ys], label[x])
+            if (known != known[0]).any():
+                label[np.isin(label, known)] = known.min()
+        linked = np.flatnonzero((met > 0) | (label != np.arange(len(label))))
+        return pa.table({"node": pa.array([rows.nodes[i] for i in linked], pa.binary()), "met": pa.array(met[linked]), "root": pa.array([rows.nodes[label[i]] for i in linked], pa.binary())})
 
     return run
 
 
 def _members(documents: DataFrame, nodes: DataFrame, hot: np.ndarray, words: int, percent: int) -> DataFrame:
-    """region, node, n (shingles) and text: the nodes that candidates chain together; all links lie within regions."""
+    """region, node, n (shingles), copies and text: the nodes that candidates chain together; all links lie within regions."""
     roots = components(candidates(documents, hot, words, percent))
     regions = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    first = nodes.where("doc_id IS NOT NULL AND node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+    first = nodes.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
     members = first.join(regions.withColumnRenamed("root", "region"), "node")
     # One text for each node of a region; the digest tells it from others with the same id.
-    return cut(members.join(documents.select("doc_id", "text"), "doc_id").select("region", "node", "n", "text"))
-
-
-def _count(words: int, percent: int):
-    """A pair of parts of a region in one task: for each node, the copies of the nodes that it links with."""
+    named = members.where("doc_id IS NOT NULL").join(documents.select("doc_id", "text"), "doc_id")
 
-    def run(table: pa.Table) -> pa.Table:
+    def digests(batches):
         shingler = Shingler(words)
-        table = table.sort_by("node")
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        nodes, parts, copies, sets = [], [], [], []
-        for batch, texts in _texts(table.combine_chunks()):
-            for node, part, n, s in zip(*(batch.column(k).to_pylist() for k in ("node", "part", "copies")), shingler.sets(texts), strict=True):
-                if digest_of(s) == node and (not nodes or nodes[-1] != node):
-                    nodes.append(node)
-                    parts.append(part)
-                    copies.append(n)
-                    sets.append(s)
-        met = [0] * len(nodes)
-        for x, y in join_region(sets, percent, every=True) if len(nodes) > 1 else ():
-            if low == high or parts[x] != parts[y]:  # links within a part are counted where it meets itself
-                met[x] += copies[y]
-                met[y] += copies[x]
-        return pa.table({"node": pa.array(nodes, pa.binary()), "met": pa.array(met, pa.int64())})
+        for batch in batches:
+            for part, texts in _texts(batch):
+                yield pa.RecordBatch.from_arrays([pa.array([digest_of(s) if len(s) else None for s in shingler.sets(texts)], pa.binary()), part.column("text")], ["node", "text"])
 
-    return run
+    # Nodes of rows without ids are found by their digests.
+    nameless = documents.where("doc_id IS NULL AND text IS NOT NULL").select("text").mapInArrow(lean(digests), "node binary, text string")
+    nameless = members.where("doc_id IS NULL").join(nameless.dropDuplicates(["node"]), "node")
+    columns = ["region", "node", "n", "copies", "text"]
+    return cut(named.select(columns).unionByName(nameless.select(columns)))
 
 
-def link_counts(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_links: for each document, how many other rows link with it, equal sets among them; every link counts.
+def met_links(documents: DataFrame, nodes: DataFrame, hot: np.ndarray, words: int, percent: int, every: bool = True) -> DataFrame:
+    """node, met, root: for nodes with links, how many rows link with them, and nodes that they are connected with.
 
-    A region too large for one task is dealt to parts, and each pair of parts is joined in a task of its own.
+    ``every``: all links are counted. Otherwise nodes that link with the same
+    pivot are not compared further: what is connected stays connected, but the
+    numbers are too low.
     """
-    nodes, hot = node_table(documents, words)
-    copies = nodes.where("node IS NOT NULL").groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
-    members = _members(documents, nodes, hot, words, percent)
+    members, tasks = _members(documents, nodes, hot, words, percent), _tasks(documents)
     size = members.groupBy("region").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("shingles"))
-    # Two parts meet in a task, so each has half of what a task can hold.
-    parts = size.select("region", F.greatest(F.lit(1), F.ceil(F.greatest(2 * F.col("nodes") / REGION_NODES, 2 * F.col("shingles") / REGION_SHINGLES))).cast("int").alias("parts"))
-    dealt = members.join(parts, "region").join(copies, "node").withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("region", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "copies", "text")
-    found = met.groupBy("region", "low", "high").applyInArrow(_count(words, percent), "node binary, met bigint").groupBy("node").agg(F.sum("met").alias("met"))
-    counted = copies.join(found, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("met", F.lit(0))).alias("n_links"))
-    return nodes.join(counted, "node", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
-
-
-def links(documents: DataFrame, nodes: DataFrame, hot: np.ndarray, words: int, percent: int) -> DataFrame:
-    """Links a, b of different nodes; they connect exactly the nodes that similarity connects, but are not all links (see link_counts)."""
-    radius = 1 - percent / 100 + 1e-9
-    members = _members(documents, nodes, hot, words, percent)
-    found = []
-    for _ in range(1000):
-        size = members.groupBy("region").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("shingles"))
-        large = size.where((F.col("nodes") > REGION_NODES) | (F.col("shingles") > REGION_SHINGLES)).withColumn("parts", F.ceil(F.greatest(F.col("nodes") / REGION_NODES, F.col("shingles") / REGION_SHINGLES)).cast("int"))
-        large = cut(large)
-        small = members.join(large.select("region"), "region", "left_anti")
-        found.append(cut(small.groupBy("region").applyInArrow(_verify(words, percent), "a binary, b binary")))
-        if large.isEmpty():
-            break
-        rest = members.join(large, "region")
-        # Pivots: in each of so many slots the member with the smallest hash, combined before the shuffle.
-        key = F.struct(F.xxhash64("node").alias("k"), F.col("node").alias("node"))
-        wanted = F.least(F.lit(16 * PIVOTS), F.greatest(F.lit(PIVOTS), F.col("parts") * PIVOTS))
-        chosen = rest.withColumn("slot", F.pmod(F.xxhash64("node", F.lit(3)), wanted)).groupBy("region", "slot").agg(F.min(key).alias("p")).select("region", F.col("p.node").alias("node"))
-        pivots = members.join(chosen, ["region", "node"]).join(large, "region")
-        dealt = rest.select("region", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int").alias("part"), "node", "text", F.lit(False).alias("is_pivot"))
-        every = pivots.select("region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", "text", F.lit(True).alias("is_pivot"))
-        compared = cut(dealt.unionByName(every).groupBy("region", "part").applyInArrow(_compare(words, percent), "region binary, a binary, b binary, cell binary, near double"))
-        found.append(compared.where("b IS NOT NULL").select("a", "b"))
-        cells = compared.where("b IS NULL").select("region", "cell", F.col("a").alias("node"), "near")
-        # Nodes that link with their cell's pivot matter further only where an unlinked one is within reach.
-        tied = compared.where("b IS NOT NULL").select("region", F.col("b").alias("cell"), F.col("a").alias("node"), F.lit(True).alias("tied")).distinct()
-        cells = cells.join(tied, ["region", "cell", "node"], "left")
-        reach = cells.where("tied IS NULL").groupBy("region", "cell").agg(F.min("near").alias("reach"))
-        cells = cells.join(reach, ["region", "cell"]).where(F.col("tied").isNull() | (F.col("near") + radius >= F.col("reach")))
-        texts = rest.select("region", "node", "n", "text")
-        members = cut(texts.join(cells.select("region", "cell", "node").distinct(), ["region", "node"]).select(F.unhex(F.md5(F.concat("region", F.lit(b"|"), "cell"))).alias("region"), "node", "n", "text"))
-    else:
-        raise RuntimeError("regions did not shrink")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+    wanted = F.ceil(F.sqrt("nodes") / 2).cast("int").alias("pivots")
+    size = size.select("region", wanted, F.greatest(F.lit(1), F.ceil(F.greatest(F.col("nodes") / (16 * F.col("pivots")), F.col("shingles") / TASK_SHINGLES))).cast("int").alias("parts"))
+    # Most regions have one pivot and one part, which need no row to say so; a large one is met in salted parts.
+    salted = size.where("pivots > 1 OR parts > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    sized = members.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(7)), F.lit(SALTS)).cast("int")).join(salted, ["region", "salt"], "left")
+    sized = sized.select("region", "node", "n", "copies", "text", F.coalesce("pivots", F.lit(1)).alias("pivots"), F.coalesce("parts", F.lit(1)).alias("parts"))
+    # Pivots: in each of so many slots the member with the smallest hash, combined before the shuffle.
+    key = F.struct(F.xxhash64("node").alias("k"), F.col("node").alias("node"))
+    chosen = sized.select("region", "node", F.pmod(F.xxhash64("node", F.lit(3)), F.col("pivots")).alias("slot")).groupBy("region", "slot").agg(F.min(key).alias("p")).select("region", F.col("p.node").alias("node"))
+    columns = ["region", "part", "node", "n", "copies", "text", "own"]
+    dealt = sized.withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int")).withColumn("own", F.lit(True))
+    pivots = sized.join(chosen, ["region", "node"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("own", F.lit(False))
+    met = dealt.select(columns).unionByName(pivots.select(columns)).repartition(tasks, "region", "part")
+    compared = cut(met.groupBy("region", "part").applyInArrow(_compare(words, percent, every), _CELLS))
+    cells = compared.where("cell IS NOT NULL")
+    # A cell with very many copied nodes is dealt to several tasks, its own nodes to each.
+    wide = cells.groupBy("cell").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CELL_NODES, F.sum("n") / TASK_SHINGLES)).cast("int").alias("chunks")).where("chunks > 1")
+    spread = cells.join(wide, "cell", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("home", F.pmod(F.xxhash64("node", F.lit(9)), F.col("chunks")).cast("int"))
+    spread = spread.withColumn("chunk", F.explode(F.when(F.col("own"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("home"))))
+    spread = spread.select("cell", "chunk", "node", "copies", "text", "own", (F.col("chunk") == F.col("home")).alias("there"))
+    found = spread.repartition(tasks, "cell", "chunk").groupBy("cell", "chunk").applyInArrow(_join_cell(words, percent), _MET)
+    ties = compared.where("cell IS NULL").select(F.col("a").alias("node"), F.lit(0).cast("long").alias("met"), F.col("b").alias("root"))
+    out = cut(found.unionByName(ties))
+    drop_cut(members)
+    drop_cut(compared)
     return out
 
 
-def component_table(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per document."""
+def _classes(documents: DataFrame, words: int, percent: int, every: bool) -> DataFrame:
+    """doc_id, key, n_shingles, component_id, n_links, first (the row's id and text are the component's first): one row per document."""
     nodes, hot = node_table(documents, words)
-    roots = components(links(documents, nodes, hot, words, percent))
-    least = nodes.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
-    rooted = least.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "low", "copies")
-    final = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_node = rooted.join(final, "root").select("node", "component_id")
-    return nodes.join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    met = met_links(documents, nodes, hot, words, percent, every)
+    roots = components(met.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    counts = met.groupBy("node").agg(F.sum("met").alias("met"))
+    # Rows without an id come last; of rows with one id, the text with the least key is first.
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")
+    least = nodes.where("node IS NOT NULL").groupBy("node").agg(F.min(place).alias("low"), F.count(F.lit(1)).alias("copies"))
+    rooted = least.join(roots, "node", "left").join(counts, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "low", (F.col("copies") - 1 + F.coalesce("met", F.lit(0))).alias("n_links"))
+    final = rooted.groupBy("root").agg(F.min("low").alias("low"))
+    of_node = rooted.drop("low").join(final, "root").select("node", "low", "n_links")
+    first = F.col("low").isNull() | (F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("key") == F.col("low.key")))
+    return nodes.join(of_node, "node", "left").select("doc_id", "key", "n_shingles", F.coalesce("low.doc_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), first.alias("first"))
 
 
-def keep_one(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without those whose component has a smaller id; of repeated rows with one id, all stay."""
-    ids = component_table(documents, words, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    return documents.join(ids, "doc_id", "left_anti").select(documents.columns)
+def component_table(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links (other rows that link with it, equal sets among them): one row per document."""
+    return _classes(documents, words, percent, every=True).drop("key", "first")
 
 
+def keep_one(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each component: that with the smallest id, or the smallest text hash where ids are equal or missing.
+
+    Rows are told apart by id and text; of rows that agree in both and have shingles one stays.
+    """
+    classes = _classes(documents, words, percent, every=False)
+    pair = [F.col("doc_id").alias(KEY + "_id"), F.col("key").alias(KEY + "_of")]
+    same = F.col("doc_id").eqNullSafe(F.col(KEY + "_id")) & (F.col(KEY) == F.col(KEY + "_of"))
+    kept = documents.withColumn(KEY, F.xxhash64("text")).join(classes.where("NOT first").select(pair).distinct(), same, "left_anti")
+    twice = cut(classes.where("first AND n_links > 0").groupBy("doc_id", "key").count().where("count > 1").select(pair))
+    if not twice.isEmpty():
+        kept = kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", KEY]))
+    return kept.select(documents.columns)

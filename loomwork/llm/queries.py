@@ -99,8 +99,9 @@ n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
 l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * k >= 85 * (nx.c + ny.c - k)),
 reach(d, r) AS (SELECT doc_id, doc_id FROM n UNION SELECT reach.d, l.y FROM reach JOIN l ON l.x = reach.r),
-m AS (SELECT d AS doc_id, min(r) AS low FROM reach GROUP BY d)
-SELECT doc_id, CAST(coalesce(c, 0) AS BIGINT) AS n_shingles, coalesce(low, doc_id) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+m AS (SELECT d AS doc_id, min(r) AS low FROM reach GROUP BY d),
+k AS (SELECT x AS doc_id, count(*) AS met FROM l GROUP BY x)
+SELECT doc_id, CAST(coalesce(c, 0) AS BIGINT) AS n_shingles, coalesce(low, doc_id) AS component_id, CAST(coalesce(met, 0) AS BIGINT) AS n_links FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
 

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from loomwork.llm import graph, ngram_join
@@ -50,19 +51,18 @@ def corpus(seed=5):
     return [*rows, (1000, None), (1001, ""), (1002, " \t\n"), (1003, "a b"), (1004, "A\tB "), (1005, "b a"), (1006, "w1 " * 3000), (1007, "  x y")]
 
 
-@pytest.mark.parametrize(("k", "percent", "nodes", "seed"), [(4, 85, 4000, 5), (5, 80, 4000, 6), (4, 85, 3, 7), (3, 60, 2, 8)])
-def test_against_all_pairs(spark, monkeypatch, k, percent, nodes, seed):
-    monkeypatch.setattr(ngram_join, "REGION_NODES", nodes)
-    monkeypatch.setattr(ngram_join, "PIVOTS", 2)
+@pytest.mark.parametrize(("k", "percent", "seed"), [(4, 85, 5), (5, 80, 6), (4, 85, 7), (3, 60, 8)])
+def test_against_all_pairs(spark, k, percent, seed):
     rows = corpus(seed)
     docs = spark.createDataFrame([(d, t, 1, b"x") for d, t in rows], "doc_id long, text string, node int, root binary")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.component_table(docs, k, percent).collect()}
     assert got == brute(rows, k, percent)
 
 
-@pytest.mark.parametrize("nodes", [4000, 6])
-def test_every_link_counts(spark, monkeypatch, nodes):
-    monkeypatch.setattr(ngram_join, "REGION_NODES", nodes)
+@pytest.mark.parametrize(("chunk", "leaf"), [(4096, 32), (10, 2)])
+def test_every_link_counts(spark, monkeypatch, chunk, leaf):
+    monkeypatch.setattr(ngram_join, "CELL_NODES", chunk)  # cells dealt to several tasks
+    monkeypatch.setattr(ngram_join, "LEAF", leaf)
     rng = random.Random(3)
     base = [f"v{rng.randrange(500)}" for _ in range(150)]
     near = [(2000 + i, " ".join(base[:i] + [f"new{i}"] + base[i + 1 :])) for i in range(20, 60)]  # all link with each other
@@ -70,8 +70,59 @@ def test_every_link_counts(spark, monkeypatch, nodes):
     sets = [shingles(t, 4) for _, t in rows]
     want = {d: sum(i != j and bool(s) and bool(o) and 100 * len(s & o) >= 85 * len(s | o) for j, o in enumerate(sets)) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))}
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: r.n_links for r in ngram_join.link_counts(docs, 4, 85).collect()} == want
-    assert min(want[d] for d, _ in near) == 40 and ngram_join.link_counts(docs.limit(0)).collect() == []
+    assert {r.doc_id: r.n_links for r in ngram_join.component_table(docs, 4, 85).collect()} == want
+    assert min(want[d] for d, _ in near) == 40
+
+
+def numbers(rng, groups, size=60):
+    """Sets in groups of near copies, as sorted arrays."""
+    out = []
+    for _ in range(groups):
+        base = rng.sample(range(4000), size)
+        for _ in range(rng.choice([1, 3, 12])):
+            s = set(base)
+            for _ in range(rng.choice([0, 1, 2, 4])):
+                s.discard(rng.choice(base))
+                s.add(rng.randrange(4000))
+            out.append(np.array(sorted(s), np.uint64))
+    return out
+
+
+@pytest.mark.parametrize("dense", [False, True])
+def test_overlaps(dense, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 64)
+    sets = numbers(random.Random(2), 4 if dense else 30)
+    a, b = sets[::2], sets[1:]
+    want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    assert ngram_join.overlaps(a, b).tolist() == want
+
+
+def test_windows_carry_links_between_cells():
+    """Links whose ends belong to different cells are found in the window of a cell, and lost without it."""
+    sets = numbers(random.Random(4), 3)
+    percent, n = 85, len(sets)
+    size = np.array([len(s) for s in sets])
+    inter = ngram_join.overlaps(sets, sets)
+    want = {(x, y) for x in range(n) for y in range(n) if x != y and ngram_join._linked(inter[x, y], size[x], size[y], percent)}
+    pivots = list(range(0, n, 3))
+    d = ngram_join._distance(inter[:, pivots], size, size[pivots])
+    cell, within = ngram_join.voronoi(d, 1 - percent / 100, np.arange(n))
+    across = {(x, y) for x, y in want if cell[x] != cell[y]}
+    assert across and all(within[y, cell[x]] for x, y in want)
+    assert within.sum() < within.size
+    found = {(x, int(y)) for j in range(len(pivots)) for x, ys in ngram_join.join_cell(sets, np.flatnonzero(cell == j), np.flatnonzero(within[:, j]), percent) for y in ys}
+    assert found == want
+    alone = {(x, int(y)) for j in range(len(pivots)) for x, ys in ngram_join.join_cell(sets, np.flatnonzero(cell == j), np.flatnonzero(cell == j), percent) for y in ys}
+    assert alone == want - across
+
+
+def test_cells_split_again(monkeypatch):
+    monkeypatch.setattr(ngram_join, "LEAF", 2)
+    sets = numbers(random.Random(6), 60)
+    n, every = len(sets), np.arange(len(sets))
+    size, inter = np.array([len(s) for s in sets]), ngram_join.overlaps(sets, sets)
+    want = {(x, y) for x in range(n) for y in range(n) if x != y and ngram_join._linked(inter[x, y], size[x], size[y], 80)}
+    assert {(x, int(y)) for x, ys in ngram_join.join_cell(sets, every, every, 80) for y in ys} == want
 
 
 def test_repeated_rows_null_ids_and_empty_tables(spark):
@@ -87,6 +138,12 @@ def test_keep_one(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
 
 
+def test_keep_one_of_repeated_and_missing_ids(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "A b c d e f"), (1, "quite another text of six words"), (None, "p q r s t u"), (None, "p q r s t u"), (None, None), (None, None), (7, ""), (7, "")]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id or 0, (r.text or "").lower()) for r in kept)) == [(0, ""), (0, ""), (0, "p q r s t u"), (1, "a b c d e f"), (1, "quite another text of six words"), (7, ""), (7, "")]
+
+
 def test_components(spark):
     rng = random.Random(1)
     pairs = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(30), 100 + rng.randrange(30)) for _ in range(25)] + [(200, x) for x in range(201, 260)]
