@@ -49,7 +49,7 @@ CHAINED = 1 << 19
 #: Size classes with at most so many parts chain over pairs of parts, drawn within GROUPS groups of them.
 PAIRED, GROUPS = 32, 3
 #: Nodes and shingles that are dealt to one task of a cell, beside the cell's own, and shingles to one of comparisons with pivots.
-CELL_NODES, TASK_SHINGLES = 4096, 4_000_000
+CELL_NODES, TASK_SHINGLES = 1024, 4_000_000
 #: Comparisons at a time, and own nodes below which a cell is not split again.
 BLOCK, LEAF = 1 << 22, 32
 #: Counters of shingle frequency over all documents (2 to this many), kept and sent in blocks; a shingle is hot whose counter is so many times the mean.
@@ -612,7 +612,8 @@ def met_links(documents: DataFrame, nodes: DataFrame, hot: np.ndarray, words: in
     cells = compared.where("cell IS NOT NULL")
     # A cell with very many copied nodes is dealt to several tasks, its own nodes to each.
     wide = cells.groupBy("cell").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CELL_NODES, F.sum("n") / TASK_SHINGLES)).cast("int").alias("chunks")).where("chunks > 1")
-    spread = cells.join(wide, "cell", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("home", F.pmod(F.xxhash64("node", F.lit(9)), F.col("chunks")).cast("int"))
+    wide = wide.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = cells.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(7)), F.lit(SALTS)).cast("int")).join(wide, ["cell", "salt"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("home", F.pmod(F.xxhash64("node", F.lit(9)), F.col("chunks")).cast("int"))
     spread = spread.withColumn("chunk", F.explode(F.when(F.col("own"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("home"))))
     spread = spread.select("cell", "chunk", "node", "copies", "text", "own", (F.col("chunk") == F.col("home")).alias("there"))
     found = spread.repartition(tasks, "cell", "chunk").groupBy("cell", "chunk").applyInArrow(_join_cell(words, percent), _MET)
