@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -63,6 +64,20 @@ def test_pii_adds_and_redacts(spark):
     assert {r.doc_id: r.text for r in pii.redact(frame(spark, rows)).collect()}[5] == "write to [PII] now"
 
 
+def test_pii_context(spark):
+    rows = [(1, "123-45-6789 is the ssn", "s"), (2, "part no. 123-45-6789, ssn", "s"), (3, "ssn" + " " * 60 + "123-45-6789", "s"), (4, "1.2.3.4", "s"), (5, "version 1.2.3.4", "s"), (6, "host 1.2.3.4 and 5.6.7.8", "s")]
+    got = {r.doc_id: (r.spans, r.top_score) for r in pii.digest(frame(spark, rows)).collect()}
+    assert got[1][0] == "ssn:0:11" and got[2][0] == got[3][0] == ""
+    assert got[4] == ("ip:0:7", 0.6) and got[5][0] == "ip:8:15" and round(got[5][1], 6) == 0.3 and round(got[6][1], 6) == 0.9 and got[6][0] == "ip:5:12,ip:17:24"
+
+
+def test_pii_million_matches(spark):
+    n = 300_000
+    began = time.time()
+    (row,) = pii.digest(frame(spark, [(1, "a@b.cd, " * n, "s")])).collect()
+    assert row.n_email == n and row.spans.endswith(f"email:{8 * n - 8}:{8 * n - 2}") and time.time() - began < 60
+
+
 def measures(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
