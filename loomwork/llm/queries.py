@@ -47,7 +47,9 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.digest(table(spark, sf_dir, "documents"))
+    import public_tokenizers
+
+    return secret_scan.digest(table(spark, sf_dir, "documents"), words=secret_scan.vocabulary(public_tokenizers.path("word_bpe_49k.json")))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Quality classifier, BPE, decontamination, secret scans and the pipeline against plain versions."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -182,6 +184,51 @@ def test_secrets(spark):
     assert secret_scan.digest(docs.limit(0)).collect() == []
 
 
+def plain_cost(value, ranks):
+    """The cheapest segmentation, every stretch tried as a segment of every kind."""
+    low, n, per_char = value.lower(), len(value), secret_scan._alphabet(value)
+    plain = low.translate(secret_scan.LEET)
+
+    def costs(i, j):
+        k, piece = j - i, value[i:j]
+        if k == 1:
+            yield per_char - 0.3
+        if k >= 3:
+            if len(set(piece)) == 1:
+                yield per_char + math.log10(k)
+            if any(all(ord(y) - ord(x) == step for x, y in zip(piece, piece[1:], strict=False)) for step in (1, -1)):
+                yield 1.0 + math.log10(k)
+            if all(pair in secret_scan._BESIDE for pair in zip(low[i:j], low[i + 1 : j], strict=False)):
+                yield 1.7 + 0.5 * math.log10(k) + 0.3 * (k - 1) ** 0.5
+            word = low[i:j]
+            if word in ranks:
+                yield ranks[word] + 0.3 * (piece != word)
+            elif plain[i:j] in ranks:
+                yield ranks[plain[i:j]] + 0.6 + 0.3 * (piece != word)
+        for p in range(2, min(secret_scan.PERIODS, k // 2) + 1):
+            if all(piece[x] == piece[x - p] for x in range(p, k)):
+                yield p * per_char + math.log10(k / p + 1)
+        if (m := secret_scan._DATE.fullmatch(piece)) and secret_scan._DATE.match(value, i).end() == j:
+            yield secret_scan._DATE_COST[len(m[0]) > 4]
+
+    best = [0.0] + [math.inf] * n
+    for j in range(1, n + 1):
+        best[j] = min((best[i] + c + 0.3 for i in range(j) for c in costs(i, j)), default=math.inf)
+    return best[n]
+
+
+def test_guess_costs_are_minimal():
+    rng, ranks = random.Random(12), secret_scan.ranked(["aab", "were", "poiu", "abca", "cdefg", "zzz"])
+    pieces = ["aaa", "aaaa", "b", "abc", "bcdefg", "qwert", "tyuiop", "were", "password", "P4ssw0rd", "2024", "20240131", "x9#", "abcabc", "zz", "k2k2k2", "987"]
+    for _ in range(400):
+        value = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 6)))
+        assert abs(secret_scan.guess_cost(value, ranks) - plain_cost(value, ranks)) < 1e-9, value
+    began = time.time()
+    secret_scan.guess_cost("a" * 100_000, ranks)
+    secret_scan.find("password=Xk29ssmQ pass: abcdef, " * 5000)
+    assert time.time() - began < 40
+
+
 def test_guess_costs():
     cost = secret_scan.guess_cost
     assert cost("") == 0 and cost("password") < 2 and cost("qwertyuiop") < 4.5 and cost("aaaaaaaaaaaa") < 4 and cost("19991231") < 6 and cost("abcdefgh") < 3
