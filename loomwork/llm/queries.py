@@ -77,19 +77,18 @@ def queries() -> dict:
 
 #: op6 in SQL: the measures from their definitions, the host verdict from the fitted prior.
 OP6 = r"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, source, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+WITH d AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(source), '^[a-z][a-z0-9+.-]*://', ''), '[/:?#][\s\S]*$', ''), '^www\.', '') AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, host, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM (SELECT doc_id, i, ws[i:i + 4] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w))),
 r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM g WHERE c > 1) GROUP BY doc_id),
-m AS (SELECT doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+m AS (SELECT doc_id, host, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
  CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN r USING (doc_id)),
-f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
- n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 30 * n_words OR word_chars < 2 * n_words OR word_chars > 14 * n_words AS failed FROM m),
-h AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (failed)::DOUBLE AS f FROM f GROUP BY source),
-o AS (SELECT sum(f) / sum(n) AS mean, sum(n * (f / n) * (f / n)) / sum(n) AS square, sum(n) AS n, count(*) AS k FROM h),
-e AS (SELECT mean, CASE WHEN mean > 0 AND mean < 1 AND k > 1 AND square - mean * mean - mean * (1 - mean) * k / n > 0 THEN least(1000.0::DOUBLE, greatest(2.0::DOUBLE, mean * (1 - mean) / (square - mean * mean - mean * (1 - mean) * k / n) - 1)) ELSE 1000.0::DOUBLE END AS s FROM o),
-v AS (SELECT source, n, (f + mean * s) / (n + s) AS share FROM h, e)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (v.n < 20 OR share < 0.5) AS kept, round(share, 6) AS host_failed_share FROM f JOIN v ON v.source IS NOT DISTINCT FROM f.source
+f AS (SELECT *, [n_words < 10, 100 * n_repeat_words > 20 * n_words, 100 * n_symbols > 10 * word_chars, 100 * n_dup_lines > 30 * n_words, word_chars < 2 * n_words OR word_chars > 14 * n_words] AS bad FROM m),
+h AS (SELECT host, rule, count(*)::DOUBLE AS n, count(*) FILTER (hit)::DOUBLE AS f FROM (SELECT host, unnest(range(6)) AS rule, unnest(list_append(bad, list_bool_or(bad))) AS hit FROM f) GROUP BY host, rule),
+o AS (SELECT rule, sum(f) / sum(n) AS mean, sum(n * (f / n) * (f / n)) / sum(n) AS square, sum(n) AS n, count(*) AS k FROM h GROUP BY rule),
+e AS (SELECT rule, mean, k, square - mean * mean - mean * (1 - mean) * k / n AS excess FROM o),
+v AS (SELECT host, max(share) AS worst, max(share) FILTER (rule = 5) AS failing FROM (SELECT host, rule, CASE WHEN excess > 0 AND k > 1 THEN (f + mean * greatest(0.0::DOUBLE, mean * (1 - mean) / excess - 1)) / (n + greatest(0.0::DOUBLE, mean * (1 - mean) / excess - 1)) ELSE mean END AS share FROM h JOIN e USING (rule)) GROUP BY host)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bad[1] OR bad[2] AS base_failed, NOT (bad[1] OR bad[2]) AND worst < 0.5 AS kept, round(failing, 6) AS host_failed_share, round(worst, 6) AS host_worst_share FROM f JOIN v ON v.host IS NOT DISTINCT FROM f.host
 """
 
 

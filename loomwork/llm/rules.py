@@ -1,13 +1,18 @@
 """Quality rules per document, judged per host with an empirical beta prior.
 
-Document rules are counts over words; each host's share of failing documents is
-shrunk towards the corpus by a beta prior fitted to the hosts themselves, and
-the host's verdict is joined back. Only DataFrame functions. What crosses a
-shuffle is one narrow row per document and one per host; texts stay in place.
+Document rules are counts over words. For each rule, and for failing any of them,
+each host's share of failing documents is shrunk towards the corpus by a beta
+prior fitted to the hosts themselves; a host goes when one of these shares reaches
+HOST_LIMIT, and its verdict is joined back. Hosts of every size are judged alike:
+a small one stays near the prior by itself. A host is the domain of a source: an
+address without scheme, "www.", port and path, in lower case. Only DataFrame
+functions. What crosses a shuffle is one narrow row per document and one per host;
+texts stay in place.
 
 Defined cases: null or empty text has no words and fails the base rule; a null
-host is a host of its own; repeated rows each count and each return; an empty
-table gives an empty table; other columns are ignored.
+host is a host of its own; repeated rows each count and each return; very long
+texts are read whole; a share that equals the limit fails; an empty table gives an
+empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +27,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: A word window, and what a rule allows: repeated words, symbols, repeated lines (per cent), mean word length.
 WINDOW, MAX_REPEAT, MAX_SYMBOLS, MAX_DUP_LINES, WORD_LENGTHS = 5, 20, 10, 30, (2, 14)
-#: A host goes when its shrunk share of failing documents reaches HOST_LIMIT, with at least HOST_MIN documents.
-HOST_LIMIT, HOST_MIN = 0.5, 20
-#: Pseudo-documents in the prior, at least and at most.
-PRIOR_RANGE = (2.0, 1000.0)
+#: A host goes when one of its shrunk shares of failing documents reaches HOST_LIMIT.
+HOST_LIMIT = 0.5
 #: Hosts are spread over so many salts in the join back, since one may hold a third of all rows.
 SALTS = 32
 
@@ -34,11 +37,17 @@ def _removed(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, characters, ""))
 
 
+def domain(source: Column) -> Column:
+    """The host of an address, or the source itself where it is a plain label."""
+    bare = F.regexp_replace(F.lower(source), r"^[a-z][a-z0-9+.-]*://", "")
+    return F.regexp_replace(F.regexp_replace(bare, r"[/:?#][\s\S]*$", ""), r"^www\.", "")
+
+
 def measures(documents: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     text = F.coalesce("text", F.lit(""))
     words = F.filter(F.split(text, BLANK, -1), lambda w: w != "")
-    base = documents.select("doc_id", F.col(host).cast("string").alias("host"), text.alias("text"), words.alias("words"))
+    base = documents.select("doc_id", domain(F.col(host).cast("string")).alias("host"), text.alias("text"), words.alias("words"))
     lines = F.filter(F.split("text", "\n", -1), lambda line: F.length(F.translate(line, BLANKS, "")) > 0)
     base = base.select(
         "doc_id",
@@ -93,35 +102,43 @@ def failed(column=F.col) -> dict[str, Column]:
     }
 
 
+ANY = "any"
+
+
 def host_verdicts(measured: DataFrame) -> DataFrame:
-    """host, n_docs, n_failed, failed_share (shrunk), host_ok: one row per host.
+    """host, n_docs, shares (a map from rule to shrunk share, "any" among them), host_ok: one row per host.
 
-    The prior's mean is the corpus share; its strength follows from how far the
+    A prior's mean is the corpus share; its strength follows from how far the
     hosts' shares spread beyond what their sizes explain (method of moments).
+    Without such spread every host has the corpus share.
     """
-    bad = F.lit(False)
-    for rule in failed().values():
-        bad = bad | rule
+    bad = failed()
+    anything = F.lit(False)
+    for rule in bad.values():
+        anything = anything | rule
+    bad[ANY] = anything
     # Two steps: a host with a third of all rows is first summed in salted parts.
-    salted = measured.groupBy("host", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")).agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("f"))
-    hosts = cut(salted.groupBy("host").agg(F.sum("n").alias("n_docs"), F.sum("f").alias("n_failed")))
-    share = F.col("n_failed") / F.col("n_docs")
-    one = hosts.agg(F.sum("n_docs").alias("n"), F.sum("n_failed").alias("f"), F.count(F.lit(1)).alias("hosts"), F.sum(F.col("n_docs") * share * share).alias("square"), F.sum(1.0 / F.col("n_docs")).alias("inverse")).first()
-    low, high = PRIOR_RANGE
-    mean, strength = (one.f or 0) / (one.n or 1), high
-    if one.n and 0 < mean < 1 and one.hosts > 1:
-        spread = one.square / one.n - mean * mean
-        excess = spread - mean * (1 - mean) * one.hosts / one.n
-        strength = min(high, max(low, mean * (1 - mean) / excess - 1)) if excess > 0 else high
-    shrunk = (F.col("n_failed") + F.lit(mean * strength)) / (F.col("n_docs") + F.lit(strength))
-    return hosts.select("host", "n_docs", "n_failed", shrunk.alias("failed_share"), ((F.col("n_docs") < HOST_MIN) | (shrunk < HOST_LIMIT)).alias("host_ok"))
+    salted = measured.groupBy("host", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).alias("salt")).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(r) for r, c in bad.items()])
+    hosts = cut(salted.groupBy("host").agg(F.sum("n").alias("n"), *[F.sum(r).alias(r) for r in bad]))
+    one = hosts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("hosts"), *[f for r in bad for f in (F.sum(r).alias(f"f_{r}"), F.sum(F.col("n") * (F.col(r) / F.col("n")) * (F.col(r) / F.col("n"))).alias(f"q_{r}"))]).first()  # one row
+    shares = {}
+    for rule in bad:
+        mean = (one[f"f_{rule}"] or 0) / (one.n or 1)
+        excess = one[f"q_{rule}"] / one.n - mean * mean - mean * (1 - mean) * one.hosts / one.n if one.n else 0.0
+        if excess > 0 and one.hosts > 1:
+            strength = max(0.0, mean * (1 - mean) / excess - 1)
+            shares[rule] = (F.col(rule) + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
+        else:
+            shares[rule] = F.lit(float(mean))
+    kept = hosts.select("host", F.col("n").alias("n_docs"), F.create_map(*[x for r, c in shares.items() for x in (F.lit(r), c)]).alias("shares"))
+    return kept.withColumn("host_ok", F.array_max(F.map_values("shares")) < HOST_LIMIT)
 
 
 def judge(documents: DataFrame, host: str = "source") -> DataFrame:
     """One row per document: the measures, base_failed, and kept (false where base_failed or the host fails)."""
     measured = cut(measures(documents, host))
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    verdicts = host_verdicts(measured).select("host", F.col("host_ok"), "failed_share", salt.alias("salt"))
+    verdicts = host_verdicts(measured).select("host", F.col("host_ok"), F.col("shares")[ANY].alias("failed_share"), F.array_max(F.map_values("shares")).alias("worst_share"), salt.alias("salt"))
     rows = measured.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
     met = rows.alias("d").join(verdicts.alias("v"), F.col("d.host").eqNullSafe(F.col("v.host")) & (F.col("d.salt") == F.col("v.salt")), "left")
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
@@ -135,5 +152,6 @@ def judge(documents: DataFrame, host: str = "source") -> DataFrame:
         base_failed.alias("base_failed"),
         (~base_failed & F.coalesce("host_ok", F.lit(True))).alias("kept"),
         F.round("failed_share", 6).alias("host_failed_share"),
+        F.round("worst_share", 6).alias("host_worst_share"),
     )
 

@@ -111,6 +111,15 @@ def test_rules_drop_a_bad_host(spark):
     assert not got[300] and got[301] and all(got[100 + i] for i in range(90))
 
 
+def test_rules_judge_small_hosts_and_domains(spark):
+    # 19 documents that all fail the symbol rule alone, under several spellings of one domain, and a single bad document of a host of its own.
+    bad = [(i, " ".join(f"{'#' * 9}{i}x{j}" for j in range(20)), ("http://www.Bad.example/a", "bad.example", "https://bad.example:80?q")[i % 3]) for i in range(19)]
+    mixed = [(20, " ".join(f"y{j}" for j in range(30)), "BAD.example#x"), (21, " ".join(f"z{j}" for j in range(30)), "one.example")]
+    fine = [(100 + i, " ".join(f"w{i}x{j}" for j in range(20)), f"h{i % 9}") for i in range(400)]
+    got = {r.doc_id: (r.kept, r.host_worst_share) for r in rules.judge(frame(spark, bad + mixed + fine)).collect()}
+    assert not got[20][0] and got[21][0] and all(got[100 + i][0] for i in range(400)) and got[20][1] > 0.5
+
+
 def test_shards(spark):
     rng = random.Random(6)
     rows = [(10 + i, "x" * rng.randrange(400), "s") for i in range(3000)] + [(5000 + i, "the same text " * 20, "s") for i in range(1500)] + [*EDGE, (9000, "y" * 9000, "s")]
