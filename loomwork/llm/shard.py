@@ -1,32 +1,42 @@
 """Shards of near equal bytes by sampled splitters.
 
 Law ``bytes``: records are ordered by a key that starts with their text's CRC, so
-equal texts stand together. Splitters are quantiles of a key sample drawn with a
-chance in proportion to size; the fine ranges they bound hold near equal bytes,
-ranges that come out overfull are cut again, and sizes summed over ranges and
-within each range place every record on one line of bytes, which the shards
-divide evenly. Records of one text stay in one shard while they hold no more than
-WHOLE of a shard's bytes: they move with the middle of their group. A hot text is
-cut like any other range, as the key goes on with the document's id.
-
-Only DataFrame functions. Defined cases: null text has size 16 and the CRC of an
-empty text; repeated rows are separate records; null ids hash like any value; an
-empty table gives an empty table; other columns are ignored.
+equal texts stand together, and the shards divide that line of bytes evenly.
+Splitters find a record's place on it without sorting everything in one task:
+quantiles of a key sample, drawn with a chance in proportion to size, bound a
+fixed number of ranges for each shard; ranges that come out overfull are cut again
+by a sample of their own, all in one job; sizes are summed over ranges and within
+each range. Ranges decide who computes a place, never the place itself.
+
+The law's tolerance is WHOLE of a shard's bytes: records of one text stay in one
+shard while they hold no more than that, as they move with the middle of their
+group. A text that holds more is cut like any other range, as the key goes on with
+the document's id.
+
+Only DataFrame functions. What reaches the driver and what is broadcast is a few
+numbers for each range, of which there are at most RANGES * (1 + PIECES) for each
+shard, however large the input.
+
+Defined cases: null text has size 16 and the CRC of an empty text; repeated rows
+are separate records; records that agree in id and text are interchangeable; null
+ids hash like any value; a very long text is one record and makes its shard larger
+by as much; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Fine ranges are RANGE_BYTES each, at least MIN_RANGES; a sampled key stands for SAMPLE_SHARE of a range.
-RANGE_BYTES, MIN_RANGES, SAMPLE_SHARE = 4 << 20, 64, 1 / 256
-#: A range is overfull beyond so many times the wanted bytes, and is then cut again, at most ROUNDS times.
-OVERFULL, ROUNDS = 2.0, 2
+#: Ranges for each shard, sampled keys for each range (on average), and the pieces that an overfull range is cut into.
+RANGES, SAMPLE, PIECES = 16, 128, 16
+#: A range is overfull beyond so many times the mean.
+OVERFULL = 2.0
 #: Share of a shard's bytes up to which a group of equal texts is not cut.
 WHOLE = 0.02
 OVERHEAD = 16
@@ -40,18 +50,18 @@ def records(documents: DataFrame) -> DataFrame:
     return base.select("*", (F.shiftleft("text_crc32", 31) + tie.bitwiseAND(F.lit((1 << 31) - 1))).alias("key"), tie.alias("tie"))
 
 
-def _splitters(rows: DataFrame, n: int, total: int, within: Column | None = None) -> list[int]:
-    """Keys that cut the bytes of ``rows`` into about n equal parts, from a size-weighted sample of 1 / SAMPLE_SHARE keys a part.
+def _drawn(rows: DataFrame, step: float) -> DataFrame:
+    """Rows with ``w``, how often a record is in a sample of one key for each ``step`` bytes: floor(size / step), and one more with the chance of the rest.
 
     The sample is a function of the record, so a repeated run draws the same one.
     """
-    step = max(1.0, total / n * SAMPLE_SHARE)
-    # A record of size s gives floor(s / step) keys and one more with the chance of the rest.
     draw = F.pmod(F.xxhash64("key", "tie", F.lit(7)), F.lit(1 << 20)) / float(1 << 20)
-    weight = F.floor(F.col("size") / F.lit(step) + draw).cast("int")
-    drawn = rows.select("key", weight.alias("w")).where("w > 0").withColumn("key", F.explode(F.array_repeat("key", F.least("w", F.lit(1 << 16)))))
-    shares = [i / n for i in range(1, n)]
-    return sorted(set(drawn.agg(F.percentile_approx("key", shares, 10 * n).alias("q")).first().q or [])) if shares else []
+    return rows.withColumn("w", F.floor(F.col("size") / F.lit(step) + draw).cast("long")).where("w > 0")
+
+
+def _quantiles(n: int) -> Column:
+    """n - 1 keys that cut the sampled weight into n equal parts; a key counts as often as it was drawn."""
+    return F.percentile(F.col("key"), F.array(*[F.lit(i / n) for i in range(1, n)]), F.col("w"))
 
 
 def _range_of(splitters: list[int]) -> Column:
@@ -67,23 +77,32 @@ def _range_of(splitters: list[int]) -> Column:
     return F.when(at == 0, 0).otherwise((at - 1) * wide + inner)
 
 
+def splitters(rows: DataFrame, shards: int, total: int) -> list[int]:
+    """Keys that bound ranges of near equal bytes; none lies within a group of equal texts that stays whole."""
+    n = RANGES * shards
+    step = max(1.0, total / (n * SAMPLE))
+    cut_at = lambda keys: {int(k) >> 31 << 31 for k in keys or ()}  # noqa: E731 - between texts
+    found = sorted(cut_at(_drawn(rows, step).agg(_quantiles(n).alias("q")).first().q))
+    sizes = rows.withColumn("part", _range_of(found)).groupBy("part").agg(F.sum("size").alias("b"), F.max("size").alias("most"))
+    over = [(r.part, r.b) for r in sizes.where((F.col("b") > OVERFULL * total / n) & (F.col("b") > 2 * F.col("most"))).collect()]  # at most n / OVERFULL rows
+    if not over:
+        return found
+    inside = rows.withColumn("part", _range_of(found)).where(F.col("part").isin([p for p, _ in over]))
+    again, held = _drawn(inside, step).groupBy("part").agg(_quantiles(PIECES).alias("q")).collect(), dict(over)
+    for r in again:
+        texts = Counter(int(k) >> 31 for k in r.q)
+        # A text that spans so many of the range's quantiles holds more than what stays whole, and is cut within.
+        cut_within = {t for t, c in texts.items() if (c - 1) / PIECES * held[r.part] > 2 * WHOLE * total / shards}
+        found += [int(k) if int(k) >> 31 in cut_within else int(k) >> 31 << 31 for k in r.q]
+    return sorted(set(found))
+
+
 def place(documents: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: one row per record."""
     rows = cut(records(documents))
     total = rows.agg(F.sum("size").alias("b")).first().b or 0
-    n = max(MIN_RANGES, math.ceil(total / RANGE_BYTES))
-    # First splitters fall between texts; only overfull ranges are cut within one.
-    splitters = sorted({k >> 31 << 31 for k in _splitters(rows, n, total)})
-    for _ in range(ROUNDS):
-        sizes = rows.groupBy(_range_of(splitters).alias("part")).agg(F.sum("size").alias("b"), F.max("size").alias("most"), F.count_distinct("key").alias("keys"))
-        over = sizes.where((F.col("b") > F.lit(OVERFULL * total / n)) & (F.col("b") > 2 * F.col("most")) & (F.col("keys") > 1)).collect()  # at most n / OVERFULL rows
-        if not over:
-            break
-        for r in over:
-            low, high = (splitters[r.part - 1] if r.part else None), (splitters[r.part] if r.part < len(splitters) else None)
-            inside = rows.where((F.col("key") >= low if low is not None else F.lit(True)) & (F.col("key") < high if high is not None else F.lit(True)))
-            splitters = sorted({*splitters, *_splitters(inside, math.ceil(r.b * n / total), r.b)})
-    ranged = rows.withColumn("part", _range_of(splitters))
+    bounds = splitters(rows, shards, total)
+    ranged = rows.withColumn("part", _range_of(bounds))
     order = Window.partitionBy("part").orderBy("key", "tie", "size")
     # Where each range starts on the line of bytes: one row per range, of which there are few.
     starts = ranged.groupBy("part").agg(F.sum("size").alias("b"))
@@ -91,7 +110,7 @@ def place(documents: DataFrame, shards: int = 40) -> DataFrame:
     before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     group = Window.partitionBy("part", "text_crc32")
     lined = ranged.withColumn("before", before).withColumn("group_size", F.sum("size").over(group)).withColumn("group_before", F.min("before").over(group))
-    lined = lined.join(F.broadcast(starts), "part")  # a row of 16 bytes for each RANGE_BYTES of input
+    lined = lined.join(F.broadcast(starts), "part")  # a row for each range: a fixed number
     own, whole = F.col("before") + F.col("size") / 2, F.col("group_before") + F.col("group_size") / 2
     middle = F.coalesce("start", F.lit(0)) + F.when(F.col("group_size") * shards <= F.lit(WHOLE * total), whole).otherwise(own)
     placed = lined.select("doc_id", "size", "text_crc32", "key", "tie", "part", F.least(F.lit(shards - 1), F.floor(middle * shards / F.lit(max(1, total)))).cast("int").alias("shard"))

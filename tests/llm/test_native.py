@@ -1,6 +1,7 @@
 """PII, host rules, sharding and license scans against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -137,6 +138,35 @@ def test_shards(spark):
     assert sorted((r.doc_id or 0, r.shard) for r in again) == sorted((r.doc_id or 0, r.shard) for r in out)
 
 
+def plain_places(keyed, shards):
+    """Shard and slot of each record from one sorted list, by the law's definition."""
+    rows = sorted(keyed, key=lambda r: (r.key, r.tie, r.size))
+    total, at, group = sum(r.size for r in rows), 0, {}
+    for r in rows:
+        group.setdefault(r.text_crc32, [at, 0])[1] += r.size
+        at += r.size
+    at, out, slots = 0, [], Counter()
+    for r in rows:
+        start, held = group[r.text_crc32]
+        middle = start + held / 2 if held * shards <= shard.WHOLE * total else at + r.size / 2
+        to = min(shards - 1, math.floor(middle * shards / max(1, total)))
+        out.append((str(r.doc_id), r.size, r.text_crc32, to, slots[to]))
+        slots[to] += 1
+        at += r.size
+    return sorted(out)
+
+
+@pytest.mark.parametrize("shards", [3, 10])
+def test_shards_against_one_sorted_list(spark, shards):
+    rng = random.Random(16)
+    rows = [(i, "x" * rng.randrange(300) + str(i % 900), "s") for i in range(2500)] + [(9000 + i, "one hot text " * 9, "s") for i in range(1600)] + [(20_000, "z" * 200_000, "s"), *EDGE]
+    docs = frame(spark, rows)
+    got = sorted((str(r.doc_id), r.size, r.text_crc32, r.shard, r.slot) for r in shard.place(docs, shards).collect())
+    want = plain_places(shard.records(docs).collect(), shards)
+    # Rows that agree in id and text are interchangeable.
+    assert [x[:4] for x in got] == [x[:4] for x in want] and got == want
+
+
 def plain_licenses(text):
     words, found = license_scan.words_of(text or ""), {}
     have = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
