@@ -12,8 +12,8 @@
 A frequent word is one entry of each chunk, so no word makes a hot task. The
 vocabulary (about 50,000 entries) is the only thing sent to every executor.
 
-Defined cases: null and empty texts have no ids; null ids and repeated rows are
-carried through; an empty table gives an empty table; other columns are ignored.
+Defined cases: null and empty texts have no ids; a very long text is a chunk of its
+own; null ids and repeated rows are carried through; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 
 from .common import arrow_map, lean
 
-#: Bytes of text in a chunk, and bytes of input for each bucket of words.
-CHUNK_BYTES, BUCKET_BYTES, BUCKETS = 16 << 20, 8 << 20, (32, 1 << 14)
+#: Bytes of text and rows in a chunk, and bytes of input for each bucket of words.
+CHUNK_BYTES, CHUNK_ROWS, BUCKET_BYTES, BUCKETS = 16 << 20, 1 << 18, 8 << 20, (32, 1 << 14)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -109,7 +109,7 @@ def _split(pattern: str, buckets: int):
                 ids.append(batch.column("doc_id")[i].as_py())
                 texts.append(text)
                 size += len(text or "")
-                if size >= CHUNK_BYTES:
+                if size >= CHUNK_BYTES or len(ids) >= CHUNK_ROWS:
                     yield _as_batch(chunk_rows(no, ids, texts, find), kind)
                     no, ids, texts, size = no + 1, [], [], 0
         if texts:

@@ -1,17 +1,19 @@
 """License notices: MinHash bands over overlapping windows retrieve templates, shingle containment verifies them.
 
-Windows are a quarter longer than a template and step by less than the rest, so a
-notice lies whole in one of them. A window that holds 80 % of a template's
-shingles then has a Jaccard similarity of at least J = 0.8 * 0.8 / 1.2 with it,
-and one of BANDS bands of one row agrees with a chance of 1 - (1 - J) ** BANDS,
-over 0.999999. Before that, texts and windows without any anchor word of the
+Windows are a quarter longer than the longest template of their length class and
+step by less than the rest, so a notice lies whole in one of them. A template has
+at least nine tenths of its class's length, so a window that holds 80 % of its
+shingles has a Jaccard similarity J of at least 4/9 with it (the shortest classes
+are the worst: 4 of 5 shingles in a window of 8), and one of BANDS bands of one
+row agrees with a chance of 1 - (1 - J) ** BANDS, over 0.999999. Before that, texts and windows without any anchor word of the
 templates are passed over; anchors are chosen so that what avoids them all holds
 too few shingles of any template, so this loses nothing.
 
 Only DataFrame functions. Words are runs of ASCII letters and digits, lower-cased.
-Defined cases: null and empty texts match nothing; rows that repeat an id give
-one row per id and license, the best one, the first of equals; null ids are one
-id; an empty table gives an empty table; other columns are ignored.
+Defined cases: null and empty texts match nothing; very long texts are read whole;
+licenses that match the same words equally well all stay; rows that repeat an id
+give one row per id and license, the best one, the first of equals; null ids are
+one id; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -62,7 +64,7 @@ def anchors(templates: list[list[str]]) -> list[str]:
 
 
 def length_classes(lengths: list[int]) -> list[int]:
-    """Window bases: each template's length is at most a base and at least four fifths of it where it has over eight words."""
+    """Window bases: each template's length is at most a base and at least nine tenths of it; up to eight words it is the base."""
     bases: list[int] = []
     for n in sorted(set(lengths), reverse=True):
         if not bases or n < bases[-1] * (0.9 if n > 8 else 1.0):

@@ -249,6 +249,10 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", fit_r
     return vectors, fit(x[order], y[order]) if len(x) else fit(np.zeros((0, DIM + 2)).reshape(0, DIM + 2), y)
 
 
+#: The score beside a table's own columns, before the decision.
+SCORE = "_loomwork_score"
+
+
 def score(documents: DataFrame, vectors: np.ndarray, net: Network, keep: bool = False) -> DataFrame:
     """doc_id and score of each document; with ``keep`` all columns and the score."""
     shared = documents.sparkSession.sparkContext.broadcast(vectors)
@@ -260,14 +264,14 @@ def score(documents: DataFrame, vectors: np.ndarray, net: Network, keep: bool =
         for batch in batches:
             scores = pa.array(np.concatenate([model(pool(table, number, texts)) for texts in _texts([batch])] or [np.zeros(0)]), pa.float64())
             if keep:
-                yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "_score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, SCORE])
             else:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), scores], ["doc_id", "score"])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     kind = documents.schema["doc_id"].dataType
-    schema = StructType([*rows.schema.fields, StructField("_score", DoubleType())]) if keep else StructType([StructField("doc_id", kind), StructField("score", DoubleType())])
+    schema = StructType([*rows.schema.fields, StructField(SCORE, DoubleType())]) if keep else StructType([StructField("doc_id", kind), StructField("score", DoubleType())])
     return rows.mapInArrow(lean(run), schema)
 
 
@@ -279,6 +283,6 @@ def classify(documents: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score reaches the threshold, with their own columns."""
-    return score(documents, *train(documents, labels), keep=True).where(F.col("_score") >= threshold).drop("_score")
+    return score(documents, *train(documents, labels), keep=True).where(F.col(SCORE) >= threshold).drop(SCORE)
 
 

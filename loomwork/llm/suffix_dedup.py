@@ -33,7 +33,7 @@ from .common import cut, lean
 from .induced_sort import suffix_order
 
 LENGTH, K = 100, 32
-CHUNK_BYTES, INPUT_PER_ROUTE, ROUTES, PARTITIONS = 4 << 20, 1 << 20, (16, 1 << 22), 1 << 15
+CHUNK_BYTES, CHUNK_ROWS, INPUT_PER_ROUTE, ROUTES, PARTITIONS = 4 << 20, 1 << 16, 1 << 20, (16, 1 << 22), 1 << 15
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 _NONE = np.iinfo(np.int64).min
@@ -127,7 +127,7 @@ def pack(documents: DataFrame) -> DataFrame:
                 ids.append(i)
                 texts.append(data)
                 size += len(data)
-                if size >= CHUNK_BYTES:
+                if size >= CHUNK_BYTES or len(ids) >= CHUNK_ROWS:
                     yield row()
                     no, ids, texts, size = no + 1, [], [], 0
         if ids:
@@ -164,8 +164,11 @@ def _announce(routes: int):
                 c.cut()
                 distinct, times = np.unique(c.hash, return_counts=True)
                 route, to = (distinct % np.uint64(routes)).astype(np.int64), (c.digest[:, 0] % np.uint64(routes)).astype(np.int64)
-                for r in np.union1d(route, to):
-                    own, docs = route == r, to == r
+                by, doc_by = np.argsort(route, kind="stable"), np.argsort(to, kind="stable")
+                present = np.union1d(route, to)
+                edges = [np.searchsorted(x, present, side) for x in (route[by], to[doc_by]) for side in ("left", "right")]
+                for r, low, high, doc_low, doc_high in zip(present.tolist(), *(e.tolist() for e in edges), strict=True):
+                    own, docs = by[low:high], doc_by[doc_low:doc_high]
                     arrays = [distinct[own].tobytes(), (times[own] > 1).tobytes(), c.digest[docs].tobytes(), c.order[c.long[docs]].tobytes(), c.long[docs].astype("<i8").tobytes()]
                     yield pa.RecordBatch.from_arrays([pa.array([c.no], pa.int64()), pa.array([r], pa.int32()), *[pa.array([a], pa.binary()) for a in arrays]], ["chunk", "route", "hashes", "twice", "digests", "orders", "docs"])
 
@@ -229,8 +232,10 @@ def _ship(routes: int):
                 runs = _runs(np.concatenate([copies, c.doc[again]]), np.concatenate([np.zeros(len(copies), np.int64), begin[again]]), np.concatenate([c.lengths[copies], begin[again] + c.count[again] + LENGTH - 1]))
                 yield _segment_row(c.no, -1, runs, b"", b"")
                 shard = (c.hash[keep] % np.uint64(routes)).astype(np.int64)
-                for r in np.unique(shard):
-                    own = keep[shard == r]
+                by = np.argsort(shard, kind="stable")
+                begins = np.flatnonzero(np.append(True, np.diff(shard[by]) != 0)) if len(by) else by
+                for own in np.split(keep[by], begins[1:]) if len(by) else ():
+                    r = c.hash[own[0]] % np.uint64(routes)
                     text = b"".join(view[s : s + n] for s, n in zip(c.first[own].tolist(), (c.count[own] + LENGTH - 1).tolist(), strict=True))
                     meta = np.stack([c.doc[own], begin[own], c.count[own], c.order[c.doc[own]]]).astype("<i8")
                     yield _segment_row(c.no, int(r), b"", _press(meta.tobytes()), _press(text))

@@ -190,6 +190,9 @@ def test_licenses(spark):
     for d, t, _ in rows:
         for name, share in plain_licenses(t).items():
             assert (d, name) in got or any(k[0] == d and v > share for k, v in got.items())
+    # And the other way: what is found holds so much of a version of that license.
+    for (d, name), share in got.items():
+        assert max(plain_licenses(t).get(name, 0) for i, t, _ in rows if i == d) >= share >= license_scan.CONTAINED
     assert {k[0] for k in got} <= set(range(101)) and license_scan.anchors([["a", "b", "c", "d", "e"]])
 
 

@@ -73,3 +73,23 @@ def test_repeated_and_null_ids_and_empty_tables(spark):
     # The first row by order is the one without an id; within it the period of ten repeats.
     assert [g[:2] for g in got] == [(1, 111), (1, 111), (2, 0), (None, 100)]
     assert suffix_dedup.dedup(docs.limit(0)).collect() == []
+
+
+def test_many_routes_and_small_chunks(spark, monkeypatch):
+    """Rows of a chunk are dealt to routes by one sort; chunks end by rows too."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK_ROWS", 7)
+    monkeypatch.setattr(suffix_dedup, "_routes", lambda _: 100_000)
+    monkeypatch.setattr(suffix_dedup, "PARTITIONS", 8)
+    base = "".join(chr(97 + i * i % 23) + str(i) for i in range(400))
+    rows = [(i, base[i * 5 : i * 5 + 300]) for i in range(40)] + [(100 + i, None) for i in range(20)] + [(200, base)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.dedup(docs).collect()}
+    seen, want = set(), {}
+    for d, t in rows:
+        t, gone = t or "", set()
+        for s in range(len(t) - 99):
+            if t[s : s + 100] in seen:
+                gone |= set(range(s, s + 100))
+            seen.add(t[s : s + 100])
+        want[d] = len(gone)
+    assert got == want
