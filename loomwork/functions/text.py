@@ -77,6 +77,26 @@ def markup_state(text: Column, tag: str) -> Column:
     return F.aggregate(tags, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("lowest")), step)
 
 
+def markup_faults(text: Column, tag: str) -> Column:
+    """Whether ``tag`` is badly written somewhere: cut off, closed with attributes, closed unopened, or left open.
+
+    Names match in any case; blanks may stand after ``<`` and ``</``. A tag that ends with ``/`` closes itself.
+    """
+    found = F.regexp_extract_all(text, F.lit(rf"(?i)(<\s*/?\s*{tag}\b[^>]*>)"), F.lit(1))
+    is_closing = lambda t: t.rlike(r"^<\s*/")
+
+    def step(acc: Column, t: Column) -> Column:
+        closes = is_closing(t)
+        own = F.when(closes, -1).when(t.rlike(r"/\s*>$"), 0).otherwise(1)
+        depth = acc["depth"] + own
+        return F.struct(depth.alias("depth"), F.least(acc["lowest"], depth).alias("lowest"))
+
+    state = F.aggregate(found, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("lowest")), step)
+    attributes = F.exists(found, lambda t: is_closing(t) & t.rlike(rf"(?i)^<\s*/\s*{tag}\b\s*[^\s>]"))
+    cut_off = F.regexp_count(text, F.lit(rf"(?i)<\s*/?\s*{tag}\b")) > F.size(found)
+    return F.coalesce(cut_off | attributes | (state["depth"] != 0) | (state["lowest"] < 0), F.lit(False))
+
+
 def percent(part: Column, total: Column) -> Column:
     """Two decimals, half to even; 0 where there is no total."""
     return F.coalesce(F.bround(100.0 * part / F.nullif(total, F.lit(0)), 2), F.lit(0.0))

@@ -7,31 +7,58 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fingerprint, protected_tokens
 
-#: Columns that a mode shows beside the editable ones.
-MODES = {"basic": ("ContentUid", "SourceText"), "context": ("ContentUid", "SourceText", "ContextSummary", "ExistingTargetText"), "blind-first": ("ContentUid", "SourceText", "ContextSummary")}
-EDITABLE = ("ProposedTargetText", "TranslationStatus", "TranslatorNotes", "TranslatorName")
+#: Columns that every mode shows, and those that a translator fills in.
+COMMON = ("ContentUid", "SourceLocale", "SourceText", "TargetLocale", "SourceVersion", "PresenceStatus", "TranslationRequired", "ProtectedTokens")
+MODES = ("basic", "context", "blind-first")
+TEXT = {"blind-first": "IndependentTargetText"}
+EDITABLE = ("TranslationStatus", "TranslatorNotes", "TranslatorName")
 #: Names that a blind delivery must not carry.
-FORBIDDEN = {"ExistingTargetText", "ReferenceTexts", "ComparisonText", "targetText", "referenceText"}
+FORBIDDEN = {"ExistingTargetText", "TargetVersion", "ReferenceTexts", "References", "ComparisonText", "targetText", "referenceText"}
 
 
 def contract(mode: str, references: list[str] = ()) -> tuple[list[str], list[str]]:
-    """Visible and editable columns of a mode; reference locales are shown in context mode only."""
+    """All columns of a mode in order, and the editable ones. A blind delivery shows no target and no reference locale."""
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode}")
-    shown = [*MODES[mode], *(f"Reference_{x}" for x in references if mode == "context")]
-    return [*shown, *EDITABLE], list(EDITABLE)
+    editable = [TEXT.get(mode, "TranslatedTargetText"), *EDITABLE]
+    if mode == "blind-first":
+        return [*COMMON, "Context", "GlossaryReference", *editable], editable
+    shown = [*COMMON, "ExistingTargetText", "TargetVersion", *(f"ReferenceText[{x}]" for x in references)]
+    return [*shown, *(["Context"] if mode == "context" else []), *editable], editable
 
 
-def material(records: DataFrame, mode: str, references: list[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """Delivered rows and their immutable counterparts from ContentUid, SourceText, ExistingTargetText and more."""
-    shown, _ = contract(mode, references)
-    status = F.when(F.col("SourceText").isNotNull() & F.col("ExistingTargetText").isNotNull(), "both").when(F.col("SourceText").isNotNull(), "source-only").otherwise("target-only")
-    full = records.withColumn("PresenceStatus", status).withColumn("ProtectedTokens", protected_tokens(F.col("SourceText")))
-    for name in EDITABLE:
-        if name not in records.columns:
-            full = full.withColumn(name, F.lit(""))
-    delivered = full.select(*[F.col(c) if c in full.columns else F.lit(None).cast("string").alias(c) for c in shown])
-    return guard(delivered) if mode == "blind-first" else delivered, full.drop(*EDITABLE)
+def material(records: DataFrame, mode: str, source: str, target: str, references: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Delivered rows and their immutable counterparts.
+
+    ``records``: ContentUid, locales (map from locale to struct<text, version>) and, where there is any, Context (text).
+    """
+    shown, editable = contract(mode, references)
+    src, tgt = F.col("locales")[source], F.col("locales")[target]
+    context = F.coalesce(F.col("Context"), F.lit("")) if "Context" in records.columns else F.lit("")
+    text = lambda x: F.coalesce(x["text"], F.lit(""))
+    presence = F.when(src.isNotNull() & tgt.isNotNull(), "source+target").when(src.isNotNull(), "source-only").otherwise("target-only")
+    tokens = protected_tokens(text(src))
+    # JSON without blanks, as to_json writes it; an array of no tokens is [].
+    values = {
+        "ContentUid": F.col("ContentUid"),
+        "SourceLocale": F.lit(source),
+        "SourceText": text(src),
+        "TargetLocale": F.lit(target),
+        "SourceVersion": src["version"],
+        "PresenceStatus": presence,
+        "TranslationRequired": src.isNotNull(),
+        "ProtectedTokens": F.to_json(tokens),
+        "ExistingTargetText": text(tgt),
+        "TargetVersion": tgt["version"],
+        "Context": context,
+        "GlossaryReference": F.lit("support/glossary"),
+        **{f"ReferenceText[{x}]": text(F.col("locales")[x]) for x in references},
+        **{x: F.lit("") for x in editable},
+    }
+    delivered = records.select(*[values[c].alias(c) for c in shown])
+    kept = [c for c in (*COMMON, "ExistingTargetText", "TargetVersion") if c != "ProtectedTokens"]
+    held = records.select(*[values[c].alias(c) for c in kept], tokens.alias("ProtectedTokens"), F.map_from_arrays(F.array(*[F.lit(x) for x in references]).cast("array<string>"), F.array(*[F.col("locales")[x] for x in references])).alias("References") if references else F.lit(None).cast("map<string,string>").alias("References"), context.alias("Context"))
+    return guard(delivered) if mode == "blind-first" else delivered, held
 
 
 def guard(rows: DataFrame) -> DataFrame:
@@ -57,9 +84,16 @@ def evidence_flags(rows: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
     return rows.join(flat, key, "left").withColumn("evidence_flags", F.coalesce("evidence_flags", F.lit(""))).withColumn("context_summary", F.coalesce("context_summary", F.lit("")))
 
 
-def buckets(evidence_type: Column, context_ok: Column) -> Column:
-    """The sidecar file that evidence goes to."""
-    return F.when(evidence_type.startswith("bark"), "bark").when(evidence_type.startswith("quest"), "quest").when(evidence_type.contains("skill"), "ui-skill").when(context_ok, "context").otherwise("other")
+def buckets(mapping_type: Column, classification: Column) -> Column:
+    """The sidecar file that a mapping goes to: context, bark, quest, ui-skill or multilingual."""
+    kind, cls = F.lower(F.coalesce(mapping_type, F.lit(""))), F.lower(F.coalesce(classification, F.lit("")))
+    return (
+        F.when(kind.contains("multilingual") | cls.contains("exactreuse"), "multilingual")
+        .when(kind.contains("bark") | cls.contains("speaker"), "bark")
+        .when(kind.contains("quest") | cls.startswith("quest"), "quest")
+        .when(kind.contains("ui-skill") | cls.contains("ability") | cls.contains("item") | cls.contains("userinterface") | cls.contains("tutorial"), "ui-skill")
+        .otherwise("context")
+    )
 
 
 def prompts(rows: DataFrame, rules: DataFrame, glossary: DataFrame, category: str, text: str) -> DataFrame:

@@ -8,29 +8,56 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 #: Least source length, least and most target/source ratio by category.
-POLICIES = {"dialogue_general": (20, 0.15, 4.0), "bark": (12, 0.20, 3.0), "ui": (8, 0.20, 3.0)}
-#: Issues, the route each asks for.
-SEVERITY = {"TARGET_EMPTY": "RETRY", "CATEGORY_UNKNOWN": "FAIL", "TOKENS_MISSING": "RETRY", "TOKENS_UNEXPECTED": "RETRY", "TARGET_EQUALS_SOURCE": "REVIEW", "LENGTH_RATIO_LOW": "REVIEW", "LENGTH_RATIO_HIGH": "REVIEW"}
+CONSERVATIVE = (20, 0.15, 4.0)
+POLICIES = {
+    "dialogue_general": (20, 0.15, 4.0),
+    "dialogue_story": (20, 0.15, 4.0),
+    "quest": CONSERVATIVE,
+    "bark": (12, 0.20, 3.0),
+    "ui": (8, 0.20, 3.0),
+    "skill_spell": CONSERVATIVE,
+    "item": CONSERVATIVE,
+    "book_lore": CONSERVATIVE,
+    "character_world": CONSERVATIVE,
+    "system_message": CONSERVATIVE,
+    "tutorial": CONSERVATIVE,
+    "other": CONSERVATIVE,
+}
+#: Issues in the order in which they are reported, and the route each asks for.
+SEVERITY = {
+    "CATEGORY_RULE_MISSING": "FAIL",
+    "OUTPUT_EMPTY": "RETRY",
+    "PROTECTED_TOKEN_MISSING": "RETRY",
+    "PROTECTED_TOKEN_ADDED": "RETRY",
+    "LSTAG_MALFORMED": "RETRY",
+    "SOURCE_EQUALS_TARGET": "REVIEW",
+    "LENGTH_RATIO_SUSPICIOUS": "REVIEW",
+}
+#: Fixed value: the tag whose structure a target must keep.
+MARKUP = "LSTag"
 
 
-def evaluate(pairs: DataFrame, category: str, source: str, target: str) -> DataFrame:
-    """``pairs`` with ``issues`` (codes in a fixed order) and ``route``."""
+def evaluate(pairs: DataFrame, category: str, source: str, target: str, required: Column | None = None) -> DataFrame:
+    """``pairs`` with ``issues`` (codes in a fixed order) and ``route``; the tokens required are those of the source, or ``required``.
+
+    A category without a policy fails and has its texts compared no further; nor have texts of which one is empty.
+    """
     policy = F.create_map(*[x for k, v in POLICIES.items() for x in (F.lit(k), F.array(*[F.lit(float(y)) for y in v]))])[F.col(category)]
-    s, t = T.stripped(F.col(source)), T.stripped(F.coalesce(F.col(target), F.lit("")))
+    s, t = T.stripped(F.coalesce(F.col(source), F.lit(""))), T.stripped(F.coalesce(F.col(target), F.lit("")))
     n, m = F.length(s), F.length(t)
-    wanted, got = T.protected_tokens(F.col(source)), T.protected_tokens(F.col(target))
-    long_enough = (n >= policy[0]) & (m > 0)
+    wanted, got = T.protected_tokens(F.col(source)) if required is None else required, T.protected_tokens(F.col(target))
+    compared = F.col("_p").isNotNull() & (n > 0) & (m > 0)
     rows = pairs.withColumn("_p", policy).withColumn("_ratio", F.when(n > 0, m / n))
-    tests = [
-        ("TARGET_EMPTY", m == 0),
-        ("CATEGORY_UNKNOWN", F.col("_p").isNull()),
-        ("TOKENS_MISSING", F.size(T.multiset_minus(wanted, got)) > 0),
-        ("TOKENS_UNEXPECTED", F.size(T.multiset_minus(got, wanted)) > 0),
-        ("TARGET_EQUALS_SOURCE", (s == t) & s.rlike(T.LANGUAGE_BEARING)),
-        ("LENGTH_RATIO_LOW", long_enough & (F.col("_ratio") < F.col("_p")[1])),
-        ("LENGTH_RATIO_HIGH", long_enough & (F.col("_ratio") > F.col("_p")[2])),
-    ]
-    issues = F.array_compact(F.array(*[F.when(c, F.lit(code)) for code, c in tests]))
+    tests = {
+        "CATEGORY_RULE_MISSING": F.col("_p").isNull(),
+        "OUTPUT_EMPTY": m == 0,
+        "PROTECTED_TOKEN_MISSING": F.size(T.multiset_minus(wanted, got)) > 0,
+        "PROTECTED_TOKEN_ADDED": F.size(T.multiset_minus(got, wanted)) > 0,
+        "LSTAG_MALFORMED": T.markup_faults(F.col(target), MARKUP),
+        "SOURCE_EQUALS_TARGET": compared & (s == t) & s.rlike(T.LANGUAGE_BEARING),
+        "LENGTH_RATIO_SUSPICIOUS": compared & (n >= F.col("_p")[0]) & ((F.col("_ratio") < F.col("_p")[1]) | (F.col("_ratio") > F.col("_p")[2])),
+    }
+    issues = F.array_compact(F.array(*[F.when(c, F.lit(code)) for code, c in tests.items()]))
     return rows.withColumn("issues", issues).drop("_p", "_ratio").withColumn("route", route(F.col("issues")))
 
 

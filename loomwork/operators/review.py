@@ -9,7 +9,7 @@ from ..functions.text import candidate_id, multiset_minus, protected_tokens, sha
 from .validate import mark_repeats
 
 #: Decisions of a review.
-DECISIONS = ("approve", "revise", "reject", "unsure")
+DECISIONS = ("Pending", "Approved", "NeedsRevision", "InsufficientEvidence", "NotApplicable")
 
 
 def candidates(evidence: DataFrame, sources: DataFrame, prefix: str, key: str = "content_uid", keep_unsourced: bool = True) -> DataFrame:
@@ -30,7 +30,7 @@ def check_surface(returned: DataFrame, manifest: DataFrame, key: str = "candidat
     """key, code for each fault: foreign, repeated, source changed, unknown decision, revision without text or without its tokens, missing."""
     base = manifest.select(key, F.col("source_text").alias("_source"), F.lit(True).alias("_known"))
     rows = mark_repeats(returned.join(base, key, "left"), key, ["decision", "revised_text"])
-    revise = F.col("decision") == "revise"
+    revise = F.col("decision") == "NeedsRevision"
     missing_tokens = F.size(multiset_minus(protected_tokens(F.col("_source")), protected_tokens(F.col("revised_text")))) > 0
     tests = [
         ("FOREIGN", F.col("_known").isNull()),
@@ -46,7 +46,9 @@ def check_surface(returned: DataFrame, manifest: DataFrame, key: str = "candidat
 
 
 def accepted(log: DataFrame, current: DataFrame) -> DataFrame:
-    """content_uid of accepted resolutions that hold: the latest one, for just this output, input and rules."""
-    binding = ["content_uid", "output_hash", "qa_input_hash", "ruleset"]
-    last = log.groupBy(*binding).agg(F.max_by("decision", "resolution_id").alias("decision"))
-    return current.join(last.where("decision IN ('ACCEPT', 'REVISE')"), binding, "left_semi").select("content_uid")
+    """content_uid whose output was accepted as it is: for just these rules, this input and this output, before and after.
+
+    Only ACCEPT counts: a revision makes another output, which is judged anew. Other decisions take no acceptance back.
+    """
+    accepting = log.where("decision = 'ACCEPT' AND base_output_hash = resolved_output_hash").select("content_uid", "qa_rule_set_version", "qa_input_hash", F.col("resolved_output_hash").alias("output_hash"))
+    return current.join(accepting, ["content_uid", "qa_rule_set_version", "qa_input_hash", "output_hash"], "left_semi").select("content_uid")

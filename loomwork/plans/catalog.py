@@ -38,8 +38,13 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations")
     u = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("source_text"), (F.col("turn") + 1).alias("_next"))
     a = c.where("role = 'assistant'").select("conv_id", F.col("turn").alias("_next"), F.col("text").alias("_target"))
-    target = F.when(F.col("conv_id") % 10 == 0, F.col("source_text")).when(F.col("conv_id") % 10 == 1, F.lit("")).otherwise(F.col("_target"))
-    category = F.when(F.col("conv_id") % 3 == 0, "dialogue_general").when(F.col("conv_id") % 3 == 1, "bark").otherwise("ui")
+    n = F.col("conv_id") % 10
+    marked = [("<LSTag Type='x'>%s</LSTag>", 2), ("<LSTag>%s", 3), ("%s< / lstag a>", 4), ("%s <LSTag Type", 5), ("%s<LSTag/>", 6)]
+    target = F.when(n == 0, F.col("source_text")).when(n == 1, F.lit(""))
+    for form, i in marked:
+        target = target.when(n == i, F.format_string(form, "_target"))
+    target = target.otherwise(F.col("_target"))
+    category = F.element_at(F.array(*[F.lit(c) for c in (*qa.POLICIES, "unheard-of")]), (F.col("conv_id") % 13 + 1).cast("int"))
     return u.join(a, ["conv_id", "_next"]).select("conv_id", "turn", "source_text", target.alias("target_text"), category.alias("category"))
 
 

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 PAIRS = """pairs AS (SELECT u.conv_id, u.turn, u.text AS source_text,
- CASE WHEN u.conv_id % 10 = 0 THEN u.text WHEN u.conv_id % 10 = 1 THEN '' ELSE a.text END AS target_text,
- CASE u.conv_id % 3 WHEN 0 THEN 'dialogue_general' WHEN 1 THEN 'bark' ELSE 'ui' END AS category
+ CASE u.conv_id % 10 WHEN 0 THEN u.text WHEN 1 THEN '' WHEN 2 THEN '<LSTag Type=''x''>' || a.text || '</LSTag>' WHEN 3 THEN '<LSTag>' || a.text WHEN 4 THEN a.text || '< / lstag a>' WHEN 5 THEN a.text || ' <LSTag Type' WHEN 6 THEN a.text || '<LSTag/>' ELSE a.text END AS target_text,
+ ['dialogue_general', 'dialogue_story', 'quest', 'bark', 'ui', 'skill_spell', 'item', 'book_lore', 'character_world', 'system_message', 'tutorial', 'other', 'unheard-of'][u.conv_id % 13 + 1] AS category
  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user')"""
 ATTEMPTS = """attempts AS (SELECT event_id, user_id, event_id % 100 AS item, ts, event_type, value,
  CASE WHEN event_type IN ('purchase', 'signup') THEN 'succeeded' WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'click' THEN 'retryable' ELSE 'running' END AS outcome,
@@ -23,16 +23,19 @@ REUSE = """r AS (SELECT p_partkey, p_name || '|' || p_brand AS text, p_type AS t
 QA = (
     PAIRS
     + r""", q0 AS (SELECT *, regexp_replace(regexp_replace(source_text, '^\s+', ''), '\s+$', '') AS s, regexp_replace(regexp_replace(coalesce(target_text, ''), '^\s+', ''), '\s+$', '') AS t FROM pairs),
- q1 AS (SELECT *, length(s) AS n, length(t) AS m, CASE category WHEN 'dialogue_general' THEN 20 WHEN 'bark' THEN 12 ELSE 8 END AS least,
- CASE category WHEN 'dialogue_general' THEN 0.15::DOUBLE ELSE 0.2::DOUBLE END AS lo, CASE category WHEN 'dialogue_general' THEN 4.0::DOUBLE ELSE 3.0::DOUBLE END AS hi,
+ q1 AS (SELECT *, length(s) AS n, length(t) AS m, category <> 'unheard-of' AS known, CASE category WHEN 'bark' THEN 12 WHEN 'ui' THEN 8 ELSE 20 END AS least,
+ CASE WHEN category IN ('bark', 'ui') THEN 0.2::DOUBLE ELSE 0.15::DOUBLE END AS lo, CASE WHEN category IN ('bark', 'ui') THEN 3.0::DOUBLE ELSE 4.0::DOUBLE END AS hi,
+ regexp_extract_all(target_text, '(?i)<\s*/?\s*LSTag\b[^>]*>') AS tags, len(regexp_extract_all(target_text, '(?i)<\s*/?\s*LSTag\b')) AS marks,
+ list_transform(regexp_extract_all(target_text, '(?i)<\s*/?\s*LSTag\b[^>]*>'), lambda x: CASE WHEN regexp_matches(x, '^<\s*/') THEN -1 WHEN regexp_matches(x, '/\s*>$') THEN 0 ELSE 1 END) AS steps,
  list_sort(regexp_extract_all(source_text, '(\{[^{}]+\}|%(?:[0-9]+\$)?[sdif])', 1)) AS want, list_sort(regexp_extract_all(coalesce(target_text, ''), '(\{[^{}]+\}|%(?:[0-9]+\$)?[sdif])', 1)) AS got FROM q0),
- q2 AS (SELECT *, list_filter([CASE WHEN m = 0 THEN 'TARGET_EMPTY' END,
- CASE WHEN len(list_filter(list_distinct(want), lambda x: len(list_filter(want, lambda y: y = x)) > len(list_filter(got, lambda y: y = x)))) > 0 THEN 'TOKENS_MISSING' END,
- CASE WHEN len(list_filter(list_distinct(got), lambda x: len(list_filter(got, lambda y: y = x)) > len(list_filter(want, lambda y: y = x)))) > 0 THEN 'TOKENS_UNEXPECTED' END,
- CASE WHEN s = t AND regexp_matches(s, '[A-Za-z]{4,}') THEN 'TARGET_EQUALS_SOURCE' END,
- CASE WHEN n >= least AND m > 0 AND m::DOUBLE / n < lo THEN 'LENGTH_RATIO_LOW' END,
- CASE WHEN n >= least AND m > 0 AND m::DOUBLE / n > hi THEN 'LENGTH_RATIO_HIGH' END], lambda x: x IS NOT NULL) AS issues FROM q1),
- judged AS (SELECT *, CASE WHEN list_has_any(issues, ['TARGET_EMPTY', 'TOKENS_MISSING', 'TOKENS_UNEXPECTED']) THEN 'RETRY' WHEN len(issues) > 0 THEN 'REVIEW' ELSE 'PASS' END AS route FROM q2),
+ q2 AS (SELECT *, list_filter([CASE WHEN NOT known THEN 'CATEGORY_RULE_MISSING' END, CASE WHEN m = 0 THEN 'OUTPUT_EMPTY' END,
+ CASE WHEN len(list_filter(list_distinct(want), lambda x: len(list_filter(want, lambda y: y = x)) > len(list_filter(got, lambda y: y = x)))) > 0 THEN 'PROTECTED_TOKEN_MISSING' END,
+ CASE WHEN len(list_filter(list_distinct(got), lambda x: len(list_filter(got, lambda y: y = x)) > len(list_filter(want, lambda y: y = x)))) > 0 THEN 'PROTECTED_TOKEN_ADDED' END,
+ CASE WHEN marks > len(tags) OR len(list_filter(tags, lambda x: regexp_matches(x, '(?i)^<\s*/\s*LSTag\b\s*[^\s>]'))) > 0 OR coalesce(list_sum(steps), 0) <> 0
+  OR len(list_filter(range(1, len(steps) + 1), lambda i: list_sum(steps[1:i]) < 0)) > 0 THEN 'LSTAG_MALFORMED' END,
+ CASE WHEN known AND n > 0 AND m > 0 AND s = t AND regexp_matches(s, '[A-Za-z]{4,}') THEN 'SOURCE_EQUALS_TARGET' END,
+ CASE WHEN known AND n >= least AND m > 0 AND (m::DOUBLE / n < lo OR m::DOUBLE / n > hi) THEN 'LENGTH_RATIO_SUSPICIOUS' END], lambda x: x IS NOT NULL) AS issues FROM q1),
+judged AS (SELECT *, CASE WHEN NOT known THEN 'FAIL' WHEN list_has_any(issues, ['OUTPUT_EMPTY', 'PROTECTED_TOKEN_MISSING', 'PROTECTED_TOKEN_ADDED', 'LSTAG_MALFORMED']) THEN 'RETRY' WHEN len(issues) > 0 THEN 'REVIEW' ELSE 'PASS' END AS route FROM q2),
  results AS (SELECT conv_id, turn, route, md5(target_text) AS output_hash, CASE WHEN turn % 4 = 0 THEN 'v1' ELSE 'v2' END AS ruleset FROM judged),
  states AS (SELECT conv_id, turn, category, CASE WHEN conv_id % 13 = 0 THEN target_text || '!' ELSE target_text END AS output FROM pairs),
  staleness AS (SELECT r.conv_id, r.turn, r.route, r.output_hash <> md5(s.output) OR r.ruleset <> 'v2' AS is_stale FROM results r JOIN states s USING (conv_id, turn))"""

@@ -199,10 +199,24 @@ def modules(files: DataFrame) -> DataFrame:
     return _parse(files, each, "path string, folder string, uuid string, depends_on string")
 
 
-def story_domain(path):
-    """The domain that a path's first matching keyword names."""
-    p = F.lower(path)
-    out = F.when(F.lit(False), "")
-    for word, name in (("dialog", "dialog"), ("bark", "bark"), ("journal", "quest"), ("quest", "quest"), ("book", "book"), ("tutorial", "tutorial"), ("gui", "ui"), ("stats", "skill")):
-        out = out.when(p.contains(word), name)
-    return out.otherwise("unknown")
+def story_domain(family, constructor=None, category=None, field=None, path=None):
+    """The domain of an occurrence by its source family, then by what its node, category, field or path says."""
+    said = lambda c, pattern: F.coalesce(c, F.lit("")).rlike("(?i)" + pattern) if c is not None else F.lit(False)
+    dialog = (
+        F.when(said(path, "cinematic") | said(category, "cinematic"), "CinematicSubtitle")
+        .when(said(constructor, "narrat"), "Narration")
+        .when(said(constructor, "question|player"), "PlayerDialogueOption")
+        .when(said(category, "bark"), "AmbientDialogue")
+        .otherwise("NPCDialogue")
+    )
+    quest = F.when(said(field, "title"), "QuestTitle").when(said(field, "description|objective"), "QuestDescription").otherwise("JournalEntry")
+    book = F.when(said(field, "title|displayname"), "BookTitle").otherwise("ReadableWorldText")
+    return (
+        F.when(family.isin("DialogsRaw", "DialogsBinary", "Dialog"), dialog)
+        .when(family == "Cinematics", "CinematicSubtitle")
+        .when(family == "JournalQuest", quest)
+        .when(family == "ReadableLocalizationRegistry", book)
+        .when(family.isin("TagsCharacters", "RootTemplates", "LocalizationRegistry"), "StoryRelatedTerm")
+        .when(family.isin("StoryGoals", "LevelResources"), "ContextSupportOnly")
+        .otherwise("Unknown")
+    )

@@ -6,7 +6,8 @@ import hashlib
 import json
 import os
 
-STAGES = ("scan", "extract", "classify", "batch", "seed", "translate", "qa", "review", "validate", "merge", "rebuild")
+#: The stages in order.
+STAGES = ("config", "scan", "extract", "evidence", "package", "translate", "structural-review", "reconcile", "language-qa", "validate", "rebuild", "install-dry-run", "install")
 
 
 def fingerprint(value: object) -> str:
@@ -16,7 +17,7 @@ def fingerprint(value: object) -> str:
 
 def load(path: str) -> dict:
     if not os.path.exists(path):
-        return {s: {"status": "pending"} for s in STAGES}
+        return {s: {"status": "not-started"} for s in STAGES}
     with open(path, encoding="utf-8") as f:
         return json.load(f)
 
@@ -27,16 +28,26 @@ def save(path: str, state: dict) -> None:
     os.replace(f"{path}.tmp", path)
 
 
+def digest(path: str) -> str | None:
+    """SHA-256 of a file, None where there is none."""
+    if not os.path.isfile(path):
+        return None
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
 def reusable(state: dict, stage: str, print_: str) -> bool:
-    return state[stage].get("status") == "done" and state[stage].get("fingerprint") == print_
+    """Done, for the same inputs, and with its artifact as it was written."""
+    own = state[stage]
+    return own.get("status") == "done" and own.get("fingerprint") == print_ and own.get("sha256") is not None and own["sha256"] == digest(own["artifact"])
 
 
 def finish(state: dict, stage: str, print_: str, artifact: str) -> dict:
     """The stage is done; if its fingerprint is new, the stages after it are not."""
     changed = state[stage].get("fingerprint") != print_
-    out = {**state, stage: {"status": "done", "fingerprint": print_, "artifact": artifact}}
+    out = {**state, stage: {"status": "done", "fingerprint": print_, "artifact": artifact, "sha256": digest(artifact)}}
     return invalidate(out, STAGES[STAGES.index(stage) + 1]) if changed and stage != STAGES[-1] else out
 
 
 def invalidate(state: dict, stage: str) -> dict:
-    return {s: {"status": "pending"} if STAGES.index(s) >= STAGES.index(stage) else state[s] for s in STAGES}
+    return {s: {"status": "not-started"} if STAGES.index(s) >= STAGES.index(stage) else state[s] for s in STAGES}

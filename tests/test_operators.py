@@ -55,19 +55,33 @@ def test_qa_issues_and_routes(spark):
         (7, "odd", "Hello there friend", "Hello there friend"),
         (8, "ui", "1234 5678", "1234 5678"),
         (9, "ui", "a {x} b", "a {x} {x} b"),
+        (10, "quest", "Find the lost ring", "<LSTag Type='a'>Trouve</LSTag> cela"),
+        (11, "quest", "Find the lost ring", "<LSTag>Trouve cela"),
+        (12, "item", "Find the lost ring", "Trouve cela</LSTag>"),
+        (13, "tutorial", "Find the lost ring", "<LSTag>Trouve</LSTag b> cela"),
+        (14, "other", "Find the lost ring", "Trouve cela <LSTag Type"),
+        (15, "other", "Find the lost ring", "Trouve < lstag Type='a' / > cela"),
+        (16, "other", "Find the lost ring", "</LSTag>Trouve cela<LSTag>"),
     ]
     df = spark.createDataFrame(rows, "id int, category string, s string, t string")
     got = {r.id: (r.route, r.issues) for r in qa.evaluate(df, "category", "s", "t").collect()}
     assert got == {
         1: ("PASS", []),
-        2: ("RETRY", ["TARGET_EMPTY", "TOKENS_MISSING"]),
-        3: ("RETRY", ["TOKENS_MISSING"]),
-        4: ("REVIEW", ["TARGET_EQUALS_SOURCE"]),
-        5: ("REVIEW", ["LENGTH_RATIO_LOW"]),
-        6: ("REVIEW", ["LENGTH_RATIO_HIGH"]),
-        7: ("FAIL", ["CATEGORY_UNKNOWN", "TARGET_EQUALS_SOURCE"]),
+        2: ("RETRY", ["OUTPUT_EMPTY", "PROTECTED_TOKEN_MISSING"]),
+        3: ("RETRY", ["PROTECTED_TOKEN_MISSING"]),
+        4: ("REVIEW", ["SOURCE_EQUALS_TARGET"]),
+        5: ("REVIEW", ["LENGTH_RATIO_SUSPICIOUS"]),
+        6: ("REVIEW", ["LENGTH_RATIO_SUSPICIOUS"]),
+        7: ("FAIL", ["CATEGORY_RULE_MISSING"]),
         8: ("PASS", []),
-        9: ("RETRY", ["TOKENS_UNEXPECTED"]),
+        9: ("RETRY", ["PROTECTED_TOKEN_ADDED"]),
+        10: ("PASS", []),
+        11: ("RETRY", ["LSTAG_MALFORMED"]),
+        12: ("RETRY", ["LSTAG_MALFORMED"]),
+        13: ("RETRY", ["LSTAG_MALFORMED"]),
+        14: ("RETRY", ["LSTAG_MALFORMED"]),
+        15: ("PASS", []),
+        16: ("RETRY", ["LSTAG_MALFORMED"]),
     }
 
 

@@ -7,21 +7,34 @@ import pytest
 
 from loomwork import stages
 from loomwork.operators import package, review
-from loomwork.sources import provider, xlsx
+from loomwork.sources import grammars, provider, xlsx
 
 
 def test_material_by_mode(spark):
-    rows = spark.createDataFrame([("u1", "Hi {x}", None, "ctx"), ("u2", None, "old", "")], "ContentUid string, SourceText string, ExistingTargetText string, ContextSummary string")
-    shown, base = package.material(rows, "basic")
-    assert shown.columns == ["ContentUid", "SourceText", *package.EDITABLE]
-    assert {r.ContentUid: (r.PresenceStatus, r.ProtectedTokens) for r in base.collect()} == {"u1": ("source-only", ["{x}"]), "u2": ("target-only", [])}
-    assert "ExistingTargetText" not in package.material(rows, "blind-first")[0].columns
+    one = lambda text, version="1": {"text": text, "version": version}
+    rows = spark.createDataFrame([("u1", {"en": one("Hi {x}"), "fr": one("Salut", "2")}, "ctx"), ("u2", {"zh": one("old")}, None), ("u3", {"en": one("a"), "zh": one("b")}, None)], "ContentUid string, locales map<string,struct<text:string,version:string>>, Context string")
+    shown, base = package.material(rows, "context", "en", "zh", ["fr"])
+    assert shown.columns == "ContentUid SourceLocale SourceText TargetLocale SourceVersion PresenceStatus TranslationRequired ProtectedTokens ExistingTargetText TargetVersion ReferenceText[fr] Context TranslatedTargetText TranslationStatus TranslatorNotes TranslatorName".split()
+    assert {r.ContentUid: (r.PresenceStatus, r.TranslationRequired, r.ProtectedTokens, r["ReferenceText[fr]"], r.ExistingTargetText, r.Context) for r in shown.collect()} == {"u1": ("source-only", True, '["{x}"]', "Salut", "", "ctx"), "u2": ("target-only", False, "[]", "", "old", ""), "u3": ("source+target", True, "[]", "", "b", "")}
+    assert {r.ContentUid: (r.ProtectedTokens, r.References["fr"] and r.References["fr"].version) for r in base.collect()} == {"u1": (["{x}"], "2"), "u2": ([], None), "u3": ([], None)}
+    assert "Context" not in package.contract("basic")[0] and package.contract("basic")[1][0] == "TranslatedTargetText"
+    blind = package.material(rows, "blind-first", "en", "zh")[0]
+    assert blind.columns[-6:] == ["Context", "GlossaryReference", "IndependentTargetText", "TranslationStatus", "TranslatorNotes", "TranslatorName"] and "ExistingTargetText" not in blind.columns
     with pytest.raises(ValueError, match="blind"):
-        package.guard(rows)
+        package.guard(shown)
     with pytest.raises(ValueError, match="mode"):
         package.contract("other")
 
 
+def test_buckets_and_story_domains(spark):
+    rows = [("multilingual-x", "", "multilingual"), ("bark-speaker", "QuestX", "bark"), ("quest-journal", "", "quest"), ("x", "Quest1", "quest"), ("x", "AbilityOrSkill", "ui-skill"), ("ui-skill-candidate", "", "ui-skill"), ("x", "exactReuse", "multilingual"), ("stat-reference", "y", "context"), (None, None, "context")]
+    df = spark.createDataFrame(rows, "m string, c string, want string")
+    assert df.where(package.buckets(df.m, df.c) != df.want).count() == 0
+    rows = [("DialogsRaw", "", "", "", "a/Cinematic/b", "CinematicSubtitle"), ("Dialog", "Narrator", "", "", "", "Narration"), ("DialogsBinary", "TagQuestion", "bark", "", "", "PlayerDialogueOption"), ("DialogsRaw", "x", "Bark", "", "", "AmbientDialogue"), ("DialogsRaw", None, None, None, None, "NPCDialogue"), ("Cinematics", "", "", "", "", "CinematicSubtitle"), ("JournalQuest", "", "", "QuestTitle", "", "QuestTitle"), ("JournalQuest", "", "", "Objective", "", "QuestDescription"), ("JournalQuest", "", "", "x", "", "JournalEntry"), ("ReadableLocalizationRegistry", "", "", "DisplayName", "", "BookTitle"), ("ReadableLocalizationRegistry", "", "", "", "", "ReadableWorldText"), ("RootTemplates", "", "", "", "", "StoryRelatedTerm"), ("StoryGoals", "", "", "", "", "ContextSupportOnly"), ("else", "", "", "", "", "Unknown")]
+    df = spark.createDataFrame(rows, "f string, k string, c string, field string, p string, want string")
+    assert df.where(grammars.story_domain(df.f, df.k, df.c, df.field, df.p) != df.want).count() == 0
+
+
 def test_prompts(spark):
     rows = spark.createDataFrame([("u1", "ui", "Open the Door {x}"), ("u2", "bark", "x")], "uid string, category string, text string")
     rules = spark.createDataFrame([("ui", ["Be short.", "No dots."])], "category string, rules array<string>")
@@ -40,14 +53,14 @@ def test_evidence(spark):
 
 def test_review_surface(spark):
     manifest = spark.createDataFrame([("A", "Hi {x}"), ("B", "Yes"), ("C", "No"), ("D", "Go")], "candidate_id string, source_text string")
-    back = [("A", "Hi {x}", "revise", "Salut"), ("B", "Yes!", "approve", ""), ("C", "No", "maybe", None), ("C", "No", "revise", " "), ("Z", "?", "reject", "")]
+    back = [("A", "Hi {x}", "NeedsRevision", "Salut"), ("B", "Yes!", "Approved", ""), ("C", "No", "maybe", None), ("C", "No", "NeedsRevision", " "), ("Z", "?", "NotApplicable", "")]
     got = sorted(map(tuple, review.check_surface(spark.createDataFrame(back, "candidate_id string, source_text string, decision string, revised_text string"), manifest).collect()))
     assert got == [("A", "TOKENS_MISSING"), ("B", "SOURCE_CHANGED"), ("C", "DECISION_UNKNOWN"), ("C", "REPEATED"), ("C", "REVISION_EMPTY"), ("D", "MISSING"), ("Z", "FOREIGN")]
 
 
 def test_acceptance_is_bound(spark):
-    log = spark.createDataFrame([(1, "u", "h1", "i", "v2", "ACCEPT"), (2, "w", "h", "i", "v2", "ACCEPT"), (3, "w", "h", "i", "v2", "REJECT")], "resolution_id long, content_uid string, output_hash string, qa_input_hash string, ruleset string, decision string")
-    now = lambda h: spark.createDataFrame([("u", h, "i", "v2"), ("w", "h", "i", "v2")], "content_uid string, output_hash string, qa_input_hash string, ruleset string")
+    log = spark.createDataFrame([(1, "u", "h1", "h1", "i", "v2", "ACCEPT"), (2, "w", "h", "h", "i", "v2", "REVISE"), (3, "x", "h", "g", "i", "v2", "ACCEPT")], "resolution_id long, content_uid string, base_output_hash string, resolved_output_hash string, qa_input_hash string, qa_rule_set_version string, decision string")
+    now = lambda h: spark.createDataFrame([("u", h, "i", "v2"), ("w", "h", "i", "v2"), ("x", "g", "i", "v2")], "content_uid string, output_hash string, qa_input_hash string, qa_rule_set_version string")
     assert [r.content_uid for r in review.accepted(log, now("h1")).collect()] == ["u"]
     assert review.accepted(log, now("h2")).collect() == []
 
@@ -80,10 +93,15 @@ def test_stages(tmp_path):
     state = stages.load(path)
     one = stages.fingerprint({"b": 1, "a": "é"})
     assert one == stages.fingerprint({"a": "é", "b": 1})
+    x, y = tmp_path / "x", tmp_path / "y"
+    x.write_text("x")
+    y.write_text("y")
     for stage in stages.STAGES:
-        state = stages.finish(state, stage, one, "x")
+        state = stages.finish(state, stage, one, str(x))
     stages.save(path, state)
     state = stages.load(path)
-    assert all(stages.reusable(state, s, one) for s in stages.STAGES) and not stages.reusable(state, "qa", "other")
-    state = stages.finish(state, "batch", "other", "y")
-    assert stages.reusable(state, "classify", one) and stages.reusable(state, "batch", "other") and not stages.reusable(state, "seed", one)
+    assert all(stages.reusable(state, s, one) for s in stages.STAGES) and not stages.reusable(state, "validate", "other")
+    state = stages.finish(state, "package", "other", str(y))
+    assert stages.reusable(state, "evidence", one) and stages.reusable(state, "package", "other") and not stages.reusable(state, "translate", one)
+    y.write_text("changed")
+    assert not stages.reusable(state, "package", "other")
