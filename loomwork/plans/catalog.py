@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import align, batch, classify, graph, merge, qa, rank, report, sets, state, validate
+from ..operators import align, batch, classify, graph, merge, ownership, qa, rank, report, sets, state, validate
 from ..session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -248,6 +248,47 @@ def classification_summary(spark, d):
     return classify.zero_filled(classify_ownership(spark, d), "primary_category", [*CATEGORIES, "tutorial"])
 
 
+#: Values that the mappings of functional_ownership take in turn.
+MAPPING = {
+    "mapping_type": ["bark-speaker", "quest-journal", "ui-skill-candidate", "stat-reference", "story-occurrence", "ui-skill-universe", "dialog-context", "plain", "story-occurrence"],
+    "evidence_type": ["BarkSpeakerStructure", "QuestJournal", "UiSkillProvider", "StatsDefinition", "PassiveContext", "StoryOccurrence", "UiSkillUniverse", "DialogGraph", "StoryOccurrence", "UiSkillUniverse", "Nothing"],
+    "entryType": ["SpellData", "weapon", "", "misc"],
+    "domain": ["AbilityOrSkill", "ItemsAndEquipment", "UserInterface", "x", ""],
+    "resourceFamily": ["ReadableLocalizationRegistry", "TagsCharacters", "LocalizationRegistry", "DialogsRaw", "LocalizationRegistry"],
+    "storyDomain": ["ReadableWorldText", "StoryRelatedTerm", "StoryRelatedTerm", "Narration", "StoryRelatedTerm"],
+    "attributeRole": ["Title", "Content", "Content"],
+    "workstream": ["ItemsEquipment", "AbilitySkill", "UserInterface", "TutorialSystem", "AQResourceReferencedReview", "z"],
+    "domains": ["UI.Tutorial", "Ability.Unknown"],
+    "path": ["Public\\Stats\\Spells.txt", "a/Weapons.lsx", "Localization/levels.lsx", "x/Foo_SubRegions.lsx", "ReadyChecks_Descriptions.x", "ItemCombinations", "Localization\\Stats\\any.lsx", "status_boosts.loca", "deep/shout_x", "plain.txt"],
+}
+
+
+def mappings(spark, d):
+    """Parts as mappings of ids that several parts share, with two pieces of evidence each."""
+    key = F.col("p_partkey")
+    pick = lambda name, i: F.element_at(F.array(*[F.lit(x) for x in MAPPING[name]]), (i % len(MAPPING[name]) + 1).cast("int"))
+
+    def piece(j: int):
+        h = key * 7 + 5 * j + F.floor(key / 11)
+        more = {name: pick(name, h) for name in ("entryType", "domain", "resourceFamily", "storyDomain", "attributeRole", "workstream", "domains")}
+        more |= {"isOldText": F.when(h % 17 == 0, "true").otherwise("false"), "status": F.when(h % 13 == 0, "ExcludedCommentOnly").otherwise("Active"), "entityType": F.lit("ActionResourceDefinition"), "fieldName": F.when(h % 4 < 3, "DisplayName").otherwise("x")}
+        return F.struct(pick("evidence_type", h).alias("evidence_type"), F.concat(F.lit("R"), (h % 3).cast("string")).alias("rule_id"), pick("path", F.floor(h / 11)).alias("resource_path"), F.lit("main").alias("source_role"), F.create_map(*[x for k, v in more.items() for x in (F.lit(k), v)]).alias("properties"))
+
+    rows = table(spark, d, "part").select((key % 700).alias("uid"), key.alias("p_partkey"), pick("mapping_type", key).alias("mapping_type"), F.lit("c").alias("classification"), pick("domain", key).alias("domain"), F.array(piece(0), piece(1)).alias("evidence"))
+    return rows.where("p_partkey % 4 <> 3 OR uid % 5 = 0")
+
+
+@query
+def functional_ownership(spark, d):
+    ids = table(spark, d, "part").select((F.col("p_partkey") % 700).alias("uid"))
+    return ownership.functional(ids, mappings(spark, d), "uid")
+
+
+@query
+def ownership_evidence(spark, d):
+    return ownership.candidates(mappings(spark, d), "uid").groupBy("category", "confidence", "reason", "rule_id", "resource_path").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def decision_overlay(spark, d):
     labels = table(spark, d, "labels")

@@ -59,6 +59,30 @@ CANDIDATES = """cand AS (SELECT p_partkey, u.* FROM part, LATERAL (SELECT * FROM
  owners AS (SELECT part.p_partkey, b.category AS primary_category, b.confidence,
  coalesce((SELECT string_agg('also:' || o.category, ';' ORDER BY o.category) FROM cand o WHERE o.p_partkey = part.p_partkey AND o.category <> b.category), '') AS tags,
  CASE WHEN b.category IS NULL THEN 'unresolved' ELSE 'classified' END AS status FROM part LEFT JOIN best b ON b.p_partkey = part.p_partkey AND b.rn = 1)"""
+HITS = r"""raw AS (SELECT p_partkey AS k, p_partkey % 700 AS uid, ['bark-speaker', 'quest-journal', 'ui-skill-candidate', 'stat-reference', 'story-occurrence', 'ui-skill-universe', 'dialog-context', 'plain', 'story-occurrence'][p_partkey % 9 + 1] AS mt,
+ ['AbilityOrSkill', 'ItemsAndEquipment', 'UserInterface', 'x', ''][p_partkey % 5 + 1] AS md FROM part WHERE p_partkey % 4 <> 3 OR p_partkey % 700 % 5 = 0),
+ ev0 AS (SELECT *, k * 7 + 5 * j + k // 11 AS h FROM raw, (VALUES (0), (1)) v(j)),
+ ev AS (SELECT k, uid, mt, md, j, 'R' || CAST(h % 3 AS VARCHAR) AS rule_id,
+ ['BarkSpeakerStructure', 'QuestJournal', 'UiSkillProvider', 'StatsDefinition', 'PassiveContext', 'StoryOccurrence', 'UiSkillUniverse', 'DialogGraph', 'StoryOccurrence', 'UiSkillUniverse', 'Nothing'][h % 11 + 1] AS et,
+ ['Public\Stats\Spells.txt', 'a/Weapons.lsx', 'Localization/levels.lsx', 'x/Foo_SubRegions.lsx', 'ReadyChecks_Descriptions.x', 'ItemCombinations', 'Localization\Stats\any.lsx', 'status_boosts.loca', 'deep/shout_x', 'plain.txt'][(h // 11) % 10 + 1] AS path,
+ ['skill_spell', 'item', NULL, NULL][h % 4 + 1] AS by_entry, ['AbilityOrSkill', 'ItemsAndEquipment', 'UserInterface', 'x', ''][h % 5 + 1] AS pd, h % 5 AS fam, h % 3 > 0 AS content, h % 17 = 0 AS old, h % 13 = 0 AS excluded, h % 6 AS ws, h % 2 AS dm, h % 4 < 3 AS display FROM ev0),
+ st AS (SELECT *, regexp_replace(split_part(replace(lower(path), '\', '/'), '/', -1), '\.[^.]*$', '') AS stem FROM ev),
+ head AS (SELECT k, uid, mt, md, arg_min(rule_id, j) FILTER (et = 'BarkSpeakerStructure') AS rb, arg_min(path, j) FILTER (et = 'BarkSpeakerStructure') AS pb, arg_min(rule_id, j) FILTER (et = 'QuestJournal') AS rq, arg_min(path, j) FILTER (et = 'QuestJournal') AS pq,
+  arg_min(rule_id, j) FILTER (et = 'UiSkillProvider') AS ru, arg_min(path, j) FILTER (et = 'UiSkillProvider') AS pu, arg_min(rule_id, j) FILTER (et = 'DialogGraph') AS rd, arg_min(path, j) FILTER (et = 'DialogGraph') AS pdg FROM st GROUP BY ALL),
+ ui(d, c) AS (VALUES ('AbilityOrSkill', 'skill_spell'), ('ItemsAndEquipment', 'item'), ('UserInterface', 'ui')),
+ hits(uid, category, confidence, reason, rule_id, resource_path) AS (
+ SELECT uid, 'bark', 'high', 'bark-structural-mapping', coalesce(rb, 'bark-structural-mapping'), coalesce(pb, '') FROM head WHERE mt = 'bark-speaker' OR rb IS NOT NULL
+ UNION ALL SELECT uid, 'quest', 'high', 'quest-journal-mapping', coalesce(rq, 'quest-journal-mapping'), coalesce(pq, '') FROM head WHERE mt = 'quest-journal' OR rq IS NOT NULL
+ UNION ALL SELECT uid, c, 'high', 'ui-skill-domain', coalesce(ru, 'ui-skill-domain'), coalesce(pu, '') FROM head JOIN ui ON d = md WHERE mt = 'ui-skill-candidate'
+ UNION ALL SELECT uid, 'dialogue_general', 'high', 'dialog-context', coalesce(rd, 'dialog-context'), coalesce(pdg, '') FROM head WHERE mt = 'dialog-context' OR rd IS NOT NULL
+ UNION ALL SELECT uid, coalesce(by_entry, s.c), CASE WHEN by_entry IS NOT NULL THEN 'high' ELSE 'medium' END, CASE WHEN by_entry IS NOT NULL THEN 'stat-entry-type' ELSE 'stat-resource-path' END, rule_id, path
+  FROM st LEFT JOIN (VALUES ('spells', 'skill_spell'), ('weapons', 'item')) s(n, c) ON s.n = stem WHERE (mt = 'stat-reference' OR et IN ('StatsDefinition', 'PassiveContext')) AND (by_entry IS NOT NULL OR s.c IS NOT NULL)
+ UNION ALL SELECT uid, c, 'high', 'ui-skill-provider', rule_id, path FROM st JOIN ui ON d = pd WHERE et = 'UiSkillProvider'
+ UNION ALL SELECT uid, split_part(f, '/', 1), 'high', split_part(f, '/', 2), rule_id, path FROM (SELECT *, CASE WHEN fam = 0 AND content THEN 'book_lore/readable-registry-structure' WHEN fam = 1 THEN 'character_world/tags-characters-structure' WHEN fam = 3 THEN 'dialogue_general/story-dialog-structure'
+   WHEN fam IN (2, 4) AND content THEN CASE WHEN stem IN ('levels', 'foo_subregions') THEN 'character_world/world-registry-structure' WHEN stem = 'readychecks_descriptions' THEN 'system_message/ready-check-registry-structure'
+   WHEN stem = 'itemcombinations' THEN 'item/item-combination-registry-structure' WHEN stem IN ('any', 'status_boosts', 'shout_x') THEN 'skill_spell/gameplay-registry-structure' END END AS f FROM st WHERE mt = 'story-occurrence' AND et = 'StoryOccurrence' AND NOT old) WHERE f IS NOT NULL
+ UNION ALL SELECT uid, split_part(f, '/', 1), 'high', split_part(f, '/', 2), rule_id, path FROM (SELECT *, CASE ws WHEN 0 THEN 'item/ui-skill-workstream' WHEN 1 THEN 'skill_spell/ui-skill-workstream' WHEN 2 THEN 'ui/ui-skill-workstream' WHEN 3 THEN CASE WHEN dm = 0 THEN 'tutorial/tutorial-workstream-domain' END
+   WHEN 4 THEN CASE WHEN dm = 1 AND display THEN 'skill_spell/action-resource-definition' END END AS f FROM st WHERE mt = 'ui-skill-universe' AND et = 'UiSkillUniverse' AND NOT excluded) WHERE f IS NOT NULL)"""
 PLAN = """o AS (SELECT o_orderkey, o_orderpriority AS category, o_custkey % 150 AS grp, CASE WHEN o_orderpriority = '1-URGENT' THEN 15 WHEN o_orderpriority IN ('2-HIGH', '3-MEDIUM') THEN 50 ELSE 100 END AS lim FROM orders),
  w AS (SELECT *, row_number() OVER (PARTITION BY category, grp ORDER BY o_orderkey) - 1 AS place, count(*) OVER (PARTITION BY category, grp) AS size FROM o),
  u AS (SELECT *, place // lim AS part, CASE WHEN size > lim THEN grp || '#part-' || lpad(CAST(place // lim + 1 AS VARCHAR), 4, '0') ELSE CAST(grp AS VARCHAR) END AS unit FROM w),
@@ -105,6 +129,11 @@ ORACLE: dict[str, str] = {
     "universe_partition": f"WITH {UNIVERSE} SELECT doc_id, universe_class FROM parted",
     "residual_resolution": f"WITH {UNIVERSE} SELECT doc_id, universe_class, CASE WHEN quality = 0 THEN 'rejected' WHEN copies > 1 THEN 'duplicate' WHEN lang IN ('de', 'fr') THEN 'auxiliary-confirmed' ELSE 'unresolved' END AS resolution FROM parted WHERE universe_class IN ('context-hold', 'source-unconfirmed')",
     "set_algebra": "WITH k AS (SELECT o_custkey, bool_or(o_orderstatus = 'F') AS f, bool_or(o_orderstatus = 'O') AS o FROM orders GROUP BY o_custkey) SELECT CASE WHEN f AND o THEN 'intersect' WHEN f THEN 'left-only' ELSE 'right-only' END AS relation, count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS key_sum FROM k WHERE f OR o GROUP BY 1",
+    "ownership_evidence": f"WITH {HITS} SELECT category, confidence, reason, rule_id, resource_path, count(*) AS n FROM hits GROUP BY ALL",
+    "functional_ownership": f"""WITH {HITS}, g AS (SELECT uid, category, min(CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) AS c, count(*) AS n FROM hits GROUP BY ALL),
+ r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY c, list_position(['bark', 'quest', 'skill_spell', 'item', 'book_lore', 'character_world', 'system_message', 'tutorial', 'ui', 'dialogue_general', 'other'], category)) AS i FROM g),
+ w AS (SELECT uid, max(category) FILTER (i = 1) AS cat, max(c) FILTER (i = 1) AS c, string_agg('also:' || category, ';' ORDER BY i) FILTER (i > 1) AS tags, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY uid)
+ SELECT uid, coalesce(cat, 'other') AS primary_category, coalesce(['high', 'medium', 'low'][c + 1], 'low') AS confidence, coalesce(tags, '') AS tags, CASE WHEN cat IS NULL THEN 'unclassified' ELSE 'classified' END AS status, coalesce(n, 0) AS n_evidence FROM (SELECT DISTINCT p_partkey % 700 AS uid FROM part) LEFT JOIN w USING (uid)""",
     "classify_ownership": f"WITH {CANDIDATES} SELECT * FROM owners",
     "classification_summary": f"WITH {CANDIDATES} SELECT d.primary_category, count(o.p_partkey) AS n FROM (SELECT unnest(['bark', 'quest', 'skill_spell', 'item', 'ui', 'other', 'tutorial']) AS primary_category) d LEFT JOIN owners o USING (primary_category) GROUP BY 1",
     "decision_overlay": "SELECT doc_id, CASE WHEN quality = 1 THEN 'item' WHEN quality = 0 THEN 'ui' WHEN doc_id % 7 IN (1, 2) THEN 'quest' END AS primary_category, CASE WHEN quality IS NOT NULL THEN 'classified' WHEN doc_id % 7 = 0 THEN 'excluded' WHEN doc_id % 7 < 3 THEN 'classified' ELSE 'unresolved' END AS status, CASE WHEN quality IS NOT NULL OR doc_id % 7 >= 3 THEN 'none' WHEN doc_id % 7 = 0 THEN 'exclude' ELSE 'classify' END AS action FROM documents LEFT JOIN labels USING (doc_id)",
