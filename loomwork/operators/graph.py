@@ -8,27 +8,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settled
+
 
 def closure(edges: DataFrame, src: str, dst: str, levels: int = 100) -> DataFrame:
     """start, node, depth: every node reachable from start and the least number of steps; start itself is left out."""
-    steps = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b").distinct()
+    steps = settled(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b").distinct())
     frontier = steps.select(F.col("a").alias("start"), F.col("b").alias("node"), F.lit(1).alias("depth"))
-    reached = frontier.checkpoint() if _can_checkpoint(edges) else frontier
+    reached = settled(frontier)
     for depth in range(2, levels + 1):
         near = reached.where(F.col("depth") == depth - 1)
         step = near.join(steps, near["node"] == steps["a"]).where("start <> b").select("start", F.col("b").alias("node")).distinct()
         new = step.join(reached.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        new = new.checkpoint() if _can_checkpoint(edges) else new
+        new = settled(new)
         if new.isEmpty():
             return reached
         reached = reached.unionByName(new)
     raise ValueError(f"deeper than {levels} levels")
 
 
-def _can_checkpoint(df: DataFrame) -> bool:
-    return df.sparkSession.sparkContext.getCheckpointDir() is not None
-
-
 def nearest_ancestor(nodes: DataFrame, key: str, parent: str, value: str, levels: int = 64) -> DataFrame:
     """key, depth, owner, value: the nearest node on the way up (itself first) that has a value; a cycle ends at ``levels``."""
     links = nodes.select(F.col(key).alias("_k"), F.col(parent).alias("_up"), F.col(value).alias("_v"))
@@ -36,11 +34,11 @@ def nearest_ancestor(nodes: DataFrame, key: str, parent: str, value: str, levels
     done = None
     for _ in range(levels):
         met = at.join(links, at["owner"] == links["_k"], "left")
-        settled = met.where(F.col("_v").isNotNull() | F.col("_up").isNull() | (F.col("_up") == F.col("owner")))
-        found = settled.select(key, "depth", F.when(F.col("_v").isNotNull(), F.col("owner")).alias("owner"), F.col("_v").alias("value"))
+        ended = met.where(F.col("_v").isNotNull() | F.col("_up").isNull() | (F.col("_up") == F.col("owner")))
+        found = ended.select(key, "depth", F.when(F.col("_v").isNotNull(), F.col("owner")).alias("owner"), F.col("_v").alias("value"))
         done = found if done is None else done.unionByName(found)
         at = met.where(F.col("_v").isNull() & F.col("_up").isNotNull() & (F.col("_up") != F.col("owner"))).select(key, F.col("_up").alias("owner"), (F.col("depth") + 1).alias("depth"))
-        at = at.checkpoint() if _can_checkpoint(nodes) else at
+        at = settled(at)
         if at.isEmpty():
             return done
     return done.unionByName(at.select(key, "depth", F.lit(None).cast(nodes.schema[key].dataType).alias("owner"), F.lit(None).cast(nodes.schema[value].dataType).alias("value")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -402,12 +402,47 @@ def error_breakdown(spark, d):
     return a.groupBy("error_code").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("error_code").rlike("^HTTP_50[0-3]$")).alias("n_server"))
 
 
+def metered(spark, d):
+    """Attempts with a provider, a model and reported tokens, some of them missing."""
+    a, e = attempts(spark, d), F.col("event_id")
+    prompt, completion = F.when(e % 10 > 0, F.col("k") * 1000 + e % 1000), F.when(e % 7 > 0, F.col("k") * 100 + e % 10)
+    number = F.row_number().over(Window.partitionBy("user_id", "item").orderBy("ts", "event_id"))
+    outcome = F.when((F.col("outcome") == "failed"), "failed-final").otherwise(F.col("outcome"))
+    return a.select("event_id", "user_id", "item", F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string")).alias("provider"), F.col("event_type").alias("model"), outcome.alias("outcome"), prompt.cast("long").alias("prompt_tokens"), completion.cast("long").alias("completion_tokens"), F.when(e % 5 > 0, prompt + completion).cast("long").alias("total_tokens"), number.alias("attempt_number"))
+
+
+def spent(spark, d):
+    listed = [("p0", "click", "1.25", "5"), ("p0", "purchase", "10", "30.5"), ("p1", "purchase", "0.000125", "2"), ("p2", "signup", "3", "15")]
+    prices = spark.createDataFrame(listed, "provider string, model string, i string, o string").select("provider", "model", F.col("i").cast("decimal(12,6)").alias("input_per_million"), F.col("o").cast("decimal(12,6)").alias("output_per_million"))
+    return report.usage(metered(spark, d).drop("attempt_number"), prices)
+
+
 @query
 def usage_cost(spark, d):
-    a = attempts(spark, d).select(F.col("event_type").alias("model"), F.when(F.col("event_id") % 10 > 0, F.col("k") * 1000 + F.col("event_id") % 1000).alias("tokens"))
-    prices = spark.createDataFrame([("click", "1.250000"), ("view", "0.500000"), ("purchase", "10.000000")], "model string, p string").select("model", F.col("p").cast("decimal(10,6)").alias("per_million"))
-    out = report.usage(a, prices, ["model"])
-    return out.withColumn("cost", F.col("cost").cast("string"))
+    return spent(spark, d).withColumn("input_cost", F.col("input_cost").cast("string")).withColumn("output_cost", F.col("output_cost").cast("string"))
+
+
+@query
+def cost_summary(spark, d):
+    return report.cost_summary(spent(spark, d)).withColumn("input_cost", F.col("input_cost").cast("string")).withColumn("output_cost", F.col("output_cost").cast("string"))
+
+
+@query
+def attempt_summary(spark, d):
+    return report.attempt_summary(metered(spark, d))
+
+
+@query
+def token_forecast(spark, d):
+    a = metered(spark, d).withColumn("category", F.when(F.col("user_id") % 50 == 0, F.concat(F.lit("rare-"), F.col("user_id").cast("string"))).otherwise(F.col("model")))
+    samples = a.where("outcome = 'succeeded' AND prompt_tokens IS NOT NULL AND completion_tokens IS NOT NULL")
+    left = a.where("outcome = 'retryable'").groupBy("category").agg(F.count(F.lit(1)).alias("n_remaining"))
+    return report.forecast(samples, left, "category")
+
+
+@query
+def accounting_categories(spark, d):
+    return report.categories(completion_rows(spark, d))
 
 
 @query
@@ -503,13 +538,18 @@ def handle_scan(spark, d):
 
 
 def completion(spark, d):
+    return completion_rows(spark, d).select("conv_id", "turn", "category", "disposition", "reason")
+
+
+def completion_rows(spark, d):
     status = F.when(F.col("turn") % 6 == 5, "running").when(F.col("conv_id") % 17 == 3, "failed-retryable").when(F.col("conv_id") % 19 == 4, "failed-final").otherwise("succeeded")
     s = current_states(spark, d).withColumn("status", status)
     q = qa_results(spark, d).where("conv_id % 23 <> 6").select("conv_id", "turn", "route", F.col("output_hash").alias("qa_hash"), "ruleset")
     j = s.join(q, ["conv_id", "turn"], "left")
     stale = (F.col("qa_hash") != F.col("output_hash")) | (F.col("ruleset") != "v2")
     found = state.disposition(F.col("status"), F.col("output") != "", F.col("route").isNotNull(), F.coalesce(stale, F.lit(False)), F.coalesce(F.col("qa_hash") == F.col("output_hash"), F.lit(False)), F.col("route"), F.col("conv_id") % 2 == 0)
-    return j.select("conv_id", "turn", "category", F.substring_index(found, "/", 1).alias("disposition"), F.substring_index(found, "/", -1).alias("reason"))
+    current = F.when(~F.coalesce(stale, F.lit(True)), F.col("route"))
+    return j.select("conv_id", "turn", "category", "status", current.alias("route"), F.substring_index(found, "/", 1).alias("disposition"), F.substring_index(found, "/", -1).alias("reason"))
 
 
 @query

@@ -59,6 +59,19 @@ CANDIDATES = """cand AS (SELECT p_partkey, u.* FROM part, LATERAL (SELECT * FROM
  owners AS (SELECT part.p_partkey, b.category AS primary_category, b.confidence,
  coalesce((SELECT string_agg('also:' || o.category, ';' ORDER BY o.category) FROM cand o WHERE o.p_partkey = part.p_partkey AND o.category <> b.category), '') AS tags,
  CASE WHEN b.category IS NULL THEN 'unresolved' ELSE 'classified' END AS status FROM part LEFT JOIN best b ON b.p_partkey = part.p_partkey AND b.rn = 1)"""
+METERED = (
+    ATTEMPTS
+    + """, metered AS (SELECT user_id, event_type AS model, 'p' || CAST(user_id % 3 AS VARCHAR) AS provider, CASE WHEN outcome = 'failed' THEN 'failed-final' ELSE outcome END AS outcome, row_number() OVER (PARTITION BY user_id, item ORDER BY ts, event_id) AS attempt_number,
+ CASE WHEN event_id % 10 > 0 THEN k * 1000 + event_id % 1000 END AS p, CASE WHEN event_id % 7 > 0 THEN k * 100 + event_id % 10 END AS q, CASE WHEN event_id % 5 > 0 AND event_id % 10 > 0 AND event_id % 7 > 0 THEN k * 1100 + event_id % 1000 + event_id % 10 END AS t FROM attempts)"""
+)
+SPENT = (
+    METERED
+    + """, spent AS (SELECT m.provider, m.model, count(*) AS n_ended, count(coalesce(p, q, t)) AS n_known, CAST(coalesce(sum(p), 0) AS BIGINT) AS prompt_tokens, CAST(coalesce(sum(q), 0) AS BIGINT) AS completion_tokens, CAST(coalesce(sum(t), 0) AS BIGINT) AS total_tokens,
+ CASE WHEN any_value(pi) IS NULL THEN 0 ELSE count(*) FILTER (p IS NOT NULL AND q IS NOT NULL) END AS n_priced, any_value(pi) * coalesce(sum(p) FILTER (q IS NOT NULL), 0) AS i, any_value(po) * coalesce(sum(q) FILTER (p IS NOT NULL), 0) AS o
+ FROM metered m LEFT JOIN (VALUES ('p0', 'click', 1250000::HUGEINT, 5000000::HUGEINT), ('p0', 'purchase', 10000000, 30500000), ('p1', 'purchase', 125, 2000000), ('p2', 'signup', 3000000, 15000000)) x(provider, model, pi, po) ON x.provider = m.provider AND x.model = m.model WHERE outcome <> 'running' GROUP BY m.provider, m.model)"""
+)
+#: A sum in units of a million millionth, as a decimal text.
+MONEY = "CAST({0} // 1000000000000 AS VARCHAR) || '.' || lpad(CAST({0} % 1000000000000 AS VARCHAR), 12, '0')"
 HITS = r"""raw AS (SELECT p_partkey AS k, p_partkey % 700 AS uid, ['bark-speaker', 'quest-journal', 'ui-skill-candidate', 'stat-reference', 'story-occurrence', 'ui-skill-universe', 'dialog-context', 'plain', 'story-occurrence'][p_partkey % 9 + 1] AS mt,
  ['AbilityOrSkill', 'ItemsAndEquipment', 'UserInterface', 'x', ''][p_partkey % 5 + 1] AS md FROM part WHERE p_partkey % 4 <> 3 OR p_partkey % 700 % 5 = 0),
  ev0 AS (SELECT *, k * 7 + 5 * j + k // 11 AS h FROM raw, (VALUES (0), (1)) v(j)),
@@ -151,7 +164,17 @@ ORACLE: dict[str, str] = {
     "run_report": f"WITH {ATTEMPTS}, g AS (SELECT user_id % 10 AS run_id, count(*) AS n, count(*) FILTER (outcome = 'succeeded') AS s, count(*) FILTER (outcome = 'failed') AS f, count(*) FILTER (outcome = 'retryable') AS r, round_even(avg(k) FILTER (outcome = 'succeeded'), 4) AS m, epoch_us(max(ts)) AS hi, (epoch_us(max(ts)) - epoch_us(min(ts))) / 6e7 AS mins FROM attempts GROUP BY 1) SELECT i.run_id, coalesce(n, 0) AS n_attempts, coalesce(s, 0) AS n_succeeded, coalesce(f, 0) AS n_failed, coalesce(r, 0) AS n_retryable, m AS mean_seconds, hi AS last_micros, CASE WHEN mins > 0 THEN round_even(s / mins, 4) END AS per_minute FROM (SELECT unnest(range(12)) AS run_id) i LEFT JOIN g USING (run_id)",
     "attempt_rates": f"WITH {ATTEMPTS}, e AS (SELECT count(*) AS n, count(*) FILTER (outcome = 'succeeded') AS s, count(*) FILTER (outcome = 'failed') AS f, count(*) FILTER (outcome = 'retryable') AS r FROM attempts WHERE outcome <> 'running') SELECT n AS n_ended, {_percent('s', 'n')} AS success_percent, {_percent('f', 'n')} AS failure_percent, {_percent('r', 'n')} AS retry_percent FROM e",
     "error_breakdown": f"WITH {ATTEMPTS}, e AS (SELECT printf('HTTP_%03d', k % 6 + 500) AS error_code FROM attempts WHERE outcome IN ('failed', 'retryable')) SELECT error_code, count(*) AS n, count(*) FILTER (regexp_matches(error_code, '^HTTP_50[0-3]$')) AS n_server FROM e GROUP BY 1",
-    "usage_cost": f"WITH {ATTEMPTS}, a AS (SELECT event_type AS model, CASE WHEN event_id % 10 > 0 THEN k * 1000 + event_id % 1000 END AS tokens FROM attempts), g AS (SELECT model, count(*) AS n_attempts, count(tokens) AS n_known, count(*) - count(tokens) AS n_unknown, CAST(coalesce(sum(tokens), 0) AS BIGINT) AS tokens FROM a GROUP BY 1) SELECT model, n_attempts, n_known, n_unknown, tokens, (micro // 1000000) || '.' || lpad(CAST(micro % 1000000 AS VARCHAR), 6, '0') AS cost, CASE WHEN per_million IS NULL THEN 'unavailable' WHEN n_unknown > 0 THEN 'partial' ELSE 'complete' END AS cost_status FROM (SELECT g.*, per_million, (2 * tokens * per_million + 1000000) // 2000000 AS micro FROM g LEFT JOIN (VALUES ('click', 1250000), ('view', 500000), ('purchase', 10000000)) p(model, per_million) USING (model))",
+    "usage_cost": f"WITH {SPENT} SELECT provider, model, n_ended, n_known, n_ended - n_known AS n_unknown, prompt_tokens, completion_tokens, total_tokens, n_priced, {MONEY.format('i')} AS input_cost, {MONEY.format('o')} AS output_cost FROM spent",
+    "cost_summary": f"WITH {SPENT}, s AS (SELECT CAST(sum(n_ended) AS BIGINT) AS n, CAST(sum(n_priced) AS BIGINT) AS p, sum(i) AS i, sum(o) AS o FROM spent) SELECT n AS n_ended, p AS n_priced, n - p AS n_unpriced, {MONEY.format('i')} AS input_cost, {MONEY.format('o')} AS output_cost, CASE WHEN n > 0 AND p = 0 THEN 'unavailable' WHEN n = p THEN 'complete' ELSE 'partial' END AS cost_status FROM s",
+    "attempt_summary": f"WITH {METERED}, s AS (SELECT count(*) AS n, count(*) FILTER (outcome = 'succeeded') AS ok, count(*) FILTER (attempt_number > 1) AS r, count(*) FILTER (outcome = 'failed-final') AS f FROM metered) SELECT n AS n_attempts, ok AS n_succeeded, r AS n_retries, round_even(100.0::DOUBLE * r / n, 2) AS retry_percent, f AS n_failed_final, round_even(100.0::DOUBLE * f / n, 2) AS failed_final_percent, round_even(n::DOUBLE / ok, 4) AS attempts_per_success FROM s",
+    "token_forecast": f"""WITH {METERED}, c AS (SELECT *, CASE WHEN user_id % 50 = 0 THEN 'rare-' || CAST(user_id AS VARCHAR) ELSE model END AS category FROM metered),
+ own AS (SELECT category, count(*) AS n, sum(p) AS p, sum(q) AS q FROM c WHERE outcome = 'succeeded' AND p IS NOT NULL AND q IS NOT NULL GROUP BY 1), g AS (SELECT coalesce(sum(n), 0) AS n, sum(p) AS p, sum(q) AS q FROM own),
+ l AS (SELECT category, count(*) AS r FROM c WHERE outcome = 'retryable' GROUP BY 1)
+ SELECT CASE WHEN max(g.n) >= 10 THEN 'available' ELSE 'unavailable' END AS status, CAST(sum(r) AS BIGINT) AS n_remaining, CAST(max(g.n) AS BIGINT) AS n_samples,
+ CAST(round(sum(r * CASE WHEN own.n >= 10 THEN own.p::DOUBLE / own.n ELSE g.p::DOUBLE / g.n END)) AS BIGINT) AS prompt_tokens, CAST(round(sum(r * CASE WHEN own.n >= 10 THEN own.q::DOUBLE / own.n ELSE g.q::DOUBLE / g.n END)) AS BIGINT) AS completion_tokens FROM l LEFT JOIN own USING (category), g""",
+    "accounting_categories": f"""WITH {COMPLETION}, z AS (SELECT v.category, status, CASE WHEN r.route IS NOT NULL AND r.output_hash = v.output_hash AND r.ruleset = 'v2' THEN r.route END AS route, disposition FROM st v JOIN completion c ON c.conv_id = v.conv_id AND c.turn = v.turn LEFT JOIN (SELECT * FROM results WHERE conv_id % 23 <> 6) r ON r.conv_id = v.conv_id AND r.turn = v.turn)
+ SELECT category, count(*) AS n_total, count(*) FILTER (status = 'succeeded') AS n_succeeded, count(*) FILTER (status <> 'succeeded') AS n_remaining, count(*) FILTER (disposition = 'WAITING_RETRY') AS n_retry, count(*) FILTER (status = 'failed-final') AS n_failed_final,
+ count(*) FILTER (route = 'PASS') AS n_qa_pass, count(*) FILTER (route = 'REVIEW') AS n_qa_review, count(*) FILTER (disposition = 'MERGE_READY') AS n_merge_ready, round_even(100.0::DOUBLE * count(*) FILTER (status = 'succeeded') / count(*), 2) AS succeeded_percent, round_even(100.0::DOUBLE * count(*) FILTER (disposition = 'MERGE_READY') / count(*), 2) AS merge_ready_percent FROM z GROUP BY category""",
     "remaining_estimate": f"WITH {ATTEMPTS}, a AS (SELECT *, CASE WHEN user_id % 50 = 0 THEN 'rare-' || user_id ELSE event_type END AS category FROM attempts), s AS (SELECT category, count(k) AS n, avg(k) AS m FROM a WHERE outcome = 'succeeded' GROUP BY 1), w AS (SELECT avg(k) AS m FROM a WHERE outcome = 'succeeded'), r AS (SELECT category, count(*) AS n_remaining FROM a WHERE outcome <> 'succeeded' GROUP BY 1) SELECT category, n_remaining, coalesce(n, 0) AS n_samples, CASE WHEN n >= 10 THEN 'category' ELSE 'global' END AS basis, CAST(round_even(CASE WHEN n >= 10 THEN s.m ELSE w.m END * n_remaining, 0) AS BIGINT) AS estimate FROM r LEFT JOIN s USING (category), w",
     "domain_summary": "SELECT source, count(*) AS n_docs, count(DISTINCT lang) AS n_langs, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY source",
     "resource_audit": f"SELECT lang, count(*) AS n_docs, count(quality) AS n_labelled, {_percent('count(quality)', 'count(*)')} AS labelled_percent FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -22,6 +24,20 @@ def session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8
     return build.getOrCreate()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back: lineage ends there, and a lost executor loses nothing.
+
+    A folder of this machine's own is taken only where none is set and all run on it.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if root is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="loomwork-"))
+    return df.checkpoint()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -176,3 +176,33 @@ def test_layered_merge(spark):
     df = spark.createDataFrame(rows, "k string, layer int, v int, stop boolean")
     got = {r.k: (r.n_layers, r.merged_value) for r in rank.layered_merge(df, "k", [F.desc("layer")], "v", F.col("stop")).collect()}
     assert got == {"a": (2, None), "b": (1, 5), "c": (2, 9)}
+
+
+def test_batch_input_order_and_lanes(spark):
+    rows = [("U2", ["B\\x", ""], "classified", "ui"), ("u1", ["b/x"], "classified", "ui"), ("u3", ["a"], "classified", "other"), ("u4", None, "excluded", "ui"), ("u5", [], "unclassified", "other")]
+    df = spark.createDataFrame(rows, "uid string, subkeys array<string>, status string, primary_category string")
+    lanes = {r.uid: r.lane for r in batch.sort_out(df).collect()}
+    assert lanes == {"U2": "eligible", "u1": "eligible", "u3": "unresolved", "u4": "excluded", "u5": "unresolved"}
+    assert [r.uid for r in df.where("size(subkeys) > 0").orderBy(batch.record_key(F.col("subkeys"), F.col("uid"))).collect()] == ["u3", "u1", "U2"]
+
+
+def test_batches_of_split_and_whole_groups(spark):
+    rows = [(i, "c", "big") for i in range(23)] + [(100 + i, "c", "small") for i in range(4)] + [(200, "c", "tiny"), (300, "d", "big")]
+    out = batch.plan(spark.createDataFrame(rows, "id int, category string, grp string"), "category", "grp", ["id"], {"c": 10, "d": 10}).collect()
+    got = {r.id: (r.unit, r.batch_id) for r in out}
+    assert len(out) == len(rows) and got[0] == ("big#part-0001", "c-0001") and got[10] == ("big#part-0002", "c-0002") and got[22] == ("big#part-0003", "c-0003")
+    assert got[100] == ("small", "c-0003") and got[200] == ("tiny", "c-0003") and got[300] == ("big", "d-0001")
+
+
+def test_forecast_and_cost_without_samples(spark):
+    none = spark.createDataFrame([], "category string, prompt_tokens long, completion_tokens long")
+    left = spark.createDataFrame([("a", 3), ("b", 1)], "category string, n_remaining long")
+    assert report.forecast(none, left, "category").first().asDict() == {"status": "unavailable", "n_remaining": 4, "n_samples": 0, "prompt_tokens": None, "completion_tokens": None}
+    assert report.forecast(none, left.limit(0), "category").first().prompt_tokens == 0
+    some = spark.createDataFrame([("a", 10, 1)] * 10 + [("b", 50, 5)] * 2, "category string, prompt_tokens long, completion_tokens long")
+    assert report.forecast(some, left, "category").first().prompt_tokens == round(3 * 10 + 200 / 12)
+    tried = spark.createDataFrame([("p", "m", "succeeded", 1_000_000, 2_000_000, None), ("p", "m", "failed-final", 5, None, None), ("p", "n", "running", 1, 1, 2), ("q", "m", "succeeded", None, None, None)], "provider string, model string, outcome string, prompt_tokens long, completion_tokens long, total_tokens long")
+    prices = spark.createDataFrame([("p", "m", "1.5", "0.25")], "provider string, model string, i string, o string").selectExpr("provider", "model", "cast(i as decimal(12,6)) input_per_million", "cast(o as decimal(12,6)) output_per_million")
+    used = {(r.provider, r.model): (r.n_ended, r.n_known, r.n_priced, str(r.input_cost), str(r.output_cost)) for r in report.usage(tried, prices).collect()}
+    assert used == {("p", "m"): (2, 2, 1, "1.500000000000", "0.500000000000"), ("q", "m"): (1, 0, 0, "None", "None")}
+    assert report.cost_summary(report.usage(tried, prices)).first().cost_status == "partial"
