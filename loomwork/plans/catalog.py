@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import align, batch, classify, graph, merge, ownership, qa, rank, report, sets, state, validate
+from ..operators import align, batch, classify, graph, merge, ownership, qa, rank, report, sets, state, transitions, validate
 from ..session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -417,6 +417,61 @@ def spent(spark, d):
     return report.usage(metered(spark, d).drop("attempt_number"), prices)
 
 
+def running_states(spark, d):
+    """Orders as rows of an execution, two thirds of them running, and the attempts that they run."""
+    o, key = table(spark, d, "orders"), F.col("o_orderkey")
+    none = F.lit(None)
+    running = key % 3 > 0
+    now = F.timestamp_seconds(F.lit(1_700_000_000))
+    states = o.select(
+        key.cast("string").alias("content_uid"),
+        F.concat(F.lit("b"), (key % 40).cast("string")).alias("batch_id"),
+        F.when(running, "running").otherwise("pending").alias("status"),
+        none.cast("string").alias("translated_text"),
+        F.md5("o_orderpriority").alias("input_hash"),
+        none.cast("string").alias("output_hash"),
+        none.cast("string").alias("last_successful_run_id"),
+        F.when(running, key + 1000).alias("last_attempt_id"),
+        (key % 4).cast("int").alias("attempt_count"),
+        F.when(running, F.concat(F.lit("w"), (key % 5).cast("string"))).alias("lease_owner"),
+        F.when(running, F.timestamp_seconds(1_700_000_000 + key % 7 - 3)).alias("lease_expires_at"),
+        now.alias("updated_at"),
+    )
+    attempts = o.where(running).select(
+        (key + 1000).alias("attempt_id"), F.lit("r1").alias("run_id"), key.cast("string").alias("content_uid"), F.concat(F.lit("b"), (key % 40).cast("string")).alias("batch_id"), (key % 4).cast("int").alias("attempt_number"), F.lit("p").alias("provider"), F.lit("m").alias("model"),
+        now.alias("started_at"), none.cast("timestamp").alias("finished_at"), F.lit("running").alias("outcome"), *[none.cast("string").alias(c) for c in ("error_code", "error_message")], F.md5("o_orderpriority").alias("input_hash"), none.cast("string").alias("output_hash"), *[none.cast("long").alias(c) for c in transitions.USAGE],
+    )
+    return states, attempts, now
+
+
+def told(states, attempts):
+    """States beside the outcome of their last attempt."""
+    a = attempts.select(F.col("attempt_id").alias("last_attempt_id"), "outcome", "error_code", "total_tokens", F.unix_seconds("finished_at").alias("finished"))
+    number = lambda c: F.coalesce(c, F.lit(-1)).cast("long").alias(c)
+    return states.join(a, "last_attempt_id", "left").select("content_uid", "status", "attempt_count", "lease_owner", "output_hash", "last_successful_run_id", "outcome", "error_code", number("total_tokens"), number("finished"))
+
+
+@query
+def attempts_completed(spark, d):
+    states, attempts, now = running_states(spark, d)
+    key = F.col("content_uid").cast("long")
+    ends = states.where((F.col("status") == "running") & (key % 2 == 0)).select(F.col("last_attempt_id").alias("attempt_id"), F.col("lease_owner").alias("worker_id"), (key % 5 > 1).alias("succeeded"), (key % 4 == 0).alias("retryable"), F.concat(F.lit("T"), F.col("content_uid")).alias("translated_text"), F.md5("content_uid").alias("output_hash"), F.lit("E1").alias("error_code"), F.lit("failed").alias("error_message"), (key % 100).alias("prompt_tokens"), (key % 10).alias("completion_tokens"), (key % 100 + key % 10).alias("total_tokens"))
+    return told(*transitions.complete(states, attempts, ends, now, max_attempts=3))
+
+
+@query
+def leases_expired(spark, d):
+    states, attempts, now = running_states(spark, d)
+    return told(*transitions.expire(states, attempts, now))
+
+
+@query
+def rows_claimed(spark, d):
+    states, attempts, now = running_states(spark, d)
+    run = {"run_id": "r2", "provider": "p", "model": "m", "status": "running"}
+    return told(*transitions.claim(states, attempts, run, "w9", 25, now, F.timestamp_seconds(F.lit(1_700_000_600)), max_attempts=3)).where("lease_owner = 'w9'")
+
+
 @query
 def usage_cost(spark, d):
     return spent(spark, d).withColumn("input_cost", F.col("input_cost").cast("string")).withColumn("output_cost", F.col("output_cost").cast("string"))

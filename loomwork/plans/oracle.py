@@ -164,6 +164,15 @@ ORACLE: dict[str, str] = {
     "run_report": f"WITH {ATTEMPTS}, g AS (SELECT user_id % 10 AS run_id, count(*) AS n, count(*) FILTER (outcome = 'succeeded') AS s, count(*) FILTER (outcome = 'failed') AS f, count(*) FILTER (outcome = 'retryable') AS r, round_even(avg(k) FILTER (outcome = 'succeeded'), 4) AS m, epoch_us(max(ts)) AS hi, (epoch_us(max(ts)) - epoch_us(min(ts))) / 6e7 AS mins FROM attempts GROUP BY 1) SELECT i.run_id, coalesce(n, 0) AS n_attempts, coalesce(s, 0) AS n_succeeded, coalesce(f, 0) AS n_failed, coalesce(r, 0) AS n_retryable, m AS mean_seconds, hi AS last_micros, CASE WHEN mins > 0 THEN round_even(s / mins, 4) END AS per_minute FROM (SELECT unnest(range(12)) AS run_id) i LEFT JOIN g USING (run_id)",
     "attempt_rates": f"WITH {ATTEMPTS}, e AS (SELECT count(*) AS n, count(*) FILTER (outcome = 'succeeded') AS s, count(*) FILTER (outcome = 'failed') AS f, count(*) FILTER (outcome = 'retryable') AS r FROM attempts WHERE outcome <> 'running') SELECT n AS n_ended, {_percent('s', 'n')} AS success_percent, {_percent('f', 'n')} AS failure_percent, {_percent('r', 'n')} AS retry_percent FROM e",
     "error_breakdown": f"WITH {ATTEMPTS}, e AS (SELECT printf('HTTP_%03d', k % 6 + 500) AS error_code FROM attempts WHERE outcome IN ('failed', 'retryable')) SELECT error_code, count(*) AS n, count(*) FILTER (regexp_matches(error_code, '^HTTP_50[0-3]$')) AS n_server FROM e GROUP BY 1",
+    "attempts_completed": """SELECT CAST(k AS VARCHAR) AS content_uid, CASE WHEN NOT running THEN 'pending' WHEN NOT ended THEN 'running' WHEN ok THEN 'succeeded' WHEN k % 4 = 0 AND k % 4 < 3 THEN 'failed-retryable' ELSE 'failed-final' END AS status, CAST(k % 4 AS INTEGER) AS attempt_count,
+ CASE WHEN running AND NOT ended THEN 'w' || CAST(k % 5 AS VARCHAR) END AS lease_owner, CASE WHEN ended AND ok THEN md5(CAST(k AS VARCHAR)) END AS output_hash, CASE WHEN ended AND ok THEN 'r1' END AS last_successful_run_id,
+ CASE WHEN NOT running THEN NULL WHEN NOT ended THEN 'running' WHEN ok THEN 'succeeded' WHEN k % 4 = 0 THEN 'failed-retryable' ELSE 'failed-final' END AS outcome, CASE WHEN ended AND NOT ok THEN 'E1' END AS error_code, CASE WHEN ended THEN k % 100 + k % 10 ELSE -1 END AS total_tokens, CASE WHEN ended THEN 1700000000::BIGINT ELSE -1 END AS finished
+ FROM (SELECT o_orderkey AS k, o_orderkey % 3 > 0 AS running, o_orderkey % 3 > 0 AND o_orderkey % 2 = 0 AS ended, o_orderkey % 5 > 1 AS ok FROM orders)""",
+    "leases_expired": """SELECT CAST(k AS VARCHAR) AS content_uid, CASE WHEN NOT running THEN 'pending' WHEN late THEN 'failed-retryable' ELSE 'running' END AS status, CAST(k % 4 AS INTEGER) AS attempt_count, CASE WHEN running AND NOT late THEN 'w' || CAST(k % 5 AS VARCHAR) END AS lease_owner,
+ CAST(NULL AS VARCHAR) AS output_hash, CAST(NULL AS VARCHAR) AS last_successful_run_id, CASE WHEN late THEN 'abandoned' WHEN running THEN 'running' END AS outcome, CASE WHEN late THEN 'LEASE_EXPIRED' END AS error_code, -1::BIGINT AS total_tokens, CASE WHEN late THEN 1700000000::BIGINT ELSE -1 END AS finished
+ FROM (SELECT o_orderkey AS k, o_orderkey % 3 > 0 AS running, o_orderkey % 3 > 0 AND o_orderkey % 7 - 3 <= 0 AS late FROM orders)""",
+    "rows_claimed": """SELECT CAST(o_orderkey AS VARCHAR) AS content_uid, 'running' AS status, CAST(o_orderkey % 4 + 1 AS INTEGER) AS attempt_count, 'w9' AS lease_owner, CAST(NULL AS VARCHAR) AS output_hash, CAST(NULL AS VARCHAR) AS last_successful_run_id, 'running' AS outcome, CAST(NULL AS VARCHAR) AS error_code, -1::BIGINT AS total_tokens, -1::BIGINT AS finished
+ FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 4 < 3 ORDER BY 'b' || CAST(o_orderkey % 40 AS VARCHAR), CAST(o_orderkey AS VARCHAR) LIMIT 25""",
     "usage_cost": f"WITH {SPENT} SELECT provider, model, n_ended, n_known, n_ended - n_known AS n_unknown, prompt_tokens, completion_tokens, total_tokens, n_priced, {MONEY.format('i')} AS input_cost, {MONEY.format('o')} AS output_cost FROM spent",
     "cost_summary": f"WITH {SPENT}, s AS (SELECT CAST(sum(n_ended) AS BIGINT) AS n, CAST(sum(n_priced) AS BIGINT) AS p, sum(i) AS i, sum(o) AS o FROM spent) SELECT n AS n_ended, p AS n_priced, n - p AS n_unpriced, {MONEY.format('i')} AS input_cost, {MONEY.format('o')} AS output_cost, CASE WHEN n > 0 AND p = 0 THEN 'unavailable' WHEN n = p THEN 'complete' ELSE 'partial' END AS cost_status FROM s",
     "attempt_summary": f"WITH {METERED}, s AS (SELECT count(*) AS n, count(*) FILTER (outcome = 'succeeded') AS ok, count(*) FILTER (attempt_number > 1) AS r, count(*) FILTER (outcome = 'failed-final') AS f FROM metered) SELECT n AS n_attempts, ok AS n_succeeded, r AS n_retries, round_even(100.0::DOUBLE * r / n, 2) AS retry_percent, f AS n_failed_final, round_even(100.0::DOUBLE * f / n, 2) AS failed_final_percent, round_even(n::DOUBLE / ok, 4) AS attempts_per_success FROM s",

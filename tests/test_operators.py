@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork.functions import text as T
-from loomwork.operators import align, batch, classify, graph, merge, qa, rank, report, sets, state, validate
+from loomwork.operators import align, batch, classify, graph, merge, qa, rank, report, sets, state, transitions, validate
+from loomwork.sources import writers
 
 
 def column(spark, expression, **values):
@@ -206,3 +207,34 @@ def test_forecast_and_cost_without_samples(spark):
     used = {(r.provider, r.model): (r.n_ended, r.n_known, r.n_priced, str(r.input_cost), str(r.output_cost)) for r in report.usage(tried, prices).collect()}
     assert used == {("p", "m"): (2, 2, 1, "1.500000000000", "0.500000000000"), ("q", "m"): (1, 0, 0, "None", "None")}
     assert report.cost_summary(report.usage(tried, prices)).first().cost_status == "partial"
+
+
+def execution(spark, rows):
+    states = spark.createDataFrame([(u, "b1", s, t, "i", h, None, a, n, w, None, None) for u, s, t, h, a, n, w in rows], "content_uid string, batch_id string, status string, translated_text string, input_hash string, output_hash string, last_successful_run_id string, last_attempt_id long, attempt_count int, lease_owner string, lease_expires_at timestamp, updated_at timestamp")
+    attempts = spark.createDataFrame([(a, "r", u, "b1", n, "p", "m", None, None, "running", None, None, "i", None, None, None, None) for u, s, t, h, a, n, w in rows if s == "running"], "attempt_id long, run_id string, content_uid string, batch_id string, attempt_number int, provider string, model string, started_at timestamp, finished_at timestamp, outcome string, error_code string, error_message string, input_hash string, output_hash string, prompt_tokens long, completion_tokens long, total_tokens long")
+    return states, attempts
+
+
+def test_transitions_are_denied(spark):
+    now = F.timestamp_seconds(F.lit(5))
+    states, attempts = execution(spark, [("u1", "running", None, None, 7, 1, "w1"), ("u2", "succeeded", "x", "h", 8, 3, None), ("u3", "succeeded", None, None, 9, 1, None)])
+    end = lambda a, w, tokens=1: spark.createDataFrame([(a, w, True, True, "T", "H", None, None, tokens, 1, 2)], "attempt_id long, worker_id string, succeeded boolean, retryable boolean, translated_text string, output_hash string, error_code string, error_message string, prompt_tokens long, completion_tokens long, total_tokens long")
+    for results, fault in ((end(7, "w2"), "own lease for u1"), (end(99, "w1"), "unknown attempt"), (end(7, "w1", -1), "negative")):
+        with pytest.raises(ValueError, match=fault):
+            transitions.complete(states, attempts, results, now, 3)
+    after, ended = transitions.complete(states, attempts, end(7, "w1"), now, 3)
+    assert after.where("content_uid = 'u1'").first().output_hash == "H" and ended.first().outcome == "succeeded"
+    uids = lambda *u: spark.createDataFrame([(x,) for x in u], "content_uid string")
+    assert transitions.reopen(states, uids("u2"), now, 3).where("content_uid = 'u2'").first().status == "failed-final"
+    for bad, fault in (("u1", "not succeeded"), ("u3", "no completed"), ("u4", "unknown")):
+        with pytest.raises(ValueError, match=fault):
+            transitions.reopen(states, uids(bad), now, 3)
+    assert transitions.run_status(states) == "incomplete" and transitions.run_status(states.where("status = 'succeeded'")) == "completed"
+
+
+def test_snapshot_is_replaced_by_what_reads_it(spark, tmp_path):
+    path = str(tmp_path / "states")
+    writers.replace_snapshot(spark.range(3), path)
+    writers.replace_snapshot(writers.read_snapshot(spark, path).selectExpr("id + 10 AS id"), path)
+    writers.drop_old_snapshots(spark, path)
+    assert sorted(r.id for r in writers.read_snapshot(spark, path).collect()) == [10, 11, 12] and len(list((tmp_path / "states").glob("v-*"))) == 1
