@@ -10,6 +10,9 @@ PROTECTED = r"(\{[^{}]+\}|%(?:[0-9]+\$)?[sdif])"
 LANGUAGE_BEARING = r"[A-Za-z]{4,}"
 HANDLE = r"(?<![A-Za-z0-9])(h[0-9a-f]{8}g[0-9a-f]{4}g[0-9a-f]{4}g[0-9a-f]{4}g[0-9a-f]{12})(?![A-Za-z0-9])"
 
+#: Fixed value: the tag whose structure a target must keep.
+MARKUP = "LSTag"
+
 
 def sha256(text: Column | str) -> Column:
     """Hex SHA-256 of the UTF-8 bytes; null stays null."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,3 +53,27 @@ def reconcile(reviews: DataFrame, key: str) -> DataFrame:
     agg = reviews.groupBy(key).agg(F.count(F.lit(1)).alias("n_reviews"), F.count_if(revise & F.col("proposal").isNull()).alias("_blank"), F.count_distinct(F.when(revise, F.col("proposal"))).alias("n_proposals"), F.min(F.when(revise, F.col("proposal"))).alias("_one"))
     resolution = F.when((F.col("_blank") > 0) | (F.col("n_proposals") > 1), "conflict").when(F.col("n_proposals") == 1, "adopted").otherwise("unchanged")
     return agg.select(key, "n_reviews", "n_proposals", resolution.alias("resolution"), F.when(resolution == "adopted", F.col("_one")).alias("resolved_text"))
+
+
+def framed_digest(rows: DataFrame, *columns: str) -> DataFrame:
+    """n_rows, inventory_sha256: SHA-256 over every cell in the order of the first column, each after its length in eight bytes, then the number of rows.
+
+    Such a chain is sequential by definition: sorted rows pass one task as a stream, and nothing is held but the hash. Null is an empty text.
+    """
+    frame = lambda data: len(data).to_bytes(8, "big") + data
+
+    def run(batches):
+        digest, n = hashlib.sha256(), 0
+
+        for batch in batches:
+            for cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                digest.update(b"".join(frame(cell.encode()) for cell in cells))
+            n += batch.num_rows
+        digest.update(frame(str(n).encode()))
+        yield pa.RecordBatch.from_pydict({"n_rows": pa.array([n], pa.int64()), "inventory_sha256": [digest.hexdigest()]})
+
+    cells = rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns])
+    found = cells.repartition(1).sortWithinPartitions(columns[0]).mapInArrow(run, "n_rows bigint, inventory_sha256 string")
+    # An empty table may have no task at all; what is left then is the hash of the count.
+    one = rows.sparkSession.range(1).join(found, F.lit(True), "left")
+    return one.select(F.coalesce("n_rows", F.lit(0).cast("bigint")).alias("n_rows"), F.coalesce("inventory_sha256", F.lit(hashlib.sha256(frame(b"0")).hexdigest())).alias("inventory_sha256"))

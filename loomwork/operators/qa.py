@@ -33,8 +33,6 @@ SEVERITY = {
     "SOURCE_EQUALS_TARGET": "REVIEW",
     "LENGTH_RATIO_SUSPICIOUS": "REVIEW",
 }
-#: Fixed value: the tag whose structure a target must keep.
-MARKUP = "LSTag"
 
 
 def evaluate(pairs: DataFrame, category: str, source: str, target: str, required: Column | None = None) -> DataFrame:
@@ -53,7 +51,7 @@ def evaluate(pairs: DataFrame, category: str, source: str, target: str, required
         "OUTPUT_EMPTY": m == 0,
         "PROTECTED_TOKEN_MISSING": F.size(T.multiset_minus(wanted, got)) > 0,
         "PROTECTED_TOKEN_ADDED": F.size(T.multiset_minus(got, wanted)) > 0,
-        "LSTAG_MALFORMED": T.markup_faults(F.col(target), MARKUP),
+        "LSTAG_MALFORMED": T.markup_faults(F.col(target), T.MARKUP),
         "SOURCE_EQUALS_TARGET": compared & (s == t) & s.rlike(T.LANGUAGE_BEARING),
         "LENGTH_RATIO_SUSPICIOUS": compared & (n >= F.col("_p")[0]) & ((F.col("_ratio") < F.col("_p")[1]) | (F.col("_ratio") > F.col("_p")[2])),
     }

@@ -60,3 +60,14 @@ def require_equal_keys(left: DataFrame, right: DataFrame, key: str) -> None:
     counts = algebra(left, right, key).groupBy("relation").count().where("relation <> 'intersect'").collect()  # two rows at most
     if counts:
         raise ValueError("; ".join(f"{r.relation}: {r['count']}" for r in counts))
+
+
+def union_keys(sets: list[DataFrame], key: str) -> DataFrame:
+    """Keys in any of the sets, each once."""
+    return reduce(DataFrame.unionByName, [s.select(key) for s in sets]).distinct()
+
+
+def shared_beyond(a: DataFrame, b: DataFrame, existing: DataFrame | None, key: str) -> DataFrame:
+    """Keys in both sets that the existing ones lack, by one aggregation."""
+    rows = membership({"a": a, "b": b, **({"existing": existing} if existing is not None else {})}, key)
+    return rows.where("in_a AND in_b" + (" AND NOT in_existing" if existing is not None else "")).select(key)

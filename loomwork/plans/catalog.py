@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import align, batch, classify, graph, merge, ownership, qa, rank, report, sets, state, transitions, validate
+from ..operators import align, assemble, batch, classify, graph, merge, ownership, providers, qa, qa_state, rank, report, returns, sets, state, transitions, validate
 from ..session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -677,6 +677,172 @@ def reconcile_reviews(spark, d):
     return merge.reconcile(a.select((F.col("user_id") * 100 + F.col("event_id") % 100).alias("uid"), decision.alias("decision"), proposal.alias("proposal")), "uid")
 
 
+# Input of batches, providers, returned material, quality states -----------------------------------------
+
+
+def batch_sources(spark, d):
+    """Parts as classified records, with groups of each source for some of them."""
+    key = F.col("p_partkey")
+    n = key % 9
+    names = [*assemble.CHAINS, "system_message"]
+    p = table(spark, d, "part").withColumn("content_uid", F.concat(F.lit("U"), key.cast("string"))).withColumn("category", F.element_at(F.array(*[F.lit(c) for c in names]), (n + 1).cast("int")))
+    paths = F.when(key % 4 == 0, F.array(F.lit("Mods\\A.lsf "), F.lit(" "), F.col("p_brand"), F.col("p_brand")))
+    classified = p.select("content_uid", F.col("category").alias("primary_category"), F.lit("exact").alias("classification_status"), paths.alias("evidence_paths"))
+    source = p.select("content_uid", F.col("p_name").alias("text"))
+    story = p.where("p_partkey % 5 < 2").select("content_uid", F.when(key % 2 == 0, F.lit("Mods/Story/Dialogs/")).otherwise(F.lit("Mods/Story/Goals/")), F.col("p_brand"), key, F.col("p_size"))
+    ledger = story.toDF("content_uid", "folder", "brand", "k", "size").select("content_uid", F.concat("folder", "brand", F.lit(".lsj")).alias("internal_path"), F.when(F.col("k") % 2 == 0, "DialogsRaw").otherwise("JournalQuest").alias("family"), F.when(F.col("k") % 3 == 0, F.concat(F.lit("Node"), F.col("size").cast("string"))).otherwise(F.lit(" ")).alias("node_id"), F.lit("Title").alias("attribute_role"))
+    ui = p.where("p_partkey % 7 < 3").select("content_uid", F.when(key % 14 == 0, "ExcludedCommentOnly").otherwise("Eligible").alias("status"), F.when(key % 3 == 0, F.col("p_brand")).otherwise("").alias("provider"), F.lit("").alias("entity_type"), F.when(key % 6 == 0, F.col("p_type")).alias("entity_name"), F.col("p_brand").alias("internal_path"), F.when(key % 2 == 0, F.col("p_type")).alias("field_name"))
+    research = p.where("p_partkey % 11 < 4").select("content_uid", F.when(key % 2 == 0, "stat-reference").otherwise("quest-journal").alias("mapping_type"), F.col("p_brand").alias("resource_path"), F.col("p_type").alias("entry_name"), F.col("p_brand").alias("field_name"), F.when(key % 3 == 0, F.col("p_type")).alias("entity_id"), F.col("p_size").cast("string").alias("element_index"), F.lit("Role").alias("field_role"))
+    return assemble.inputs(classified, source, assemble.story_groups(ledger), assemble.ui_groups(ui), assemble.research_groups(research))
+
+
+@query
+def batch_inputs(spark, d):
+    rows = batch_sources(spark, d)
+    return rows.select("content_uid", "primary_category", F.array_join("candidates", ";").alias("candidates"), F.array_join("subkeys", ";").alias("subkeys"), assemble.group_of(F.col("candidates"), F.col("content_uid")).alias("group_key"))
+
+
+@query
+def batch_order(spark, d):
+    rows = batch_sources(spark, d)
+    group = assemble.group_of(F.col("candidates"), F.col("content_uid"))
+    w = Window.partitionBy("group_key").orderBy(*assemble.stable_order(F.col("subkeys"), F.col("content_uid")))
+    return rows.withColumn("group_key", group).select("content_uid", "group_key", F.row_number().over(w).cast("long").alias("place"))
+
+
+def entries(spark, d):
+    """Parts as files of packages."""
+    key = F.col("p_partkey")
+    names = ["Stats/Generated/Data/Spell_Projectile.txt", "Stats/Generated/Data/Passive.txt", "Stats/Generated/Data/Status_BOOST.txt", "GUI/Tutorial_Main.xaml", "RootTemplates/x.lsf", "Story/RawFiles/Goals/MessageBox.txt", "GUI/Inventory.xaml", "Lists/Feats.lsx", "notes.md", "a/../ActionResource.lsx"]
+    modules = ["Honour", "Shared", "SharedDev", "Game", "Gustav"]
+    at = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (n + 1).cast("int"))
+    package = at([*providers.PACKAGES, "Other.pak"], F.floor(key / 3) % 6)
+    path = F.concat(F.lit("Public/"), at(modules, key % 5), F.lit("/"), (F.floor(key / 50)).cast("string"), F.lit("/"), at(names, F.floor(key / 5) % 10))
+    return table(spark, d, "part").select(package.alias("package"), path.alias("internal_path")).distinct()
+
+
+@query
+def provider_discovery(spark, d):
+    found = providers.discover(entries(spark, d))
+    return found.select("package", "internal_path", "resource_format", "module", F.array_join("families", ";").alias("families"), F.array_join("subfamilies", ";").alias("subfamilies"), F.array_join("domains", ";").alias("domains"), "role", "collision")
+
+
+@query
+def path_domains(spark, d):
+    return entries(spark, d).select("package", "internal_path", providers.path_domain(F.col("internal_path")).alias("domain"))
+
+
+@query
+def universe_workstreams(spark, d):
+    families = F.element_at(F.array(*[F.lit(x) for x in ("SpellData", "Root Templates", "Tutorial definitions", "UI/GUI definitions", "Progressions", "Other")]), (F.col("l_linenumber") % 6 + 1).cast("int"))
+    o = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("content_uid"), F.array("l_linestatus").alias("domains"), F.array(families).alias("families"), F.lit("StatsRecord").alias("entity_type"), F.lit("p").alias("provider"), ((F.col("l_orderkey") % 4 == 0) | (F.col("l_returnflag") == "R")).alias("comment_only"))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("content_uid"), "o_orderstatus", "o_orderpriority")
+    return providers.universe(o, orders.where("o_orderstatus = 'P'"), orders.where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'"))
+
+
+@query
+def layer_holds(spark, d):
+    o = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_shipdate").cast("date").cast("string").alias("path"), F.col("l_returnflag").alias("package"), (F.col("l_suppkey") % 3).alias("uid"))
+    return providers.layer_holds(o, "path", "package", "uid", "A", "R")
+
+
+@query
+def accepted_coverage(spark, d):
+    """Customers in any of three sets, in two sets but not yet known, and in two sets."""
+    c = table(spark, d, "customer")
+    union = sets.union_keys([c.where("c_acctbal < 0"), c.where("c_mktsegment = 'BUILDING'"), c.where("c_custkey % 50 = 0")], "c_custkey").withColumn("kind", F.lit("accepted"))
+    beyond = sets.shared_beyond(c.where("c_acctbal < 5000"), c.where("c_nationkey < 12"), c.where("c_custkey % 3 = 0"), "c_custkey").withColumn("kind", F.lit("cross-domain"))
+    referenced = sets.shared_beyond(c.where("c_acctbal > 0"), c.where("c_nationkey > 20"), None, "c_custkey").withColumn("kind", F.lit("referenced"))
+    return union.unionByName(beyond).unionByName(referenced)
+
+
+def definitions(spark, d):
+    key, half = F.col("p_partkey"), lambda n: F.concat(F.lit("n"), F.floor(F.col("p_partkey") / n).cast("string"))
+    return table(spark, d, "part").select(key.alias("id"), (F.col("p_size") % 2).cast("string").alias("provider"), half(2).alias("name"), F.when(F.col("p_size") % 4 == 0, "A").when(F.col("p_size") % 4 == 3, "B").otherwise("").alias("entity_type"), F.when(key % 3 > 0, half(4)).alias("using"), F.create_map(F.lit("f"), F.col("p_name")).alias("fields"))
+
+
+@query
+def lineage_uids(spark, d):
+    own = definitions(spark, d)
+    o = own.select(F.substring_index(F.col("fields")["f"], " ", 1).alias("content_uid"), "provider", F.col("name").alias("entity_name"), F.lit("StatsRecord").alias("entity_type"), F.lit("f").alias("field_name"))
+    holds = lambda value, uid: F.array_contains(F.split(value, " "), uid)
+    return graph.lineage_uids(o, own, holds)
+
+
+@query
+def equivalent_definitions(spark, d):
+    rows = table(spark, d, "supplier").select((F.col("s_nationkey") % 5).alias("k"), F.col("s_suppkey"), "s_nationkey")
+    defs = rows.select((F.col("s_suppkey") % 40).alias("name"), F.lit("T").alias("entity_type"), F.when(F.col("k") > 1, "up").alias("using"), F.create_map(F.lit("b"), (F.col("s_suppkey") % 80).cast("string"), F.lit("a"), F.lit("x")).alias("fields"))
+    return graph.equivalent(defs, "name")
+
+
+@query
+def inventory_digest(spark, d):
+    return merge.framed_digest(table(spark, d, "supplier"), "s_name", "s_suppkey", "s_nationkey")
+
+
+def returned(spark, d):
+    """Parts as delivered rows and as they came back, some of them changed."""
+    key = F.col("p_partkey")
+    p = table(spark, d, "part")
+    text = F.when(key % 2 == 0, F.concat("p_name", F.lit(" {x}"))).when(key % 7 == 0, F.concat(F.lit("<LSTag>"), F.col("p_name"), F.lit("</LSTag>"))).otherwise(F.col("p_name"))
+    base = p.select(key.cast("string").alias("ContentUid"), text.alias("SourceText"), F.col("p_size").alias("SourceVersion"), F.lit("en").alias("SourceLocale"), F.lit("de").alias("TargetLocale"), F.when(key % 3 == 0, "source+target").otherwise("source-only").alias("PresenceStatus"), (key % 5 > 0).alias("TranslationRequired"), T.protected_tokens(text).alias("ProtectedTokens"))
+    n = key % 12
+    candidate = F.when(n == 0, "").when(n == 1, F.concat("SourceText", F.lit(" {y}"))).when(n == 2, F.lit("plain")).when(n == 3, F.lit("<LSTag>open")).otherwise(F.col("SourceText"))
+    status = F.when(key % 6 == 0, "Skip").when(key % 13 == 0, "needs-more-context").when(key % 17 == 0, " Escalate ").when(key % 19 == 0, "").otherwise("done")
+    back = base.join(p.select(key.cast("string").alias("ContentUid"), "p_partkey"), "ContentUid").withColumn("TranslatedTargetText", candidate).withColumn("TranslationStatus", status)
+    back = back.withColumn("SourceText", F.when(key % 23 == 0, "changed").otherwise(F.col("SourceText"))).withColumn("SourceVersion", F.when(key % 29 == 0, F.lit(-1.0)).otherwise(F.col("SourceVersion").cast("double"))).withColumn("TargetLocale", F.when(key % 31 == 0, "fr").otherwise(F.col("TargetLocale"))).withColumn("Extra", F.when(key % 37 == 0, "note")).withColumn("part_no", F.lit(0)).drop("ProtectedTokens")
+    again = back.where("p_partkey % 41 = 0").withColumn("part_no", F.lit(1))
+    foreign = back.where("p_partkey % 43 = 0").withColumn("ContentUid", F.concat(F.lit("x"), "ContentUid"))
+    rows = back.where("p_partkey % 47 > 0").unionByName(again).unionByName(foreign).withColumnRenamed("p_partkey", "__part")
+    return base, returns.check(rows, base, "basic", [*returns.FIXED, "ContentUid", "TranslatedTargetText", "TranslationStatus"], ["part_no"])
+
+
+@query
+def return_validation(spark, d):
+    _, rows = returned(spark, d)
+    return rows.select("ContentUid", "part_no", F.array_join("errors", ";").alias("errors"), F.array_join("warnings", ";").alias("warnings"), "accepted")
+
+
+@query
+def return_summary(spark, d):
+    base, rows = returned(spark, d)
+    return returns.summary(rows, base, "basic")
+
+
+def judged_states(spark, d):
+    """Completed outputs with results of which some are of older rules or outputs."""
+    s = current_states(spark, d).select(F.concat_ws("-", "conv_id", "turn").alias("content_uid"), "conv_id", "category", F.when(F.col("turn") % 6 == 5, "running").otherwise("succeeded").alias("status"), F.col("output").alias("translated_text"), "output_hash", (F.col("conv_id") % 4).cast("int").alias("attempt_count"))
+    r = qa_results(spark, d).select(F.concat_ws("-", "conv_id", "turn").alias("content_uid"), "route", F.col("ruleset").alias("qa_rule_set_version"), F.lit("in").alias("qa_input_hash"), "output_hash", F.lit(None).cast("timestamp").alias("checked_at"))
+    return s.withColumns({"lease_owner": F.lit(None).cast("string"), "lease_expires_at": F.lit(None).cast("timestamp"), "updated_at": F.lit(None).cast("timestamp")}), r
+
+
+@query
+def qa_due(spark, d):
+    s, r = judged_states(spark, d)
+    return qa_state.due(s, r, "v2").select("content_uid", "category")
+
+
+@query
+def qa_recorded(spark, d):
+    s, r = judged_states(spark, d)
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    rejudged = s.where("conv_id % 3 = 0 AND translated_text <> ''").select("content_uid", F.lit("RETRY").alias("route"), F.lit("v2").alias("qa_rule_set_version"), F.lit("new").alias("qa_input_hash"), F.array(F.struct(F.lit("OUTPUT_EMPTY").alias("issue_code"), F.lit("error").alias("severity"), F.lit("retry").alias("action"), F.lit("m").alias("message"), F.array(F.lit("d")).alias("details"))).alias("issues"))
+    none = spark.createDataFrame([], "content_uid string, ordinal int, issue_code string, severity string, action string, message string, details_json string")
+    results, issues = qa_state.record(r, none, s, rejudged, now)
+    per = issues.groupBy("content_uid").agg(F.count(F.lit(1)).alias("n_issues"))
+    return results.join(per, "content_uid", "left").groupBy("route", "qa_rule_set_version", "qa_input_hash").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_issues"), F.lit(0)).alias("n_issues"))
+
+
+@query
+def qa_sent_back(spark, d):
+    s, r = judged_states(spark, d)
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    fresh = r.join(s.where("status = 'succeeded'").select("content_uid", F.col("output_hash").alias("_h"), "translated_text"), "content_uid").where("output_hash = _h AND route = 'RETRY'")
+    judged_ = fresh.select("content_uid", "route", "qa_rule_set_version", "qa_input_hash", F.array().cast("array<struct<issue_code:string>>").alias("issues"))
+    archive = spark.createDataFrame([], "content_uid string, translated_text string, output_hash string, qa_rule_set_version string, qa_input_hash string, route string, issues_json string, rejected_at timestamp")
+    states, kept = qa_state.send_back(s, r, archive, judged_, now, 3)
+    return states.join(kept.select("content_uid", F.col("output_hash").alias("archived_hash")), "content_uid", "left").select("content_uid", "status", "output_hash", "archived_hash")
 
 
 # Streams ------------------------------------------------------------------------------------------------

@@ -119,6 +119,34 @@ def _percent(part: str, total: str) -> str:
     return f"coalesce(round_even(100.0::DOUBLE * {part} / nullif({total}, 0), 2), 0.0::DOUBLE)"
 
 
+BATCH_SOURCES = (
+    r"""p AS (SELECT *, 'U' || p_partkey AS uid, p_partkey AS k, ['dialogue_general', 'quest', 'skill_spell', 'item', 'ui', 'tutorial', 'book_lore', 'character_world', 'system_message'][p_partkey % 9 + 1] AS category FROM part),
+ led AS (SELECT uid, CASE WHEN k % 2 = 0 THEN 'dialog:' || lower(p_brand) WHEN k % 3 = 0 THEN 'story:mods/story/goals/' || lower(p_brand) || '.lsj|node' || p_size ELSE 'path:mods/story/goals/' || lower(p_brand) || '.lsj' END AS c, CASE WHEN k % 3 = 0 THEN 'node' || p_size ELSE '' END || '|title' AS s FROM p WHERE k % 5 < 2),
+ uis AS (SELECT uid, CASE WHEN k % 6 = 0 THEN 'entity:' || lower(p_brand) || '|' || lower(p_type) WHEN k % 3 = 0 THEN 'entity:' || lower(p_brand) ELSE 'path:' || lower(p_brand) END AS c, CASE WHEN k % 2 = 0 THEN lower(p_type) END AS s FROM p WHERE k % 7 < 3 AND k % 14 <> 0),
+ res AS (SELECT uid, CASE WHEN k % 2 = 0 THEN 'stat:' || lower(p_brand) || '|' || lower(p_type) WHEN k % 3 = 0 THEN 'quest:' || lower(p_brand) || '|' || lower(p_type) ELSE 'quest:' || lower(p_brand) || '|element:' || p_size END AS c, CASE WHEN k % 2 = 0 THEN lower(p_brand) ELSE 'role' END AS s FROM p WHERE k % 11 < 4),
+ src AS (SELECT p.uid, category, led.c AS lc, led.s AS ls, uis.c AS uc, uis.s AS us, res.c AS rc, res.s AS rs, CASE WHEN k % 4 = 0 THEN list_sort(['path:mods/a.lsf', 'path:' || lower(p_brand)]) ELSE [] END AS e FROM p LEFT JOIN led USING (uid) LEFT JOIN uis USING (uid) LEFT JOIN res USING (uid)),
+ got AS (SELECT uid, category, CASE WHEN category = 'dialogue_general' THEN one(lc) WHEN category IN ('book_lore', 'character_world') THEN CASE WHEN lc IS NOT NULL THEN [lc] ELSE e END WHEN category = 'quest' THEN CASE WHEN rc IS NOT NULL THEN [rc] ELSE e END
+ WHEN category = 'skill_spell' THEN CASE WHEN rc IS NOT NULL THEN [rc] WHEN uc IS NOT NULL THEN [uc] ELSE e END WHEN category IN ('item', 'ui', 'tutorial') THEN CASE WHEN uc IS NOT NULL THEN [uc] WHEN rc IS NOT NULL THEN [rc] ELSE e END WHEN len(e) > 0 THEN e ELSE one(lc) END AS c,
+ CASE WHEN category IN ('dialogue_general', 'book_lore', 'character_world') THEN one(ls) WHEN category = 'quest' THEN one(rs) WHEN category = 'skill_spell' THEN CASE WHEN rc IS NOT NULL THEN one(rs) ELSE one(us) END WHEN category IN ('item', 'ui', 'tutorial') THEN CASE WHEN uc IS NOT NULL THEN one(us) ELSE one(rs) END ELSE [] END AS s FROM src),
+ grouped AS (SELECT *, CASE WHEN len(c) > 0 THEN c[1] ELSE 'uid:' || lower(uid) END AS group_key FROM got)"""
+)
+for _x in ("lc", "ls", "us", "rs"):
+    BATCH_SOURCES = BATCH_SOURCES.replace(f"one({_x})", f"list_filter([{_x}], lambda x: x IS NOT NULL)")
+ENTRIES = """entries AS (SELECT DISTINCT ['Game.pak', 'Gustav.pak', 'GustavX.pak', 'Patch8_HotFix9.pak', 'Shared.pak', 'Other.pak'][p_partkey // 3 % 6 + 1] AS package, p_partkey // 5 % 10 AS f, ['Honour', 'Shared', 'SharedDev', 'Game', 'Gustav'][p_partkey % 5 + 1] AS m,
+ 'Public/' || ['Honour', 'Shared', 'SharedDev', 'Game', 'Gustav'][p_partkey % 5 + 1] || '/' || p_partkey // 50 || '/' || ['Stats/Generated/Data/Spell_Projectile.txt', 'Stats/Generated/Data/Passive.txt', 'Stats/Generated/Data/Status_BOOST.txt', 'GUI/Tutorial_Main.xaml', 'RootTemplates/x.lsf', 'Story/RawFiles/Goals/MessageBox.txt', 'GUI/Inventory.xaml', 'Lists/Feats.lsx', 'notes.md', 'a/../ActionResource.lsx'][p_partkey // 5 % 10 + 1] AS internal_path FROM part)"""
+DEFINITIONS = """d AS (SELECT p_partkey AS id, p_size % 2 AS provider, p_partkey // 2 AS name, CASE WHEN p_size % 4 = 0 THEN 'A' WHEN p_size % 4 = 3 THEN 'B' ELSE '' END AS t, CASE WHEN p_partkey % 3 > 0 THEN p_partkey // 4 END AS up, p_name AS f FROM part)"""
+RETURNED = r"""base AS (SELECT p_partkey AS k, CASE WHEN k % 2 = 0 THEN p_name || ' {x}' WHEN k % 7 = 0 THEN '<LSTag>' || p_name || '</LSTag>' ELSE p_name END AS src, p_size, k % 5 > 0 AS need, k % 3 > 0 AS src_only FROM part),
+ cand AS (SELECT *, CASE k % 12 WHEN 0 THEN '' WHEN 1 THEN src || ' {y}' WHEN 2 THEN 'plain' WHEN 3 THEN '<LSTag>open' ELSE src END AS t, CASE WHEN k % 6 = 0 THEN 'skip' WHEN k % 13 = 0 THEN 'more' WHEN k % 17 = 0 THEN 'escalate' WHEN k % 19 = 0 THEN '' ELSE 'done' END AS st FROM base),
+ back AS (SELECT *, CAST(k AS VARCHAR) AS uid, 0 AS part_no, true AS known FROM cand WHERE k % 47 > 0 UNION ALL SELECT *, CAST(k AS VARCHAR), 1, true FROM cand WHERE k % 41 = 0 UNION ALL SELECT *, 'x' || k, 0, false FROM cand WHERE k % 43 = 0),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY part_no) = 1 AS fresh FROM back),
+ bits AS (SELECT *, known AND fresh AS ok, t LIKE '%{x}%' AS has_x, k % 2 = 0 AS want_x, t LIKE '%{y}%' AS has_y, k % 12 = 3 AS broken, k % 2 = 1 AND k % 7 = 0 AS tagged FROM ranked),
+ checked AS (SELECT uid AS ContentUid, part_no, list_filter([CASE WHEN NOT known THEN 'VAL001' END, CASE WHEN known AND NOT fresh THEN 'VAL002' END, CASE WHEN ok AND k % 23 = 0 THEN 'VAL003' END, CASE WHEN ok AND k % 29 = 0 THEN 'VAL004' END, CASE WHEN ok AND k % 31 = 0 THEN 'VAL005' END,
+ CASE WHEN ok AND t <> '' AND want_x AND NOT has_x THEN 'VAL006' END, CASE WHEN ok AND t <> '' AND (has_y OR has_x AND NOT want_x) THEN 'VAL007' END, CASE WHEN ok AND t <> '' AND (broken OR src_only AND tagged AND NOT t LIKE '%</LSTag>%') THEN 'VAL008' END,
+ CASE WHEN ok AND t = '' AND need AND st NOT IN ('', 'skip') THEN 'VAL009' END, CASE WHEN ok AND k % 37 = 0 THEN 'VAL011' END], lambda x: x IS NOT NULL) AS e,
+ CASE WHEN ok AND st = 'more' THEN 'VAL102' WHEN ok AND st = 'escalate' THEN 'VAL103' ELSE '' END AS warnings, t <> '' OR (st = 'skip' AND need) AS takes, need, ok FROM bits)"""
+JUDGED_STATES = """s9 AS (SELECT conv_id || '-' || turn AS uid, conv_id, category, CASE WHEN turn % 6 = 5 THEN 'running' ELSE 'succeeded' END AS status, output, md5(output) AS output_hash, conv_id % 4 AS tries FROM states),
+ r9 AS (SELECT conv_id || '-' || turn AS uid, route, ruleset, output_hash FROM results)"""
+
 ORACLE: dict[str, str] = {
     "normalize_records": "SELECT doc_id, lang, sha256(text) AS text_hash, CAST(length(text) AS BIGINT) AS n_text FROM documents",
     "align_locales": "SELECT source, " + ", ".join(f"nullif(count(*) FILTER (lang = '{x}'), 0) AS n_{x}" for x in ("en", "de", "fr", "es")) + " FROM documents GROUP BY source",
@@ -207,4 +235,33 @@ ORACLE: dict[str, str] = {
     "immutable_diff": "SELECT p_partkey, 'p_name' AS column_name, p_name AS expected, upper(p_name) AS returned FROM part WHERE p_partkey % 37 = 0 AND upper(p_name) <> p_name",
     "reconcile_reviews": "WITH r AS (SELECT user_id * 100 + event_id % 100 AS uid, event_type = 'click' AS revise, CASE WHEN event_id % 9 > 0 THEN 'p' || event_id % 2 END AS proposal FROM events WHERE event_type IN ('click', 'view', 'error')), g AS (SELECT uid, count(*) AS n_reviews, count(*) FILTER (revise AND proposal IS NULL) AS blank, count(DISTINCT CASE WHEN revise THEN proposal END) AS n_proposals, min(CASE WHEN revise THEN proposal END) AS one FROM r GROUP BY uid), x AS (SELECT *, CASE WHEN blank > 0 OR n_proposals > 1 THEN 'conflict' WHEN n_proposals = 1 THEN 'adopted' ELSE 'unchanged' END AS resolution FROM g) SELECT uid, n_reviews, n_proposals, resolution, CASE WHEN resolution = 'adopted' THEN one END AS resolved_text FROM x",
     "attempt_stream": "SELECT epoch_us(date_trunc('day', ts)) AS window_micros, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
+    "batch_inputs": f"WITH {BATCH_SOURCES} SELECT uid AS content_uid, category AS primary_category, array_to_string(c, ';') AS candidates, array_to_string(s, ';') AS subkeys, group_key FROM grouped",
+    "batch_order": f"WITH {BATCH_SOURCES} SELECT uid AS content_uid, group_key, row_number() OVER (PARTITION BY group_key ORDER BY s, lower(uid)) AS place FROM grouped",
+    "provider_discovery": f"""WITH {ENTRIES}, t AS (SELECT *, CASE f WHEN 0 THEN ['SpellData'] WHEN 1 THEN ['PassiveData'] WHEN 2 THEN ['StatusData'] WHEN 3 THEN ['Tutorial definitions', 'UI/GUI definitions'] WHEN 4 THEN ['Root Templates'] WHEN 5 THEN ['System message definitions'] WHEN 6 THEN ['UI/GUI definitions'] ELSE ['FeatDescriptions'] END AS n,
+ CASE f WHEN 0 THEN ['Spell'] WHEN 1 THEN ['Passive'] WHEN 2 THEN ['Status'] WHEN 3 THEN ['Tutorial', 'Xaml'] WHEN 4 THEN ['RootTemplate'] WHEN 5 THEN ['SystemMessage'] WHEN 6 THEN ['Xaml'] ELSE ['Feat'] END AS sub,
+ CASE f WHEN 0 THEN ['Ability.Cantrip', 'Ability.ClassAction', 'Ability.Spell', 'Ability.WeaponAction'] WHEN 1 THEN ['Ability.ClassFeature', 'Ability.Passive'] WHEN 2 THEN ['Ability.Condition', 'Ability.Status'] WHEN 3 THEN ['UI.Tutorial', 'UI.Unknown'] WHEN 4 THEN ['Ability.Unknown', 'Item.Unknown', 'UI.Tooltip'] WHEN 5 THEN ['UI.ErrorMessage', 'UI.SystemPrompt'] WHEN 6 THEN ['UI.Unknown'] ELSE ['Ability.Feat', 'UI.LevelUp'] END AS dom
+ FROM entries WHERE package <> 'Other.pak' AND f < 8)
+ SELECT package, internal_path, CASE WHEN f IN (0, 1, 2) THEN 'StatsTXT' WHEN f = 5 THEN 'OtherTXT' WHEN f = 4 THEN 'LSF' WHEN f = 7 THEN 'LSX' ELSE 'XAML' END AS resource_format, m AS module,
+ array_to_string(list_sort(list_concat(n, list_filter([CASE WHEN m IN ('Shared', 'SharedDev', 'Gustav') THEN m || ' module projection' END, CASE WHEN f IN (3, 6) THEN 'Engine/Game UI projection' END], lambda x: x IS NOT NULL))), ';') AS families, array_to_string(sub, ';') AS subfamilies, array_to_string(dom, ';') AS domains,
+ CASE WHEN package = 'Shared.pak' AND f = 2 AND m IN ('Shared', 'SharedDev') THEN 'ContextEvidenceAndCollisionProvenance' WHEN package = 'Shared.pak' AND f IN (0, 1, 2, 5) OR package = 'GustavX.pak' AND f IN (0, 1, 2) OR package = 'Gustav.pak' AND (f = 1 OR f = 0 AND m = 'Honour') THEN 'ContextEvidenceOnly' ELSE 'CandidateEvidence' END AS role,
+ count(*) OVER (PARTITION BY internal_path) > 1 AS collision FROM t""",
+    "path_domains": f"WITH {ENTRIES} SELECT package, internal_path, CASE WHEN regexp_matches(lower(internal_path), 'ability|spell|status|passive') THEN 'AbilityOrSkill' WHEN regexp_matches(lower(internal_path), 'item|armor|weapon') THEN 'ItemsAndEquipment' WHEN regexp_matches(lower(internal_path), 'tutorial|system') THEN 'TutorialAndSystem' WHEN regexp_matches(lower(internal_path), 'ui|hud|tooltip') THEN 'UserInterface' ELSE 'GenericUiSkill' END AS domain FROM entries",
+    "universe_workstreams": """WITH o AS (SELECT l_orderkey AS k, l_linenumber % 6 AS f, l_orderkey % 4 = 0 OR l_returnflag = 'R' AS c FROM lineitem), a AS (SELECT k, count(*) AS n_rows, bool_or(NOT c) AS spoken, list(f) FILTER (NOT c) AS x, list(f) AS y FROM o GROUP BY k), b AS (SELECT *, CASE WHEN spoken THEN x ELSE y END AS fs FROM a)
+ SELECT k AS content_uid, CASE WHEN o_orderstatus = 'P' THEN 'Hold' ELSE 'Eligible' END AS status, CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' THEN 'AQResourceReferencedReview' WHEN list_has_any(fs, [0, 4]) THEN 'AbilitySkill' WHEN list_contains(fs, 1) THEN 'ItemsEquipment' WHEN list_contains(fs, 2) THEN 'TutorialSystem' WHEN list_contains(fs, 3) THEN 'UserInterface' ELSE 'OtherMultiDomain' END AS workstream, n_rows FROM b LEFT JOIN orders ON o_orderkey = k""",
+    "layer_holds": "WITH o AS (SELECT DISTINCT CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS path, l_returnflag AS pkg, l_suppkey % 3 AS uid FROM lineitem WHERE l_linenumber = 1 AND l_returnflag IN ('A', 'R')), both_ AS (SELECT path FROM o GROUP BY path HAVING count(DISTINCT pkg) = 2) SELECT path, uid FROM o JOIN both_ USING (path) GROUP BY path, uid HAVING count(*) = 1",
+    "accepted_coverage": "SELECT c_custkey, 'accepted' AS kind FROM customer WHERE c_acctbal < 0 OR c_mktsegment = 'BUILDING' OR c_custkey % 50 = 0 UNION ALL SELECT c_custkey, 'cross-domain' FROM customer WHERE c_acctbal < 5000 AND c_nationkey < 12 AND c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, 'referenced' FROM customer WHERE c_acctbal > 0 AND c_nationkey > 20",
+    "lineage_uids": f"""WITH RECURSIVE {DEFINITIONS}, one AS (SELECT c.id, min(p.id) AS parent FROM d c JOIN d p ON p.provider = c.provider AND p.name = c.up AND p.id <> c.id AND (c.t = '' OR p.t = '' OR c.t = p.t) GROUP BY c.id HAVING count(*) = 1),
+ e AS (SELECT d.id, parent, d.name = d.up OR parent IS NULL AS open FROM d LEFT JOIN one USING (id) WHERE up IS NOT NULL),
+ o AS (SELECT DISTINCT split_part(f, ' ', 1) AS uid, provider, name FROM d), m AS (SELECT uid, o.provider, o.name, count(*) AS n, count(*) FILTER (list_contains(string_split(f, ' '), uid)) AS h, min(id) AS lone, min(id) FILTER (list_contains(string_split(f, ' '), uid)) AS exact FROM o JOIN d ON d.provider = o.provider AND d.name = o.name GROUP BY ALL),
+ w AS (SELECT DISTINCT uid, CASE WHEN n = 1 THEN lone ELSE exact END AS id FROM m WHERE n = 1 OR h = 1 UNION SELECT w.uid, e.parent FROM w JOIN e ON e.id = w.id WHERE e.parent IS NOT NULL) SELECT w.id AS edge_id, uid AS content_uid FROM w JOIN e ON e.id = w.id WHERE open""",
+    "equivalent_definitions": "SELECT s_suppkey % 40 AS name, count(*) AS n_definitions, count(DISTINCT (CASE WHEN s_nationkey % 5 > 1 THEN 'up' ELSE '' END) || '|' || s_suppkey % 80) AS n_signatures, n_signatures <= 1 AS is_equivalent FROM supplier GROUP BY 1",
+    "inventory_digest": """WITH c AS (SELECT s_name, [s_name, CAST(s_suppkey AS VARCHAR), CAST(s_nationkey AS VARCHAR)] AS v FROM supplier), h AS (SELECT s_name, list_aggregate(list_transform(v, lambda x: printf('%016x', octet_length(encode(x))) || hex(encode(x))), 'string_agg', '') AS x FROM c), n AS (SELECT count(*) AS n_rows, CAST(count(*) AS VARCHAR) AS t, string_agg(x, '' ORDER BY s_name) AS x FROM h)
+ SELECT n_rows, sha256(unhex(coalesce(x, '') || printf('%016x', octet_length(encode(t))) || hex(encode(t)))) AS inventory_sha256 FROM n""",
+    "return_validation": f"WITH {RETURNED} SELECT ContentUid, part_no, array_to_string(e, ';') AS errors, warnings, len(e) = 0 AND takes AS accepted FROM checked",
+    "return_summary": f"""WITH {RETURNED}, z AS (SELECT count(*) AS n_returned, (SELECT count(*) FROM base) AS n_baseline, count(*) FILTER (len(e) = 0 AND takes) AS n_accepted, count(*) FILTER (len(e) > 0) AS n_rejected, CAST(sum(len(e)) AS BIGINT) AS n_errors, count(*) FILTER (warnings <> '') AS n_warnings, (SELECT count(*) FROM base) - count(DISTINCT ContentUid) FILTER (NOT list_contains(e, 'VAL001')) AS n_missing,
+ bool_or(list_has_any(e, ['VAL001', 'VAL002'])) AS a, bool_or(list_has_any(e, ['VAL003', 'VAL004', 'VAL005', 'VAL011'])) AS b, bool_or(list_has_any(e, ['VAL006', 'VAL007', 'VAL008'])) AS c FROM checked)
+ SELECT n_returned, n_baseline, n_accepted, n_rejected, n_errors, n_warnings, n_missing, CAST(NULL AS DOUBLE) AS coverage, CASE WHEN n_errors = 0 THEN 'pass' WHEN n_accepted = 0 THEN 'fail' ELSE 'partial' END AS status, CASE WHEN n_errors = 0 THEN 0 WHEN a THEN 33 WHEN b THEN 34 WHEN c THEN 35 ELSE 36 END AS exit_code, CASE WHEN n_errors = 0 THEN '' WHEN a THEN 'IDENTITY_VALIDATION_FAILED' WHEN b THEN 'IMMUTABLE_FIELD_VALIDATION_FAILED' WHEN c THEN 'PROTECTED_TOKEN_VALIDATION_FAILED' ELSE 'COVERAGE_VALIDATION_FAILED' END AS exit_key FROM z""",
+    "qa_due": f"WITH {QA}, {JUDGED_STATES} SELECT s9.uid AS content_uid, category FROM s9 LEFT JOIN r9 ON r9.uid = s9.uid AND r9.ruleset = 'v2' AND r9.output_hash = s9.output_hash WHERE status = 'succeeded' AND r9.uid IS NULL",
+    "qa_recorded": f"WITH {QA}, {JUDGED_STATES}, x AS (SELECT coalesce(output <> '' AND conv_id % 3 = 0, false) AS again, r9.* FROM s9 JOIN r9 USING (uid)) SELECT CASE WHEN again THEN 'RETRY' ELSE route END AS route, CASE WHEN again THEN 'v2' ELSE ruleset END AS qa_rule_set_version, CASE WHEN again THEN 'new' ELSE 'in' END AS qa_input_hash, count(*) AS n, count(*) FILTER (again) AS n_issues FROM x GROUP BY ALL",
+    "qa_sent_back": f"WITH {QA}, {JUDGED_STATES}, x AS (SELECT s9.*, coalesce(status = 'succeeded' AND r9.output_hash = s9.output_hash AND route = 'RETRY', false) AS back FROM s9 JOIN r9 USING (uid)) SELECT uid AS content_uid, CASE WHEN back AND tries < 3 THEN 'failed-retryable' WHEN back THEN 'failed-final' ELSE status END AS status, CASE WHEN NOT back THEN output_hash END AS output_hash, CASE WHEN back THEN output_hash END AS archived_hash FROM x",
 }
