@@ -109,6 +109,23 @@ def _induce(t: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, budget: int) ->
     return out[::-1]
 
 
+def equal_stretches(t: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether the stretches of ``t`` at ``a`` and at ``b`` of these lengths are the same, symbol by symbol, a word of eight bytes at a time."""
+    size = t.dtype.itemsize
+    per = 8 // size
+    padded = np.concatenate([t, np.zeros(per, t.dtype)])
+    words = np.ndarray((len(t),), "<u8", padded.data, strides=(size,))
+    same, live, at = np.ones(len(a), bool), np.arange(len(a)), 0
+    while len(live):
+        left = lengths[live] - at
+        differ = words[a[live] + at] ^ words[b[live] + at]
+        short = left < per
+        differ[short] &= (np.uint64(1) << (left[short] * (8 * size)).astype(np.uint64)) - np.uint64(1)
+        same[live[differ != 0]] = False
+        live, at = live[(differ == 0) & (left > per)], at + per
+    return same
+
+
 def _ranks(names: np.ndarray, depth: int) -> np.ndarray:
     """Ranks of the suffixes of a reduced string by their first ``depth`` names at least; what is known grows twofold or more each round."""
     rank, known = names.astype(np.int64), 1
@@ -151,15 +168,16 @@ def suffix_order(t: np.ndarray, depth: int, budget: int = 64 << 20) -> np.ndarra
         chosen = np.zeros(n, bool)
         chosen[places] = True
         ordered = ordered[chosen[ordered]]
-        # Names: equal stretches, told by length and hash, get one.
+        # Names: equal stretches get one.
         number = np.empty(n, dtype)
         number[places] = np.arange(len(places), dtype=dtype)
         ends = np.append(places[1:] + 1, n)
-        weight = np.cumprod(np.full(n + 1, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((t.astype(np.uint64) + np.uint64(1)) * weight[:n], dtype=np.uint64)])
-        piece = (total[ends] - total[places]) * weight[n - places]
+        size = ends - places
         i = number[ordered]
-        differ = (piece[i][1:] != piece[i][:-1]) | ((ends - places)[i][1:] != (ends - places)[i][:-1])
+        before, after = i[:-1], i[1:]
+        differ = size[before] != size[after]
+        alike = np.flatnonzero(~differ)
+        differ[alike] = ~equal_stretches(t, places[before[alike]], places[after[alike]], size[before[alike]])
         names = np.empty(len(places), np.int64)
         names[i] = np.concatenate([[0], np.cumsum(differ)])
         if names.max() < len(places) - 1:

@@ -4,8 +4,8 @@ Every string of LENGTH bytes has a minimizer: the least hash among its strings o
 K bytes, the first of equals. Stretches of positions with one minimizer are
 segments, routed by the minimizer's hash, so equal strings meet in one shard. Per
 shard the suffixes of all segments are ordered by induced sorting over disk-backed
-queues (``induced_sort``); neighbours that agree in LENGTH bytes form a group, and
-all but its first position are repeats. Their runs return to the documents.
+queues (``induced_sort``); neighbours whose LENGTH bytes are the same, byte by byte,
+form a group, and all but its first position are repeats. Their runs return to the documents.
 
 Only what can repeat is sorted: hashes of minimizers and digests of documents
 meet first (a few bytes for each segment). A document equal to an earlier one is
@@ -15,7 +15,9 @@ shard: at most one copy for each chunk arrives. Different segments of one
 minimizer are not split: a shard must fit the memory of its task.
 
 Order is by document id, then by place in the written chunks for repeated ids
-(null ids first), then by offset. Defined cases: null and empty texts have no
+(null ids first), then by offset. Digests of 128 bits tell equal documents; nothing
+else rests on hashes. Defined cases: a text of any length is one document of one
+chunk, so the longest text must fit a task; equal rows are copies of the first; null and empty texts have no
 bytes; texts under LENGTH bytes lose nothing; an empty table gives an empty table;
 other columns are ignored; ids are integers.
 """
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, lean
-from .induced_sort import suffix_order
+from .induced_sort import equal_stretches, suffix_order
 
 LENGTH, K = 100, 32
 CHUNK_BYTES, CHUNK_ROWS, INPUT_PER_ROUTE, ROUTES, PARTITIONS = 4 << 20, 1 << 16, 1 << 20, (16, 1 << 22), 1 << 15
@@ -273,8 +275,9 @@ def _sort_shard(rows: list[dict], budget: int):
     is_window = np.cumsum(is_window[:-1], dtype=np.int8) > 0
     suffixes = suffix_order(t, LENGTH, budget)
     suffixes = suffixes[is_window[suffixes]].astype(np.int64)
-    h = rolling(t, LENGTH)[suffixes]
-    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    letters = (t - np.uint16(1)).astype(np.uint8)  # windows hold no ends of segments
+    same = equal_stretches(letters, suffixes[:-1], suffixes[1:], np.full(len(suffixes) - 1, LENGTH))
+    new = np.flatnonzero(np.concatenate([[True], ~same]))
     first = np.minimum.reduceat(suffixes, new)
     repeat = np.zeros(len(t) + 1, bool)
     repeat[suffixes[suffixes != np.repeat(first, np.diff(np.append(new, len(suffixes))))]] = True

@@ -24,6 +24,17 @@ def test_suffix_order(seed, budget):
     assert keys == sorted(keys)
 
 
+@pytest.mark.parametrize("kind", [np.uint8, np.uint16])
+def test_equal_stretches(kind):
+    rng = np.random.default_rng(3)
+    t = rng.integers(0, 2, 400).astype(kind)
+    a, b, n = rng.integers(0, 370, 5000), rng.integers(0, 370, 5000), rng.integers(1, 30, 5000)
+    want = [bool((t[x : x + k] == t[y : y + k]).all()) for x, y, k in zip(a, b, n, strict=True)]
+    assert induced_sort.equal_stretches(t, a, b, n).tolist() == want
+    assert 0 < sum(want) < 5000
+    assert induced_sort.equal_stretches(t, a[:0], b[:0], n[:0]).tolist() == []
+
+
 def brute(rows, width):
     seen, out = set(), []
     for d, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
@@ -93,3 +104,15 @@ def test_many_routes_and_small_chunks(spark, monkeypatch):
             seen.add(t[s : s + 100])
         want[d] = len(gone)
     assert got == want
+
+
+def test_hashes_decide_nothing_in_a_shard(spark, monkeypatch):
+    """All minimizer hashes equal: one shard, in which bytes alone tell strings apart."""
+    plain = suffix_dedup.rolling
+    monkeypatch.setattr(suffix_dedup, "rolling", lambda symbols, width: plain(symbols, width) & np.uint64(0))
+    rng = random.Random(8)
+    long = "".join(rng.choice("ab") for _ in range(20_000))
+    rows = [(1, long), (2, long[500:900] + "c" + long[700:1200]), (3, "".join(rng.choice("ab") for _ in range(3000))), (4, "x" + long[:150])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted(((*r,) for r in suffix_dedup.dedup(docs, keep_text=False).collect()), key=str)
+    assert got == brute(rows, 100)
