@@ -58,31 +58,27 @@ def measures(documents: DataFrame, host: str = "source") -> DataFrame:
         lines.alias("lines"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashed"),
     )
-    n = F.col("n_words").cast("int")
-    window = lambda i: F.xxhash64(*[F.get("hashed", i + k) for k in range(WINDOW)])
-    windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), window)).otherwise(F.array().cast("array<bigint>"))
-    base = base.select(
-        "doc_id",
-        "host",
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        windows.alias("windows"),
-    )
-    return base.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.when(F.size(F.array_distinct("windows")) == F.size("windows"), F.lit(0)).otherwise(_covered(F.col("windows"))).cast("long").alias("n_repeat_words"))
-
-
-def _covered(windows: Column) -> Column:
-    """Words in windows found twice or more: equal windows meet by sorting, then their places are merged in order.
+    measured = ("doc_id", "host", "n_words", "word_chars", "n_symbols")
+    base = base.select(*measured, (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "hashed")
+    # Windows of five from pairs and fours: three combinations a word. Each step is a projection of its own, so nothing is computed twice.
+    n, measured = F.size("hashed"), (*measured, "n_dup_lines")
+    both = lambda a, b: F.xxhash64(a, b)
+    base = base.select(*measured, "hashed", F.zip_with("hashed", F.slice("hashed", 2, n), both).alias("two"))
+    base = base.select(*measured, "hashed", F.zip_with("two", F.slice("two", 3, n), both).alias("four"))
+    base = base.select(*measured, F.slice(F.zip_with("four", F.slice("hashed", WINDOW, n), both), 1, F.greatest(n - WINDOW + 1, F.lit(0))).alias("windows"))
+    base = base.select(*measured, "windows", (F.size(F.array_distinct("windows")) < F.size("windows")).alias("again"))
+    base = base.select(*measured, F.when(F.col("again"), F.sort_array(F.arrays_zip(F.col("windows").alias("h"), F.sequence(F.lit(0), F.size("windows") - 1).alias("i")))).alias("pairs"))
+    return base.select(*measured, F.when(F.col("pairs").isNull(), F.lit(0)).otherwise(_covered(F.col("pairs"))).cast("long").alias("n_repeat_words"))
+
+
+def _covered(pairs: Column) -> Column:
+    """Words in windows found twice or more, from (window, place) in order: equal windows are neighbours, their places are merged in order.
 
     Each fold has linear work: a place adds what it covers beyond the place before it.
     """
-    pairs = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    # Neighbours of the sorted array, side by side.
-    beside = F.arrays_zip(pairs.alias("x"), F.slice(pairs, 2, F.size(windows)).alias("next"), F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), pairs).alias("prev"))
+    beside = F.arrays_zip(pairs.alias("x"), F.slice(pairs, 2, F.size(pairs)).alias("next"), F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), pairs).alias("prev"))
     again = F.filter(beside, lambda z: F.coalesce(z["x"]["h"] == z["next"]["h"], F.lit(False)) | F.coalesce(z["x"]["h"] == z["prev"]["h"], F.lit(False)))
-    places = F.array_sort(F.transform(again, lambda z: z["x"]["i"]))
+    places = F.sort_array(F.transform(again, lambda z: z["x"]["i"]))
 
     def step(acc: Column, i: Column) -> Column:
         return F.struct((acc["sum"] + F.least(F.lit(WINDOW), i + WINDOW - acc["end"])).alias("sum"), (i + WINDOW).alias("end"))
