@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, license_scan, ngram_join, pii, quality, rules, secret_scan, shard, suffix_dedup
+from . import bpe, decontaminate, license_scan, ngram_join, phrases, pii, quality, rules, secret_scan, shard, suffix_dedup
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"), words=secret_scan.vocabulary(public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrases(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,6 +74,7 @@ def queries() -> dict:
         op8_sharding,
         op9_ngram_jaccard_join,
         op10_secret_scan,
+        op13_phrase_mining,
         pipeline,
     )
     return {f.__name__: f for f in named}
@@ -106,5 +111,23 @@ SELECT doc_id, CAST(coalesce(c, 0) AS BIGINT) AS n_shingles, coalesce(low, doc_i
 """
 
 
+#: op13 in SQL: every phrase counted in place, then cuts, longer phrases and ranks from their definitions.
+OP13 = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, k, ws[i:i + k - 1] AS g FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS s(k) WHERE len(ws) >= k)),
+f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY lang, k, g),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, g, f AS a FROM f WHERE k > 1 AND f >= 10),
+h AS (SELECT lang, g, max(a) AS held FROM (SELECT lang, g[1:2] AS g, a FROM c WHERE k = 3 UNION ALL SELECT lang, g[2:3] AS g, a FROM c WHERE k = 3) AS u GROUP BY lang, g),
+u AS (SELECT c.lang, c.k, c.g, c.a, s.cut, c.g[1:s.cut] AS lg, c.g[s.cut + 1:c.k] AS rg FROM c JOIN (VALUES (1), (2)) AS s(cut) ON s.cut < c.k),
+q AS (SELECT u.lang, u.k, u.g, u.a, u.cut, x.f AS l, y.f AS r, CAST((CAST(u.a AS HUGEINT) * u.a * 1000000) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score FROM u JOIN f x ON x.lang = u.lang AND x.g = u.lg JOIN f y ON y.lang = u.lang AND y.g = u.rg),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) AS best FROM q),
+t AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, b.a, b.l, b.r, b.score FROM b LEFT JOIN h ON h.lang = b.lang AND h.g = b.g WHERE best = 1 AND NOT (b.k = 2 AND coalesce(100 * held >= 50 * b.a, false))),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM t)
+SELECT o.lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": OP6, "op9_ngram_jaccard_join": OP9}
+    return {"op6_quality_rules": OP6, "op9_ngram_jaccard_join": OP9, "op13_phrase_mining": OP13}
