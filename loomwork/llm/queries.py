@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, license_scan, ngram_join, phrases, pii, quality, rules, secret_scan, shard, suffix_dedup
+from . import bpe, decontaminate, license_scan, ngram_join, phrases, pii, quality, rules, secret_scan, shard, suffix_dedup, token_align
 from .common import table
 
 
@@ -52,6 +52,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"), words=secret_scan.vocabulary(public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.phrases(table(spark, sf_dir, "documents"))
 
@@ -74,6 +80,7 @@ def queries() -> dict:
         op8_sharding,
         op9_ngram_jaccard_join,
         op10_secret_scan,
+        op11_tokenizer_alignment,
         op13_phrase_mining,
         pipeline,
     )
