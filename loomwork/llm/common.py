@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -82,3 +82,11 @@ def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.Record
 def text_of(documents: DataFrame, *more: str) -> DataFrame:
     """doc_id and text alone (null text: empty), whatever else the table carries."""
     return documents.select("doc_id", *more, F.coalesce("text", F.lit("")).alias("text"))
+
+
+def best_of(df: DataFrame, by: list[str], order: list[Column], top: int, rank: str) -> DataFrame:
+    """The first ``top`` rows of each group with their rank: the best of many parts of a group meet, never a whole group."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("_part", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(parts)))
+    first = dealt.withColumn(rank, F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))).where(F.col(rank) <= top)
+    return first.drop("_part", rank).withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= top)

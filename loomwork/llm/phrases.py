@@ -29,12 +29,12 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordinals import with_ordinals
 from .bpe import _pack, _unpack
-from .common import cut, drop_cut, lean
+from .common import best_of, cut, drop_cut, lean
 
 #: Where pieces end, and what stands for that among the words: a separator is never a word.
 SEPARATORS, END = b".,;:!?\n\x0b\x0c\r", b"."
@@ -199,9 +199,6 @@ def _ranked(found: dict[int, DataFrame], words: DataFrame, totals: DataFrame, lo
     order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
     if top is None:
         ranked = with_ordinals(kept, list(order), "rank", within=["lang"])
-    else:  # the best of many parts of a language meet, never all of its phrases
-        parts = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        part = kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(parts)))
-        part = part.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
-        ranked = part.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
+    else:
+        ranked = best_of(kept, ["lang"], list(order), top, "rank")
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, license_scan, ngram_join, phrases, pii, quality, rules, secret_scan, shard, suffix_dedup, token_align
+from . import bpe, decontaminate, language, license_scan, ngram_join, phrases, pii, quality, rules, secret_scan, shard, suffix_dedup, token_align
 from .common import table
 
 
@@ -58,6 +58,10 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.phrases(table(spark, sf_dir, "documents"))
 
@@ -81,6 +85,7 @@ def queries() -> dict:
         op9_ngram_jaccard_join,
         op10_secret_scan,
         op11_tokenizer_alignment,
+        op12_language_id,
         op13_phrase_mining,
         pipeline,
     )
