@@ -33,12 +33,16 @@ from pyspark.sql import functions as F
 from .bpe import _pack, _unpack
 from .common import cut, lean
 
-#: Bytes of text encoded together, tokens in a block of events, and links in a chunk.
-TEXT_BYTES, BLOCK, CHUNK_LINKS = 2 << 20, 1 << 14, 1 << 20
+#: Bytes of text encoded together, tokens in a block of events, and tokens swept together.
+TEXT_BYTES, BLOCK, GROUP_TOKENS = 2 << 20, 1 << 14, 1 << 19
 #: Words kept encoded in a worker, and the length of those worth keeping.
-KEPT_WORDS, KEPT_LENGTH = 1 << 17, 64
+KEPT_WORDS, KEPT_LENGTH = 1 << 18, 64
 #: A space that follows anything but white space: no token of either side crosses it.
 WORD_CUT = r"(?<=[^\s\u180e])(?= )"
+#: Characters outside old blocks, of which versions of Unicode may know different classes.
+UNSETTLED = "[^\\x00-\u052f\u2000-\u206f\u20a0-\u20ba\u3000-\u30ff\u4e00-\u9fcc\uac00-\ud7a3]"
+#: Fixed value: how a byte-level tokenizer of this kind cuts a text before it merges.
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _EVENTS = "key bigint, side int, start bigint, final boolean, ids binary, doc_id {kind}"
 _SWEPT = "chunk bigint, doc_ids array<{kind}>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, groups_sha256 array<string>, a array<int>, b array<int>, n array<bigint>, sizes array<bigint>, links binary, times binary"
 
@@ -60,16 +64,33 @@ class _Side:
 
 @lru_cache(maxsize=1)
 def _byte_level(data: bytes) -> _Side:
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    """A byte-level vocabulary. Where its merges are its tokens in order, ranks say as much, and words of settled characters go by ranks."""
+    import json
+    import re
+
+    import tiktoken
     from tokenizers import Tokenizer
 
-    known = Tokenizer.from_str(data.decode())
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    known, model = Tokenizer.from_str(data.decode()), json.loads(data)["model"]
     known.encode_special_tokens = True  # their strings in a text are plain text
     byte = _byte_alphabet()
     tokens = [b""] * known.get_vocab_size()
     for token, i in known.get_vocab(with_added_tokens=True).items():
         tokens[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
-    return _Side(lambda words: [e.ids for e in known.encode_batch_fast(words, add_special_tokens=False)], tokens)
+    slow = lambda words: [e.ids for e in known.encode_batch_fast(words, add_special_tokens=False)]
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    if [model["vocab"].get(m) for m in merged] != list(range(256, 256 + len(merged))) or len(model["vocab"]) != 256 + len(merged):
+        return _Side(slow, tokens)
+    fast = tiktoken.Encoding("words", pat_str=SPLIT, mergeable_ranks={tokens[i]: i for i in model["vocab"].values()}, special_tokens={}).encode_ordinary
+    unsettled = re.compile(UNSETTLED).search
+
+    def words_of(words: list[str]) -> list[list[int]]:
+        rare = [w for w in words if unsettled(w)]
+        known_rare = dict(zip(rare, slow(rare), strict=True)) if rare else {}
+        return [known_rare[w] if w in known_rare else fast(w) for w in words]
+
+    return _Side(words_of, tokens)
 
 
 @lru_cache(maxsize=1)
@@ -91,6 +112,7 @@ def _encode(a_file, b_file):
 
     def run(batches):
         import re
+        from array import array
 
         from pyspark import TaskContext
 
@@ -99,39 +121,41 @@ def _encode(a_file, b_file):
         known: dict[str, tuple] = {}
         key = TaskContext.get().partitionId() << 33
 
-        def learn(words: list[str]) -> dict[str, tuple]:
+        def learn(words: list[str]) -> None:
             """Both sides' ids of words not seen yet; None where they do not spell the word."""
-            found = {}
             for word, *ids in zip(words, *(s.words(words) for s in sides), strict=True):
-                spelt = all(b"".join(map(s.tokens.__getitem__, i)) == word.encode() for s, i in zip(sides, ids, strict=True))
-                found[word] = tuple(np.array(i, np.uint16) for i in ids) if spelt else None
-            return found
+                plain = word.encode()
+                spelt = all(b"".join(map(s.tokens.__getitem__, i)) == plain for s, i in zip(sides, ids, strict=True))
+                known[word] = tuple(array("H", i).tobytes() for i in ids) if spelt else None
 
         def events(texts: list[str | None], ids: pa.Array):
-            nonlocal key, known
+            nonlocal key
             words = [split(" " + t) if t else [] for t in texts]
             new = list({w for ws in words for w in ws if w not in known})
             if len(known) + len(new) > KEPT_WORDS:
-                known = {}
+                known.clear()
                 new = list({w for ws in words for w in ws})
-            learnt = learn(new) if new else {}
-            known.update((w, x) for w, x in learnt.items() if len(w) <= KEPT_LENGTH)
+            learn(new)
             out: dict[str, list] = {c: [] for c in ("key", "side", "start", "final", "ids", "row")}
             for row, ws in enumerate(words):
-                parts = [learnt[w] if w in learnt else known[w] for w in ws]
-                whole = bool(parts) and all(p is not None for p in parts)
+                parts = [known[w] for w in ws]
+                whole = bool(parts) and None not in parts
                 for side in (0, 1):
-                    tokens = np.concatenate([p[side] for p in parts]) if whole else np.zeros(0, np.uint16)
-                    ends = np.cumsum(sides[side].sizes[tokens])
-                    for at in range(0, max(1, len(tokens)), BLOCK):
-                        block = tokens[at : at + BLOCK]
+                    tokens = b"".join([p[side] for p in parts]) if whole else b""
+                    if len(tokens) <= 2 * BLOCK:
+                        starts = [0]
+                    else:
+                        starts = [0, *np.cumsum(sides[side].sizes[np.frombuffer(tokens, np.uint16)])[BLOCK - 1 :: BLOCK].tolist()][: -(-len(tokens) // (2 * BLOCK))]
+                    for i, start in enumerate(starts):
                         out["key"].append(key)
                         out["side"].append(side)
-                        out["start"].append(int(ends[at - 1]) if at else 0)
-                        out["final"].append(at + BLOCK >= len(tokens))
-                        out["ids"].append(block.tobytes())
+                        out["start"].append(start)
+                        out["final"].append(i + 1 == len(starts))
+                        out["ids"].append(tokens[2 * BLOCK * i : 2 * BLOCK * (i + 1)])
                         out["row"].append(row)
                 key += 1
+            for w in [w for w in new if len(w) > KEPT_LENGTH]:
+                del known[w]
             kinds = {"key": pa.int64(), "side": pa.int32(), "start": pa.int64(), "final": pa.bool_(), "ids": pa.binary()}
             yield pa.RecordBatch.from_arrays([*[pa.array(out[c], kinds[c]) for c in kinds], ids.take(pa.array(out["row"], pa.int64()))], [*kinds, "doc_id"])
 
@@ -147,12 +171,32 @@ def _encode(a_file, b_file):
     return run
 
 
+def _swept_tokens(a: np.ndarray, b: np.ndarray, sizes: list[np.ndarray]):
+    """Whole groups at once: their shared ends, every end with its overlap, and the tokens in the order of the groups' text.
+
+    Tokens of many documents may stand one after another: where a document ends, both sides end.
+    """
+    ea, eb = np.cumsum(sizes[0][a]), np.cumsum(sizes[1][b])
+    same_a = eb[np.minimum(np.searchsorted(eb, ea), len(eb) - 1)] == ea
+    same_b = ea[np.minimum(np.searchsorted(ea, eb), len(ea) - 1)] == eb
+    shared = ea[same_a]
+    every = np.sort(np.concatenate([ea, eb[~same_b]]), kind="stable")
+    pairs = a[np.searchsorted(ea, every)] << 16 | b[np.searchsorted(eb, every)]
+    # The groups as text: tokens in the order group, side, place, each with what follows it.
+    ga, gb = np.searchsorted(shared, ea), np.searchsorted(shared, eb)
+    order = np.empty(len(a) + len(b), np.int64)
+    before_b = np.concatenate([[0], np.cumsum(np.bincount(gb, minlength=len(shared)))])
+    through_a = np.cumsum(np.bincount(ga, minlength=len(shared)))
+    order[np.arange(len(a)) + before_b[ga]] = a * 2 + same_a
+    order[np.arange(len(b)) + through_a[gb]] = 2 * len(sizes[0]) + b * 2 + same_b
+    return shared, every, pairs, order
+
+
 class _Open:
-    """The state of the sweep: tokens after the last shared end, by side, and the document's sums so far."""
+    """The state of the sweep of a text in blocks: the tokens after the last shared end, by side, and the sums so far."""
 
     def __init__(self):
         self.tail = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        self.ended = 0  # offset of the last shared end
         self.final = [False, False]
         self.tokens, self.groups, self.links = [0, 0], 0, 0
         self.hash = hashlib.sha256()
@@ -165,36 +209,28 @@ class _Open:
         self.pairs = [(distinct, np.bincount(number, times).astype(np.int64))]
 
     def step(self, sizes: list[np.ndarray], names: list[bytes]) -> None:
-        """Close every group that the tokens at hand complete."""
-        a, b = self.tail
-        ends = [self.ended + np.cumsum(s[t]) for s, t in zip(sizes, self.tail, strict=True)]
+        """Close every group that the tokens at hand complete; what comes after the last shared end waits."""
+        ends = [np.cumsum(s[t]) for s, t in zip(sizes, self.tail, strict=True)]
         shared = np.intersect1d(*ends, assume_unique=True)
         if not len(shared):
             return
         stop = [int(np.searchsorted(e, shared[-1], "right")) for e in ends]
-        a, b, ea, eb = a[: stop[0]], b[: stop[1]], ends[0][: stop[0]], ends[1][: stop[1]]
-        every = np.union1d(ea, eb)
-        left, right = a[np.searchsorted(ea, every)], b[np.searchsorted(eb, every)]
-        self.pairs.append(np.unique(left << 16 | right, return_counts=True))
+        a, b = (t[:n] for t, n in zip(self.tail, stop, strict=True))
+        shared, every, pairs, order = _swept_tokens(a, b, sizes)
+        self.pairs.append(np.unique(pairs, return_counts=True))
         if len(self.pairs) > 64:
             self.merge()
-        self.tokens = [self.tokens[0] + len(a), self.tokens[1] + len(b)]
+        self.hash.update((b";" if self.groups else b"") + b"".join(map(names.__getitem__, order.tolist()))[:-1])
+        self.tokens = [t + n for t, n in zip(self.tokens, stop, strict=True)]
         self.groups, self.links = self.groups + len(shared), self.links + len(every)
-        # The groups as text: tokens in the order group, side, place, each with what follows it.
-        ga, gb = np.searchsorted(shared, ea), np.searchsorted(shared, eb)
-        last_a, last_b = np.diff(ga, append=len(shared)) > 0, np.diff(gb, append=len(shared)) > 0
-        order = np.empty(len(a) + len(b), np.int64)
-        before_b = np.concatenate([[0], np.cumsum(np.bincount(gb, minlength=len(shared)))])
-        through_a = np.cumsum(np.bincount(ga, minlength=len(shared)))
-        order[np.arange(len(a)) + before_b[ga]] = a * 2 + last_a
-        order[np.arange(len(b)) + through_a[gb]] = 2 * len(sizes[0]) + b * 2 + last_b
-        said = b"".join(map(names.__getitem__, order.tolist()))
-        self.hash.update((b";" if self.groups > len(shared) else b"") + said[:-1])
-        self.tail, self.ended = [self.tail[0][stop[0] :], self.tail[1][stop[1] :]], int(shared[-1])
+        self.tail = [t[n:] for t, n in zip(self.tail, stop, strict=True)]
 
 
 def _sweep(a_file, b_file):
-    """Step 2 over a partition of events, sorted by document, offset and side."""
+    """Step 2 over a partition of events, sorted by document, offset and side.
+
+    Documents of one block a side are swept many at a time, longer ones block by block.
+    """
 
     def run(batches):
         from pyspark import TaskContext
@@ -202,45 +238,71 @@ def _sweep(a_file, b_file):
         sides = _byte_level(a_file.value), _pieces(b_file.value)
         sizes = [s.sizes for s in sides]
         # What a token says in a group: its id, and a comma, or what ends its side of the group.
-        ends = ((",", "|"), (",", ";"))
-        names = [f"{i}{e}".encode() for k, s in enumerate(sides) for i in range(len(s.tokens)) for e in ends[k]]
-        no = TaskContext.get().partitionId() << 33
-        now, now_key = None, None
-        done: list[tuple] = []
-
-        def chunk():
-            nonlocal no, done
-            pairs = [d[6] for d in done]
-            codes = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, np.int64)
-            distinct, number = np.unique(codes, return_inverse=True)
-            times = np.concatenate([p[1] for p in pairs]) if pairs else np.zeros(0, np.int64)
-            row = {"chunk": no, "doc_ids": pa.array([d[0] for d in done], kind), "a": distinct >> 16, "b": distinct & 0xFFFF, "n": np.bincount(number, times, len(distinct)).astype(np.int64), "sizes": [len(p[0]) for p in pairs], "links": _pack(number), "times": _pack(times)}
-            row |= {c: [d[1 + i] for d in done] for i, c in enumerate(("n_a", "n_b", "n_groups", "n_links", "groups_sha256"))}
-            no, done = no + 1, []
+        names = [f"{i}{e}".encode() for s, ends in zip(sides, ((",", "|"), (",", ";")), strict=True) for i in range(len(s.tokens)) for e in ends]
+        no, kind = TaskContext.get().partitionId() << 33, None
+
+        def chunk(doc_ids, columns, codes, number, times, per_doc) -> pa.RecordBatch:
+            """A row of swept documents: their columns, distinct pairs, and each document's share of them."""
+            nonlocal no
+            no += 1
+            row = {"chunk": no, "doc_ids": pa.array(doc_ids, kind), **columns, "a": codes >> 16, "b": codes & 0xFFFF, "n": np.bincount(number, times, len(codes)).astype(np.int64), "sizes": per_doc, "links": _pack(number), "times": _pack(times)}
             longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
             return pa.RecordBatch.from_pylist([row], pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(kind)), *[(c, longs) for c in ("n_a", "n_b", "n_groups", "n_links")], ("groups_sha256", pa.list_(pa.string())), ("a", ints), ("b", ints), ("n", longs), ("sizes", longs), ("links", pa.binary()), ("times", pa.binary())]))
 
-        kind, links = None, 0
+        def many(docs: list[tuple]) -> pa.RecordBatch:
+            """Whole documents (doc_id and the ids of both sides) in one sweep."""
+            counts = [np.fromiter((len(d[k]) // 2 for d in docs), np.int64, len(docs)) for k in (1, 2)]
+            a, b = (np.frombuffer(b"".join(d[k] for d in docs), "<u2").astype(np.int64) for k in (1, 2))
+            columns = {"n_a": counts[0], "n_b": counts[1], "n_groups": np.zeros(len(docs), np.int64), "n_links": np.zeros(len(docs), np.int64), "groups_sha256": [""] * len(docs)}
+            none = np.zeros(0, np.int64)
+            if not len(a):
+                return chunk([d[0] for d in docs], columns, none, none, none, columns["n_links"])
+            shared, every, pairs, order = _swept_tokens(a, b, sizes)
+            last = np.cumsum(counts[0]) - 1
+            ends = np.where(last >= 0, np.cumsum(sizes[0][a])[last], 0)  # an empty document ends where the one before it does
+            of = np.searchsorted(ends, every)
+            columns["n_groups"], columns["n_links"] = np.bincount(np.searchsorted(ends, shared), minlength=len(docs)), np.bincount(of, minlength=len(docs))
+            own, times = np.unique(of << 32 | pairs, return_counts=True)
+            codes, number = np.unique(own & 0xFFFFFFFF, return_inverse=True)
+            at = 0
+            for i, n in enumerate((counts[0] + counts[1]).tolist()):
+                if n:
+                    columns["groups_sha256"][i] = hashlib.sha256(b"".join(map(names.__getitem__, order[at : at + n].tolist()))[:-1]).hexdigest()
+                at += n
+            return chunk([d[0] for d in docs], columns, codes, number, times, np.bincount(own >> 32, minlength=len(docs)))
+
+        def one(doc_id, now: _Open) -> pa.RecordBatch:
+            now.merge()
+            codes, times = now.pairs[0]
+            return chunk([doc_id], {"n_a": [now.tokens[0]], "n_b": [now.tokens[1]], "n_groups": [now.groups], "n_links": [now.links], "groups_sha256": [now.hash.hexdigest()]}, codes, np.arange(len(codes)), times, [len(codes)])
+
+        now, now_key, first = None, None, b""
+        docs, waiting = [], 0
         for batch in batches:
             kind = batch.schema.field("doc_id").type
-            rows = zip(*[batch.column(c).to_pylist() for c in ("key", "side", "final", "ids", "doc_id")], strict=True)
-            for key, side, final, ids, doc_id in rows:
+            for key, side, final, ids, doc_id in zip(*[batch.column(c).to_pylist() for c in ("key", "side", "final", "ids", "doc_id")], strict=True):
                 if key != now_key:
-                    now, now_key = _Open(), key
-                now.tail[side] = np.concatenate([now.tail[side], np.frombuffer(ids, "<u2").astype(np.int64)])
-                now.final[side] = final
-                if len(ids) == 2 * BLOCK or all(now.final):
-                    now.step(sizes, names)
-                if all(now.final):
-                    if now.pairs:
-                        now.merge()
-                    done.append((doc_id, *now.tokens, now.groups, now.links, now.hash.hexdigest() if now.groups else "", now.pairs[0] if now.pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))))
-                    links += len(done[-1][6][0])
-                    if links >= CHUNK_LINKS or len(done) >= 1 << 16:
-                        yield chunk()
-                        links = 0
-        if done:
-            yield chunk()
+                    now, now_key, first = None, key, ids
+                    if not final:
+                        now = _Open()
+                elif now is None and not final:  # the other side was a single block
+                    now = _Open()
+                    now.tail[0], now.final[0] = np.frombuffer(first, "<u2").astype(np.int64), True
+                elif now is None:
+                    docs.append((doc_id, first, ids))
+                    waiting += len(first) + len(ids)
+                    if waiting >= 2 * GROUP_TOKENS:
+                        yield many(docs)
+                        docs, waiting = [], 0
+                if now is not None:
+                    now.tail[side] = np.concatenate([now.tail[side], np.frombuffer(ids, "<u2").astype(np.int64)])
+                    now.final[side] = now.final[side] or final
+                    if len(ids) == 2 * BLOCK or all(now.final):
+                        now.step(sizes, names)
+                    if all(now.final):
+                        yield one(doc_id, now)
+        if docs:
+            yield many(docs)
 
     return run
 
