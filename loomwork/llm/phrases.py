@@ -29,7 +29,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordinals import with_ordinals
@@ -111,20 +111,23 @@ def _word_lists(batches):
             yield row
 
 
-def _extend(group: pa.Table, live: pa.Table) -> pa.Table:
-    """Step 3 in a chunk: lists of phrases of k words become lists of phrases of k + 1.
+def _longer(group: pa.Table, live: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Step 3 in a chunk: keys, lengths and positions of the lists of phrases one word longer.
 
-    ``live`` has the frequent ones by their number in the chunk (local), with their key: the ids of their words, joined.
+    ``live`` has the frequent phrases by their number in the chunk (local), and for single
+    words their key. A phrase's key is the ids of its words, joined.
     """
-    out = pa.schema([("chunk", pa.int64()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64())), ("starts", pa.binary())])
+    none = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not group.num_rows or not live.num_rows:
-        return out.empty_table()
+        return none
     counts = group.column("counts").combine_chunks()[0].values.to_numpy()
     starts = _unpack_lists(group.column("starts")[0].as_py(), counts)
-    keys = [b""] * len(counts)
-    for local, key in zip(live.column("local").to_pylist(), live.column("key").to_pylist(), strict=True):
-        keys[local] = key
-    frequent = np.fromiter(map(bool, keys), bool, len(keys))
+    frequent = np.zeros(len(counts), bool)
+    frequent[live.column("local").to_numpy()] = True
+    if "key" in live.column_names:
+        keys = dict(zip(live.column("local").to_pylist(), live.column("key").to_pylist(), strict=True))
+    else:
+        keys = group.column("words").combine_chunks()[0].values.to_pylist()
     phrase = np.repeat(np.arange(len(counts)), counts)
     kept = frequent[phrase]
     starts, phrase = starts[kept], phrase[kept]
@@ -132,10 +135,23 @@ def _extend(group: pa.Table, live: pa.Table) -> pa.Table:
     starts, phrase = starts[by], phrase[by]
     met = np.flatnonzero(np.diff(starts) == 1)
     if not len(met):
-        return out.empty_table()
+        return none
     pairs, number, counts = np.unique(phrase[met] << 32 | phrase[met + 1], return_inverse=True, return_counts=True)
     found = [keys[a] + keys[b][-ID:] for a, b in zip((pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist(), strict=True)]
-    return pa.Table.from_pylist([{"chunk": group.column("chunk")[0].as_py(), "words": found, "counts": counts, "starts": _pack_lists(starts[met][np.argsort(number, kind="stable")], counts)}], out)
+    return found, counts, starts[met][np.argsort(number, kind="stable")]
+
+
+def _extend(group: pa.Table, live: pa.Table) -> pa.Table:
+    """The new lists as the chunk's row."""
+    out = pa.schema([("chunk", pa.int64()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64())), ("starts", pa.binary())])
+    found, counts, starts = _longer(group, live)
+    return pa.Table.from_pylist([{"chunk": group.column("chunk")[0].as_py(), "words": found, "counts": counts, "starts": _pack_lists(starts, counts)}] if found else [], out)
+
+
+def _lengths(group: pa.Table, live: pa.Table) -> pa.Table:
+    """Only the lengths of the new lists, where nothing longer is asked for."""
+    found, counts, _ = _longer(group, live)
+    return pa.Table.from_arrays([pa.array(found, pa.binary()), pa.array(counts, pa.int64())], ["key", "n"])
 
 
 def _rows(lists: DataFrame, key: str) -> DataFrame:
@@ -165,11 +181,17 @@ def phrases(documents: DataFrame, text: str = "text", lang: str = "lang", longes
     live = rows.join(words, ["lang", "word"]).select(F.col("chunk").alias("at"), "local", "key")
     found = {1: words.select("key", "f")}
     for k in range(2, longest + 1):
-        before, lists = lists, cut(lists.select("chunk", "words", "counts", "starts").groupBy("chunk").cogroup(live.groupBy("at")).applyInArrow(_extend, _PHRASES))
+        met = lists.select("chunk", "words", "counts", "starts").groupBy("chunk").cogroup(live.groupBy("at"))
+        if k == longest:
+            found[k] = cut(met.applyInArrow(_lengths, "key binary, n bigint").groupBy("key").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
+            break
+        before, lists = lists, cut(met.applyInArrow(_extend, _PHRASES))
         drop_cut(before)
-        rows = _rows(lists, "key")
-        found[k] = cut(rows.groupBy("key").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
-        live = rows.join(found[k].select("key"), "key").select(F.col("chunk").alias("at"), "local", "key")
+        # A key has a row for each chunk at most: frequencies stand beside them without a join back.
+        summed = _rows(lists, "key").withColumn("f", F.sum("n").over(Window.partitionBy("key")))
+        live = cut(summed.where(F.col("f") >= least).select(F.col("chunk").alias("at"), "local", "key", "f"))
+        found[k] = cut(live.groupBy("key").agg(F.max("f").alias("f")))
+        live = live.select("at", "local")
     drop_cut(lists)
     return _ranked(found, words, totals, longest, cover, top)
 
