@@ -47,11 +47,11 @@ def reuse_classes(records: DataFrame, boundary: Column, key: str, text: str, tar
 def conflict_groups(classes: DataFrame, key: str) -> DataFrame:
     """Conflicting texts as numbered groups: the largest first, then by text.
 
-    The numbering is over groups, not rows: only aggregated groups meet in one sort.
+    Groups are numbered by a scan over ranges of them, so no task holds them all.
     """
     groups = classes.where("reuse_class = 'conflict'").groupBy("source_text").agg(F.count(F.lit(1)).alias("n_boundary"), F.min(key).alias("first_uid"))
-    number = F.row_number().over(Window.orderBy(F.desc("n_boundary"), "source_text"))
-    return groups.select(F.format_string("CONFLICT-%03d", number).alias("group_id"), "source_text", "n_boundary", "first_uid")
+    numbered = with_ordinals(groups, [F.desc("n_boundary"), "source_text"], "_number")
+    return numbered.select(F.format_string("CONFLICT-%03d", "_number").alias("group_id"), "source_text", "n_boundary", "first_uid")
 
 
 def reference_flags(keys: DataFrame, references: DataFrame, key: str, locale: str, locales: list[str]) -> DataFrame:

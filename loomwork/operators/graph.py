@@ -27,23 +27,6 @@ def closure(edges: DataFrame, src: str, dst: str, levels: int = 100) -> DataFram
     raise ValueError(f"deeper than {levels} levels")
 
 
-def nearest_ancestor(nodes: DataFrame, key: str, parent: str, value: str, levels: int = 64) -> DataFrame:
-    """key, depth, owner, value: the nearest node on the way up (itself first) that has a value; a cycle ends at ``levels``."""
-    links = nodes.select(F.col(key).alias("_k"), F.col(parent).alias("_up"), F.col(value).alias("_v"))
-    at = nodes.select(key, F.col(key).alias("owner"), F.lit(0).alias("depth"))
-    done = None
-    for _ in range(levels):
-        met = at.join(links, at["owner"] == links["_k"], "left")
-        ended = met.where(F.col("_v").isNotNull() | F.col("_up").isNull() | (F.col("_up") == F.col("owner")))
-        found = ended.select(key, "depth", F.when(F.col("_v").isNotNull(), F.col("owner")).alias("owner"), F.col("_v").alias("value"))
-        done = found if done is None else done.unionByName(found)
-        at = met.where(F.col("_v").isNull() & F.col("_up").isNotNull() & (F.col("_up") != F.col("owner"))).select(key, F.col("_up").alias("owner"), (F.col("depth") + 1).alias("depth"))
-        at = settled(at)
-        if at.isEmpty():
-            return done
-    return done.unionByName(at.select(key, "depth", F.lit(None).cast(nodes.schema[key].dataType).alias("owner"), F.lit(None).cast(nodes.schema[value].dataType).alias("value")))
-
-
 def parent_candidates(children: DataFrame, definitions: DataFrame) -> DataFrame:
     """Children with the definitions they may inherit from: same name as ``using``, compatible type, not themselves."""
     c, d = children.alias("c"), definitions.alias("d")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fingerprint, protected_tokens
+from .matches import terms_in
 
 #: Columns that every mode shows, and those that a translator fills in.
 COMMON = ("ContentUid", "SourceLocale", "SourceText", "TargetLocale", "SourceVersion", "PresenceStatus", "TranslationRequired", "ProtectedTokens")
@@ -99,12 +100,11 @@ def buckets(mapping_type: Column, classification: Column) -> Column:
 def prompts(rows: DataFrame, rules: DataFrame, glossary: DataFrame, category: str, text: str) -> DataFrame:
     """Rows with ``prompt``: the category's rules, the glossary entries whose source occurs in the text in order, the tokens to keep, the text.
 
-    ``rules``: category, rules array; ``glossary``: source, target. Both are
-    dimension tables. A category without rules is an error when it is reached.
+    ``rules``: category, rules array; ``glossary``: source, target, found by one walk over
+    a text for all entries. A category without rules is an error when it is reached.
     """
     r = rules.select(F.col("category").alias("_c"), F.array_join("rules", "\n").alias("_rules"))
-    terms = glossary.agg(F.array_sort(F.collect_list(F.struct("source", "target"))).alias("_terms"))
-    joined = rows.join(F.broadcast(r), F.col(category) == F.col("_c"), "left").join(F.broadcast(terms))
-    used = F.transform(F.filter("_terms", lambda t: F.contains(F.lower(F.col(text)), F.lower(t["source"]))), lambda t: F.concat(t["source"], F.lit(" = "), t["target"]))
+    joined = terms_in(text, glossary, rows.join(r, F.col(category) == F.col("_c"), "left"), "_used")
+    used = F.transform("_used", lambda t: F.concat(t["source"], F.lit(" = "), t["target"]))
     body = F.concat_ws("\n", F.coalesce("_rules", F.raise_error(F.concat(F.lit("no rules for category "), F.col(category)))), F.array_join(used, "\n"), F.array_join(protected_tokens(F.col(text)), " "), F.col(text))
-    return joined.withColumn("prompt", body).withColumn("prompt_hash", fingerprint({"prompt": F.col("prompt")})).drop("_c", "_rules", "_terms")
+    return joined.withColumn("prompt", body).withColumn("prompt_hash", fingerprint({"prompt": F.col("prompt")})).drop("_c", "_rules", "_used")

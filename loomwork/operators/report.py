@@ -6,22 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def runs(run_ids: DataFrame, attempts: DataFrame, run: str) -> DataFrame:
-    """One row per run, attempts or none: counts by outcome, average seconds of successes, last instant, throughput per minute."""
-    ok = F.col("outcome") == "succeeded"
+def runs(started: DataFrame, attempts: DataFrame, run: str) -> DataFrame:
+    """One row for each run, attempts or none: counts by outcome and kind of error, average seconds of successes, the last end observed, successes per minute.
+
+    ``started``: the run, its started_at and finished_at (null while it goes on) and what
+    else is known of it; ``attempts``: the run, attempt_number, started_at, finished_at,
+    outcome and error_code. A run lasts from its start to its end, or to the last end
+    of an attempt; without time between them it has no rate.
+    """
+    ok, code = F.col("outcome") == "succeeded", F.col("error_code")
     seconds = (F.unix_micros("finished_at") - F.unix_micros("started_at")) / 1e6
-    agg = attempts.groupBy(run).agg(
-        F.count(F.lit(1)).alias("n_attempts"),
-        F.count_if(ok).alias("n_succeeded"),
-        F.count_if(F.col("outcome") == "failed").alias("n_failed"),
-        F.count_if(F.col("outcome") == "retryable").alias("n_retryable"),
-        F.avg(F.when(ok, seconds)).alias("mean_seconds"),
-        F.max("started_at").alias("last_at"),
-        ((F.unix_micros(F.max("started_at")) - F.unix_micros(F.min("started_at"))) / 6e7).alias("_minutes"),
-    )
-    rate = F.when(F.col("_minutes") > 0, F.bround(F.col("n_succeeded") / F.col("_minutes"), 4))
-    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_attempts", "n_succeeded", "n_failed", "n_retryable")]
-    return run_ids.join(agg, run, "left").select(run, *counts, F.bround("mean_seconds", 4).alias("mean_seconds"), F.unix_micros("last_at").alias("last_micros"), rate.alias("per_minute"))
+    counts = {
+        "n_attempts": F.lit(True),
+        "n_succeeded": ok,
+        "n_failed_retryable": F.col("outcome") == "failed-retryable",
+        "n_failed_final": F.col("outcome") == "failed-final",
+        "n_retries": F.col("attempt_number") > 1,
+        "n_http_429": code == "HTTP_429",
+        "n_http_5xx": code.rlike("^HTTP_5..$"),
+        "n_transport": code == "PROVIDER_TRANSPORT_ERROR",
+    }
+    agg = attempts.groupBy(F.col(run).alias("_run")).agg(*[F.count_if(c).alias(n) for n, c in counts.items()], F.avg(F.when(ok, seconds)).alias("mean_seconds"), F.max("finished_at").alias("last_observed_at"))
+    met = started.join(agg, F.col(run) == F.col("_run"), "left")
+    succeeded = F.coalesce("n_succeeded", F.lit(0))
+    minutes = (F.unix_micros(F.coalesce("finished_at", "last_observed_at")) - F.unix_micros("started_at")) / 6e7
+    return met.select(*started.columns, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.bround("mean_seconds", 4).alias("mean_seconds"), "last_observed_at", F.when(minutes > 0, F.bround(succeeded / minutes, 4)).alias("per_minute"))
 
 
 def percent(part: Column, total: Column) -> Column:
@@ -32,7 +41,7 @@ def rates(attempts: DataFrame) -> DataFrame:
     """One row: shares of outcomes among ended attempts."""
     ended = attempts.where("outcome <> 'running'")
     n = lambda o: F.count_if(F.col("outcome") == o)
-    return ended.agg(F.count(F.lit(1)).alias("n_ended"), percent(n("succeeded"), F.count(F.lit(1))).alias("success_percent"), percent(n("failed"), F.count(F.lit(1))).alias("failure_percent"), percent(n("retryable"), F.count(F.lit(1))).alias("retry_percent"))
+    return ended.agg(F.count(F.lit(1)).alias("n_ended"), percent(n("succeeded"), F.count(F.lit(1))).alias("success_percent"), percent(n("failed-final"), F.count(F.lit(1))).alias("failure_percent"), percent(n("failed-retryable"), F.count(F.lit(1))).alias("retry_percent"))
 
 
 #: Samples that a category needs for an estimate of its own.

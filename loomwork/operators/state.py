@@ -31,7 +31,7 @@ def number_attempts(attempts: DataFrame, key: list[str], order: list[str]) -> Da
 
 def status_after(outcome: Column, count: Column, max_attempts: int) -> Column:
     """State after an attempt: retryable failures become final at the limit."""
-    return F.when(outcome == "succeeded", "succeeded").when(outcome == "running", "running").when((outcome == "retryable") & (count < max_attempts), "failed-retryable").otherwise("failed-final")
+    return F.when(outcome == "succeeded", "succeeded").when(outcome == "running", "running").when((outcome == "failed-retryable") & (count < max_attempts), "failed-retryable").otherwise("failed-final")
 
 
 def fold(attempts: DataFrame, key: list[str], order: list[str], outcome: str, max_attempts: int) -> DataFrame:

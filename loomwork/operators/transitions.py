@@ -111,6 +111,6 @@ def reopen(states: DataFrame, keys: DataFrame, now: Column, max_attempts: int) -
 
 
 def run_status(states: DataFrame) -> str:
-    """What a run that ends now is: incomplete while anything can still run or runs, else completed."""
-    left = states.where(F.col("status").isin("pending", "running", "failed-retryable", "invalidated")).limit(1)
+    """What a run that ends now is: incomplete while a row is pending, running or to be tried again, else completed."""
+    left = states.where(F.col("status").isin("pending", "running", "failed-retryable")).limit(1)
     return "completed" if left.isEmpty() else "incomplete"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import align, assemble, batch, classify, graph, merge, ownership, providers, qa, qa_state, rank, report, returns, sets, state, transitions, validate
+from ..operators import align, assemble, batch, classify, graph, inherit, matches, merge, ownership, providers, qa, qa_state, rank, report, returns, sets, state, transitions, validate
 from ..session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,7 +55,7 @@ def utc(column: str):
 
 def attempts(spark: SparkSession, d: str) -> DataFrame:
     """Events as attempts at items of a user."""
-    outcome = F.when(F.col("event_type").isin("purchase", "signup"), "succeeded").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "click", "retryable").otherwise("running")
+    outcome = F.when(F.col("event_type").isin("purchase", "signup"), "succeeded").when(F.col("event_type") == "error", "failed-final").when(F.col("event_type") == "click", "failed-retryable").otherwise("running")
     return table(spark, d, "events").select("event_id", "user_id", (F.col("event_id") % 100).alias("item"), utc("ts").alias("ts"), "event_type", outcome.alias("outcome"), "value", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
@@ -180,7 +180,72 @@ def nation_edges(spark, d):
 def inheritance_closure(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") > 0, F.floor(F.col("doc_id") / 2).cast("long")).alias("parent"))
     nodes = docs.join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return graph.nearest_ancestor(nodes, "doc_id", "parent", "quality").select("doc_id", "depth", "owner", F.col("value").alias("quality"))
+    return inherit.nearest(nodes, "doc_id", "parent", "quality").select("doc_id", "depth", "owner", F.col("value").alias("quality"))
+
+
+def order_layers(spark, d):
+    """Orders as layers of a customer: each brings some fields, one that is fulfilled builds on something else."""
+    name = F.col("o_custkey").cast("string")
+    fields = F.map_filter(F.create_map(F.lit("priority"), F.col("o_orderpriority"), F.lit("status"), F.col("o_orderstatus"), F.lit("day"), F.date_format(utc("o_orderdate"), "yyyy-MM-dd")), lambda k, v: (k != "priority") | (F.col("o_orderkey") % 3 == 0))
+    return table(spark, d, "orders").select(name.alias("name"), F.unix_micros(utc("o_orderdate")).alias("at"), "o_orderkey", F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("base-"), (F.col("o_orderkey") % 5).cast("string"))).otherwise(name).alias("using"), F.map_filter(fields, lambda k, v: (k != "day") | (F.col("o_orderkey") % 2 == 0)).alias("fields"))
+
+
+@query
+def layered_fields(spark, d):
+    return inherit.layered_fields(order_layers(spark, d), "name", ["at", "o_orderkey"], "using", "fields", ["o_orderkey"])[1]
+
+
+@query
+def layered_heads(spark, d):
+    return inherit.layered_fields(order_layers(spark, d), "name", ["at", "o_orderkey"], "using", "fields", ["o_orderkey"])[0]
+
+
+def family(spark, d):
+    """Documents as a tree of which one branch is a cycle and some parents are missing, and their own fields."""
+    i = F.col("doc_id")
+    up = F.when(i == 0, "").when(i == 8, "16").when(i % 50 == 7, F.concat(F.lit("gone-"), i.cast("string"))).otherwise(F.floor(i / 2).cast("string"))
+    docs = table(spark, d, "documents")
+    own = F.array(*[F.when(i % m == r, F.struct(F.lit(f).alias("field"), v.alias("value"))) for f, m, r, v in (("lang", 7, 0, F.col("lang")), ("source", 11, 5, F.col("source")), ("size", 29, 8, F.col("n_chars").cast("string")))])
+    return docs.select(i.cast("string").alias("entity"), up.alias("using")), docs.select(i.cast("string").alias("entity"), F.inline(F.array_compact(own)))
+
+
+@query
+def inherited_fields(spark, d):
+    return inherit.inherited(*family(spark, d), "entity", "using")[0]
+
+
+@query
+def inheritance_ends(spark, d):
+    return inherit.inherited(*family(spark, d), "entity", "using")[1]
+
+
+def stat_definitions(spark, d):
+    """Parts as definitions, eight of a name, that use their own name, another's or none."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    name = lambda n: F.concat(F.lit("n"), n.cast("string"))
+    at = F.floor(k / 8)
+    using = F.when(k % 4 == 0, name(at)).when(k % 4 == 1, name(at + 1)).when(k % 4 == 2, name(at - 3)).otherwise("")
+    path = F.when(size % 7 == 0, "Other/x").otherwise(F.concat(F.lit("Public/m"), (size % 25).cast("string"), F.lit("/f.txt")))
+    return table(spark, d, "part").select("p_partkey", F.concat(F.lit("d"), k.cast("string")).alias("id"), name(at).alias("name"), F.when(k % 5 > 0, "A").otherwise("").alias("entity_type"), using.alias("using"), F.create_map(F.lit("f"), F.when(k % 16 < 8, F.lit("x")).otherwise(F.col("p_type"))).alias("fields"), F.concat(F.lit("p"), (size % 5).cast("string")).alias("provider"), path.alias("internal_path"))
+
+
+@query
+def runtime_edges(spark, d):
+    defs, edges = stat_definitions(spark, d), nation_edges(spark, d)
+    modules = table(spark, d, "nation").where("n_nationkey % 9 <> 8").select(F.concat(F.lit("m"), F.col("n_nationkey").cast("string")).alias("folder"), F.col("n_nationkey").cast("int").alias("uuid"))
+    return inherit.reconcile(defs.where("p_partkey % 8 < 6"), defs.where("p_partkey % 8 >= 6"), modules, edges.where("a <> b"), graph.closure(edges, "a", "b").where("depth <= 2"))
+
+
+@query
+def runtime_outcome(spark, d):
+    p, h = table(spark, d, "part"), lambda e: F.concat(F.lit("h"), e.cast("string")).alias("content_uid")
+    related = p.select(F.concat(F.lit("d"), F.col("p_partkey").cast("string")).alias("edge_id"), h(F.col("p_partkey") % 300))
+    return inherit.outcome(runtime_edges(spark, d), related, p.where("p_partkey % 3 <> 0").select(h(F.col("p_partkey") % 300)), table(spark, d, "nation").select(h(F.col("n_nationkey"))))
+
+
+@query
+def runtime_counts(spark, d):
+    return inherit.outcome_counts(runtime_edges(spark, d))
 
 
 @query
@@ -384,11 +449,21 @@ def stale_leases(spark, d):
 # Reports ------------------------------------------------------------------------------------
 
 
+def reported_attempts(spark, d):
+    """Attempts numbered for each item of a user, those that failed with a code."""
+    failed, kind = F.col("outcome").startswith("failed"), F.col("k") % 5
+    code = F.when(kind == 0, "HTTP_429").when(kind == 1, F.format_string("HTTP_5%02d", (F.col("k") % 6).cast("int"))).when(kind == 2, "PROVIDER_TRANSPORT_ERROR").when(kind == 3, "HTTP_5000")
+    number = F.row_number().over(Window.partitionBy("user_id", "item").orderBy("ts", "event_id"))
+    ended = F.when(F.col("outcome") != "running", F.timestamp_micros(F.unix_micros("ts") + F.col("k") * 1_000_000))
+    return attempts(spark, d).select((F.col("user_id") % 10).alias("run_id"), number.alias("attempt_number"), F.col("ts").alias("started_at"), ended.alias("finished_at"), "outcome", F.when(failed, code).alias("error_code"))
+
+
 @query
 def run_report(spark, d):
-    a = attempts(spark, d).withColumn("run_id", F.col("user_id") % 10).withColumn("started_at", F.col("ts")).withColumn("finished_at", F.timestamp_micros(F.unix_micros("ts") + F.col("k") * 1_000_000))
-    ids = spark.range(12).select(F.col("id").alias("run_id"))
-    return report.runs(ids, a, "run_id")
+    begun = F.timestamp_micros(F.lit(1_500_000_000_000_000) + F.col("id") * 3_600_000_000)
+    runs = spark.range(12).select(F.col("id").alias("run_id"), F.concat(F.lit("p"), (F.col("id") % 3).cast("string")).alias("provider"), begun.alias("started_at"), F.when(F.col("id") % 2 == 1, F.timestamp_micros(F.lit(1_900_000_000_000_000) + F.col("id"))).alias("finished_at"))
+    out = report.runs(runs, reported_attempts(spark, d), "run_id")
+    return out.select("run_id", "provider", "n_attempts", "n_succeeded", "n_failed_retryable", "n_failed_final", "n_retries", "n_http_429", "n_http_5xx", "n_transport", "mean_seconds", F.unix_micros("last_observed_at").alias("last_micros"), "per_minute")
 
 
 @query
@@ -398,7 +473,7 @@ def attempt_rates(spark, d):
 
 @query
 def error_breakdown(spark, d):
-    a = attempts(spark, d).where("outcome IN ('failed', 'retryable')").withColumn("error_code", F.format_string("HTTP_%03d", (F.col("k") % 6 + 500).cast("int")))
+    a = attempts(spark, d).where("outcome IN ('failed-final', 'failed-retryable')").withColumn("error_code", F.format_string("HTTP_%03d", (F.col("k") % 6 + 500).cast("int")))
     return a.groupBy("error_code").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("error_code").rlike("^HTTP_50[0-3]$")).alias("n_server"))
 
 
@@ -407,8 +482,7 @@ def metered(spark, d):
     a, e = attempts(spark, d), F.col("event_id")
     prompt, completion = F.when(e % 10 > 0, F.col("k") * 1000 + e % 1000), F.when(e % 7 > 0, F.col("k") * 100 + e % 10)
     number = F.row_number().over(Window.partitionBy("user_id", "item").orderBy("ts", "event_id"))
-    outcome = F.when((F.col("outcome") == "failed"), "failed-final").otherwise(F.col("outcome"))
-    return a.select("event_id", "user_id", "item", F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string")).alias("provider"), F.col("event_type").alias("model"), outcome.alias("outcome"), prompt.cast("long").alias("prompt_tokens"), completion.cast("long").alias("completion_tokens"), F.when(e % 5 > 0, prompt + completion).cast("long").alias("total_tokens"), number.alias("attempt_number"))
+    return a.select("event_id", "user_id", "item", F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string")).alias("provider"), F.col("event_type").alias("model"), "outcome", prompt.cast("long").alias("prompt_tokens"), completion.cast("long").alias("completion_tokens"), F.when(e % 5 > 0, prompt + completion).cast("long").alias("total_tokens"), number.alias("attempt_number"))
 
 
 def spent(spark, d):
@@ -491,7 +565,7 @@ def attempt_summary(spark, d):
 def token_forecast(spark, d):
     a = metered(spark, d).withColumn("category", F.when(F.col("user_id") % 50 == 0, F.concat(F.lit("rare-"), F.col("user_id").cast("string"))).otherwise(F.col("model")))
     samples = a.where("outcome = 'succeeded' AND prompt_tokens IS NOT NULL AND completion_tokens IS NOT NULL")
-    left = a.where("outcome = 'retryable'").groupBy("category").agg(F.count(F.lit(1)).alias("n_remaining"))
+    left = a.where("outcome = 'failed-retryable'").groupBy("category").agg(F.count(F.lit(1)).alias("n_remaining"))
     return report.forecast(samples, left, "category")
 
 
@@ -583,6 +657,30 @@ def usage_rules(spark, d):
     return qa.usage_findings(table(spark, d, "documents"), "doc_id", "text", [("U1", "the"), ("U2", "ción"), ("U3", "und"), ("U4", "les ")]).withColumn("n_matches", F.col("n_matches").cast("long"))
 
 
+def usage_rule_set(spark):
+    """Literals and patterns, with case and without; two of the literals would be patterns if they were not escaped."""
+    rules = [("U1", "literal", "the", "word", False), ("U2", "literal", "THE ", "word", True), ("U3", "literal", "ción", "ending", False), ("U4", "literal", "|", "symbol", False), ("U5", "literal", ".\n", "symbol", False), ("U6", "regex", "[0-9]+", "number", False), ("U7", "regex", "[a-z0-9]+@[a-z0-9]+", "address", True), ("U8", "literal", "the", "again", False)]
+    return spark.createDataFrame([(i, kind, p, c, f"about {c}", "", case) for i, kind, p, c, case in rules], matches.RULES)
+
+
+@query
+def usage_matches(spark, d):
+    return matches.matches(table(spark, d, "documents"), "doc_id", "text", usage_rule_set(spark))
+
+
+@query
+def usage_match_counts(spark, d):
+    return matches.counts(usage_matches(spark, d))
+
+
+@query
+def usage_candidates(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    found = matches.candidates(docs.where("doc_id % 3 <> 0"), docs.where("doc_id % 2 = 0"), "doc_id", "text", usage_rule_set(spark))
+    said = F.array_join(F.transform("findings", lambda f: F.concat_ws(":", f["start"], f["end"], f["rule_id"])), ",")
+    return found.select("candidate_id", "doc_id", F.md5("source_text").alias("source_md5"), F.md5("target_text").alias("target_md5"), F.col("finding_count").cast("long").alias("finding_count"), F.md5(said).alias("findings_md5"))
+
+
 @query
 def handle_scan(spark, d):
     ids = F.regexp_extract_all("html", F.lit(r"([A-Za-z]+[0-9]+)"), F.lit(1))

@@ -7,14 +7,14 @@ PAIRS = """pairs AS (SELECT u.conv_id, u.turn, u.text AS source_text,
  ['dialogue_general', 'dialogue_story', 'quest', 'bark', 'ui', 'skill_spell', 'item', 'book_lore', 'character_world', 'system_message', 'tutorial', 'other', 'unheard-of'][u.conv_id % 13 + 1] AS category
  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user')"""
 ATTEMPTS = """attempts AS (SELECT event_id, user_id, event_id % 100 AS item, ts, event_type, value,
- CASE WHEN event_type IN ('purchase', 'signup') THEN 'succeeded' WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'click' THEN 'retryable' ELSE 'running' END AS outcome,
+ CASE WHEN event_type IN ('purchase', 'signup') THEN 'succeeded' WHEN event_type = 'error' THEN 'failed-final' WHEN event_type = 'click' THEN 'failed-retryable' ELSE 'running' END AS outcome,
  CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k FROM events)"""
 FOLDED = (
     ATTEMPTS
     + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id, item ORDER BY ts DESC, event_id DESC) AS rn,
  count(*) OVER (PARTITION BY user_id, item) AS attempt_count, count(*) FILTER (outcome = 'succeeded') OVER (PARTITION BY user_id, item) AS n_succeeded FROM attempts),
  folded AS (SELECT user_id, item, attempt_count, n_succeeded, ts AS last_ts, event_id AS last_event_id, outcome AS last_outcome,
- CASE WHEN outcome = 'succeeded' THEN 'succeeded' WHEN outcome = 'running' THEN 'running' WHEN outcome = 'retryable' AND attempt_count < 3 THEN 'failed-retryable' ELSE 'failed-final' END AS status FROM ranked WHERE rn = 1)"""
+ CASE WHEN outcome = 'succeeded' THEN 'succeeded' WHEN outcome = 'running' THEN 'running' WHEN outcome = 'failed-retryable' AND attempt_count < 3 THEN 'failed-retryable' ELSE 'failed-final' END AS status FROM ranked WHERE rn = 1)"""
 )
 REUSE = """r AS (SELECT p_partkey, p_name || '|' || p_brand AS text, p_type AS target FROM part),
  idx AS (SELECT text, count(*) AS n_shared, count(DISTINCT target) AS n_targets FROM r WHERE p_partkey % 5 <> 0 GROUP BY text),
@@ -61,7 +61,7 @@ CANDIDATES = """cand AS (SELECT p_partkey, u.* FROM part, LATERAL (SELECT * FROM
  CASE WHEN b.category IS NULL THEN 'unresolved' ELSE 'classified' END AS status FROM part LEFT JOIN best b ON b.p_partkey = part.p_partkey AND b.rn = 1)"""
 METERED = (
     ATTEMPTS
-    + """, metered AS (SELECT user_id, event_type AS model, 'p' || CAST(user_id % 3 AS VARCHAR) AS provider, CASE WHEN outcome = 'failed' THEN 'failed-final' ELSE outcome END AS outcome, row_number() OVER (PARTITION BY user_id, item ORDER BY ts, event_id) AS attempt_number,
+    + """, metered AS (SELECT user_id, event_type AS model, 'p' || CAST(user_id % 3 AS VARCHAR) AS provider, outcome, row_number() OVER (PARTITION BY user_id, item ORDER BY ts, event_id) AS attempt_number,
  CASE WHEN event_id % 10 > 0 THEN k * 1000 + event_id % 1000 END AS p, CASE WHEN event_id % 7 > 0 THEN k * 100 + event_id % 10 END AS q, CASE WHEN event_id % 5 > 0 AND event_id % 10 > 0 AND event_id % 7 > 0 THEN k * 1100 + event_id % 1000 + event_id % 10 END AS t FROM attempts)"""
 )
 SPENT = (
@@ -147,6 +147,25 @@ RETURNED = r"""base AS (SELECT p_partkey AS k, CASE WHEN k % 2 = 0 THEN p_name |
 JUDGED_STATES = """s9 AS (SELECT conv_id || '-' || turn AS uid, conv_id, category, CASE WHEN turn % 6 = 5 THEN 'running' ELSE 'succeeded' END AS status, output, md5(output) AS output_hash, conv_id % 4 AS tries FROM states),
  r9 AS (SELECT conv_id || '-' || turn AS uid, route, ruleset, output_hash FROM results)"""
 
+LAYERS = """layers AS (SELECT CAST(o_custkey AS VARCHAR) AS name, o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'base-' || CAST(o_orderkey % 5 AS VARCHAR) ELSE CAST(o_custkey AS VARCHAR) END AS "using", o_orderpriority, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders),
+ stops AS (SELECT name, count(*) AS n_layers, min(rn) FILTER (o IS NOT NULL) AS stop FROM (SELECT name, rn, CASE WHEN "using" <> name THEN 1 END AS o FROM layers) GROUP BY name),
+ walked AS (SELECT l.* FROM layers l JOIN stops s ON s.name = l.name WHERE s.stop IS NULL OR l.rn <= s.stop),
+ brought AS (SELECT name, o_orderkey, rn, 'priority' AS field, o_orderpriority AS value FROM walked WHERE o_orderkey % 3 = 0 UNION ALL SELECT name, o_orderkey, rn, 'status' AS field, o_orderstatus AS value FROM walked UNION ALL SELECT name, o_orderkey, rn, 'day' AS field, day AS value FROM walked WHERE o_orderkey % 2 = 0)"""
+FAMILY = """ent AS (SELECT CAST(doc_id AS VARCHAR) AS entity, CASE WHEN doc_id = 0 THEN '' WHEN doc_id = 8 THEN '16' WHEN doc_id % 50 = 7 THEN 'gone-' || CAST(doc_id AS VARCHAR) ELSE CAST(doc_id // 2 AS VARCHAR) END AS up FROM documents),
+ own AS (SELECT CAST(doc_id AS VARCHAR) AS entity, 'lang' AS field, lang AS value FROM documents WHERE doc_id % 7 = 0 UNION ALL SELECT CAST(doc_id AS VARCHAR), 'source', source FROM documents WHERE doc_id % 11 = 5 UNION ALL SELECT CAST(doc_id AS VARCHAR), 'size', CAST(n_chars AS VARCHAR) FROM documents WHERE doc_id % 29 = 8),
+ walk(entity, node, depth, path) AS (SELECT entity, entity, CAST(0 AS BIGINT), [entity] FROM ent UNION ALL SELECT w.entity, e.up, w.depth + 1, list_append(w.path, e.up) FROM walk w JOIN ent e ON e.entity = w.node JOIN ent p ON p.entity = e.up WHERE NOT list_contains(w.path, e.up))"""
+RUNTIME = """defs AS (SELECT p_partkey AS k, 'd' || CAST(p_partkey AS VARCHAR) AS id, 'n' || CAST(p_partkey // 8 AS VARCHAR) AS name, CASE WHEN p_partkey % 5 > 0 THEN 'A' ELSE '' END AS ty, CASE p_partkey % 4 WHEN 0 THEN 'n' || CAST(p_partkey // 8 AS VARCHAR) WHEN 1 THEN 'n' || CAST(p_partkey // 8 + 1 AS VARCHAR) WHEN 2 THEN 'n' || CAST(p_partkey // 8 - 3 AS VARCHAR) ELSE '' END AS us, CASE WHEN p_partkey % 16 < 8 THEN 'x' ELSE p_type END AS f, p_size % 5 AS pr, CASE WHEN p_size % 7 <> 0 AND (p_size % 25) % 9 <> 8 THEN p_size % 25 END AS mo FROM part),
+ near AS (SELECT DISTINCT a, b FROM edges WHERE a <> b), far AS (SELECT start AS a, node AS b FROM closure WHERE depth <= 2),
+ pairs AS (SELECT c.id AS cid, c.name = c.us AS itself, c.mo AS cmo, c.ty || '~' || c.us || '~' || c.f AS csays, o.ty || '~' || o.us || '~' || o.f AS says, o.id AS oid, o.mo AS omo, o.pr = c.pr AS same, n.a IS NOT NULL AS near, r.a IS NOT NULL AND n.a IS NULL AS far FROM defs c JOIN defs o ON o.name = c.us AND o.id <> c.id AND (c.ty = '' OR o.ty = '' OR c.ty = o.ty) LEFT JOIN near n ON n.a = c.mo AND n.b = o.mo LEFT JOIN far r ON r.a = c.mo AND r.b = o.mo WHERE c.k % 8 < 6),
+ agg AS (SELECT cid, count(*) AS n, count(*) FILTER (same) AS ns, count(*) FILTER (near) AS nd, count(*) FILTER (far) AS nt, count(DISTINCT says) AS says, count(*) FILTER (says <> csays) AS differ, count(*) FILTER (omo IS NULL) AS bare, min(oid) AS any_id, min(oid) FILTER (same) AS same_id, min(oid) FILTER (near) AS near_id, min(oid) FILTER (far) AS far_id FROM pairs GROUP BY cid),
+ runtime AS (SELECT c.id AS child_id, c.name = c.us AS itself, coalesce(n, 0) AS n_candidates, any_id, same_id, near_id, far_id, CASE WHEN n IS NULL THEN 'InheritedReferenceMissingParent' WHEN c.name <> c.us AND ns = 1 THEN 'ResolvedSameProviderDefinition' WHEN c.name <> c.us AND n = 1 THEN 'ResolvedUniqueCompatibleDefinition' WHEN c.name <> c.us AND says = 1 THEN 'EquivalentProviderDefinition' WHEN c.name <> c.us THEN 'AmbiguousMultipleDefinitions' WHEN c.mo IS NULL THEN 'MetadataDoesNotCoverProvider' WHEN nd = 1 THEN 'ResolvedByDirectModuleDependency' WHEN nd = 0 AND nt = 1 THEN 'ResolvedByTransitiveModuleDependency' WHEN nd + nt > 0 THEN 'AmbiguousMultiplePriorProviders' WHEN differ = 0 THEN 'EquivalentProviderDefinition' WHEN bare > 0 THEN 'MetadataDoesNotCoverProvider' ELSE 'SupportedButRuntimeWinnerUnproven' END AS status FROM defs c LEFT JOIN agg ON cid = c.id WHERE c.k % 8 < 6 AND c.us <> '')"""
+
+MATCHES = r"""rules(rule_id, kind, pat, category, fold) AS (VALUES ('U1', 'literal', 'the', 'word', false), ('U2', 'literal', 'the ', 'word', true), ('U3', 'literal', 'ción', 'ending', false), ('U4', 'literal', '|', 'symbol', false), ('U5', 'literal', '.' || chr(10), 'symbol', false), ('U6', 'regex', '[0-9]+', 'number', false), ('U7', 'regex', '[a-z0-9]+@[a-z0-9]+', 'address', true), ('U8', 'literal', 'the', 'again', false)),
+said AS (SELECT doc_id, rule_id, kind, pat, category, text, CASE WHEN fold THEN lower(text) ELSE text END AS t FROM documents, rules),
+cuts AS (SELECT doc_id, rule_id, category, text, string_split(t, pat) AS parts, [pat] AS hits, true AS lit FROM said WHERE kind = 'literal' UNION ALL SELECT doc_id, rule_id, category, text, regexp_split_to_array(t, pat) AS parts, regexp_extract_all(t, pat) AS hits, false AS lit FROM said WHERE kind = 'regex'),
+nth AS (SELECT *, unnest(range(1, len(parts))) AS i FROM cuts WHERE len(parts) > 1),
+placed AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start, start + n, rule_id) AS place, CAST(start AS INTEGER) AS start, CAST(start + n AS INTEGER) AS "end", rule_id, category, substr(text, CAST(start AS BIGINT) + 1, CAST(n AS BIGINT)) AS matched_text FROM (SELECT doc_id, rule_id, category, text, list_sum(list_transform(parts[1:i], lambda x: length(x))) + CASE WHEN lit THEN (i - 1) * length(hits[1]) WHEN i = 1 THEN 0 ELSE list_sum(list_transform(hits[1:i - 1], lambda x: length(x))) END AS start, length(CASE WHEN lit THEN hits[1] ELSE hits[i] END) AS n FROM nth))"""
+
 ORACLE: dict[str, str] = {
     "normalize_records": "SELECT doc_id, lang, sha256(text) AS text_hash, CAST(length(text) AS BIGINT) AS n_text FROM documents",
     "align_locales": "SELECT source, " + ", ".join(f"nullif(count(*) FILTER (lang = '{x}'), 0) AS n_{x}" for x in ("en", "de", "fr", "es")) + " FROM documents GROUP BY source",
@@ -163,6 +182,13 @@ ORACLE: dict[str, str] = {
     "layered_merge": "WITH a AS (SELECT *, CASE WHEN o_totalprice > 200000 THEN o_orderkey END AS value, row_number() OVER w AS rn, coalesce(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stops FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC)) SELECT o_custkey, count(*) FILTER (stops = 0) AS n_layers, arg_min(value, rn) FILTER (stops = 0 AND value IS NOT NULL) AS merged_value FROM a GROUP BY o_custkey",
     "evidence_union": "SELECT md5(text) AS text_md5, min(doc_id) AS first_id, count(*) AS n_evidence, string_agg(DISTINCT source, ' | ' ORDER BY source) AS sources FROM documents GROUP BY 1",
     "priority_dedup": "SELECT text_md5, doc_id, class_rank FROM (SELECT *, row_number() OVER (PARTITION BY text_md5 ORDER BY class_rank, doc_id) AS rn FROM (SELECT doc_id, md5(text) AS text_md5, CASE quality WHEN 1 THEN 0 WHEN 0 THEN 2 ELSE 1 END AS class_rank FROM documents LEFT JOIN labels USING (doc_id))) WHERE rn = 1",
+    "layered_fields": f"WITH {LAYERS}, w AS (SELECT *, row_number() OVER (PARTITION BY name, field ORDER BY rn) AS nth FROM brought) SELECT name, field, value, o_orderkey FROM w WHERE nth = 1",
+    "layered_heads": f"WITH {LAYERS} SELECT l.name, n_layers, coalesce((SELECT \"using\" FROM layers x WHERE x.name = l.name AND x.rn = s.stop), '') AS \"using\", o_orderkey FROM layers l JOIN stops s ON s.name = l.name WHERE l.rn = 1",
+    "inherited_fields": f"WITH RECURSIVE {FAMILY}, w AS (SELECT walk.entity, field, node AS owner, depth, value, row_number() OVER (PARTITION BY walk.entity, field ORDER BY depth) AS nth FROM walk JOIN own ON own.entity = walk.node) SELECT entity, field, owner, depth, value FROM w WHERE nth = 1",
+    "inheritance_ends": f"WITH RECURSIVE {FAMILY}, last AS (SELECT entity, node, row_number() OVER (PARTITION BY entity ORDER BY depth DESC) AS nth FROM walk) SELECT l.entity, CASE WHEN e.up = '' THEN 'root' WHEN e.up LIKE 'gone-%' THEN 'missing' ELSE 'cycle' END AS ends FROM last l JOIN ent e ON e.entity = l.node WHERE nth = 1",
+    "runtime_edges": f"WITH RECURSIVE {EDGES}, {RUNTIME} SELECT child_id, itself, status, n_candidates, CASE status WHEN 'ResolvedSameProviderDefinition' THEN same_id WHEN 'ResolvedUniqueCompatibleDefinition' THEN any_id WHEN 'ResolvedByDirectModuleDependency' THEN near_id WHEN 'ResolvedByTransitiveModuleDependency' THEN far_id END AS selected_id FROM runtime",
+    "runtime_outcome": f"WITH RECURSIVE {EDGES}, {RUNTIME}, v AS (SELECT 'h' || CAST(CAST(substr(child_id, 2) AS BIGINT) % 300 AS VARCHAR) AS content_uid, CASE WHEN NOT itself AND status = 'AmbiguousMultipleDefinitions' THEN 'hold' WHEN itself AND status IN ('SupportedButRuntimeWinnerUnproven', 'MetadataDoesNotCoverProvider', 'AmbiguousMultiplePriorProviders') THEN 'warning' END AS verdict FROM runtime UNION ALL SELECT 'h' || CAST(n_nationkey AS VARCHAR), 'hold' FROM nation) SELECT content_uid, min(verdict) AS verdict FROM v WHERE verdict IS NOT NULL AND content_uid IN (SELECT 'h' || CAST(p_partkey % 300 AS VARCHAR) FROM part WHERE p_partkey % 3 <> 0) GROUP BY content_uid",
+    "runtime_counts": f"WITH RECURSIVE {EDGES}, {RUNTIME} SELECT count(*) FILTER (NOT itself AND status = 'AmbiguousMultipleDefinitions') AS ambiguous_edge_count, count(*) FILTER (itself AND status IN ('SupportedButRuntimeWinnerUnproven', 'MetadataDoesNotCoverProvider', 'AmbiguousMultiplePriorProviders')) AS self_name_warning_edge_count, count(*) FILTER (status = 'EquivalentProviderDefinition') AS equivalent_edge_count, count(*) FILTER (status = 'ResolvedByDirectModuleDependency') AS direct_dependency_resolved_count, count(*) FILTER (status = 'ResolvedByTransitiveModuleDependency') AS transitive_dependency_resolved_count FROM runtime",
     "inheritance_closure": "WITH RECURSIVE n AS (SELECT d.doc_id, CASE WHEN d.doc_id > 0 THEN d.doc_id // 2 END AS parent, quality FROM documents d LEFT JOIN labels USING (doc_id)), up(doc_id, place, depth) AS (SELECT doc_id, doc_id, 0 FROM n UNION ALL SELECT u.doc_id, n.parent, u.depth + 1 FROM up u JOIN n ON n.doc_id = u.place WHERE n.quality IS NULL AND n.parent IS NOT NULL), last AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY depth DESC) AS rn FROM up) SELECT l.doc_id, l.depth, CASE WHEN n.quality IS NOT NULL THEN l.place END AS owner, n.quality FROM last l LEFT JOIN n ON n.doc_id = l.place WHERE rn = 1",
     "dependency_closure": f"WITH RECURSIVE {EDGES} SELECT start, node, depth FROM closure",
     "precedence_status": f"WITH RECURSIVE {EDGES}, c AS (SELECT s_suppkey AS child, s_nationkey AS cm, s_suppkey % 7 AS slot FROM supplier WHERE s_suppkey % 2 = 0), o AS (SELECT s_suppkey % 7 AS slot, s_nationkey AS om FROM supplier WHERE s_suppkey % 2 = 1), j AS (SELECT child, (SELECT count(*) FROM (SELECT DISTINCT a, b FROM edges WHERE a <> b) e WHERE e.a = cm AND e.b = om) AS d, (SELECT count(*) FROM closure x WHERE x.start = cm AND x.node = om AND x.depth <= 2) AS t FROM c JOIN o USING (slot)), n AS (SELECT child, count(*) AS n_candidates, CAST(sum(d) AS BIGINT) AS n_direct, CAST(sum(t) AS BIGINT) AS n_transitive FROM j GROUP BY child) SELECT *, CASE WHEN n_direct = 1 THEN 'direct' WHEN n_direct = 0 AND n_transitive = 1 THEN 'transitive' WHEN n_direct + n_transitive > 0 THEN 'ambiguous' ELSE 'unproven' END AS status FROM n",
@@ -189,9 +215,14 @@ ORACLE: dict[str, str] = {
     "state_fold": f"WITH {FOLDED} SELECT user_id, item, attempt_count, n_succeeded, last_event_id, last_outcome, status FROM folded",
     "claim_next": f"WITH {FOLDED} SELECT user_id, item, attempt_count, row_number() OVER (ORDER BY user_id, item) AS claim_order FROM folded WHERE status = 'failed-retryable' AND attempt_count < 3 ORDER BY user_id, item LIMIT 100",
     "stale_leases": f"WITH {FOLDED} SELECT user_id, item, CASE WHEN status = 'running' AND last_ts + INTERVAL 300 SECOND <= TIMESTAMP '2024-01-15' THEN 'failed-retryable' ELSE status END AS status, status = 'running' AND last_ts + INTERVAL 300 SECOND <= TIMESTAMP '2024-01-15' AS recovered FROM folded",
-    "run_report": f"WITH {ATTEMPTS}, g AS (SELECT user_id % 10 AS run_id, count(*) AS n, count(*) FILTER (outcome = 'succeeded') AS s, count(*) FILTER (outcome = 'failed') AS f, count(*) FILTER (outcome = 'retryable') AS r, round_even(avg(k) FILTER (outcome = 'succeeded'), 4) AS m, epoch_us(max(ts)) AS hi, (epoch_us(max(ts)) - epoch_us(min(ts))) / 6e7 AS mins FROM attempts GROUP BY 1) SELECT i.run_id, coalesce(n, 0) AS n_attempts, coalesce(s, 0) AS n_succeeded, coalesce(f, 0) AS n_failed, coalesce(r, 0) AS n_retryable, m AS mean_seconds, hi AS last_micros, CASE WHEN mins > 0 THEN round_even(s / mins, 4) END AS per_minute FROM (SELECT unnest(range(12)) AS run_id) i LEFT JOIN g USING (run_id)",
-    "attempt_rates": f"WITH {ATTEMPTS}, e AS (SELECT count(*) AS n, count(*) FILTER (outcome = 'succeeded') AS s, count(*) FILTER (outcome = 'failed') AS f, count(*) FILTER (outcome = 'retryable') AS r FROM attempts WHERE outcome <> 'running') SELECT n AS n_ended, {_percent('s', 'n')} AS success_percent, {_percent('f', 'n')} AS failure_percent, {_percent('r', 'n')} AS retry_percent FROM e",
-    "error_breakdown": f"WITH {ATTEMPTS}, e AS (SELECT printf('HTTP_%03d', k % 6 + 500) AS error_code FROM attempts WHERE outcome IN ('failed', 'retryable')) SELECT error_code, count(*) AS n, count(*) FILTER (regexp_matches(error_code, '^HTTP_50[0-3]$')) AS n_server FROM e GROUP BY 1",
+    "run_report": f"""WITH {ATTEMPTS}, a AS (SELECT user_id % 10 AS run_id, ts, k, outcome, row_number() OVER (PARTITION BY user_id, item ORDER BY ts, event_id) AS nr, CASE WHEN outcome <> 'running' THEN epoch_us(ts) + k * 1000000 END AS fin,
+ CASE WHEN outcome LIKE 'failed%' THEN CASE k % 5 WHEN 0 THEN 'HTTP_429' WHEN 1 THEN printf('HTTP_5%02d', k % 6) WHEN 2 THEN 'PROVIDER_TRANSPORT_ERROR' WHEN 3 THEN 'HTTP_5000' END END AS code FROM attempts),
+g AS (SELECT run_id, count(*) AS n, count(*) FILTER (outcome = 'succeeded') AS s, count(*) FILTER (outcome = 'failed-retryable') AS r, count(*) FILTER (outcome = 'failed-final') AS f, count(*) FILTER (nr > 1) AS again, count(*) FILTER (code = 'HTTP_429') AS h4, count(*) FILTER (code LIKE 'HTTP@_5__' ESCAPE '@') AS h5, count(*) FILTER (code = 'PROVIDER_TRANSPORT_ERROR') AS tr, round_even(avg(k) FILTER (outcome = 'succeeded'), 4) AS m, max(fin) AS hi FROM a GROUP BY run_id),
+i AS (SELECT run_id, 1500000000000000 + run_id * 3600000000 AS begun, CASE WHEN run_id % 2 = 1 THEN 1900000000000000 + run_id END AS ended FROM (SELECT unnest(range(12)) AS run_id)),
+m AS (SELECT i.run_id, n, s, r, f, again, h4, h5, tr, m, hi, (coalesce(ended, hi) - begun) / 6e7 AS mins FROM i LEFT JOIN g ON g.run_id = i.run_id)
+SELECT run_id, 'p' || CAST(run_id % 3 AS VARCHAR) AS provider, coalesce(n, 0) AS n_attempts, coalesce(s, 0) AS n_succeeded, coalesce(r, 0) AS n_failed_retryable, coalesce(f, 0) AS n_failed_final, coalesce(again, 0) AS n_retries, coalesce(h4, 0) AS n_http_429, coalesce(h5, 0) AS n_http_5xx, coalesce(tr, 0) AS n_transport, m AS mean_seconds, hi AS last_micros, CASE WHEN mins > 0 THEN round_even(coalesce(s, 0) / mins, 4) END AS per_minute FROM m""",
+    "attempt_rates": f"WITH {ATTEMPTS}, e AS (SELECT count(*) AS n, count(*) FILTER (outcome = 'succeeded') AS s, count(*) FILTER (outcome = 'failed-final') AS f, count(*) FILTER (outcome = 'failed-retryable') AS r FROM attempts WHERE outcome <> 'running') SELECT n AS n_ended, {_percent('s', 'n')} AS success_percent, {_percent('f', 'n')} AS failure_percent, {_percent('r', 'n')} AS retry_percent FROM e",
+    "error_breakdown": f"WITH {ATTEMPTS}, e AS (SELECT printf('HTTP_%03d', k % 6 + 500) AS error_code FROM attempts WHERE outcome IN ('failed-final', 'failed-retryable')) SELECT error_code, count(*) AS n, count(*) FILTER (regexp_matches(error_code, '^HTTP_50[0-3]$')) AS n_server FROM e GROUP BY 1",
     "attempts_completed": """SELECT CAST(k AS VARCHAR) AS content_uid, CASE WHEN NOT running THEN 'pending' WHEN NOT ended THEN 'running' WHEN ok THEN 'succeeded' WHEN k % 4 = 0 AND k % 4 < 3 THEN 'failed-retryable' ELSE 'failed-final' END AS status, CAST(k % 4 AS INTEGER) AS attempt_count,
  CASE WHEN running AND NOT ended THEN 'w' || CAST(k % 5 AS VARCHAR) END AS lease_owner, CASE WHEN ended AND ok THEN md5(CAST(k AS VARCHAR)) END AS output_hash, CASE WHEN ended AND ok THEN 'r1' END AS last_successful_run_id,
  CASE WHEN NOT running THEN NULL WHEN NOT ended THEN 'running' WHEN ok THEN 'succeeded' WHEN k % 4 = 0 THEN 'failed-retryable' ELSE 'failed-final' END AS outcome, CASE WHEN ended AND NOT ok THEN 'E1' END AS error_code, CASE WHEN ended THEN k % 100 + k % 10 ELSE -1 END AS total_tokens, CASE WHEN ended THEN 1700000000::BIGINT ELSE -1 END AS finished
@@ -206,7 +237,7 @@ ORACLE: dict[str, str] = {
     "attempt_summary": f"WITH {METERED}, s AS (SELECT count(*) AS n, count(*) FILTER (outcome = 'succeeded') AS ok, count(*) FILTER (attempt_number > 1) AS r, count(*) FILTER (outcome = 'failed-final') AS f FROM metered) SELECT n AS n_attempts, ok AS n_succeeded, r AS n_retries, round_even(100.0::DOUBLE * r / n, 2) AS retry_percent, f AS n_failed_final, round_even(100.0::DOUBLE * f / n, 2) AS failed_final_percent, round_even(n::DOUBLE / ok, 4) AS attempts_per_success FROM s",
     "token_forecast": f"""WITH {METERED}, c AS (SELECT *, CASE WHEN user_id % 50 = 0 THEN 'rare-' || CAST(user_id AS VARCHAR) ELSE model END AS category FROM metered),
  own AS (SELECT category, count(*) AS n, sum(p) AS p, sum(q) AS q FROM c WHERE outcome = 'succeeded' AND p IS NOT NULL AND q IS NOT NULL GROUP BY 1), g AS (SELECT coalesce(sum(n), 0) AS n, sum(p) AS p, sum(q) AS q FROM own),
- l AS (SELECT category, count(*) AS r FROM c WHERE outcome = 'retryable' GROUP BY 1)
+ l AS (SELECT category, count(*) AS r FROM c WHERE outcome = 'failed-retryable' GROUP BY 1)
  SELECT CASE WHEN max(g.n) >= 10 THEN 'available' ELSE 'unavailable' END AS status, CAST(sum(r) AS BIGINT) AS n_remaining, CAST(max(g.n) AS BIGINT) AS n_samples,
  CAST(round(sum(r * CASE WHEN own.n >= 10 THEN own.p::DOUBLE / own.n ELSE g.p::DOUBLE / g.n END)) AS BIGINT) AS prompt_tokens, CAST(round(sum(r * CASE WHEN own.n >= 10 THEN own.q::DOUBLE / own.n ELSE g.q::DOUBLE / g.n END)) AS BIGINT) AS completion_tokens FROM l LEFT JOIN own USING (category), g""",
     "accounting_categories": f"""WITH {COMPLETION}, z AS (SELECT v.category, status, CASE WHEN r.route IS NOT NULL AND r.output_hash = v.output_hash AND r.ruleset = 'v2' THEN r.route END AS route, disposition FROM st v JOIN completion c ON c.conv_id = v.conv_id AND c.turn = v.turn LEFT JOIN (SELECT * FROM results WHERE conv_id % 23 <> 6) r ON r.conv_id = v.conv_id AND r.turn = v.turn)
@@ -222,6 +253,9 @@ ORACLE: dict[str, str] = {
     "protected_tokens": f"SELECT page_id, len({TOKENS}) AS n_tokens, array_to_string({TOKENS}, ',') AS tokens FROM pages",
     "token_multiset_diff": f"WITH t AS (SELECT page_id, {TOKENS} AS x FROM pages), j AS (SELECT p.page_id, p.x AS a, q.x AS b FROM t p JOIN t q ON q.page_id = p.page_id + 1) SELECT page_id, {MINUS.format(a='a', b='b')} AS missing, {MINUS.format(a='b', b='a')} AS unexpected FROM j",
     "markup_check": r"WITH t AS (SELECT page_id, list_transform(regexp_extract_all(html, '(</?p(?:\s[^>]*)?>)', 1), lambda x: CASE WHEN starts_with(x, '</') THEN -1 ELSE 1 END) AS d FROM pages) SELECT page_id, CAST(coalesce(list_sum(d), 0) AS BIGINT) AS depth, coalesce(list_sum(d), 0) = 0 AND coalesce(list_min(list_transform(range(1, len(d) + 1), lambda i: list_sum(d[1:i]))), 0) >= 0 AS is_balanced FROM t",
+    "usage_matches": f"WITH {MATCHES} SELECT doc_id, place, start, \"end\", rule_id, category, matched_text FROM placed",
+    "usage_match_counts": f"WITH {MATCHES} SELECT 'rule' AS level, rule_id AS name, count(*) AS n FROM placed GROUP BY rule_id UNION ALL SELECT 'category' AS level, category AS name, count(*) AS n FROM placed GROUP BY category",
+    "usage_candidates": f"WITH {MATCHES}, g AS (SELECT doc_id, count(*) AS n, string_agg(concat_ws(':', start, \"end\", rule_id), ',' ORDER BY place) AS said FROM placed WHERE doc_id % 3 <> 0 GROUP BY doc_id) SELECT 'TWUSAGE-' || upper(substr(sha256(CAST(doc_id AS VARCHAR)), 1, 16)) AS candidate_id, doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN text ELSE '' END) AS source_md5, md5(text) AS target_md5, n AS finding_count, md5(said) AS findings_md5 FROM g JOIN documents USING (doc_id)",
     "usage_rules": "SELECT doc_id, rule_id, n_matches FROM (SELECT doc_id, rule_id, CAST((length(text) - length(replace(text, lit, ''))) / length(lit) AS BIGINT) AS n_matches FROM documents, (VALUES ('U1', 'the'), ('U2', 'ción'), ('U3', 'und'), ('U4', 'les ')) r(rule_id, lit)) WHERE n_matches > 0",
     "handle_scan": "SELECT page_id, len(h) AS n_handles, len(list_distinct(h)) AS n_distinct FROM (SELECT page_id, regexp_extract_all(html, '([A-Za-z]+[0-9]+)', 1) AS h FROM pages)",
     "completion_view": f"WITH {COMPLETION} SELECT * FROM completion",

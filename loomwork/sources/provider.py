@@ -31,11 +31,11 @@ def run(rows: DataFrame, provider: Callable[[str, str], Outcome], max_attempts:
                     try:
                         outcome, result, error, asked, answered = provider(uid, text)
                     except Exception as fault:  # noqa: BLE001 - a provider's fault is the row's result
-                        outcome, result, error, asked, answered = "failed", None, f"PROVIDER_EXCEPTION:{type(fault).__name__}", None, None
-                    if outcome != "retryable" or attempt == max_attempts:
+                        outcome, result, error, asked, answered = "failed-final", None, f"PROVIDER_EXCEPTION:{type(fault).__name__}", None, None
+                    if outcome != "failed-retryable" or attempt == max_attempts:
                         break
                     sleep(min(most, base * 2 ** (attempt - 1)))
-                out.append((uid, "failed-final" if outcome in ("failed", "retryable") else outcome, result, error, attempt, asked, answered))
+                out.append((uid, "failed-final" if outcome == "failed-retryable" else outcome, result, error, attempt, asked, answered))
             got = pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in RESULT.split(",")])
             yield got.astype({"prompt_tokens": "Int64", "completion_tokens": "Int64"})
 

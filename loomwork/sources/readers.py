@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sha256
 from ..operators.sets import require_unique
+from ..session import settled
 
 RECORD = "contentUid string, localeId string, text string, version string, sourcePackage string, sourceLocaEntry string, textHash string, presence boolean"
 MAPPING = "contentUid string, mappingType string, classification string, version string, reviewRequired boolean, evidence array<struct<sourceRole:string, resourcePath:string, evidenceType:string, ruleId:string, properties:variant>>, metadata variant"
@@ -59,14 +60,34 @@ def content_xml(spark: SparkSession, path: str, locale: str, package: str = "",
     return require_unique(out, "contentUid")
 
 
+def numbered(rows: DataFrame, first: int = 1) -> DataFrame:
+    """Rows read from files with ``__file__`` and ``__row__``: the file's name and the row's number in its file.
+
+    A file that is read in splits is numbered by a scan over them: a split's rows follow
+    those of the splits before it in its file. What is counted is a row for each split.
+    """
+    place = F.monotonically_increasing_id()
+    split = {"__path__": F.col("_metadata.file_path"), "__block__": F.col("_metadata.file_block_start")}
+    tagged = settled(rows.select("*", F.col("_metadata.file_name").alias("__file__"), *[c.alias(n) for n, c in split.items()], place.alias("__place__")))
+    counts = tagged.groupBy(*split).agg(F.count(F.lit(1)).alias("n"), F.min("__place__").alias("begin"))
+    before = Window.partitionBy("__path__").orderBy("__block__").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*split, "begin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return tagged.join(offsets, list(split)).withColumn("__row__", F.col("__place__") - F.col("begin") + F.col("before") + first).drop("__path__", "__block__", "__place__", "begin", "before")
+
+
 def returned(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Returned CSV material with the file and the row it came from; rows that are blank all over go."""
-    rows = spark.read.option("header", True).option("escape", '"').option("multiLine", True).schema(", ".join(f"`{c}` string" for c in columns)).csv(path)
+    """Returned material, CSV or (by its name) JSON Lines, with the file and the row it came from; rows that are blank all over go.
+
+    A CSV's first row of data is number 2, as in a spreadsheet; a line of JSON is numbered from 1.
+    """
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    lines = path.endswith(".jsonl")
+    rows = numbered(spark.read.schema(schema).option("mode", "FAILFAST").json(path) if lines else spark.read.option("header", True).option("escape", '"').option("multiLine", True).schema(schema).csv(path), 1 if lines else 2)
     filled = [F.trim(F.coalesce(F.col(c), F.lit(""))) != "" for c in columns]
     any_cell = filled[0]
     for cell in filled[1:]:
         any_cell = any_cell | cell
-    return rows.withColumn("__file__", F.col("_metadata.file_name")).withColumn("__row__", F.monotonically_increasing_id()).where(any_cell)
+    return rows.where(any_cell)
 
 
 def locales(spark: SparkSession, paths: dict[str, str]) -> DataFrame:

@@ -13,8 +13,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder that driver and executors share; a local one only where none is set, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomwork-stream-")
+    """A folder that driver and executors share; one of this machine only where none is set and all run on it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    root = root or tempfile.mkdtemp(prefix="loomwork-stream-")
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -45,7 +48,7 @@ def item_states(events: DataFrame, max_attempts: int = 3, lease_seconds: int = 3
                 last = max(last, int(frame["ts"].iloc[-1].timestamp() * 1000))
                 for outcome in frame["outcome"]:
                     count += 1
-                    status = {"succeeded": "succeeded", "running": "running"}.get(outcome) or ("failed-retryable" if outcome == "retryable" and count < max_attempts else "failed-final")
+                    status = {"succeeded": "succeeded", "running": "running"}.get(outcome) or ("failed-retryable" if outcome == "failed-retryable" and count < max_attempts else "failed-final")
             state.update((count, status))
             if status == "running":
                 state.setTimeoutTimestamp(max(last + lease_seconds * 1000, state.getCurrentWatermarkMs() + 1))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork.functions import text as T
-from loomwork.operators import align, batch, classify, graph, merge, qa, rank, report, sets, state, transitions, validate
+from loomwork.operators import align, batch, classify, graph, inherit, merge, qa, rank, report, sets, state, transitions, validate
 from loomwork.sources import writers
 
 
@@ -42,7 +42,7 @@ def test_disposition(spark, status, output, present, stale, same, route, accepte
 
 def test_status_after(spark):
     after = lambda outcome, n: column(spark, state.status_after(F.lit(outcome), F.lit(n), 3))
-    assert [after("succeeded", 9), after("running", 1), after("retryable", 2), after("retryable", 3), after("failed", 1)] == ["succeeded", "running", "failed-retryable", "failed-final", "failed-final"]
+    assert [after("succeeded", 9), after("running", 1), after("failed-retryable", 2), after("failed-retryable", 3), after("failed-final", 1)] == ["succeeded", "running", "failed-retryable", "failed-final", "failed-final"]
 
 
 def test_qa_issues_and_routes(spark):
@@ -127,7 +127,7 @@ def test_closures(spark):
     got = {(r.start, r.node): r.depth for r in graph.closure(edges, "a", "b").collect()}
     assert got == {("a", "b"): 1, ("a", "c"): 2, ("a", "d"): 3, ("b", "c"): 1, ("b", "a"): 2, ("b", "d"): 2, ("c", "a"): 1, ("c", "d"): 1, ("c", "b"): 2}
     nodes = spark.createDataFrame([(1, None, 5), (2, 1, None), (3, 2, None), (4, 99, None), (5, 6, None), (6, 5, None), (7, 2, 8)], "id int, up int, v int")
-    found = {r.id: (r.depth, r.owner, r.value) for r in graph.nearest_ancestor(nodes, "id", "up", "v", levels=6).collect()}
+    found = {r.id: (r.depth, r.owner, r.value) for r in inherit.nearest(nodes, "id", "up", "v").collect()}
     assert {k: found[k][1:] for k in found} == {1: (1, 5), 2: (1, 5), 3: (1, 5), 4: (None, None), 5: (None, None), 6: (None, None), 7: (7, 8)}
 
 
@@ -229,7 +229,7 @@ def test_transitions_are_denied(spark):
     for bad, fault in (("u1", "not succeeded"), ("u3", "no completed"), ("u4", "unknown")):
         with pytest.raises(ValueError, match=fault):
             transitions.reopen(states, uids(bad), now, 3)
-    assert transitions.run_status(states) == "incomplete" and transitions.run_status(states.where("status = 'succeeded'")) == "completed"
+    assert transitions.run_status(states) == "incomplete" and transitions.run_status(states.limit(1).withColumn("status", F.lit("invalidated"))) == "completed" and transitions.run_status(states.where("status = 'succeeded'")) == "completed"
 
 
 def test_snapshot_is_replaced_by_what_reads_it(spark, tmp_path):
@@ -238,3 +238,24 @@ def test_snapshot_is_replaced_by_what_reads_it(spark, tmp_path):
     writers.replace_snapshot(writers.read_snapshot(spark, path).selectExpr("id + 10 AS id"), path)
     writers.drop_old_snapshots(spark, path)
     assert sorted(r.id for r in writers.read_snapshot(spark, path).collect()) == [10, 11, 12] and len(list((tmp_path / "states").glob("v-*"))) == 1
+
+
+def test_run_report_of_completed_transitions(spark):
+    """What transitions write is what the report counts."""
+    states = spark.createDataFrame([(f"u{i}", "b1", "pending", 0) for i in range(4)], "content_uid string, batch_id string, status string, attempt_count int")
+    nothing = {"translated_text": "string", "input_hash": "string", "output_hash": "string", "last_successful_run_id": "string", "last_attempt_id": "bigint", "lease_owner": "string", "lease_expires_at": "timestamp", "updated_at": "timestamp"}
+    states = states.withColumns({c: F.lit(None).cast(t) for c, t in nothing.items()})
+    attempts = spark.createDataFrame([], "attempt_id long, run_id string, content_uid string, batch_id string, attempt_number int, provider string, model string, started_at timestamp, finished_at timestamp, outcome string, error_code string, error_message string, input_hash string, output_hash string, prompt_tokens long, completion_tokens long, total_tokens long")
+    at = lambda s: F.lit(f"2024-01-01 00:00:{s:02d}").cast("timestamp")
+    run = {"run_id": "r1", "provider": "p", "model": "m", "status": "running"}
+    states, attempts = transitions.claim(states, attempts, run, "w", 4, at(10), at(50), 2)
+    states, attempts = states.cache(), attempts.cache()
+    ended = attempts.select("attempt_id", F.lit("w").alias("worker_id"), (F.col("content_uid") < "u2").alias("succeeded"), (F.col("content_uid") == "u2").alias("retryable"), F.lit("t").alias("translated_text"), F.lit("h").alias("output_hash"), F.when(F.col("content_uid") == "u2", "HTTP_503").otherwise("HTTP_429").alias("error_code"), F.lit("e").alias("error_message"), F.lit(1).cast("long").alias("prompt_tokens"), F.lit(1).cast("long").alias("completion_tokens"), F.lit(2).cast("long").alias("total_tokens"))
+    states, attempts = transitions.complete(states, attempts, ended, at(40), 2)
+    runs = spark.createDataFrame([("r1", "2024-01-01 00:00:00", None), ("r2", "2024-01-01 00:00:00", "2024-01-01 00:01:00"), ("r3", None, None)], "run_id string, s string, f string").select("run_id", F.col("s").cast("timestamp").alias("started_at"), F.col("f").cast("timestamp").alias("finished_at"))
+    got = {r.run_id: r for r in report.runs(runs, attempts, "run_id").collect()}
+    one = got["r1"]
+    assert (one.n_attempts, one.n_succeeded, one.n_failed_retryable, one.n_failed_final, one.n_retries, one.n_http_429, one.n_http_5xx, one.n_transport) == (4, 2, 1, 1, 0, 1, 1, 0)
+    assert one.mean_seconds == 30.0 and one.per_minute == 3.0  # two successes from the run's start to the last end, 40 s later
+    assert got["r2"].n_attempts == 0 and got["r2"].per_minute == 0.0 and got["r3"].per_minute is None
+    assert report.rates(attempts).first().failure_percent == 25.0

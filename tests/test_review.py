@@ -69,7 +69,7 @@ def test_provider(spark):
     def call(uid, text):
         if uid == "boom":
             raise RuntimeError
-        return ("succeeded", text.upper(), None, 3, 4) if uid == "ok" else ("retryable", None, "HTTP_503", None, None)
+        return ("succeeded", text.upper(), None, 3, 4) if uid == "ok" else ("failed-retryable", None, "HTTP_503", None, None)
 
     rows = spark.createDataFrame([("ok", "a"), ("boom", "b"), ("busy", "c")], "content_uid string, text string")
     got = {r.content_uid: (r.outcome, r.translated_text, r.error_code, r.attempts, r.prompt_tokens) for r in provider.run(rows, call, sleep=lambda s: None).collect()}

@@ -82,8 +82,22 @@ def test_writers(spark, tmp_path):
 def test_item_states_stream(spark, tmp_path):
     from loomwork.streaming import attempts
 
-    spark.createDataFrame([("a", "retryable", 1), ("a", "succeeded", 2), ("b", "retryable", 1), ("b", "retryable", 2), ("b", "retryable", 3), ("c", "running", 1), ("d", "succeeded", 9999)], "uid string, outcome string, s long").selectExpr("uid", "outcome", "timestamp_seconds(s) AS ts").write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([("a", "failed-retryable", 1), ("a", "succeeded", 2), ("b", "failed-retryable", 1), ("b", "failed-retryable", 2), ("b", "failed-retryable", 3), ("c", "running", 1), ("d", "succeeded", 9999)], "uid string, outcome string, s long").selectExpr("uid", "outcome", "timestamp_seconds(s) AS ts").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("uid string, outcome string, ts timestamp").parquet(str(tmp_path / "in"))
     got = {(r.uid, r.attempt_count, r.status, r.reason) for r in attempts.drain(attempts.item_states(stream), "update").collect()}
     want = {("a", 2, "succeeded", "attempt"), ("b", 3, "failed-final", "attempt"), ("c", 1, "running", "attempt"), ("d", 1, "succeeded", "attempt")}
     assert got == want | {("c", 1, "failed-retryable", "lease")}
+
+
+def test_rows_are_numbered_by_file_over_splits(spark, tmp_path):
+    for name, n in (("a", 5000), ("b", 3), ("c", 0)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"a": "{name}{i}"}}\n' for i in range(1, n + 1)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")  # many splits of one file, many files in one task
+    try:
+        rows = readers.numbered(spark.read.schema("a string").json(str(tmp_path))).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 5003 and all(r.a == f"{r['__file__'][0]}{r['__row__']}" for r in rows)
+    (tmp_path / "d.csv").write_text('x,y\n1,"a\nb"\n,\n3,c\n')
+    assert sorted((r["__row__"], r.x, r.y) for r in readers.returned(spark, str(tmp_path / "d.csv"), ["x", "y"]).collect()) == [(2, "1", "a\nb"), (4, "3", "c")]
+    assert sorted((r["__row__"], r.a) for r in readers.returned(spark, str(tmp_path / "b.jsonl"), ["a"]).collect()) == [(1, "b1"), (2, "b2"), (3, "b3")]
