@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +31,12 @@ from pyspark.sql import functions as F
 
 from .bpe import _pack, _unpack
 from .common import cut, lean
+from .textvec import slices
 
 #: Bytes of text encoded together, tokens in a block of events, and tokens swept together.
-TEXT_BYTES, BLOCK, GROUP_TOKENS = 2 << 20, 1 << 14, 1 << 19
+TEXT_BYTES, BLOCK, GROUP_TOKENS = 1 << 20, 1 << 14, 1 << 19
 #: Words kept encoded in a worker, and the length of those worth keeping.
-KEPT_WORDS, KEPT_LENGTH = 1 << 18, 64
+KEPT_WORDS, KEPT_LENGTH = 1 << 17, 64
 #: A space that follows anything but white space: no token of either side crosses it.
 WORD_CUT = r"(?<=[^\s\u180e])(?= )"
 #: Characters outside old blocks, of which versions of Unicode may know different classes.
@@ -62,7 +62,6 @@ class _Side:
         self.sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
 
 
-@lru_cache(maxsize=1)
 def _byte_level(data: bytes) -> _Side:
     """A byte-level vocabulary. Where its merges are its tokens in order, ranks say as much, and words of settled characters go by ranks."""
     import json
@@ -72,13 +71,20 @@ def _byte_level(data: bytes) -> _Side:
     from tokenizers import Tokenizer
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    known, model = Tokenizer.from_str(data.decode()), json.loads(data)["model"]
-    known.encode_special_tokens = True  # their strings in a text are plain text
-    byte = _byte_alphabet()
-    tokens = [b""] * known.get_vocab_size()
-    for token, i in known.get_vocab(with_added_tokens=True).items():
+    said = json.loads(data)
+    model, byte = said["model"], _byte_alphabet()
+    every = {**model["vocab"], **{t["content"]: t["id"] for t in said.get("added_tokens", ())}}
+    tokens = [b""] * (max(every.values()) + 1)
+    for token, i in every.items():
         tokens[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
-    slow = lambda words: [e.ids for e in known.encode_batch_fast(words, add_special_tokens=False)]
+    ready: list[Tokenizer] = []  # built when a word needs it
+
+    def slow(words: list[str]) -> list[list[int]]:
+        if not ready:
+            ready.append(Tokenizer.from_str(data.decode()))
+            ready[0].encode_special_tokens = True  # their strings in a text are plain text
+        return [e.ids for e in ready[0].encode_batch_fast(words, add_special_tokens=False)]
+
     merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
     if [model["vocab"].get(m) for m in merged] != list(range(256, 256 + len(merged))) or len(model["vocab"]) != 256 + len(merged):
         return _Side(slow, tokens)
@@ -93,7 +99,6 @@ def _byte_level(data: bytes) -> _Side:
     return _Side(words_of, tokens)
 
 
-@lru_cache(maxsize=1)
 def _pieces(data: bytes) -> _Side:
     from sentencepiece import SentencePieceProcessor
 
@@ -160,13 +165,8 @@ def _encode(a_file, b_file):
             yield pa.RecordBatch.from_arrays([*[pa.array(out[c], kinds[c]) for c in kinds], ids.take(pa.array(out["row"], pa.int64()))], [*kinds, "doc_id"])
 
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            at, size = 0, 0
-            for i, t in enumerate(texts):
-                size += len(t or "")
-                if size >= TEXT_BYTES or i + 1 == len(texts):
-                    yield from events(texts[at : i + 1], batch.column("doc_id").slice(at, i + 1 - at))
-                    at, size = i + 1, 0
+            for at, n in slices(batch.column("text"), TEXT_BYTES):
+                yield from events(batch.column("text").slice(at, n).to_pylist(), batch.column("doc_id").slice(at, n))
 
     return run
 
@@ -226,7 +226,7 @@ class _Open:
         self.tail = [t[n:] for t, n in zip(self.tail, stop, strict=True)]
 
 
-def _sweep(a_file, b_file):
+def _sweep(sizes: list[np.ndarray]):
     """Step 2 over a partition of events, sorted by document, offset and side.
 
     Documents of one block a side are swept many at a time, longer ones block by block.
@@ -235,10 +235,8 @@ def _sweep(a_file, b_file):
     def run(batches):
         from pyspark import TaskContext
 
-        sides = _byte_level(a_file.value), _pieces(b_file.value)
-        sizes = [s.sizes for s in sides]
         # What a token says in a group: its id, and a comma, or what ends its side of the group.
-        names = [f"{i}{e}".encode() for s, ends in zip(sides, ((",", "|"), (",", ";")), strict=True) for i in range(len(s.tokens)) for e in ends]
+        names = [f"{i}{e}".encode() for s, ends in zip(sizes, ((",", "|"), (",", ";")), strict=True) for i in range(len(s)) for e in ends]
         no, kind = TaskContext.get().partitionId() << 33, None
 
         def chunk(doc_ids, columns, codes, number, times, per_doc) -> pa.RecordBatch:
@@ -328,14 +326,18 @@ def _sums(kind: str):
 
 def _swept(documents: DataFrame, a_file: str, b_file: str) -> DataFrame:
     spark = documents.sparkSession
-    shared = []
-    for name in (a_file, b_file):
+    shared, sizes = [], []
+    for name, side in ((a_file, _byte_level), (b_file, _pieces)):
         with open(name, "rb") as f:
-            shared.append(spark.sparkContext.broadcast(f.read()))
+            data = f.read()
+        shared.append(spark.sparkContext.broadcast(data))
+        sizes.append(side(data).sizes)
+    if max(map(len, sizes)) > 1 << 16:
+        raise ValueError("ids must be below 65,536")
     kind = dict(documents.dtypes)["doc_id"]
     events = documents.select("doc_id", "text").mapInArrow(lean(_encode(*shared)), _EVENTS.format(kind=kind))
     dealt = events.repartition("key").sortWithinPartitions("key", "start", "side")
-    return cut(dealt.mapInArrow(lean(_sweep(*shared)), _SWEPT.format(kind=kind)))
+    return cut(dealt.mapInArrow(lean(_sweep(sizes)), _SWEPT.format(kind=kind)))
 
 
 def pair_counts(swept: DataFrame) -> DataFrame:
