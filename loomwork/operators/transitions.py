@@ -6,7 +6,8 @@ lease_expires_at, updated_at. Attempts: attempt_id, run_id, content_uid, batch_i
 attempt_number, provider, model, started_at, finished_at, outcome, error_code,
 error_message, input_hash, output_hash, prompt_tokens, completion_tokens,
 total_tokens. A transition that breaks a rule raises and changes nothing.
-``sources.writers.replace_snapshot`` makes what comes out the current tables.
+``sources.store.transition`` makes what comes out the current tables, unless another
+writer was first.
 """
 
 from __future__ import annotations

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import json
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import Store
+
 #: Characters in a spreadsheet cell.
 CELL_LIMIT = 32_767
 
@@ -63,34 +63,20 @@ def report(rows: DataFrame, path: str) -> dict:
 
 
 def replace_snapshot(df: DataFrame, path: str) -> None:
-    """Make ``df`` the current version of the table at ``path``: a new folder is written, then one small file names it.
+    """Make ``df`` the current version of the table at ``path``, by a commit in the log there.
 
-    Readers see the old version or the new one. ``df`` may read the version that
-    it replaces. Old versions stay until :func:`drop_old_snapshots`.
+    Readers see the old version or the new one, at any moment. ``df`` may read the
+    version that it replaces. Old versions stay until :func:`drop_old_snapshots`; a writer
+    that another one has overtaken gets ``store.Conflict``.
     """
-    spark, name = df.sparkSession, f"v-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/{name}")
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    pointer = hadoop.Path(f"{path}/CURRENT")
-    fs = pointer.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = fs.create(pointer, True)
-    out.writeBytes(name)
-    out.close()
-
-
-def _current(spark, path: str) -> str:
-    return spark.read.text(f"{path}/CURRENT").first().value  # one line
+    store = Store(df.sparkSession, path)
+    store.commit(store.version(), {"table": df})
 
 
 def read_snapshot(spark, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{_current(spark, path)}")
+    return Store(spark, path).read("table")
 
 
 def drop_old_snapshots(spark, path: str) -> None:
     """Remove all versions but the current one, once nothing reads them."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    root, now = hadoop.Path(path), _current(spark, path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for status in fs.listStatus(root):
-        if status.isDirectory() and status.getPath().getName() != now:
-            fs.delete(status.getPath(), True)
+    Store(spark, path).vacuum()
