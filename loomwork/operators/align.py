@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordinals import with_ordinals
+
 
 def align(records: DataFrame, key: str, locale: str, value: str, locales: list[str]) -> DataFrame:
     """One row per key with a column per locale, null where the locale lacks the key.

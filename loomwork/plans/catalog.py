@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import align, assemble, batch, classify, graph, inherit, matches, merge, ownership, providers, qa, qa_state, rank, report, returns, sets, state, transitions, validate
+from ..operators import align, assemble, batch, classify, graph, inherit, matches, merge, ownership, pacing, providers, qa, qa_state, rank, report, returns, sets, state, transitions, validate
 from ..session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -466,6 +466,13 @@ def run_report(spark, d):
     return out.select("run_id", "provider", "n_attempts", "n_succeeded", "n_failed_retryable", "n_failed_final", "n_retries", "n_http_429", "n_http_5xx", "n_transport", "mean_seconds", F.unix_micros("last_observed_at").alias("last_micros"), "per_minute")
 
 
+@query
+def retry_delays(spark, d):
+    """A user's attempts as a worker's; some failures ask for a wait of their own."""
+    a = attempts(spark, d).select("event_id", F.col("user_id").alias("worker_id"), "ts", (F.col("outcome") != "succeeded").alias("retryable"), F.when(F.col("event_id") % 11 == 0, F.col("k") % 90).cast("double").alias("retry_after"))
+    return pacing.retry_delays(a, "worker_id", ["ts", "event_id"], 1.5, 40).select("event_id", "worker_id", "streak", "delay")
+
+
 @query
 def attempt_rates(spark, d):
     return report.rates(attempts(spark, d))

@@ -221,6 +221,7 @@ g AS (SELECT run_id, count(*) AS n, count(*) FILTER (outcome = 'succeeded') AS s
 i AS (SELECT run_id, 1500000000000000 + run_id * 3600000000 AS begun, CASE WHEN run_id % 2 = 1 THEN 1900000000000000 + run_id END AS ended FROM (SELECT unnest(range(12)) AS run_id)),
 m AS (SELECT i.run_id, n, s, r, f, again, h4, h5, tr, m, hi, (coalesce(ended, hi) - begun) / 6e7 AS mins FROM i LEFT JOIN g ON g.run_id = i.run_id)
 SELECT run_id, 'p' || CAST(run_id % 3 AS VARCHAR) AS provider, coalesce(n, 0) AS n_attempts, coalesce(s, 0) AS n_succeeded, coalesce(r, 0) AS n_failed_retryable, coalesce(f, 0) AS n_failed_final, coalesce(again, 0) AS n_retries, coalesce(h4, 0) AS n_http_429, coalesce(h5, 0) AS n_http_5xx, coalesce(tr, 0) AS n_transport, m AS mean_seconds, hi AS last_micros, CASE WHEN mins > 0 THEN round_even(coalesce(s, 0) / mins, 4) END AS per_minute FROM m""",
+    "retry_delays": f"WITH {ATTEMPTS}, a AS (SELECT event_id, user_id AS worker_id, outcome <> 'succeeded' AS again, CASE WHEN event_id % 11 = 0 THEN k % 90 END AS asked, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM attempts), e AS (SELECT *, coalesce(max(CASE WHEN NOT again THEN n END) OVER (PARTITION BY worker_id ORDER BY n), 0) AS ended FROM a), s AS (SELECT event_id, worker_id, asked, CASE WHEN again THEN n - ended ELSE 0 END AS streak FROM e) SELECT event_id, worker_id, CAST(streak AS BIGINT) AS streak, CASE WHEN streak = 0 THEN 0.0::DOUBLE WHEN asked IS NOT NULL THEN least(asked::DOUBLE, 40.0::DOUBLE) ELSE least(40.0::DOUBLE, 1.5::DOUBLE * pow(2.0::DOUBLE, (streak - 1)::DOUBLE)) END AS delay FROM s",
     "attempt_rates": f"WITH {ATTEMPTS}, e AS (SELECT count(*) AS n, count(*) FILTER (outcome = 'succeeded') AS s, count(*) FILTER (outcome = 'failed-final') AS f, count(*) FILTER (outcome = 'failed-retryable') AS r FROM attempts WHERE outcome <> 'running') SELECT n AS n_ended, {_percent('s', 'n')} AS success_percent, {_percent('f', 'n')} AS failure_percent, {_percent('r', 'n')} AS retry_percent FROM e",
     "error_breakdown": f"WITH {ATTEMPTS}, e AS (SELECT printf('HTTP_%03d', k % 6 + 500) AS error_code FROM attempts WHERE outcome IN ('failed-final', 'failed-retryable')) SELECT error_code, count(*) AS n, count(*) FILTER (regexp_matches(error_code, '^HTTP_50[0-3]$')) AS n_server FROM e GROUP BY 1",
     "attempts_completed": """SELECT CAST(k AS VARCHAR) AS content_uid, CASE WHEN NOT running THEN 'pending' WHEN NOT ended THEN 'running' WHEN ok THEN 'succeeded' WHEN k % 4 = 0 AND k % 4 < 3 THEN 'failed-retryable' ELSE 'failed-final' END AS status, CAST(k % 4 AS INTEGER) AS attempt_count,

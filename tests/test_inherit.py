@@ -157,3 +157,26 @@ def test_ordinals(spark):
     assert sorted(r.n for r in few) == [1, 2] and with_ordinals(df.limit(0), ["x"], "n").collect() == []
     first, second = (sorted(map(tuple, with_ordinals(df, ["x"], "n", within=["g"]).collect()), key=str) for _ in range(2))
     assert first == second
+
+
+def test_running_maxima_and_retry_delays(spark):
+    from pyspark.sql import functions as F
+
+    from loomwork.operators import pacing
+    from loomwork.operators.ordinals import with_running_max
+
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["w1", "w1", "w1", "w2", None]), rng.random() < 0.7, rng.choice([None, None, -1.0, 3.5, 900.0])) for i in range(300)]
+    df = spark.createDataFrame(rows, "n int, worker string, retryable boolean, retry_after double").repartition(6)
+    streaks, want = {}, {}
+    for n, worker, again, asked in rows:
+        streaks[worker] = streaks.get(worker, 0) + 1 if again else 0
+        s = streaks[worker]
+        want[n] = (s, 0.0 if not s else min(60.0, max(0.0, asked)) if asked is not None else min(60.0, 2.0 * 2 ** (s - 1)))
+    assert {r.n: (r.streak, r.delay) for r in pacing.retry_delays(df, "worker", ["n"]).collect()} == want
+    assert pacing.retry_delays(df.limit(0), "worker", ["n"]).collect() == []
+    top, best = {}, {}
+    for n, worker, again, asked in rows:
+        top[worker] = max((x for x in (top.get(worker), asked) if x is not None), default=None)
+        best[n] = top[worker]
+    assert {r.n: r.top for r in with_running_max(df, ["n"], F.col("retry_after"), "top", within=["worker"]).collect()} == best

@@ -105,3 +105,20 @@ def test_stages(tmp_path):
     assert stages.reusable(state, "evidence", one) and stages.reusable(state, "package", "other") and not stages.reusable(state, "translate", one)
     y.write_text("changed")
     assert not stages.reusable(state, "package", "other")
+
+
+def test_provider_waits_by_streak_and_as_asked(spark):
+    answers = {"a1": ("failed-retryable", None, "HTTP_503", None, None), "a2": ("failed-retryable", None, "HTTP_429", None, None, 500.0), "a3": ("failed-retryable", None, "HTTP_429", None, None, 7.0), "ok": ("succeeded", "T", None, 1, 1), "b1": ("failed-retryable", None, "HTTP_503", None, None)}
+    rows = spark.createDataFrame([(k, "x") for k in answers], "content_uid string, text string").coalesce(1).sortWithinPartitions("content_uid")
+    import json
+    import tempfile
+
+    log = tempfile.mktemp()
+
+    def sleep(seconds):
+        with open(log, "a") as f:
+            f.write(json.dumps(seconds) + "\n")
+
+    provider.run(rows, lambda uid, text: answers[uid], max_attempts=1, sleep=sleep).collect()
+    # a1 fails (first in a row), a2 asks for more than the most, a3 for 7 s, b1 is the fourth in a row; ok ends the streak.
+    assert [json.loads(x) for x in open(log)] == [2.0, 60.0, 7.0, 16.0]
