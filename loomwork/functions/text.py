@@ -100,15 +100,24 @@ def markup_faults(text: Column, tag: str) -> Column:
     return F.coalesce(cut_off | attributes | (state["depth"] != 0) | (state["lowest"] < 0), F.lit(False))
 
 
+def markup_tokens(text: Column, tag: str) -> Column:
+    """Every ``tag`` in order, without attributes: opened, closed, or closed by itself."""
+    found = F.coalesce(F.regexp_extract_all(text, F.lit(rf"(?i)(<\s*/?\s*{tag}\b[^>]*>)"), F.lit(1)), F.array().cast("array<string>"))
+    return F.transform(found, lambda t: F.when(t.rlike(r"^<\s*/"), f"</{tag}>").when(t.rlike(r"/\s*>$"), f"<{tag}/>").otherwise(f"<{tag}>"))
+
+
 def percent(part: Column, total: Column) -> Column:
     """Two decimals, half to even; 0 where there is no total."""
     return F.coalesce(F.bround(100.0 * part / F.nullif(total, F.lit(0)), 2), F.lit(0.0))
 
 
 def retry_delay(streak: Column, retry_after: Column | None = None, base: float = 2.0, most: float = 60.0) -> Column:
-    """Seconds to wait before the next try: the server's wish or doubling, up to ``most``."""
-    doubling = F.lit(base) * F.pow(F.lit(2.0), streak - 1)
-    return F.least(F.lit(most), doubling if retry_after is None else F.coalesce(retry_after, doubling))
+    """Seconds to wait before the next try, after the ``streak``-th failure in a row: the server's wish or doubling, from 0 to ``most``."""
+    if base < 0 or most < 0:
+        raise ValueError("delays must not be negative")
+    doubling = F.lit(float(base)) * F.pow(F.lit(2.0), F.greatest(streak - 1, F.lit(0)))
+    wish = doubling if retry_after is None else F.when(retry_after.isNotNull(), F.greatest(retry_after.cast("double"), F.lit(0.0))).otherwise(doubling)
+    return F.least(F.lit(float(most)), wish)
 
 
 def instant(text: Column) -> Column:

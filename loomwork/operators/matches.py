@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from ..functions.text import protected_tokens
+from ..functions.text import MARKUP, candidate_id, markup_tokens, protected_tokens
 
 RULES = "rule_id string, kind string, pattern string, category string, rationale string, recommendation string, ignore_case boolean"
 FINDING = "array<struct<start:int,end:int,rule_id:string,category:string,matched_text:string,rationale:string,recommendation:string>>"
@@ -160,8 +160,7 @@ def candidates(targets: DataFrame, sources: DataFrame, key: str, text: str, rule
     """
     source = sources.select(key, F.col(text).alias("source_text"))
     found = with_findings(targets.select(key, F.col(text).alias("target_text")), "target_text", rules).where(F.size("findings") > 0)
-    number = F.concat(F.lit(f"{prefix}-"), F.upper(F.substring(F.sha2(F.lower(F.col(key).cast("string")), 256), 1, 16)))
-    return found.join(source, key, "left").select(number.alias("candidate_id"), key, F.coalesce("source_text", F.lit("")).alias("source_text"), "target_text", F.size("findings").alias("finding_count"), "findings", protected_tokens(F.col("target_text")).alias("protected_tokens"))
+    return found.join(source, key, "left").select(candidate_id(prefix, F.col(key).cast("string")).alias("candidate_id"), key, F.coalesce("source_text", F.lit("")).alias("source_text"), "target_text", F.size("findings").alias("finding_count"), "findings", F.concat(protected_tokens(F.col("target_text")), markup_tokens(F.col("target_text"), MARKUP)).alias("protected_tokens"))
 
 
 def counts(found: DataFrame) -> DataFrame:

@@ -4,20 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import retry_delay
 from .ordinals import with_ordinals, with_running_max
 
 
-def delay(streak: Column, retry_after: Column, base: float = 2.0, most: float = 60.0) -> Column:
-    """Seconds to wait after a failure that can be tried again, the ``streak``-th in a row: what the provider asks for, else doubling from ``base``, at most ``most``."""
-    if base < 0 or most < 0:
-        raise ValueError("delays must not be negative")
-    doubled = F.lit(0.0) if base == 0 or most == 0 else F.least(F.lit(float(most)), F.lit(float(base)) * F.pow(F.lit(2.0), F.greatest(streak - 1, F.lit(0))))
-    return F.when(retry_after.isNotNull(), F.least(F.greatest(retry_after.cast("double"), F.lit(0.0)), F.lit(float(most)))).otherwise(doubled)
-
-
 def retry_delays(attempts: DataFrame, worker: str, order: Sequence[str], base: float = 2.0, most: float = 60.0) -> DataFrame:
     """``attempts`` with ``streak`` and ``delay``: how many failures in a row could be tried again, and the seconds that the worker then waits.
 
@@ -29,4 +22,4 @@ def retry_delays(attempts: DataFrame, worker: str, order: Sequence[str], base: f
     numbered = with_ordinals(attempts, list(order), "_n", within=[worker])
     ended = with_running_max(numbered, ["_n"], F.when(~again, F.col("_n")), "_ended", within=[worker])
     streak = F.when(again, F.col("_n") - F.coalesce("_ended", F.lit(0))).otherwise(0).cast("long")
-    return ended.withColumn("streak", streak).withColumn("delay", F.when(F.col("streak") > 0, delay(F.col("streak"), F.col("retry_after"), base, most)).otherwise(0.0)).drop("_n", "_ended")
+    return ended.withColumn("streak", streak).withColumn("delay", F.when(F.col("streak") > 0, retry_delay(F.col("streak"), F.col("retry_after"), base, most)).otherwise(0.0)).drop("_n", "_ended")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import align, assemble, batch, classify, graph, inherit, matches, merge, ownership, pacing, providers, qa, qa_state, rank, report, returns, sets, state, transitions, validate
+from ..operators import align, assemble, batch, classify, graph, inherit, matches, merge, ownership, pacing, protocols, providers, qa, qa_state, rank, report, returns, sets, state, transitions, validate
 from ..session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -576,6 +576,16 @@ def token_forecast(spark, d):
     return report.forecast(samples, left, "category")
 
 
+@query
+def merge_ready(spark, d):
+    return protocols.merge_ready(completion(spark, d))
+
+
+@query
+def unresolved(spark, d):
+    return protocols.unresolved(completion(spark, d))
+
+
 @query
 def accounting_categories(spark, d):
     return report.categories(completion_rows(spark, d))
@@ -694,6 +704,30 @@ def handle_scan(spark, d):
     return table(spark, d, "pages").select("page_id", F.size(ids).cast("long").alias("n_handles"), F.size(F.array_distinct(ids)).cast("long").alias("n_distinct"))
 
 
+def review_surface(spark, d):
+    """Parts as candidates of a multilingual review, and as a surface that came back with faults of every kind."""
+    k = F.col("p_partkey")
+    cid, uid = F.concat(F.lit("C"), k.cast("string")), F.concat(F.lit("u"), k.cast("string"))
+    manifest = table(spark, d, "part").select(k, cid.alias("CandidateId"), uid.alias("ContentUid"), F.col("p_name").alias("EnglishText"), F.col("p_type").alias("ExactReuseClass"), F.col("p_size").alias("ReusableTargetOccurrenceCount"), F.lit("1").alias("ReusableTargetDistinctCount"), F.lit("").alias("SameUidReferenceLocales"), F.when(k % 2 == 0, '["{x}"]').otherwise("[]").alias("ProtectedTokens"))
+    back = manifest.where("p_partkey % 50 <> 0").withColumn("__row__", k + 2)
+    back = back.unionByName(back.where("p_partkey % 60 = 1").withColumn("__row__", F.col("__row__") + 1_000_000_000))
+    back = back.withColumn("CandidateId", F.when(k % 70 == 2, F.concat(F.lit("Z"), k.cast("string"))).otherwise(F.col("CandidateId"))).withColumn("EnglishText", F.when(k % 40 == 3, F.concat("EnglishText", F.lit("!"))).otherwise(F.col("EnglishText")))
+    draft = F.when(k % 5 == 0, "").when(k % 20 == 9, "{y} text").when(k % 2 == 0, F.when(k % 24 == 4, "no token").otherwise("a {x} b")).otherwise(F.when(k % 26 == 5, "<LSTag>open").otherwise("plain"))
+    return manifest.drop("p_partkey"), back.select("*", F.when(k % 30 == 7, "maybe").otherwise("Approved").alias("ReviewerDecision"), draft.alias("DraftText")).drop("p_partkey")
+
+
+@query
+def surface_findings(spark, d):
+    manifest, back = review_surface(spark, d)
+    return protocols.check(back, manifest, protocols.MULTILINGUAL).select("code", "record", "row_number")
+
+
+@query
+def surface_statuses(spark, d):
+    manifest, back = review_surface(spark, d)
+    return protocols.statuses(back, protocols.check(back, manifest, protocols.MULTILINGUAL)).select("CandidateId", F.col("__row__").alias("row_number"), "validation_status")
+
+
 # Completion, merge, review ---------------------------------------------------------------------------
 
 

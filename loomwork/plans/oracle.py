@@ -160,6 +160,13 @@ RUNTIME = """defs AS (SELECT p_partkey AS k, 'd' || CAST(p_partkey AS VARCHAR) A
  agg AS (SELECT cid, count(*) AS n, count(*) FILTER (same) AS ns, count(*) FILTER (near) AS nd, count(*) FILTER (far) AS nt, count(DISTINCT says) AS says, count(*) FILTER (says <> csays) AS differ, count(*) FILTER (omo IS NULL) AS bare, min(oid) AS any_id, min(oid) FILTER (same) AS same_id, min(oid) FILTER (near) AS near_id, min(oid) FILTER (far) AS far_id FROM pairs GROUP BY cid),
  runtime AS (SELECT c.id AS child_id, c.name = c.us AS itself, coalesce(n, 0) AS n_candidates, any_id, same_id, near_id, far_id, CASE WHEN n IS NULL THEN 'InheritedReferenceMissingParent' WHEN c.name <> c.us AND ns = 1 THEN 'ResolvedSameProviderDefinition' WHEN c.name <> c.us AND n = 1 THEN 'ResolvedUniqueCompatibleDefinition' WHEN c.name <> c.us AND says = 1 THEN 'EquivalentProviderDefinition' WHEN c.name <> c.us THEN 'AmbiguousMultipleDefinitions' WHEN c.mo IS NULL THEN 'MetadataDoesNotCoverProvider' WHEN nd = 1 THEN 'ResolvedByDirectModuleDependency' WHEN nd = 0 AND nt = 1 THEN 'ResolvedByTransitiveModuleDependency' WHEN nd + nt > 0 THEN 'AmbiguousMultiplePriorProviders' WHEN differ = 0 THEN 'EquivalentProviderDefinition' WHEN bare > 0 THEN 'MetadataDoesNotCoverProvider' ELSE 'SupportedButRuntimeWinnerUnproven' END AS status FROM defs c LEFT JOIN agg ON cid = c.id WHERE c.k % 8 < 6 AND c.us <> '')"""
 
+SURFACE = r"""man AS (SELECT p_partkey AS k, 'C' || CAST(p_partkey AS VARCHAR) AS cid, p_name AS en FROM part),
+ ret AS (SELECT k, CASE WHEN k % 70 = 2 THEN 'Z' || CAST(k AS VARCHAR) ELSE cid END AS cid, CASE WHEN k % 40 = 3 THEN en || '!' ELSE en END AS en, k + 2 + extra AS nr, CASE WHEN k % 30 = 7 THEN 'maybe' ELSE 'Approved' END AS dec, CASE WHEN k % 5 = 0 THEN '' WHEN k % 20 = 9 THEN '{y} text' WHEN k % 2 = 0 THEN CASE WHEN k % 24 = 4 THEN 'no token' ELSE 'a {x} b' END WHEN k % 26 = 5 THEN '<LSTag>open' ELSE 'plain' END AS draft FROM man, (VALUES (0), (1000000000)) AS e(extra) WHERE k % 50 <> 0 AND (extra = 0 OR k % 60 = 1)),
+ met AS (SELECT r.*, m.k AS mk, m.en AS men, row_number() OVER (PARTITION BY r.cid ORDER BY r.nr) AS nth FROM ret r LEFT JOIN man m ON m.cid = r.cid),
+ found AS (SELECT 'MUL002' AS code, cid AS record, nr AS row_number FROM met WHERE nth > 1
+  UNION ALL SELECT 'MUL001', cid, nr FROM met WHERE mk IS NULL UNION ALL SELECT 'MUL003', cid, nr FROM met WHERE en <> men UNION ALL SELECT 'MUL004', cid, nr FROM met WHERE mk IS NOT NULL AND dec = 'maybe'
+  UNION ALL SELECT 'MUL005', cid, nr FROM met WHERE mk IS NOT NULL AND (draft IN ('{y} text', 'no token', '<LSTag>open'))
+  UNION ALL SELECT 'MUL007', cid, NULL FROM man WHERE cid NOT IN (SELECT cid FROM ret))"""
 MATCHES = r"""rules(rule_id, kind, pat, category, fold) AS (VALUES ('U1', 'literal', 'the', 'word', false), ('U2', 'literal', 'the ', 'word', true), ('U3', 'literal', 'ción', 'ending', false), ('U4', 'literal', '|', 'symbol', false), ('U5', 'literal', '.' || chr(10), 'symbol', false), ('U6', 'regex', '[0-9]+', 'number', false), ('U7', 'regex', '[a-z0-9]+@[a-z0-9]+', 'address', true), ('U8', 'literal', 'the', 'again', false)),
 said AS (SELECT doc_id, rule_id, kind, pat, category, text, CASE WHEN fold THEN lower(text) ELSE text END AS t FROM documents, rules),
 cuts AS (SELECT doc_id, rule_id, category, text, string_split(t, pat) AS parts, [pat] AS hits, true AS lit FROM said WHERE kind = 'literal' UNION ALL SELECT doc_id, rule_id, category, text, regexp_split_to_array(t, pat) AS parts, regexp_extract_all(t, pat) AS hits, false AS lit FROM said WHERE kind = 'regex'),
@@ -257,8 +264,12 @@ SELECT run_id, 'p' || CAST(run_id % 3 AS VARCHAR) AS provider, coalesce(n, 0) AS
     "usage_matches": f"WITH {MATCHES} SELECT doc_id, place, start, \"end\", rule_id, category, matched_text FROM placed",
     "usage_match_counts": f"WITH {MATCHES} SELECT 'rule' AS level, rule_id AS name, count(*) AS n FROM placed GROUP BY rule_id UNION ALL SELECT 'category' AS level, category AS name, count(*) AS n FROM placed GROUP BY category",
     "usage_candidates": f"WITH {MATCHES}, g AS (SELECT doc_id, count(*) AS n, string_agg(concat_ws(':', start, \"end\", rule_id), ',' ORDER BY place) AS said FROM placed WHERE doc_id % 3 <> 0 GROUP BY doc_id) SELECT 'TWUSAGE-' || upper(substr(sha256(CAST(doc_id AS VARCHAR)), 1, 16)) AS candidate_id, doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN text ELSE '' END) AS source_md5, md5(text) AS target_md5, n AS finding_count, md5(said) AS findings_md5 FROM g JOIN documents USING (doc_id)",
+    "surface_findings": f"WITH {SURFACE} SELECT code, record, CAST(row_number AS BIGINT) AS row_number FROM found",
+    "surface_statuses": f"WITH {SURFACE} SELECT cid AS \"CandidateId\", CAST(nr AS BIGINT) AS row_number, CASE WHEN nr IN (SELECT row_number FROM found WHERE row_number IS NOT NULL) THEN 'Failed' ELSE 'Passed' END AS validation_status FROM ret",
     "usage_rules": "SELECT doc_id, rule_id, n_matches FROM (SELECT doc_id, rule_id, CAST((length(text) - length(replace(text, lit, ''))) / length(lit) AS BIGINT) AS n_matches FROM documents, (VALUES ('U1', 'the'), ('U2', 'ción'), ('U3', 'und'), ('U4', 'les ')) r(rule_id, lit)) WHERE n_matches > 0",
     "handle_scan": "SELECT page_id, len(h) AS n_handles, len(list_distinct(h)) AS n_distinct FROM (SELECT page_id, regexp_extract_all(html, '([A-Za-z]+[0-9]+)', 1) AS h FROM pages)",
+    "merge_ready": f"WITH {COMPLETION} SELECT * FROM completion WHERE disposition = 'MERGE_READY'",
+    "unresolved": f"WITH {COMPLETION} SELECT * FROM completion WHERE disposition <> 'MERGE_READY'",
     "completion_view": f"WITH {COMPLETION} SELECT * FROM completion",
     "completion_rollup": f"WITH {COMPLETION} SELECT 'ALL' AS category, disposition, count(*) AS n FROM completion GROUP BY disposition UNION ALL SELECT category, disposition, count(*) FROM completion GROUP BY category, disposition",
     "merge_bridge": "SELECT o_orderkey, o_custkey, coalesce(t.c_mktsegment, s.c_mktsegment) AS version, CASE WHEN t.c_custkey IS NOT NULL THEN 'target' WHEN s.c_custkey IS NOT NULL THEN 'source' ELSE 'missing' END AS version_from FROM orders LEFT JOIN customer t ON t.c_custkey = o_custkey AND t.c_custkey % 3 = 0 LEFT JOIN customer s ON s.c_custkey = o_custkey AND s.c_custkey % 7 <> 0 WHERE o_orderstatus = 'F'",
