@@ -72,6 +72,16 @@ def stale(results: DataFrame, states: DataFrame, key: str, ruleset: str) -> Data
     return joined.withColumn("is_stale", (F.col("output_hash") != F.col("_now")) | (F.col("ruleset") != ruleset)).drop("_now")
 
 
+def coverage(judged: DataFrame, total: int) -> DataFrame:
+    """route, checked, n: results by route and whether they still hold (checked or stale), and a row of what was never judged.
+
+    ``judged``: route and is_stale of every stored result; ``total``: rows of the corpus.
+    """
+    by = judged.groupBy("route", F.when(F.col("is_stale"), "stale").otherwise("checked").alias("checked")).agg(F.count(F.lit(1)).alias("n"))
+    rest = judged.agg((F.lit(total) - F.count(F.lit(1))).cast("long").alias("n")).select(F.lit(None).cast("string").alias("route"), F.lit("not checked").alias("checked"), "n")
+    return by.unionByName(rest)
+
+
 def usage_findings(rows: DataFrame, key: str, text: str, rules: list[tuple[str, str]]) -> DataFrame:
     """key, rule_id, n_matches: literal rules that a text meets, and how often; a literal is never read as a pattern."""
     found = matches(rows, key, text, literal_rules(rows.sparkSession, rules))

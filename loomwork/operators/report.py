@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordinals import with_ordinals
+
 
 def runs(started: DataFrame, attempts: DataFrame, run: str) -> DataFrame:
     """One row for each run, attempts or none: counts by outcome and kind of error, average seconds of successes, the last end observed, successes per minute.
@@ -44,6 +46,17 @@ def rates(attempts: DataFrame) -> DataFrame:
     return ended.agg(F.count(F.lit(1)).alias("n_ended"), percent(n("succeeded"), F.count(F.lit(1))).alias("success_percent"), percent(n("failed-final"), F.count(F.lit(1))).alias("failure_percent"), percent(n("failed-retryable"), F.count(F.lit(1))).alias("retry_percent"))
 
 
+def error_histogram(attempts: DataFrame, top: int | None = None) -> DataFrame:
+    """error_code, n, rank: how often each error was met, the most frequent first, then by code; the first ``top`` or all."""
+    ranked = with_ordinals(attempts.where("error_code IS NOT NULL").groupBy("error_code").agg(F.count(F.lit(1)).alias("n")), [F.desc("n"), "error_code"], "rank")
+    return ranked if top is None else ranked.where(F.col("rank") <= top)
+
+
+def in_order(by_category: DataFrame) -> DataFrame:
+    """:func:`categories` with ``rank``: what has most left first, then by category."""
+    return with_ordinals(by_category, [F.desc("n_remaining"), "category"], "rank")
+
+
 #: Samples that a category needs for an estimate of its own.
 LEAST_SAMPLES = 10
 

@@ -478,6 +478,11 @@ def attempt_rates(spark, d):
     return report.rates(attempts(spark, d))
 
 
+@query
+def error_histogram(spark, d):
+    return report.error_histogram(reported_attempts(spark, d))
+
+
 @query
 def error_breakdown(spark, d):
     a = attempts(spark, d).where("outcome IN ('failed-final', 'failed-retryable')").withColumn("error_code", F.format_string("HTTP_%03d", (F.col("k") % 6 + 500).cast("int")))
@@ -576,6 +581,11 @@ def token_forecast(spark, d):
     return report.forecast(samples, left, "category")
 
 
+@query
+def accounting_order(spark, d):
+    return report.in_order(report.categories(completion_rows(spark, d))).select("rank", "category", "n_remaining")
+
+
 @query
 def merge_ready(spark, d):
     return protocols.merge_ready(completion(spark, d))
@@ -650,6 +660,11 @@ def qa_counts(spark, d):
     return qa_stale(spark, d).groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("is_stale")).alias("n_checked"), F.count_if("is_stale").alias("n_stale"))
 
 
+@query
+def qa_coverage(spark, d):
+    return qa.coverage(qa_stale(spark, d), table(spark, d, "conversations").count())
+
+
 @query
 def protected_tokens(spark, d):
     t = T.protected_tokens(F.col("html"))

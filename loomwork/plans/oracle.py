@@ -230,6 +230,7 @@ m AS (SELECT i.run_id, n, s, r, f, again, h4, h5, tr, m, hi, (coalesce(ended, hi
 SELECT run_id, 'p' || CAST(run_id % 3 AS VARCHAR) AS provider, coalesce(n, 0) AS n_attempts, coalesce(s, 0) AS n_succeeded, coalesce(r, 0) AS n_failed_retryable, coalesce(f, 0) AS n_failed_final, coalesce(again, 0) AS n_retries, coalesce(h4, 0) AS n_http_429, coalesce(h5, 0) AS n_http_5xx, coalesce(tr, 0) AS n_transport, m AS mean_seconds, hi AS last_micros, CASE WHEN mins > 0 THEN round_even(coalesce(s, 0) / mins, 4) END AS per_minute FROM m""",
     "retry_delays": f"WITH {ATTEMPTS}, a AS (SELECT event_id, user_id AS worker_id, outcome <> 'succeeded' AS again, CASE WHEN event_id % 11 = 0 THEN k % 90 END AS asked, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM attempts), e AS (SELECT *, coalesce(max(CASE WHEN NOT again THEN n END) OVER (PARTITION BY worker_id ORDER BY n), 0) AS ended FROM a), s AS (SELECT event_id, worker_id, asked, CASE WHEN again THEN n - ended ELSE 0 END AS streak FROM e) SELECT event_id, worker_id, CAST(streak AS BIGINT) AS streak, CASE WHEN streak = 0 THEN 0.0::DOUBLE WHEN asked IS NOT NULL THEN least(asked::DOUBLE, 40.0::DOUBLE) ELSE least(40.0::DOUBLE, 1.5::DOUBLE * pow(2.0::DOUBLE, (streak - 1)::DOUBLE)) END AS delay FROM s",
     "attempt_rates": f"WITH {ATTEMPTS}, e AS (SELECT count(*) AS n, count(*) FILTER (outcome = 'succeeded') AS s, count(*) FILTER (outcome = 'failed-final') AS f, count(*) FILTER (outcome = 'failed-retryable') AS r FROM attempts WHERE outcome <> 'running') SELECT n AS n_ended, {_percent('s', 'n')} AS success_percent, {_percent('f', 'n')} AS failure_percent, {_percent('r', 'n')} AS retry_percent FROM e",
+    "error_histogram": f"WITH {ATTEMPTS}, a AS (SELECT CASE WHEN outcome LIKE 'failed%' THEN CASE k % 5 WHEN 0 THEN 'HTTP_429' WHEN 1 THEN printf('HTTP_5%02d', k % 6) WHEN 2 THEN 'PROVIDER_TRANSPORT_ERROR' WHEN 3 THEN 'HTTP_5000' END END AS error_code FROM attempts), g AS (SELECT error_code, count(*) AS n FROM a WHERE error_code IS NOT NULL GROUP BY error_code) SELECT error_code, n, row_number() OVER (ORDER BY n DESC, error_code) AS rank FROM g",
     "error_breakdown": f"WITH {ATTEMPTS}, e AS (SELECT printf('HTTP_%03d', k % 6 + 500) AS error_code FROM attempts WHERE outcome IN ('failed-final', 'failed-retryable')) SELECT error_code, count(*) AS n, count(*) FILTER (regexp_matches(error_code, '^HTTP_50[0-3]$')) AS n_server FROM e GROUP BY 1",
     "attempts_completed": """SELECT CAST(k AS VARCHAR) AS content_uid, CASE WHEN NOT running THEN 'pending' WHEN NOT ended THEN 'running' WHEN ok THEN 'succeeded' WHEN k % 4 = 0 AND k % 4 < 3 THEN 'failed-retryable' ELSE 'failed-final' END AS status, CAST(k % 4 AS INTEGER) AS attempt_count,
  CASE WHEN running AND NOT ended THEN 'w' || CAST(k % 5 AS VARCHAR) END AS lease_owner, CASE WHEN ended AND ok THEN md5(CAST(k AS VARCHAR)) END AS output_hash, CASE WHEN ended AND ok THEN 'r1' END AS last_successful_run_id,
@@ -248,6 +249,7 @@ SELECT run_id, 'p' || CAST(run_id % 3 AS VARCHAR) AS provider, coalesce(n, 0) AS
  l AS (SELECT category, count(*) AS r FROM c WHERE outcome = 'failed-retryable' GROUP BY 1)
  SELECT CASE WHEN max(g.n) >= 10 THEN 'available' ELSE 'unavailable' END AS status, CAST(sum(r) AS BIGINT) AS n_remaining, CAST(max(g.n) AS BIGINT) AS n_samples,
  CAST(round(sum(r * CASE WHEN own.n >= 10 THEN own.p::DOUBLE / own.n ELSE g.p::DOUBLE / g.n END)) AS BIGINT) AS prompt_tokens, CAST(round(sum(r * CASE WHEN own.n >= 10 THEN own.q::DOUBLE / own.n ELSE g.q::DOUBLE / g.n END)) AS BIGINT) AS completion_tokens FROM l LEFT JOIN own USING (category), g""",
+    "accounting_order": f"WITH {COMPLETION}, g AS (SELECT category, count(*) FILTER (status <> 'succeeded') AS n_remaining FROM st GROUP BY category) SELECT row_number() OVER (ORDER BY n_remaining DESC, category) AS rank, category, n_remaining FROM g",
     "accounting_categories": f"""WITH {COMPLETION}, z AS (SELECT v.category, status, CASE WHEN r.route IS NOT NULL AND r.output_hash = v.output_hash AND r.ruleset = 'v2' THEN r.route END AS route, disposition FROM st v JOIN completion c ON c.conv_id = v.conv_id AND c.turn = v.turn LEFT JOIN (SELECT * FROM results WHERE conv_id % 23 <> 6) r ON r.conv_id = v.conv_id AND r.turn = v.turn)
  SELECT category, count(*) AS n_total, count(*) FILTER (status = 'succeeded') AS n_succeeded, count(*) FILTER (status <> 'succeeded') AS n_remaining, count(*) FILTER (disposition = 'WAITING_RETRY') AS n_retry, count(*) FILTER (status = 'failed-final') AS n_failed_final,
  count(*) FILTER (route = 'PASS') AS n_qa_pass, count(*) FILTER (route = 'REVIEW') AS n_qa_review, count(*) FILTER (disposition = 'MERGE_READY') AS n_merge_ready, round_even(100.0::DOUBLE * count(*) FILTER (status = 'succeeded') / count(*), 2) AS succeeded_percent, round_even(100.0::DOUBLE * count(*) FILTER (disposition = 'MERGE_READY') / count(*), 2) AS merge_ready_percent FROM z GROUP BY category""",
@@ -257,6 +259,7 @@ SELECT run_id, 'p' || CAST(run_id % 3 AS VARCHAR) AS provider, coalesce(n, 0) AS
     "qa_route": f"WITH {QA} SELECT conv_id, turn, category, route, array_to_string(issues, ';') AS issues FROM judged",
     "qa_issues": f"WITH {QA} SELECT category, issue_code, count(*) AS n FROM (SELECT category, unnest(issues) AS issue_code FROM judged) GROUP BY ALL",
     "qa_stale": f"WITH {QA} SELECT * FROM staleness",
+    "qa_coverage": f"WITH {QA} SELECT route, CASE WHEN is_stale THEN 'stale' ELSE 'checked' END AS checked, count(*) AS n FROM staleness GROUP BY ALL UNION ALL SELECT NULL, 'not checked', (SELECT count(*) FROM conversations) - (SELECT count(*) FROM staleness)",
     "qa_counts": f"WITH {QA} SELECT route, count(*) AS n, count(*) FILTER (NOT is_stale) AS n_checked, count(*) FILTER (is_stale) AS n_stale FROM staleness GROUP BY route",
     "protected_tokens": f"SELECT page_id, len({TOKENS}) AS n_tokens, array_to_string({TOKENS}, ',') AS tokens FROM pages",
     "token_multiset_diff": f"WITH t AS (SELECT page_id, {TOKENS} AS x FROM pages), j AS (SELECT p.page_id, p.x AS a, q.x AS b FROM t p JOIN t q ON q.page_id = p.page_id + 1) SELECT page_id, {MINUS.format(a='a', b='b')} AS missing, {MINUS.format(a='b', b='a')} AS unexpected FROM j",
