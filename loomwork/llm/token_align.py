@@ -36,7 +36,7 @@ from .textvec import slices
 #: Bytes of text encoded together, tokens in a block of events, and tokens swept together.
 TEXT_BYTES, BLOCK, GROUP_TOKENS = 1 << 20, 1 << 14, 1 << 19
 #: Words kept encoded in a worker, and the length of those worth keeping.
-KEPT_WORDS, KEPT_LENGTH = 1 << 17, 64
+KEPT_WORDS, KEPT_LENGTH = 1 << 19, 64
 #: A space that follows anything but white space: no token of either side crosses it.
 WORD_CUT = r"(?<=[^\s\u180e])(?= )"
 #: Characters outside old blocks, of which versions of Unicode may know different classes.
