@@ -41,7 +41,7 @@ SEPARATORS, END = b".,;:!?\n\x0b\x0c\r", b"."
 #: Bytes of text of one language in a chunk, of all languages waiting in a task, and bytes of a word's id.
 CHUNK_BYTES, WAITING_BYTES, ID = 4 << 20, 16 << 20, 5
 _LISTS = "chunk bigint, lang string, n bigint, words array<binary>, counts array<bigint>, starts binary"
-_PHRASES = "chunk bigint, words array<binary>, counts array<bigint>, starts binary"
+_PHRASES = "chunk bigint, hi array<bigint>, lo array<bigint>, counts array<bigint>, starts binary"
 
 
 def _pack_lists(starts: np.ndarray, counts: np.ndarray) -> bytes:
@@ -111,23 +111,30 @@ def _word_lists(batches):
             yield row
 
 
-def _longer(group: pa.Table, live: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Step 3 in a chunk: keys, lengths and positions of the lists of phrases one word longer.
+def _longer(group: pa.Table, live: pa.Table):
+    """Step 3 in a chunk: the lists of phrases one word longer, as two numbers each, their lengths and positions.
 
-    ``live`` has the frequent phrases by their number in the chunk (local), and for single
-    words their key. A phrase's key is the ids of its words, joined.
+    The numbers are the id of all words but the last, and that of the last. A word's id is
+    its number among the frequent words, a pair's is made of its words' (below 2 ** 31
+    each), that of a longer phrase is its number among the frequent ones. ``live`` has the
+    frequent phrases of the lists by their number in the chunk (local), with their ids
+    where the lists don't tell them.
     """
-    none = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    none = (np.zeros(0, np.int64),) * 4
     if not group.num_rows or not live.num_rows:
         return none
-    counts = group.column("counts").combine_chunks()[0].values.to_numpy()
+    array = lambda name: group.column(name).combine_chunks()[0].values.to_numpy()
+    counts = array("counts")
     starts = _unpack_lists(group.column("starts")[0].as_py(), counts)
+    local = live.column("local").to_numpy()
     frequent = np.zeros(len(counts), bool)
-    frequent[live.column("local").to_numpy()] = True
-    if "key" in live.column_names:
-        keys = dict(zip(live.column("local").to_pylist(), live.column("key").to_pylist(), strict=True))
+    frequent[local] = True
+    if "id" in live.column_names:
+        ids = np.zeros(len(counts), np.int64)
+        ids[local] = live.column("id").to_numpy()
     else:
-        keys = group.column("words").combine_chunks()[0].values.to_pylist()
+        ids = array("hi")
+    last = array("lo") if "lo" in group.column_names else ids
     phrase = np.repeat(np.arange(len(counts)), counts)
     kept = frequent[phrase]
     starts, phrase = starts[kept], phrase[kept]
@@ -137,27 +144,29 @@ def _longer(group: pa.Table, live: pa.Table) -> tuple[list[bytes], np.ndarray, n
     if not len(met):
         return none
     pairs, number, counts = np.unique(phrase[met] << 32 | phrase[met + 1], return_inverse=True, return_counts=True)
-    found = [keys[a] + keys[b][-ID:] for a, b in zip((pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist(), strict=True)]
-    return found, counts, starts[met][np.argsort(number, kind="stable")]
+    hi, lo = ids[pairs >> 32], last[pairs & 0xFFFFFFFF]
+    if "lo" not in group.column_names:
+        hi = hi << 32 | lo  # a pair's own id
+    return hi, lo, counts, starts[met][np.argsort(number, kind="stable")]
 
 
 def _extend(group: pa.Table, live: pa.Table) -> pa.Table:
     """The new lists as the chunk's row."""
-    out = pa.schema([("chunk", pa.int64()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64())), ("starts", pa.binary())])
-    found, counts, starts = _longer(group, live)
-    return pa.Table.from_pylist([{"chunk": group.column("chunk")[0].as_py(), "words": found, "counts": counts, "starts": _pack_lists(starts, counts)}] if found else [], out)
+    longs = pa.list_(pa.int64())
+    out = pa.schema([("chunk", pa.int64()), ("hi", longs), ("lo", longs), ("counts", longs), ("starts", pa.binary())])
+    hi, lo, counts, starts = _longer(group, live)
+    return pa.Table.from_pylist([{"chunk": group.column("chunk")[0].as_py(), "hi": hi, "lo": lo, "counts": counts, "starts": _pack_lists(starts, counts)}] if len(hi) else [], out)
 
 
 def _lengths(group: pa.Table, live: pa.Table) -> pa.Table:
     """Only the lengths of the new lists, where nothing longer is asked for."""
-    found, counts, _ = _longer(group, live)
-    return pa.Table.from_arrays([pa.array(found, pa.binary()), pa.array(counts, pa.int64())], ["key", "n"])
+    return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in _longer(group, live)[:3]], ["hi", "lo", "n"])
 
 
-def _rows(lists: DataFrame, key: str) -> DataFrame:
-    """A row for each chunk and phrase: its number in the chunk, its key and the length of its list."""
-    each = lists.select("chunk", *[c for c in ("lang",) if c in lists.columns], F.posexplode(F.arrays_zip("words", "counts")).alias("local", "z"))
-    return each.select("*", F.col("z.words").alias(key), F.col("z.counts").alias("n")).drop("z")
+def _rows(lists: DataFrame, *names: str) -> DataFrame:
+    """A row for each chunk and phrase: its number in the chunk, what ``names`` say of it and the length of its list."""
+    each = lists.select("chunk", *[c for c in ("lang",) if c in lists.columns], F.posexplode(F.arrays_zip(*names, "counts")).alias("local", "z"))
+    return each.select("*", *[F.col(f"z.{n}").alias(n) for n in names], F.col("z.counts").alias("n")).drop("z")
 
 
 def _part(key: str, first: int, words: int | None = None):
@@ -175,27 +184,42 @@ def phrases(documents: DataFrame, text: str = "text", lang: str = "lang", longes
     source = documents.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     lists = cut(source.mapInArrow(lean(_word_lists), _LISTS))
     totals = cut(lists.groupBy("lang").agg(F.sum("n").alias("total")))
-    rows = _rows(lists, "word")
+    rows = _rows(lists, "words").withColumnRenamed("words", "word")
     words = rows.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    words = cut(with_ordinals(words, ["lang", "word"], "no").select("lang", "word", "f", F.unhex(F.lpad(F.hex("no"), 2 * ID, "0")).alias("key")))
-    live = rows.join(words, ["lang", "word"]).select(F.col("chunk").alias("at"), "local", "key")
-    found = {1: words.select("key", "f")}
+    words = cut(with_ordinals(words, ["lang", "word"], "id", first=0).select("lang", "word", "f", F.when(F.col("id") < 1 << 31, F.col("id")).otherwise(F.raise_error(F.lit("too many frequent words")).cast("long")).alias("id"), F.unhex(F.lpad(F.hex("id"), 2 * ID, "0")).alias("key")))
+    live = rows.join(words, ["lang", "word"]).select(F.col("chunk").alias("at"), "local", "id")
+    found = {1: words.select("key", "f", "id")}
     for k in range(2, longest + 1):
-        met = lists.select("chunk", "words", "counts", "starts").groupBy("chunk").cogroup(live.groupBy("at"))
+        met = lists.drop("lang", "n").groupBy("chunk").cogroup(live.groupBy("at"))
+        code = ["hi"] if k == 2 else ["hi", "lo"]  # a pair's number says both of its words
         if k == longest:
-            found[k] = cut(met.applyInArrow(_lengths, "key binary, n bigint").groupBy("key").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
+            sums = cut(met.applyInArrow(_lengths, "hi bigint, lo bigint, n bigint").groupBy(*code, *["lo"] * (k == 2)).agg(F.sum("n").alias("f")).where(F.col("f") >= least))
+            found[k] = _keyed(sums, found, k)
             break
         before, lists = lists, cut(met.applyInArrow(_extend, _PHRASES))
         drop_cut(before)
-        # A key has a row for each chunk at most: frequencies stand beside them without a join back.
-        summed = _rows(lists, "key").withColumn("f", F.sum("n").over(Window.partitionBy("key")))
-        live = cut(summed.where(F.col("f") >= least).select(F.col("chunk").alias("at"), "local", "key", "f"))
-        found[k] = cut(live.groupBy("key").agg(F.max("f").alias("f")))
-        live = live.select("at", "local")
+        # A phrase has a row for each chunk at most: frequencies stand beside the rows without a join back.
+        summed = _rows(lists, *code).withColumn("f", F.sum("n").over(Window.partitionBy(*code)))
+        live = cut(summed.where(F.col("f") >= least).select(F.col("chunk").alias("at"), "local", *code, "f"))
+        sums = live.groupBy(*code).agg(F.max("f").alias("f"))
+        if k == 2:
+            found[k] = cut(_keyed(sums.withColumn("lo", F.col("hi").bitwiseAND(0xFFFFFFFF)), found, k).withColumnRenamed("hi", "id"))
+            live = live.select("at", "local")
+        else:
+            found[k] = cut(_keyed(with_ordinals(sums, code, "id", first=0), found, k))
+            live = live.join(found[k].select(*code, "id"), code).select("at", "local", "id")
     drop_cut(lists)
     return _ranked(found, words, totals, longest, cover, top)
 
 
+def _keyed(sums: DataFrame, found: dict[int, DataFrame], k: int) -> DataFrame:
+    """Frequent phrases with ``key``, the ids of their words joined, from the key of all words but the last and that of the last."""
+    front = F.shiftright("hi", 32) if k == 2 else F.col("hi")
+    first, last = found[k - 1].select(F.col("id").alias("_front"), F.col("key").alias("_a")), found[1].select(F.col("id").alias("_last"), F.col("key").alias("_b"))
+    met = sums.withColumn("_of", front).join(first, F.col("_of") == F.col("_front")).join(last, F.col("lo") == F.col("_last"))
+    return met.withColumn("key", F.concat("_a", "_b")).drop("_of", "_front", "_last", "_a", "_b")
+
+
 def _ranked(found: dict[int, DataFrame], words: DataFrame, totals: DataFrame, longest: int, cover: int, top: int | None) -> DataFrame:
     """Step 4."""
     kept = None
@@ -203,7 +227,7 @@ def _ranked(found: dict[int, DataFrame], words: DataFrame, totals: DataFrame, lo
         scored = None
         for c in range(1, k):  # each cut: its score and where it stands
             left, right = found[c].select(F.col("key").alias("lk"), F.col("f").alias("l")), found[k - c].select(F.col("key").alias("rk"), F.col("f").alias("r"))
-            base = found[k] if scored is None else scored
+            base = found[k].select("key", "f") if scored is None else scored
             met = base.join(left, _part("key", 0, c) == F.col("lk")).join(right, _part("key", c) == F.col("rk")).drop("lk", "rk")
             here = F.struct(F.expr("(CAST(f AS DECIMAL(19,0)) * CAST(f AS DECIMAL(19,0)) * CAST(1000000 AS DECIMAL(7,0))) div (CAST(l AS DECIMAL(19,0)) * CAST(r AS DECIMAL(19,0)))").alias("score"), F.lit(c).alias("k"), F.col("l").alias("l"), F.col("r").alias("r"))
             scored = met.withColumn("worst", here if scored is None else F.least("worst", here)).select("key", "f", "worst")
