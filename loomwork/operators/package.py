@@ -79,6 +79,19 @@ def guard(rows: DataFrame) -> DataFrame:
     return rows
 
 
+def scoped(records: DataFrame, scope: DataFrame | None, key: str = "ContentUid", shown: int = 10) -> DataFrame:
+    """The records of a scope (its keys in a column of the same name), or all without one; a key of the scope without a record is an error that names the first few."""
+    if scope is None:
+        return records
+    wanted = scope.select(key).distinct()
+    missing = wanted.join(records.select(key), key, "left_anti")
+    first = missing.orderBy(key).limit(shown + 1).collect()  # a few names for the message
+    if first:
+        names = ", ".join(str(r[0]) for r in first[:shown])
+        raise ValueError(f"scope has keys without a record: {names}{', ...' if len(first) > shown else ''}")
+    return records.join(wanted, key, "left_semi")
+
+
 def evidence_flags(rows: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
     """Rows with the sorted kinds of their evidence and one summary of its texts."""
     flat = evidence.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("kind")), ";").alias("evidence_flags"), F.array_join(F.array_sort(F.collect_set("summary")), " | ").alias("context_summary"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordinals import with_ordinals
+
 
 def winner(rows: DataFrame, key: str | list[str], order: list[Column], columns: list[str]) -> DataFrame:
     """The first row of each key by ``order``.
@@ -44,6 +46,23 @@ def layered_merge(rows: DataFrame, key: str, order: list[Column], value: str, st
     return walked.groupBy(key).agg(F.count_if(open_).alias("n_layers"), F.min_by(value, F.when(open_ & F.col(value).isNotNull(), F.col("_n"))).alias("merged_value"))
 
 
+def union_mappings(rows: DataFrame, key: str, order: list[str], scalars: list[str], kind: str, kinds: list[str]) -> DataFrame:
+    """A row for each key: the ``scalars`` of its first mapping, the number of mappings, and a flag ``has<Kind>`` for each of ``kinds``.
+
+    First by ``order``; the scalars come from one mapping, nulls among them. Rows combine before the shuffle.
+    """
+    head = F.min(F.struct(*order, F.struct(*scalars).alias("_s"))).alias("_first")
+    flags = [F.bool_or(F.coalesce(F.col(kind) == k, F.lit(False))).alias(f"has{k[:1].upper()}{k[1:]}") for k in kinds]
+    return rows.groupBy(key).agg(head, F.count(F.lit(1)).alias("n_mappings"), *flags).select(key, *[F.col(f"_first._s.{c}").alias(c) for c in scalars], "n_mappings", *[f"has{k[:1].upper()}{k[1:]}" for k in kinds])
+
+
+def by_role(rows: DataFrame, key: str, role: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Mappings made one for each key and role: the first of each with the number of its evidence, and all evidence, numbered within it."""
+    rest = [c for c in rows.columns if c not in (key, role, *order)]
+    heads = rows.groupBy(key, role).agg(F.min(F.struct(*order, *rest)).alias("_first"), F.count(F.lit(1)).alias("n_evidence")).select(key, role, "_first.*", "n_evidence")
+    return heads, with_ordinals(rows, order, "evidence_no", within=[key, role])
+
+
 def union_evidence(rows: DataFrame, key: str, order: str, sources: str) -> DataFrame:
     """Per key the first id, the number of rows and the distinct sources in order."""
     return rows.groupBy(key).agg(F.min(order).alias("first_id"), F.count(F.lit(1)).alias("n_evidence"), F.array_join(F.array_sort(F.collect_set(sources)), " | ").alias("sources"))

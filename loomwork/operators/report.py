@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import percent
 from .ordinals import with_ordinals
 
 
@@ -35,10 +36,6 @@ def runs(started: DataFrame, attempts: DataFrame, run: str) -> DataFrame:
     return met.select(*started.columns, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.bround("mean_seconds", 4).alias("mean_seconds"), "last_observed_at", F.when(minutes > 0, F.bround(succeeded / minutes, 4)).alias("per_minute"))
 
 
-def percent(part: Column, total: Column) -> Column:
-    return F.coalesce(F.bround(100.0 * part / F.nullif(total, F.lit(0)), 2), F.lit(0.0))
-
-
 def rates(attempts: DataFrame) -> DataFrame:
     """One row: shares of outcomes among ended attempts."""
     ended = attempts.where("outcome <> 'running'")

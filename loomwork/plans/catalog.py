@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import align, assemble, batch, classify, graph, inherit, matches, merge, ownership, pacing, protocols, providers, qa, qa_state, rank, report, returns, sets, state, transitions, validate
+from ..operators.ordinals import with_ordinals
 from ..session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,6 +161,33 @@ def evidence_union(spark, d):
     return rank.union_evidence(table(spark, d, "documents").withColumn("text_md5", F.md5("text")), "text_md5", "doc_id", "source")
 
 
+def occurrences(spark, d):
+    """Documents as evidence for their source's key."""
+    kind = F.when(F.col("doc_id") % 3 == 0, "context").when(F.col("doc_id") % 3 == 1, "bark").otherwise("quest")
+    return table(spark, d, "documents").select("doc_id", "source", kind.alias("kind"), "lang", F.col("n_chars").cast("long").alias("n_chars"))
+
+
+@query
+def mapping_union(spark, d):
+    return rank.union_mappings(occurrences(spark, d), "source", ["doc_id"], ["lang", "n_chars"], "kind", ["context", "bark", "review"])
+
+
+@query
+def role_heads(spark, d):
+    return rank.by_role(occurrences(spark, d), "source", "kind", ["doc_id"])[0].select("source", "kind", "doc_id", "lang", "n_evidence")
+
+
+@query
+def role_evidence(spark, d):
+    return rank.by_role(occurrences(spark, d), "source", "kind", ["doc_id"])[1].select("source", "kind", "evidence_no", "doc_id")
+
+
+@query
+def total_order(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", F.length("text").cast("long").alias("n_text"))
+    return with_ordinals(docs, [F.lower("lang"), F.lower("source"), F.desc("n_text"), "doc_id"], "ordinal")
+
+
 @query
 def priority_dedup(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.md5("text").alias("text_md5")).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
@@ -618,7 +646,7 @@ def domain_summary(spark, d):
 @query
 def resource_audit(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang")
-    return docs.join(table(spark, d, "labels"), "doc_id", "left").groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.count("quality").alias("n_labelled"), report.percent(F.count("quality"), F.count(F.lit(1))).alias("labelled_percent"))
+    return docs.join(table(spark, d, "labels"), "doc_id", "left").groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.count("quality").alias("n_labelled"), T.percent(F.count("quality"), F.count(F.lit(1))).alias("labelled_percent"))
 
 
 # Quality ------------------------------------------------------------------------------------------

@@ -188,6 +188,10 @@ ORACLE: dict[str, str] = {
     "layer_audit": "WITH a AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_quantity DESC, l_orderkey, l_linenumber, l_suppkey, l_returnflag) - 1 AS r FROM lineitem), b AS (SELECT l_partkey, r, CASE WHEN r = 0 THEN 'effective' WHEN l_returnflag = 'R' THEN 'returned' WHEN r = 1 THEN 'runner-up' ELSE 'shadowed' END AS reason FROM a) SELECT l_partkey, reason, count(*) AS n, max(r) AS last_rank FROM b GROUP BY ALL",
     "layered_merge": "WITH a AS (SELECT *, CASE WHEN o_totalprice > 200000 THEN o_orderkey END AS value, row_number() OVER w AS rn, coalesce(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stops FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC)) SELECT o_custkey, count(*) FILTER (stops = 0) AS n_layers, arg_min(value, rn) FILTER (stops = 0 AND value IS NOT NULL) AS merged_value FROM a GROUP BY o_custkey",
     "evidence_union": "SELECT md5(text) AS text_md5, min(doc_id) AS first_id, count(*) AS n_evidence, string_agg(DISTINCT source, ' | ' ORDER BY source) AS sources FROM documents GROUP BY 1",
+    "mapping_union": """WITH o AS (SELECT doc_id, source, CASE doc_id % 3 WHEN 0 THEN 'context' WHEN 1 THEN 'bark' ELSE 'quest' END AS kind, lang, CAST(n_chars AS BIGINT) AS n_chars FROM documents) SELECT source, arg_min(lang, doc_id) AS lang, arg_min(n_chars, doc_id) AS n_chars, count(*) AS n_mappings, count(*) FILTER (kind = 'context') > 0 AS "hasContext", count(*) FILTER (kind = 'bark') > 0 AS "hasBark", false AS "hasReview" FROM o GROUP BY source""",
+    "role_heads": """WITH o AS (SELECT doc_id, source, CASE doc_id % 3 WHEN 0 THEN 'context' WHEN 1 THEN 'bark' ELSE 'quest' END AS kind, lang, CAST(n_chars AS BIGINT) AS n_chars FROM documents) SELECT source, kind, min(doc_id) AS doc_id, arg_min(lang, doc_id) AS lang, count(*) AS n_evidence FROM o GROUP BY source, kind""",
+    "role_evidence": """WITH o AS (SELECT doc_id, source, CASE doc_id % 3 WHEN 0 THEN 'context' WHEN 1 THEN 'bark' ELSE 'quest' END AS kind, lang, CAST(n_chars AS BIGINT) AS n_chars FROM documents) SELECT source, kind, row_number() OVER (PARTITION BY source, kind ORDER BY doc_id) AS evidence_no, doc_id FROM o""",
+    "total_order": "SELECT doc_id, source, lang, length(text) AS n_text, row_number() OVER (ORDER BY lower(lang), lower(source), length(text) DESC, doc_id) AS ordinal FROM documents",
     "priority_dedup": "SELECT text_md5, doc_id, class_rank FROM (SELECT *, row_number() OVER (PARTITION BY text_md5 ORDER BY class_rank, doc_id) AS rn FROM (SELECT doc_id, md5(text) AS text_md5, CASE quality WHEN 1 THEN 0 WHEN 0 THEN 2 ELSE 1 END AS class_rank FROM documents LEFT JOIN labels USING (doc_id))) WHERE rn = 1",
     "layered_fields": f"WITH {LAYERS}, w AS (SELECT *, row_number() OVER (PARTITION BY name, field ORDER BY rn) AS nth FROM brought) SELECT name, field, value, o_orderkey FROM w WHERE nth = 1",
     "layered_heads": f"WITH {LAYERS} SELECT l.name, n_layers, coalesce((SELECT \"using\" FROM layers x WHERE x.name = l.name AND x.rn = s.stop), '') AS \"using\", o_orderkey FROM layers l JOIN stops s ON s.name = l.name WHERE l.rn = 1",

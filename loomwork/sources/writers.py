@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordinals import with_ordinals
 from .store import Store
 
 #: Characters in a spreadsheet cell.
@@ -18,6 +19,14 @@ def json_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def in_order(rows: DataFrame, order: list, name: str = "ordinal") -> DataFrame:
+    """``rows`` with their numbers in a total order, laid out in it: files that follow each other by name, rows in order in each.
+
+    What is left equal is ordered by a hash of the row. To be written by any of these writers.
+    """
+    return with_ordinals(rows, order, name).repartitionByRange(name).sortWithinPartitions(name)
+
+
 def csv(rows: DataFrame, path: str) -> None:
     """CSV with a header; arrays are joined by ';', structures become JSON, over-long cells are an error."""
     cells = []

@@ -122,3 +122,13 @@ def test_provider_waits_by_streak_and_as_asked(spark):
     provider.run(rows, lambda uid, text: answers[uid], max_attempts=1, sleep=sleep).collect()
     # a1 fails (first in a row), a2 asks for more than the most, a3 for 7 s, b1 is the fourth in a row; ok ends the streak.
     assert [json.loads(x) for x in open(log)] == [2.0, 60.0, 7.0, 16.0]
+
+
+def test_scope(spark):
+    rows = spark.createDataFrame([(f"u{i}", i) for i in range(20)], "ContentUid string, n int")
+    scope = lambda *uids: spark.createDataFrame([(u,) for u in uids], "ContentUid string")
+    assert package.scoped(rows, None).count() == 20 and sorted(r.n for r in package.scoped(rows, scope("u1", "u3", "u1")).collect()) == [1, 3]
+    with pytest.raises(ValueError, match="x0, x1"):
+        package.scoped(rows, scope("u1", "x1", "x0"))
+    with pytest.raises(ValueError, match=r", \.\.\.$"):
+        package.scoped(rows, scope(*[f"x{i}" for i in range(12)]), shown=12 - 1 - 1)

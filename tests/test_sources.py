@@ -101,3 +101,12 @@ def test_rows_are_numbered_by_file_over_splits(spark, tmp_path):
     (tmp_path / "d.csv").write_text('x,y\n1,"a\nb"\n,\n3,c\n')
     assert sorted((r["__row__"], r.x, r.y) for r in readers.returned(spark, str(tmp_path / "d.csv"), ["x", "y"]).collect()) == [(2, "1", "a\nb"), (4, "3", "c")]
     assert sorted((r["__row__"], r.a) for r in readers.returned(spark, str(tmp_path / "b.jsonl"), ["a"]).collect()) == [(1, "b1"), (2, "b2"), (3, "b3")]
+
+
+def test_a_total_order_is_written(spark, tmp_path):
+    rows = spark.createDataFrame([(i * 37 % 101, f"t{i % 3}") for i in range(101)], "n int, t string").repartition(5)
+    writers.json_lines(writers.in_order(rows, ["t", "n"]), str(tmp_path / "out"))
+    import json
+
+    lines = [json.loads(x) for f in sorted((tmp_path / "out").glob("part-*")) for x in f.read_text().splitlines()]
+    assert [x["ordinal"] for x in lines] == list(range(1, 102)) and [(x["t"], x["n"]) for x in lines] == sorted((r.t, r.n) for r in rows.collect())
