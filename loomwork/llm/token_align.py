@@ -122,7 +122,7 @@ def _encode(a_file, b_file):
         from pyspark import TaskContext
 
         sides = _byte_level(a_file.value), _pieces(b_file.value)
-        split = re.compile(WORD_CUT).split
+        split, cut_at = re.compile(WORD_CUT).split, re.compile(WORD_CUT).search
         known: dict[str, tuple] = {}
         key = TaskContext.get().partitionId() << 33
 
@@ -133,20 +133,41 @@ def _encode(a_file, b_file):
                 spelt = all(b"".join(map(s.tokens.__getitem__, i)) == plain for s, i in zip(sides, ids, strict=True))
                 known[word] = tuple(array("H", i).tobytes() for i in ids) if spelt else None
 
-        def events(texts: list[str | None], ids: pa.Array):
-            nonlocal key
-            words = [split(" " + t) if t else [] for t in texts]
+        def encoded(words: list[list[str]]) -> list[tuple[bytes, bytes] | None]:
+            """The ids of both sides of texts cut into words; None where a text is not spelt."""
             new = list({w for ws in words for w in ws if w not in known})
             if len(known) + len(new) > KEPT_WORDS:
                 known.clear()
                 new = list({w for ws in words for w in ws})
             learn(new)
+            parts = [[known[w] for w in ws] for ws in words]
+            for w in [w for w in new if len(w) > KEPT_LENGTH]:
+                del known[w]
+            return [None if None in p else (b"".join([x[0] for x in p]), b"".join([x[1] for x in p])) for p in parts]
+
+        def long_text(text: str) -> tuple[bytes, bytes] | None:
+            """A text that is too long to be cut into words at once, in pieces that end between words."""
+            out, at = [], 0
+            while at < len(text):
+                stop = cut_at(text, at + TEXT_BYTES)
+                stop = stop.start() if stop else len(text)
+                piece = encoded([split(text[at:stop])])[0]
+                if piece is None:
+                    return None
+                out.append(piece)
+                at = stop
+            return b"".join([p[0] for p in out]), b"".join([p[1] for p in out])
+
+        def events(texts: list[str | None], ids: pa.Array):
+            nonlocal key
+            if len(texts) == 1 and len(texts[0] or "") > 2 * TEXT_BYTES:
+                found = [long_text(" " + texts[0])]
+            else:
+                found = encoded([split(" " + t) if t else [] for t in texts])
             out: dict[str, list] = {c: [] for c in ("key", "side", "start", "final", "ids", "row")}
-            for row, ws in enumerate(words):
-                parts = [known[w] for w in ws]
-                whole = bool(parts) and None not in parts
+            for row, both in enumerate(found):
                 for side in (0, 1):
-                    tokens = b"".join([p[side] for p in parts]) if whole else b""
+                    tokens = both[side] if both else b""
                     if len(tokens) <= 2 * BLOCK:
                         starts = [0]
                     else:
@@ -159,8 +180,6 @@ def _encode(a_file, b_file):
                         out["ids"].append(tokens[2 * BLOCK * i : 2 * BLOCK * (i + 1)])
                         out["row"].append(row)
                 key += 1
-            for w in [w for w in new if len(w) > KEPT_LENGTH]:
-                del known[w]
             kinds = {"key": pa.int64(), "side": pa.int32(), "start": pa.int64(), "final": pa.bool_(), "ids": pa.binary()}
             yield pa.RecordBatch.from_arrays([*[pa.array(out[c], kinds[c]) for c in kinds], ids.take(pa.array(out["row"], pa.int64()))], [*kinds, "doc_id"])
 

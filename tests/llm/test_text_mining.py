@@ -80,6 +80,7 @@ def test_alignment_of_a_long_text_in_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(token_align, "BLOCK", 7)
     monkeypatch.setattr(token_align, "GROUP_TOKENS", 50)
     monkeypatch.setattr(token_align, "KEPT_WORDS", 40)
+    monkeypatch.setattr(token_align, "TEXT_BYTES", 900)  # long texts are encoded in pieces
     text = " ".join(r.text for r in table(spark, DATA, "documents").limit(20).collect())
     rows = [(1, text), (2, "日本語" * 200), (3, "short one"), (4, None), (5, "seven tokens of a word or so and"), (6, "a b c d e f"), (7, "ab" * 8)]
     assert aligned(given(spark, rows, "doc_id long, text string")) == plain_alignment(rows)
