@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .matches import literal_rules, matches
 
 #: Least source length, least and most target/source ratio by category.
 CONSERVATIVE = (20, 0.15, 4.0)
@@ -83,6 +82,10 @@ def coverage(judged: DataFrame, total: int) -> DataFrame:
 
 
 def usage_findings(rows: DataFrame, key: str, text: str, rules: list[tuple[str, str]]) -> DataFrame:
-    """key, rule_id, n_matches: literal rules that a text meets, and how often; a literal is never read as a pattern."""
-    found = matches(rows, key, text, literal_rules(rows.sparkSession, rules))
-    return found.groupBy(key, "rule_id").agg(F.count(F.lit(1)).alias("n_matches"))
+    """key, rule_id, n_matches: a few literal rules that a text meets, and how often; a literal is never read as a pattern.
+
+    Counts alone stay in generated code; offsets, and many rules, are for :mod:`.matches`.
+    """
+    quoted = lambda p: "\\Q" + p.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    found = F.array(*[F.struct(F.lit(i).alias("rule_id"), F.regexp_count(F.col(text), F.lit(quoted(p))).cast("long").alias("n_matches")) for i, p in rules])
+    return rows.select(key, F.inline(found)).where("n_matches > 0")

@@ -48,8 +48,9 @@ def test_case_is_ignored_as_a_pattern_ignores_it():
 
 
 def test_literals_are_no_patterns(spark):
-    df = spark.createDataFrame([(1, "axb a.b ("), (2, None)], "id int, text string")
-    assert sorted(map(tuple, qa.usage_findings(df, "id", "text", [("U1", "a.b"), ("U2", "(")]).collect())) == [(1, "U1", 1), (1, "U2", 1)]
+    df = spark.createDataFrame([(1, "axb a.b ( \\E[x] aaa"), (2, None)], "id int, text string")
+    found = qa.usage_findings(df, "id", "text", [("U1", "a.b"), ("U2", "("), ("U3", "\\E["), ("U4", "aa"), ("U5", "\\Q")])
+    assert sorted(map(tuple, found.collect())) == [(1, "U1", 1), (1, "U2", 1), (1, "U3", 1), (1, "U4", 1)]
 
 
 def test_rule_sets_that_are_refused(spark):
