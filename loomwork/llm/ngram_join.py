@@ -14,7 +14,12 @@
    node belongs to the Voronoi cell of its nearest pivot (of equally near ones,
    the one its hash picks) and is copied to each cell whose pivot is no more than
    two radii farther away than its own: by the triangle inequality every partner
-   of a cell's own nodes is then in the cell.
+   of a cell's own nodes is then in the cell. A node with no pivot nearer than
+   1 - 2 radii would go to every cell; in regions where that is more than its rarest
+   shingles, of which it shares one with each partner, it goes to a cell for each of
+   these, and so do nodes that are near enough to link with such a node. A pair with a
+   far node is met there, in the cell of the least shingle it shares, any other pair by
+   windows.
 4. Cells are joined again in tasks of their own, split by the same rule in memory
    as long as that saves comparisons; a cell with very many copied nodes is dealt
    to several tasks. Each link is met from either end, once.
@@ -50,6 +55,8 @@ CHAINED = 1 << 19
 PAIRED, GROUPS = 32, 3
 #: Nodes and shingles that are dealt to one task of a cell, beside the cell's own, and shingles to one of comparisons with pivots.
 CELL_NODES, TASK_SHINGLES = 1024, 4_000_000
+#: A region goes by rare shingles where it has more than so many pivots for each of them that a node has.
+RARE = 1.0
 #: Comparisons at a time, and own nodes below which a cell is not split again.
 BLOCK, LEAF = 1 << 22, 32
 #: Counters of shingle frequency over all documents (2 to this many), kept and sent in blocks; a shingle is hot whose counter is so many times the mean.
@@ -121,6 +128,12 @@ def _counter(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
 
+def rarest(shingles: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest shingles of a set, by hash: linked sets share so much that of so many each they share one."""
+    keep = len(shingles) - (percent * len(shingles) + 99) // 100 + 1
+    return np.sort(shingles[np.lexsort((shingles, levels[_counter(shingles)]))[:keep]])
+
+
 def digest_of(shingles: np.ndarray) -> bytes:
     import xxhash
 
@@ -231,7 +244,7 @@ def _tasks(documents: DataFrame) -> int:
 
 
 def node_table(documents: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, key (a hash of the text), n_shingles and node (the digest of the set, null without shingles), written once; and which counters are hot.
+    """doc_id, key (a hash of the text), n_shingles and node (the digest of the set, null without shingles), written once; and a byte for each counter: its size (4 log2, 0: one document at most), and 128 if it is hot.
 
     One pass over the texts gives both: a partition's counters follow its rows.
     """
@@ -274,23 +287,25 @@ def node_table(documents: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]
             import zstandard
 
             counts = np.frombuffer(zstandard.ZstdDecompressor().decompress(batch.column("data")[0].as_py()), "<i8")
-            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array([np.packbits(counts > HOT * counts.mean() + 8).tobytes()], pa.binary())], ["block", "data"])
+            level = np.minimum(np.ceil(4 * np.log2(np.maximum(counts, 1))), 127).astype(np.uint8)
+            marked = level | ((counts > HOT * counts.mean() + 8).astype(np.uint8) << np.uint8(7))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array([marked.tobytes()], pa.binary())], ["block", "data"])
 
     written = cut(documents.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(lean(each), f"doc_id {kind}, key bigint, n_shingles bigint, node binary, block int, data binary"))
     packed = "block int, data binary"
     counters = written.where("block IS NOT NULL").select("block", "data", F.pmod(F.xxhash64("data"), F.lit(16)).alias("part"))
     # In parts first: however many tasks there were, no task adds them all.
     counters = counters.repartition(COUNTER_BLOCKS, "block", "part").select("block", "data").mapInArrow(lean(add), packed)
-    hot = np.zeros(1 << COUNTER_BITS, bool)
-    size = len(hot) // COUNTER_BLOCKS
-    for r in counters.repartition(COUNTER_BLOCKS, "block").mapInArrow(lean(mark), packed).collect():  # COUNTER_BLOCKS rows of bits
-        hot[r.block * size : (r.block + 1) * size] = np.unpackbits(np.frombuffer(bytes(r.data), np.uint8)).astype(bool)
-    return written.where("block IS NULL").select("doc_id", "key", "n_shingles", "node"), hot
+    marks = np.zeros(1 << COUNTER_BITS, np.uint8)
+    size = len(marks) // COUNTER_BLOCKS
+    for r in counters.repartition(COUNTER_BLOCKS, "block").mapInArrow(lean(mark), packed).collect():  # COUNTER_BLOCKS rows of bytes
+        marks[r.block * size : (r.block + 1) * size] = np.frombuffer(bytes(r.data), np.uint8)
+    return written.where("block IS NULL").select("doc_id", "key", "n_shingles", "node"), marks
 
 
-def candidates(documents: DataFrame, hot: np.ndarray, words: int, percent: int) -> DataFrame:
+def candidates(documents: DataFrame, marks: np.ndarray, words: int, percent: int) -> DataFrame:
     """Links a, b of nodes that agree in a part and are near in size: chains, not pairs."""
-    shared = documents.sparkSession.sparkContext.broadcast(np.packbits(hot))  # a bit for each counter
+    shared = documents.sparkSession.sparkContext.broadcast(np.packbits(marks >> np.uint8(7)))  # a bit for each counter
     routes = _routes(documents.select("text"))
 
     def spread(batches):
@@ -503,11 +518,17 @@ class _Rows:
         self.nodes = self.table.column("node").to_pylist()
 
 
-_CELLS = "cell binary, node binary, n bigint, copies bigint, text string, own boolean, a binary, b binary"
+#: ``shingles``: the node's set, 8 bytes each. Of cells of rare shingles: the shingle, all of the node, and whether it is far from every pivot.
+_CELLS = "cell binary, node binary, n bigint, copies bigint, shingles binary, own boolean, a binary, b binary, rare binary, prefix binary, far boolean"
+_KINDS = {"cell": pa.binary(), "node": pa.binary(), "n": pa.int64(), "copies": pa.int64(), "shingles": pa.binary(), "own": pa.bool_(), "a": pa.binary(), "b": pa.binary(), "rare": pa.binary(), "prefix": pa.binary(), "far": pa.bool_()}
 _MET = "node binary, met bigint, root binary"
 
 
-def _compare(words: int, percent: int, every: bool):
+def _cell_rows(length: int, **columns) -> pa.Table:
+    return pa.table({c: columns[c].cast(kind) if c in columns else pa.nulls(length, kind) for c, kind in _KINDS.items()})
+
+
+def _compare(words: int, percent: int, every: bool, levels):
     """A part of a region against its pivots: a row for each node and cell it goes to, and the links with pivots."""
     radius = 1 - percent / 100
 
@@ -520,53 +541,76 @@ def _compare(words: int, percent: int, every: bool):
         region = table.column("region")[0].as_py()
         names = [rows.nodes[i] for i in pivots.tolist()]
         cells = pa.array([hashlib.md5(region + name).digest() for name in names], pa.binary())
+        by_rare = table.column("rare")[0].as_py()
+        whole = pa.array([s.astype("<u8").tobytes() for s in rows.sets], pa.binary())
+
+        def taken(which: np.ndarray) -> dict:
+            which = pa.array(which, pa.int64())
+            return {**{c: rows.table.column(c).take(which).combine_chunks() for c in ("node", "n", "copies")}, "shingles": whole.take(which)}
+
         out, step = [], max(1, BLOCK // max(1, len(pivots)))
         for at in range(0, len(mine), step):
             these = mine[at : at + step]
-            d = _distance(overlaps([rows.sets[i] for i in these], [rows.sets[i] for i in pivots]), size[these], size[pivots])
+            inter = overlaps([rows.sets[i] for i in these], [rows.sets[i] for i in pivots])
+            d = _distance(inter, size[these], size[pivots])
             pick = np.array([int.from_bytes(rows.nodes[i][:6], "little") for i in these], np.int64)
             home, within = voronoi(d, radius, pick)
             tied = d <= radius + 1e-12
             if not every:  # a node that links with a pivot meets all that do so there
                 within &= ~tied
                 within[np.arange(len(these)), home] = True
+            if by_rare:
+                least = d.min(axis=1)
+                far = least >= 1 - 2 * radius - 2e-9
+                within &= ~far[:, None]
+                met = np.flatnonzero(least >= 1 - 3 * radius - 1e-8)
+                firsts = [rarest(rows.sets[i], levels.value, percent) for i in these[met].tolist()]
+                # A shingle of one document alone is shared with nobody.
+                shared = [p[levels.value[_counter(p)] > 0] for p in firsts]
+                x = np.repeat(met, [len(p) for p in shared])
+                rare = [k.tobytes() for p in shared for k in p.astype("<u8")]
+                prefix = pa.array([p.astype("<u8").tobytes() for p in firsts], pa.binary()).take(pa.array(np.repeat(np.arange(len(met)), [len(p) for p in shared]), pa.int64()))
+                names_ = pa.array([hashlib.md5(region + b"rare" + k).digest() for k in rare], pa.binary())
+                out.append(_cell_rows(len(x), cell=names_, **taken(these[x]), own=pa.array(np.ones(len(x), bool)), rare=pa.array(rare, pa.binary()), prefix=prefix, far=pa.array(far[x])))
             x, j = np.nonzero(within)
-            taken = rows.table.take(pa.array(these[x]))
-            none = pa.nulls(len(x), pa.binary())
-            out.append(pa.table([cells.take(pa.array(j)), *(taken.column(c) for c in ("node", "n", "copies", "text")), pa.array(home[x] == j), none, none], names=["cell", "node", "n", "copies", "text", "own", "a", "b"]))
+            out.append(_cell_rows(len(x), cell=cells.take(pa.array(j)), **taken(these[x]), own=pa.array(home[x] == j)))
             if not every:
-                inter = _linked(overlaps([rows.sets[i] for i in these], [rows.sets[i] for i in pivots]), size[these][:, None], size[pivots][None, :], percent)
-                x, j = np.nonzero(inter & (these[:, None] != pivots[None, :]))
-                none = [pa.nulls(len(x), kind) for kind in (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.bool_())]
-                out.append(pa.table([*none, pa.array([rows.nodes[i] for i in these[x].tolist()], pa.binary()), pa.array([names[i] for i in j.tolist()], pa.binary())], names=["cell", "node", "n", "copies", "text", "own", "a", "b"]))
+                x, j = np.nonzero(_linked(inter, size[these][:, None], size[pivots][None, :], percent) & (these[:, None] != pivots[None, :]))
+                out.append(_cell_rows(len(x), a=pa.array([rows.nodes[i] for i in these[x].tolist()], pa.binary()), b=pa.array([names[i] for i in j.tolist()], pa.binary())))
         return pa.concat_tables(out)
 
     return run
 
 
-def _join_cell(words: int, percent: int):
+def _join_cell(percent: int):
     """A task of a cell: for each own node the copies of the nodes that it links with, and the least node its links connect it with here."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = _Rows(table.sort_by("node"), words)
-        copies = np.array(rows.table.column("copies").to_pylist(), np.int64)
-        goal = {node for node, there in zip(table.column("node").to_pylist(), table.column("there").to_pylist(), strict=True) if there}
-        others = np.array([i for i, node in enumerate(rows.nodes) if node in goal], np.int64)
-        met, label = np.zeros(len(rows.sets), np.int64), np.arange(len(rows.sets))
-        for x, ys in join_cell(rows.sets, np.array(sorted(rows.queries), np.int64), others, percent):
+        table = table.sort_by("node").combine_chunks()
+        nodes = table.column("node").to_pylist()
+        sets, prefix = ([np.frombuffer(s or b"", "<u8") for s in table.column(c).to_pylist()] for c in ("shingles", "prefix"))
+        copies, own, there, far = (np.array(table.column(c).to_pylist()) for c in ("copies", "own", "there", "far"))
+        rare = table.column("rare")[0].as_py()
+        met, label = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
+        for x, ys in join_cell(sets, np.flatnonzero(own), np.flatnonzero(there), percent):
+            if rare is not None:  # of all cells that the two meet in, the one of the least shingle has the link
+                least = np.frombuffer(rare, "<u8")[0]
+                ys = np.array([y for y in ys.tolist() if (far[x] or far[y]) and np.intersect1d(prefix[x], prefix[y], True)[0] == least], np.int64)
+                if not len(ys):
+                    continue
             met[x] = copies[ys].sum()
             known = np.append(label[ys], label[x])
             if (known != known[0]).any():
                 label[np.isin(label, known)] = known.min()
         linked = np.flatnonzero((met > 0) | (label != np.arange(len(label))))
-        return pa.table({"node": pa.array([rows.nodes[i] for i in linked], pa.binary()), "met": pa.array(met[linked]), "root": pa.array([rows.nodes[label[i]] for i in linked], pa.binary())})
+        return pa.table({"node": pa.array([nodes[i] for i in linked], pa.binary()), "met": pa.array(met[linked]), "root": pa.array([nodes[label[i]] for i in linked], pa.binary())})
 
     return run
 
 
-def _members(documents: DataFrame, nodes: DataFrame, hot: np.ndarray, words: int, percent: int) -> DataFrame:
+def _members(documents: DataFrame, nodes: DataFrame, marks: np.ndarray, words: int, percent: int) -> DataFrame:
     """region, node, n (shingles), copies and text: the nodes that candidates chain together; all links lie within regions."""
-    roots = components(candidates(documents, hot, words, percent))
+    roots = components(candidates(documents, marks, words, percent))
     regions = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     first = nodes.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
     members = first.join(regions.withColumnRenamed("root", "region"), "node")
@@ -586,37 +630,42 @@ def _members(documents: DataFrame, nodes: DataFrame, hot: np.ndarray, words: int
     return cut(named.select(columns).unionByName(nameless.select(columns)))
 
 
-def met_links(documents: DataFrame, nodes: DataFrame, hot: np.ndarray, words: int, percent: int, every: bool = True) -> DataFrame:
+def met_links(documents: DataFrame, nodes: DataFrame, marks: np.ndarray, words: int, percent: int, every: bool = True) -> DataFrame:
     """node, met, root: for nodes with links, how many rows link with them, and nodes that they are connected with.
 
     ``every``: all links are counted. Otherwise nodes that link with the same
     pivot are not compared further: what is connected stays connected, but the
     numbers are too low.
     """
-    members, tasks = _members(documents, nodes, hot, words, percent), _tasks(documents)
+    members, tasks = _members(documents, nodes, marks, words, percent), _tasks(documents)
+    levels = documents.sparkSession.sparkContext.broadcast(marks & np.uint8(127))  # a byte for each counter
     size = members.groupBy("region").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("shingles"))
     wanted = F.ceil(F.sqrt("nodes") / 2).cast("int").alias("pivots")
-    size = size.select("region", wanted, F.greatest(F.lit(1), F.ceil(F.greatest(F.col("nodes") / (16 * F.col("pivots")), F.col("shingles") / TASK_SHINGLES))).cast("int").alias("parts"))
+    each = F.col("shingles") * (100 - percent) / 100 / F.col("nodes") + 1
+    size = size.select("region", "nodes", "shingles", wanted, each.alias("each")).withColumn("rare", F.col("pivots") * RARE > F.col("each"))
+    # What a task of comparisons reads and what it writes are bounded: shingles of a part, and of all their copies.
+    copied = F.col("shingles") * F.when(F.col("rare"), F.least("each", "pivots")).otherwise(F.col("pivots"))
+    size = size.select("region", "pivots", "rare", F.greatest(F.lit(1), F.ceil(F.greatest(F.col("nodes") / (16 * F.col("pivots")), copied / TASK_SHINGLES))).cast("int").alias("parts"))
     # Most regions have one pivot and one part, which need no row to say so; a large one is met in salted parts.
     salted = size.where("pivots > 1 OR parts > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     sized = members.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(7)), F.lit(SALTS)).cast("int")).join(salted, ["region", "salt"], "left")
-    sized = sized.select("region", "node", "n", "copies", "text", F.coalesce("pivots", F.lit(1)).alias("pivots"), F.coalesce("parts", F.lit(1)).alias("parts"))
+    sized = sized.select("region", "node", "n", "copies", "text", F.coalesce("pivots", F.lit(1)).alias("pivots"), F.coalesce("parts", F.lit(1)).alias("parts"), F.coalesce("rare", F.lit(False)).alias("rare"))
     # Pivots: in each of so many slots the member with the smallest hash, combined before the shuffle.
     key = F.struct(F.xxhash64("node").alias("k"), F.col("node").alias("node"))
     chosen = sized.select("region", "node", F.pmod(F.xxhash64("node", F.lit(3)), F.col("pivots")).alias("slot")).groupBy("region", "slot").agg(F.min(key).alias("p")).select("region", F.col("p.node").alias("node"))
-    columns = ["region", "part", "node", "n", "copies", "text", "own"]
+    columns = ["region", "part", "node", "n", "copies", "text", "own", "rare"]
     dealt = sized.withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int")).withColumn("own", F.lit(True))
     pivots = sized.join(chosen, ["region", "node"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("own", F.lit(False))
     met = dealt.select(columns).unionByName(pivots.select(columns)).repartition(tasks, "region", "part")
-    compared = cut(met.groupBy("region", "part").applyInArrow(_compare(words, percent, every), _CELLS))
+    compared = cut(met.groupBy("region", "part").applyInArrow(_compare(words, percent, every, levels), _CELLS))
     cells = compared.where("cell IS NOT NULL")
     # A cell with very many copied nodes is dealt to several tasks, its own nodes to each.
     wide = cells.groupBy("cell").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CELL_NODES, F.sum("n") / TASK_SHINGLES)).cast("int").alias("chunks")).where("chunks > 1")
     wide = wide.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = cells.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(7)), F.lit(SALTS)).cast("int")).join(wide, ["cell", "salt"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("home", F.pmod(F.xxhash64("node", F.lit(9)), F.col("chunks")).cast("int"))
     spread = spread.withColumn("chunk", F.explode(F.when(F.col("own"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("home"))))
-    spread = spread.select("cell", "chunk", "node", "copies", "text", "own", (F.col("chunk") == F.col("home")).alias("there"))
-    found = spread.repartition(tasks, "cell", "chunk").groupBy("cell", "chunk").applyInArrow(_join_cell(words, percent), _MET)
+    spread = spread.select("cell", "chunk", "node", "copies", "shingles", "own", "rare", "prefix", "far", (F.col("chunk") == F.col("home")).alias("there"))
+    found = spread.repartition(tasks, "cell", "chunk").groupBy("cell", "chunk").applyInArrow(_join_cell(percent), _MET)
     ties = compared.where("cell IS NULL").select(F.col("a").alias("node"), F.lit(0).cast("long").alias("met"), F.col("b").alias("root"))
     out = cut(found.unionByName(ties))
     drop_cut(members)
@@ -626,8 +675,8 @@ def met_links(documents: DataFrame, nodes: DataFrame, hot: np.ndarray, words: in
 
 def _classes(documents: DataFrame, words: int, percent: int, every: bool) -> DataFrame:
     """doc_id, key, n_shingles, component_id, n_links, first (the row's id and text are the component's first): one row per document."""
-    nodes, hot = node_table(documents, words)
-    met = met_links(documents, nodes, hot, words, percent, every)
+    nodes, marks = node_table(documents, words)
+    met = met_links(documents, nodes, marks, words, percent, every)
     roots = components(met.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = met.groupBy("node").agg(F.sum("met").alias("met"))
     # Rows without an id come last; of rows with one id, the text with the least key is first.

@@ -153,3 +153,31 @@ def test_components(spark):
             low[a] = low[b] = min(low[a], low[b])
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {x: r for x, r in low.items() if x != r}
+
+
+def test_links_of_far_nodes_count(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "RARE", 1e6)  # every region goes by rare shingles
+    rows = corpus(9)
+    sets = [shingles(t, 4) for _, t in rows]
+    want = {d: sum(i != j and bool(s) and bool(o) and 100 * len(s & o) >= 85 * len(s | o) for j, o in enumerate(sets)) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.component_table(docs, 4, 85).collect()}
+    assert got == {d: (*v, want[d]) for d, v in brute(rows, 4, 85).items()}
+
+
+@pytest.mark.parametrize("every", [True, False])
+def test_far_nodes_are_not_copied_to_every_cell(spark, monkeypatch, every):
+    """Short texts that chain by a common line, yet are far from each other: once each went to the cell of every pivot."""
+    rng = random.Random(1)
+    common = "all of these texts begin with one line"
+    texts = [common + "".join(f" {rng.choice('abcdefgh')}{rng.randrange(300)}" for _ in range(22)) for _ in range(1200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes, marks = ngram_join.node_table(docs, 5)
+    names = [r.node for r in nodes.orderBy("doc_id").collect()]
+    members = spark.createDataFrame([(b"r", bytes(node), len(shingles(t, 5)), 1, t) for node, t in zip(names, texts, strict=True)], "region binary, node binary, n long, copies long, text string")
+    written = []
+    monkeypatch.setattr(ngram_join, "_members", lambda *_: ngram_join.cut(members))
+    cut = ngram_join.cut
+    monkeypatch.setattr(ngram_join, "drop_cut", lambda df: written.append(df.where("cell IS NOT NULL").count()) if "cell" in df.columns else None)
+    assert cut(ngram_join.met_links(docs, nodes, marks, 5, 80, every=every)).where("met > 0").count() == 0
+    assert written[0] < 8 * len(texts)  # of 18 pivots
