@@ -69,6 +69,44 @@ def nearest(nodes: DataFrame, key: str, parent: str, value: str) -> DataFrame:
     return found.join(values, F.col("owner") == F.col("_o"), "left").select(key, "depth", "owner", "value", "ends")
 
 
+def _jumps(entities: DataFrame, key: str, using: str) -> DataFrame:
+    """_k, _p (the node a jump leads to, null at the end of a way), steps and ends, for jumps of one step."""
+    up = F.when(F.coalesce(F.col(using), F.lit("")) != "", F.col(using))
+    links = entities.select(F.col(key).alias("_k"), up.alias("_up"))
+    met = links.join(links.select(F.col("_k").alias("_p")), F.col("_up") == F.col("_p"), "left")
+    return met.select("_k", "_p", F.lit(1).cast("long").alias("steps"), F.when(F.col("_up").isNull(), "root").when(F.col("_p").isNull(), "missing").alias("ends"))
+
+
+def _doubled(going: DataFrame, jump: DataFrame) -> DataFrame:
+    ahead = jump.select(F.col("_k").alias("_a"), F.col("_p").alias("_q"), F.col("steps").alias("_more"), F.col("ends").alias("_ends"))
+    return going.join(ahead, F.col("_p") == F.col("_a")).select("_k", F.col("_q").alias("_p"), (F.col("steps") + F.col("_more")).alias("steps"), F.col("_ends").alias("ends"))
+
+
+def inheritance_end(entities: DataFrame, key: str, using: str) -> DataFrame:
+    """key, ends (root, missing or cycle): how the way up of each entity ends, without anything that it inherits.
+
+    While a way has an end ahead, some node stands at every distance from that end, so
+    each round ends some way; a round that ends none leaves cycles alone. Ways that ended
+    are written once, when they do; only those that go on are carried from round to round.
+    """
+    state = settled(_jumps(entities, key, using))
+    done, going = state.where("_p IS NULL").select("_k", "ends"), state.where("_p IS NOT NULL")
+    left = going.count()
+    while left:
+        # A jump that leads to a node whose way has ended takes over its end.
+        moved = _doubled(going, going.unionByName(done.withColumn("_p", F.lit(None).cast(going.schema["_p"].dataType)).withColumn("steps", F.lit(0).cast("long"))))
+        state = settled(moved.coalesce(_parts(entities)))
+        done, going = done.unionByName(state.where("_p IS NULL").select("_k", "ends")), state.where("_p IS NOT NULL")
+        before, left = left, going.count()
+        if left == before:
+            break
+    return done.unionByName(going.select("_k", F.lit("cycle").alias("ends"))).select(F.col("_k").alias(key), "ends")
+
+
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def inherited(entities: DataFrame, fields: DataFrame, key: str, using: str, levels: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Every field that an entity has or inherits, and how its way up ends.
 
@@ -78,25 +116,27 @@ def inherited(entities: DataFrame, fields: DataFrame, key: str, using: str, leve
 
     The first table: key, field, owner, depth (0: its own), then the columns of ``fields``.
     The second: key, ends (root, missing or cycle), as a row for each entity.
+
+    Of the nodes between one and the owner of what it inherits, each inherits the same: a
+    round that ends no way and brings no field leaves nothing to come, cycles or not.
     """
     rest = [c for c in fields.columns if c not in (key, "field")]
     own = fields.select(F.col(key).alias("_k"), "field", F.struct(F.lit(0).cast("long").alias("depth"), F.col(key).cast("string").alias("owner"), *rest).alias("_at"))
-    up = F.when(F.coalesce(F.col(using), F.lit("")) != "", F.col(using))
-    links = entities.select(F.col(key).alias("_k"), up.alias("_up"))
-    met = links.join(links.select(F.col("_k").alias("_p")), F.col("_up") == F.col("_p"), "left")
-    jump = settled(met.select("_k", "_p", F.lit(1).cast("long").alias("steps"), F.when(F.col("_up").isNull(), "root").when(F.col("_p").isNull(), "missing").alias("ends")))
+    jump = settled(_jumps(entities, key, using))
     values = settled(own.groupBy("_k", "field").agg(F.min("_at").alias("_at")))
-    for _ in range(_rounds(jump.count())):
+    before = None
+    while True:
         going = jump.where("_p IS NOT NULL")
-        if going.isEmpty():
+        after = going.count(), values.count()
+        if not after[0] or after == before:
             break
+        before = after
         far = values.select(F.col("_k").alias("_p"), "field", F.col("_at"))
         at = F.struct((F.col("_at.depth") + F.col("steps")).alias("depth"), F.col("_at.owner").alias("owner"), *[F.col(f"_at.{c}").alias(c) for c in rest])
         brought = going.join(far, "_p").select("_k", "field", at.alias("_at"))
         values = settled(values.unionByName(brought).groupBy("_k", "field").agg(F.min("_at").alias("_at")))
-        ahead = jump.select(F.col("_k").alias("_a"), F.col("_p").alias("_q"), F.col("steps").alias("_more"), F.col("ends").alias("_ends"))
-        moved = going.join(ahead, F.col("_p") == F.col("_a")).select("_k", F.col("_q").alias("_p"), (F.col("steps") + F.col("_more")).alias("steps"), F.col("_ends").alias("ends"))
-        jump = settled(jump.where("_p IS NULL").unionByName(moved))
+        # Partitions must not add up from round to round.
+        jump = settled(jump.where("_p IS NULL").unionByName(_doubled(going, jump)).coalesce(_parts(entities)))
     table = values.select(F.col("_k").alias(key), "field", F.col("_at.owner").alias("owner"), F.col("_at.depth").alias("depth"), *[F.col(f"_at.{c}").alias(c) for c in rest])
     return table, jump.select(F.col("_k").alias(key), F.coalesce("ends", F.lit("cycle")).alias("ends"))
 

@@ -180,3 +180,21 @@ def test_running_maxima_and_retry_delays(spark):
         top[worker] = max((x for x in (top.get(worker), asked) if x is not None), default=None)
         best[n] = top[worker]
     assert {r.n: r.top for r in with_running_max(df, ["n"], F.col("retry_after"), "top", within=["worker"]).collect()} == best
+
+
+def test_a_cycle_ends_the_rounds(spark, monkeypatch):
+    """Rounds end when nothing comes any more: once a cycle kept every round going until steps outnumbered the nodes."""
+    nodes = [("a", "b"), ("b", "a"), *[(f"n{i}", f"n{i - 1}" if i else "a") for i in range(6)], *[(f"s{i}", "") for i in range(500)], ("lost", "gone"), ("under", "lost")]
+    entities = spark.createDataFrame(nodes, "entity string, using string")
+    fields = spark.createDataFrame([("b", "f", "v"), ("n2", "f", "w")], "entity string, field string, value string")
+    calls, settled = [], inherit.settled
+    monkeypatch.setattr(inherit, "settled", lambda df: calls.append(1) or settled(df))
+    want = {k: "root" if k[0] == "s" else "missing" if k in ("lost", "under") else "cycle" for k, _ in nodes}
+    assert dict(map(tuple, inherit.inheritance_end(entities, "entity", "using").collect())) == want
+    assert len(calls) <= 5
+    calls.clear()
+    table, ends = inherit.inherited(entities, fields, "entity", "using")
+    assert dict(map(tuple, ends.collect())) == want
+    got = {r.entity: (r.owner, r.depth, r.value) for r in table.collect()}
+    assert got == {"a": ("b", 1, "v"), "b": ("b", 0, "v"), "n0": ("b", 2, "v"), "n1": ("b", 3, "v"), **{f"n{i}": ("n2", i - 2, "w") for i in range(2, 6)}}
+    assert len(calls) <= 12
