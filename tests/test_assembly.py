@@ -132,3 +132,9 @@ def test_framed_digest(spark):
     got = merge.framed_digest(spark.createDataFrame(rows, "k string, v string"), "k", "v").first()
     assert (got.n_rows, got.inventory_sha256) == (3, want.hexdigest())
     assert merge.framed_digest(spark.createDataFrame([], "k string, v string"), "k", "v").first().n_rows == 0
+
+
+def test_batch_numbers_beyond_four_digits_stay_apart(spark):
+    rows = spark.range(10_050).select(F.col("id").alias("k"), F.lit("c").alias("category"), F.col("id").alias("grp"))
+    got = batch.plan(rows, "category", "grp", ["k"], {"c": 1}).select("batch_id").distinct()
+    assert got.count() == 10_050 and got.where("batch_id IN ('c-1000', 'c-10000')").count() == 2
