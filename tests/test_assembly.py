@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from loomwork.operators import assemble, graph, merge, providers, qa_state, returns
+from loomwork.operators import assemble, batch, graph, merge, providers, qa_state, returns
 from loomwork.sources import story
 
 UID = "h0123456{}g0123g0123g0123g0123456789ab"
