@@ -2,8 +2,9 @@
 
 Texts are cut into overlapping passages of words, weighted by TF-IDF over hashed
 words. Document frequencies cover all documents. A distributed randomised SVD
-(power iterations of A'(A x) over partitions, then a Rayleigh-Ritz step) of the
-benchmark's passages and a bounded sample of the corpus gives the latent space.
+(power iterations of A'(A x) over partitions) of every passage of every document
+and of the benchmark gives the latent space; nothing is fitted to a sample. It
+reads the documents as numbers of hashed words, two bytes each, written once.
 Every passage of every document is then compared with the benchmark by cosine,
 and candidates are verified: the longest common subsequence of words, weighted by
 rarity, must cover enough of the item, or somewhat less of it together with its
@@ -28,14 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lean
+from .common import cut, drop_cut, lean
 from .textvec import slices, words
 
 #: Hashed vocabulary, latent dimensions, words of a passage and their step.
 BUCKETS, DIM, LENGTH, STEP = 1 << 15, 128, 32, 16
-#: Documents of the corpus that the basis is fitted to beside the benchmark, at most about; power iterations; partitions of
-#: that bounded set, each of which sends one sum of BUCKETS x DIM an iteration.
-FIT_DOCS, POWER, FIT_PARTS = 1000, 2, 2
+#: Power iterations. Bytes of word numbers, at least, for each task of an iteration, which sends one sum of BUCKETS x DIM.
+POWER, FIT_BYTES = 2, 1 << 25
 BLOCK_ITEMS = 256
 #: Share of the basis (in squares) that the words with the smallest parts may hold to be left out.
 SPARE = 0.05
@@ -87,28 +87,49 @@ def _gather(rows: DataFrame, n: int, dtype: str, shape: tuple[int, ...], many: b
     return total.reshape(shape)
 
 
-def frequencies(documents: DataFrame) -> tuple[np.ndarray, int]:
-    """In how many documents each hashed word occurs, and the number of documents."""
+def packed(documents: DataFrame) -> DataFrame:
+    """Numbers of the hashed words of all texts, some 2 MB of text in a row, with the number of words of each text."""
 
-    def count(batches):
-        total = np.zeros(BUCKETS + 64, np.int64)
+    def run(batches):
         for batch in batches:
             column = batch.column("text")
             for at, n in slices(column):
                 h, counts = words(column.slice(at, n))
-                pairs = np.unique(np.repeat(np.arange(n), counts) * BUCKETS + (h % np.uint64(BUCKETS)).astype(np.int64))
-                total[:BUCKETS] += np.bincount(pairs % BUCKETS, minlength=BUCKETS)
-                total[BUCKETS] += n
+                data = (counts.astype("<i8").tobytes(), (h % np.uint64(BUCKETS)).astype("<u2").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([d], pa.binary()) for d in data], ["counts", "words"])
+
+    return documents.select("text").mapInArrow(lean(run), "counts binary, words binary")
+
+
+def _unpacked(batches):
+    for batch in batches:
+        for counts, data in zip(batch.column("counts"), batch.column("words"), strict=True):
+            yield np.frombuffer(counts.as_buffer(), "<i8"), np.frombuffer(data.as_buffer(), "<u2")
+
+
+def frequencies(streams: DataFrame) -> tuple[np.ndarray, int, int, int]:
+    """In how many documents each hashed word occurs, and the numbers of documents, words and passages."""
+
+    def count(batches):
+        total = np.zeros(BUCKETS + 64, np.int64)
+        for counts, bucket in _unpacked(batches):
+            pairs = np.sort(np.repeat(np.arange(len(counts)), counts) * BUCKETS + bucket)
+            total[:BUCKETS] += np.bincount(pairs[np.diff(pairs, prepend=-1) > 0] % BUCKETS, minlength=BUCKETS)
+            total[BUCKETS : BUCKETS + 3] += len(counts), len(bucket), _passages_in(counts).sum()
         yield _blocks_of("df", total, 8)
 
-    total = _gather(documents.select("text").mapInArrow(lean(count), "block int, data binary"), 8, "<i8", (BUCKETS + 64,), many=True)
-    return total[:BUCKETS], int(total[BUCKETS])
+    total = _gather(streams.mapInArrow(lean(count), "block int, data binary"), 8, "<i8", (BUCKETS + 64,), many=True)
+    return total[:BUCKETS], *(int(x) for x in total[BUCKETS : BUCKETS + 3])
+
+
+def _passages_in(counts: np.ndarray) -> np.ndarray:
+    return np.where(counts > 0, 1 + np.maximum(0, -(-(counts - LENGTH) // STEP)), 0)
 
 
 def passages(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, first word and length of the passages of texts laid end to end; the last one of a text ends with it."""
     ends = np.cumsum(counts)
-    n = np.where(counts > 0, 1 + np.maximum(0, -(-(counts - LENGTH) // STEP)), 0)
+    n = _passages_in(counts)
     text = np.repeat(np.arange(len(counts)), n)
     k = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
     first = np.minimum(k * STEP, np.maximum(counts[text] - LENGTH, 0))
@@ -155,54 +176,152 @@ def _start(dim: int) -> np.ndarray:
     return np.random.default_rng(3).normal(size=(BUCKETS, dim)).astype(np.float32) / np.float32(BUCKETS**0.5)
 
 
-def latent_basis(rows: DataFrame, idf: np.ndarray, dim: int = DIM, power: int = POWER) -> np.ndarray:
-    """Right singular vectors of the weighted TF-IDF passages of ``rows`` (text, weight), by randomised power iteration."""
-    spark = rows.sparkSession
+def grid_of(bucket: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The passages of texts as pairs of blocks of STEP words: the blocks, filled up by BUCKETS and with an empty one at
+    the end; whether a block ends its text; for each passage its two blocks, its text and its first word.
+
+    A last passage that begins between blocks has two blocks of its own, behind those of the texts.
+    """
+    ends = np.cumsum(counts)
+    uneven = (counts > LENGTH) & (counts % STEP > 0)
+    tails = np.flatnonzero(uneven)
+    begin = np.concatenate([ends - counts, ends[tails] - LENGTH])
+    n = np.concatenate([counts, np.full(len(tails), LENGTH, counts.dtype)])
+    flat = np.concatenate([bucket, bucket[(begin[len(counts) :, None] + np.arange(LENGTH)).ravel()]])
+    own = -(-n // STEP)
+    until = np.cumsum(own)
+    grid = np.full((int(until[-1] if len(until) else 0) + 1) * STEP, BUCKETS, np.uint16)
+    grid[np.arange(len(flat)) + np.repeat((until - own) * STEP - (np.cumsum(n) - n), n)] = flat
+    grid = grid.reshape(-1, STEP)
+    of = np.repeat(np.arange(len(n)), own)
+    last = np.zeros(len(grid), bool)
+    last[until[own > 0] - 1] = True
+    last[-1] = True
+    first = np.flatnonzero(~last[:-1] | (own[of] == 1))
+    text = of[first]
+    k = first - (until - own)[text]
+    even = np.concatenate([~uneven, np.ones(len(tails), bool)])
+    kept = even[text] | (k < own[text] - 2)
+    first, text, k = first[kept], text[kept], k[kept]
+    second = np.where(own[text] == 1, len(grid) - 1, first + 1)
+    return grid, last, first, second, np.concatenate([np.arange(len(counts)), tails])[text], begin[text] + k * STEP
+
+
+def _stretches(grid: np.ndarray, last: np.ndarray, first: np.ndarray, second: np.ndarray, most: int = 1 << 14):
+    """The passages in stretches of neighbours, with the blocks of each and an empty one at their end."""
+    for at in range(0, len(first), most):
+        f, s = first[at : at + most], second[at : at + most]
+        stop = int(max(f[-1], s[s < len(grid) - 1].max(initial=0))) + 1
+        blocks = np.concatenate([grid[f[0] : stop], grid[-1:]])
+        yield at, blocks, np.concatenate([last[f[0] : stop], last[-1:]]), f - f[0], np.where(s < len(grid) - 1, s - f[0], len(blocks) - 1)
+
+
+def _sums(rows: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """For each row of ``grid`` the sum of the rows that it numbers."""
+    out, buffer = np.empty((len(grid), rows.shape[1]), np.float32), np.empty((256, rows.shape[1]), np.float32)
+    for at in range(0, len(grid), 256):
+        which = grid[at : at + 256].astype(np.intp)
+        total, part = out[at : at + 256], buffer[: len(which)]
+        np.take(rows, which[:, 0], axis=0, out=total, mode="clip")
+        for j in range(1, grid.shape[1]):
+            np.take(rows, which[:, j], axis=0, out=part, mode="clip")
+            total += part
+    return out
+
 
-    def step(shared, last: bool):
+def _by_word(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of blocks in order, and the block of each."""
+    flat = grid.ravel()
+    order = np.argsort(flat, kind="stable")
+    order = order[: np.searchsorted(flat[order], BUCKETS)]
+    return flat[order].astype(np.int64), order // grid.shape[1]
+
+
+def _norms_of(grid: np.ndarray, last: np.ndarray, first: np.ndarray, second: np.ndarray, square: np.ndarray, held: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`_norms`, for passages as pairs of blocks: squares of words, and twice those of pairs of one word."""
+    word, block = _by_word(grid)
+    weights = [square[word].astype(np.float64)]
+    if held is not None:
+        weights.append(weights[0] * held[word])
+    inside, across = [np.bincount(block, w, len(grid)) for w in weights], [np.zeros(len(grid)) for _ in weights]
+    at = np.arange(len(word))
+    for lag in range(1, 2 * STEP):
+        at = at[: np.searchsorted(at, len(word) - lag)]
+        step = block[at + lag] - block[at]
+        near = (word[at + lag] == word[at]) & ((step == 0) | ((step == 1) & ~last[block[at]]))
+        at, step = at[near], step[near]
+        if not len(at):
+            break
+        for k, w in enumerate(weights):
+            inside[k] += np.bincount(block[at], 2 * w[at] * (step == 0), len(grid))
+            across[k] += np.bincount(block[at], 2 * w[at] * (step == 1), len(grid))
+    got = [np.sqrt(a[first] + a[second] + b[first]) for a, b in zip(inside, across, strict=True)]
+    return got[0], got[-1]
+
+
+def _scatter(grid: np.ndarray, parts: np.ndarray, total: np.ndarray, width: int = 8) -> None:
+    """Adds to each word's row of ``total`` the ``parts`` of the blocks that it stands in, for each time it does."""
+    word, block = _by_word(grid)
+    parts = np.concatenate([parts, np.zeros((1, parts.shape[1]), np.float32)])
+    while len(word):
+        begin = np.flatnonzero(np.diff(word, prepend=-1) > 0)
+        n = np.diff(np.append(begin, len(word)))
+        once = begin[n == 1]
+        total[word[once]] += parts[block[once]]
+        more = np.repeat(n > 1, n)
+        word, block, n = word[more], block[more], n[n > 1]
+        begin, rows = np.cumsum(n) - n, -(-n // width)
+        until = np.cumsum(rows)
+        meet = np.full((int(until[-1]) if len(until) else 0) * width, len(parts) - 1, np.int64)
+        meet[np.arange(len(word)) + np.repeat((until - rows) * width - begin, n)] = block
+        word = np.repeat(word[begin], rows)
+        parts = np.concatenate([_sums(parts, meet.reshape(-1, width)), parts[-1:]])
+        block = np.arange(len(word))
+
+
+def _weighted(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Rows of a basis times their words' IDF, and a row of zeros for what fills up blocks."""
+    return np.concatenate([x.astype(np.float32) * idf[:, None], np.zeros((1, x.shape[1]), np.float32)])
+
+
+def _images(bucket: np.ndarray, counts: np.ndarray, idf: np.ndarray, x: np.ndarray, total: np.ndarray) -> None:
+    """Adds to ``total`` A'(A x) of the texts' passages, as TF-IDF rows of norm one; ``x`` and ``total`` lack the words' own IDF."""
+    square = np.append(idf * idf, np.float32(0))
+    grid, last, first, second, *_ = grid_of(bucket, counts)
+    for _, blocks, ends, f, s in _stretches(grid, last, first, second):
+        scale = 1 / np.maximum(_norms_of(blocks, ends, f, s, square)[0], 1e-9)
+        own = _sums(x, blocks)
+        y = (own[f] + own[s]) * (scale * scale)[:, None].astype(np.float32)
+        parts = np.zeros_like(own)
+        parts[f] += y  # every block is the first of one passage and the second of one at most
+        parts[s] += y
+        _scatter(blocks, parts, total)
+
+
+def latent_basis(streams: DataFrame, items: list[np.ndarray], weight: float, idf: np.ndarray, tasks: int, dim: int = DIM, power: int = POWER) -> np.ndarray:
+    """Right singular vectors of the TF-IDF passages of all documents and, ``weight`` times, of the items, by randomised power iteration."""
+    spark = streams.sparkSession
+
+    def step(shared):
         def run(batches):
             idf, x = shared.value
-            x = _start(dim) if x is None else x.astype(np.float32)
-            total = np.zeros((dim, dim) if last else (BUCKETS, dim), np.float64 if last else np.float32)
-            for batch in batches:
-                column = batch.column("text")
-                for at, n in slices(column):
-                    h, counts = words(column.slice(at, n))
-                    bucket = (h % np.uint64(BUCKETS)).astype(np.int64)
-                    weight = idf[bucket]
-                    text, first, length = passages(counts)
-                    norm = np.maximum(_norms(bucket, weight, first, length)[0], 1e-9)
-                    scale = batch.column("weight").to_numpy()[at : at + n][text] / norm
-                    y = _project(bucket, weight, first, length, x) * scale[:, None].astype(np.float32)
-                    if last:
-                        total += y.T.astype(np.float64) @ y
-                        continue
-                    y *= scale[:, None].astype(np.float32)
-                    for a in range(0, len(first), 1024):
-                        which, _ = _expand(first[a : a + 1024], length[a : a + 1024])
-                        of = np.repeat(np.arange(len(first[a : a + 1024])), length[a : a + 1024])
-                        order = np.argsort(bucket[which], kind="stable")
-                        b = bucket[which][order]
-                        begin = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
-                        if len(begin):
-                            total[b[begin]] += np.add.reduceat(y[a : a + 1024][of[order]] * weight[which][order][:, None], begin, axis=0)
-            yield _blocks_of("z", total, 1 if last else 16)
+            x, total = _weighted(_start(dim) if x is None else x, idf), np.zeros((BUCKETS, dim), np.float32)
+            for counts, bucket in _unpacked(batches):
+                _images(bucket, counts, idf, x, total)
+            yield _blocks_of("z", total, 16)
 
         return run
 
     x = None  # every task can make the first matrix; later ones are sent in half precision, and dropped after use
     for _ in range(power):
         shared = spark.sparkContext.broadcast((idf, x))
-        z = _gather(rows.mapInArrow(lean(step(shared, False)), "block int, data binary"), 16, "<f4", (BUCKETS, dim))
+        z = _gather(streams.coalesce(tasks).mapInArrow(lean(step(shared)), "block int, data binary"), 16, "<f4", (BUCKETS, dim), many=True)
         shared.destroy()
-        x = np.linalg.qr(z)[0].astype(np.float16)
-    shared = spark.sparkContext.broadcast((idf, x))
-    inner = _gather(rows.mapInArrow(lean(step(shared, True)), "block int, data binary"), 1, "<f8", (dim, dim))
-    shared.destroy()
-    x = x.astype(np.float32)
-    values, turn = np.linalg.eigh(inner)
-    order = np.argsort(-values)
-    basis = (x @ turn[:, order].astype(np.float32)) * (values[order] > 1e-9 * max(1e-30, values.max()))
+        own = np.zeros((BUCKETS, dim), np.float32)
+        _images((np.concatenate(items) % np.uint64(BUCKETS)).astype(np.int64), np.array([len(h) for h in items]), idf, _weighted(_start(dim) if x is None else x, idf), own)
+        basis, values, _ = np.linalg.svd((z + weight * weight * own) * idf[:, None], full_matrices=False)
+        x = basis.astype(np.float16)
+    basis = basis * (values > 1e-6 * max(1e-30, values.max()))
     # Words with next to no part in the space leave it: it is as sparse as the passages that span it.
     square = np.sort((basis * basis).sum(axis=1))
     least = square[np.searchsorted(np.cumsum(square), SPARE * square.sum())]
@@ -325,39 +444,42 @@ def search(documents: DataFrame, items: list[tuple[object, np.ndarray]], idf: np
     shared = spark.sparkContext.broadcast((items, idf, rows, basis[rows].astype(np.float16), latent, text, least, word_index(items, idf)))
 
     def run(batches):
-        items, idf, rows, packed, latent, of_item, least, index = shared.value
-        held, basis = np.zeros(BUCKETS, bool), np.zeros((BUCKETS, packed.shape[1]), np.float32)
-        held[rows], basis[rows] = True, packed
+        items, idf, rows, halves, latent, of_item, least, index = shared.value
+        held, basis, square = np.zeros(BUCKETS, bool), np.zeros((BUCKETS + 1, halves.shape[1]), np.float32), np.append(idf * idf, np.float32(0))
+        held[rows], basis[rows] = True, halves * idf[rows, None]
         for batch in batches:
             column, ids = batch.column("text"), batch.column("doc_id")
             found: list[tuple] = []
             for at, n in slices(column):
                 h, counts = words(column.slice(at, n))
                 bucket = (h % np.uint64(BUCKETS)).astype(np.int64)
-                weight = idf[bucket]
-                text, first, length = passages(counts)
-                # A cosine is at most the share of a passage's norm that lies in words of the space.
-                norm, inside = _norms(bucket, weight, first, length, held)
-                likely = (inside >= least.min() * norm) & (norm > 0)
-                text, first, length, norm = text[likely], first[likely], length[likely], norm[likely]
+                grid, last, first, second, text, where = grid_of(bucket, counts)
+                near: dict[tuple[int, int], list[tuple[float, int]]] = {}
+                for a, blocks, last_of, f, s in _stretches(grid, last, first, second):
+                    # A cosine is at most the share of a passage's norm that lies in words of the space.
+                    norm, inside = _norms_of(blocks, last_of, f, s, square, held)
+                    likely = np.flatnonzero((inside >= least.min() * norm) & (norm > 0))
+                    used = np.zeros(len(blocks), bool)
+                    used[f[likely]] = used[s[likely]] = True
+                    place, own = np.cumsum(used) - 1, _sums(basis, blocks[used])
+                    for c in range(0, len(likely), 2048):
+                        some = likely[c : c + 2048]
+                        cosine = (own[place[f[some]]] + own[place[s[some]]]) @ latent.T / norm[some, None]
+                        for p, q in zip(*np.nonzero(cosine >= least), strict=True):
+                            at_ = a + some[p]
+                            near.setdefault((int(text[at_]), int(of_item[q])), []).append((float(cosine[p, q]), int(where[at_])))
                 starts = np.cumsum(counts) - counts
                 leaked: set[tuple[int, int]] = set()
-                for a in range(0, len(first), 4096):
-                    part = slice(a, a + 4096)
-                    cosine = _project(bucket, weight, first[part], length[part], basis, held) @ latent.T / norm[part, None]
-                    seen: dict[tuple[int, int], list[tuple[float, int]]] = {}
-                    for p, q in zip(*np.nonzero(cosine >= least), strict=True):
-                        seen.setdefault((int(text[a + p]), int(of_item[q])), []).append((float(cosine[p, q]), int(first[a + p])))
-                    for (t, i), near in seen.items():
-                        name, own = items[i]
-                        w = idf[(own % np.uint64(BUCKETS)).astype(np.int64)]
-                        for c, where in _regions(near):
-                            low, high = max(starts[t], where[0] - 2 * len(own)), min(starts[t] + counts[t], where[1] + LENGTH + 2 * len(own))
-                            whole, answer = covered(own, h[low:high], w)
-                            if leaking(whole, answer):
-                                found.append((at + t, i, c, whole, answer))
-                                leaked.add((t, i))
-                                break
+                for (t, i), passages_ in near.items():
+                    own = items[i][1]
+                    w = idf[(own % np.uint64(BUCKETS)).astype(np.int64)]
+                    for c, (low, high) in _regions(passages_):
+                        low, high = max(starts[t], low - 2 * len(own)), min(starts[t] + counts[t], high + LENGTH + 2 * len(own))
+                        whole, answer = covered(own, h[low:high], w)
+                        if leaking(whole, answer):
+                            found.append((at + t, i, c, whole, answer))
+                            leaked.add((t, i))
+                            break
                 for (t, i), firsts in holding(h, bucket, counts, index).items():
                     if (t, i) in leaked:
                         continue
@@ -366,8 +488,8 @@ def search(documents: DataFrame, items: list[tuple[object, np.ndarray]], idf: np
                     if hit := covering(own, h, idf[(own % np.uint64(BUCKETS)).astype(np.int64)], firsts, size, end):
                         low, high = hit[0], min(end, hit[0] + size)
                         _, begin, n_words = passages(np.array([high - low]))
-                        y = _project(bucket, weight, low + begin, n_words, basis, held) @ latent[of_item == i].T
-                        c = float((y / np.maximum(_norms(bucket, weight, low + begin, n_words)[0], 1e-9)[:, None]).max())
+                        y = _project(bucket, np.ones(len(bucket), np.float32), low + begin, n_words, basis, held) @ latent[of_item == i].T
+                        c = float((y / np.maximum(_norms(bucket, idf[bucket], low + begin, n_words)[0], 1e-9)[:, None]).max())
                         found.append((at + t, i, c, hit[1], hit[2]))
             best: dict[tuple[int, int], tuple] = {}
             for row in found:
@@ -394,32 +516,36 @@ def leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = COSINE)
     """doc_id, item_id, cosine, covered, answered for each document that holds a benchmark item."""
     item_kind = "bigint" if dict(benchmark.dtypes)["item_id"] in ("bigint", "int") else "string"
     empty = documents.sparkSession.createDataFrame([], f"doc_id {dict(documents.dtypes)['doc_id']}, " + PAIRS.format(item=item_kind))
-    block, out = [], None
-    df = None
+    block, out, corpus = [], None, None
     rows = benchmark.where("item_id IS NOT NULL AND length(text) > 0").select(F.col("item_id").cast(item_kind).alias("item_id"), "text").orderBy("item_id", "text")
     for r in rows.toLocalIterator():
         h, _ = words(pa.array([r.text]))
         if len(h):
-            block.append((r.item_id, r.text, h))
+            block.append((r.item_id, h))
         if len(block) == BLOCK_ITEMS:
-            df = df or frequencies(documents)
-            out, block = _block(documents, block, df, item_kind, threshold, out), []
+            corpus = corpus or _corpus(documents)
+            out, block = _block(documents, block, corpus, item_kind, threshold, out), []
     if block:
-        out = _block(documents, block, df or frequencies(documents), item_kind, threshold, out)
+        corpus = corpus or _corpus(documents)
+        out = _block(documents, block, corpus, item_kind, threshold, out)
+    if corpus:
+        drop_cut(corpus[0])
     return empty if out is None else out
 
 
-def _block(documents: DataFrame, block: list[tuple], df: tuple[np.ndarray, int], item_kind: str, threshold: float, before: DataFrame | None) -> DataFrame:
-    spark = documents.sparkSession
-    seen, n = df
+def _corpus(documents: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, int, int, int]]:
+    streams = cut(packed(documents))
+    return streams, frequencies(streams)
+
+
+def _block(documents: DataFrame, block: list[tuple], corpus: tuple, item_kind: str, threshold: float, before: DataFrame | None) -> DataFrame:
+    streams, (seen, n, n_words, n_passages) = corpus
     idf = np.log((n + 1) / (seen + 0.5)).clip(0.01).astype(np.float32)
-    # The benchmark's passages weigh as much as the sample's four times over: the space is theirs first.
-    share = min(1.0, FIT_DOCS / max(1, n))
-    sample = documents.select("text").where((F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))) & F.col("text").isNotNull())
-    weight = 2.0 * (min(n, FIT_DOCS) * 20 / max(1, sum(1 + len(h) // STEP for *_, h in block))) ** 0.5
-    rows = sample.withColumn("weight", F.lit(1.0)).unionByName(spark.createDataFrame([(t, weight) for _, t, _ in block], "text string, weight double"))
-    rows = cut(rows.repartition(FIT_PARTS))
-    found = search(documents, [(i, h) for i, _, h in block], idf, latent_basis(rows, idf), item_kind, threshold)
+    # The benchmark's passages weigh as much as the corpus four times over: the space is theirs first.
+    weight = 2.0 * (max(1, n_passages) / int(_passages_in(np.array([len(h) for _, h in block])).sum())) ** 0.5
+    tasks = max(documents.sparkSession.sparkContext.defaultParallelism, 2 * n_words // FIT_BYTES)
+    basis = latent_basis(streams, [h for _, h in block], weight, idf, tasks)
+    found = search(documents, block, idf, basis, item_kind, threshold)
     return found if before is None else before.unionByName(found)
 
 

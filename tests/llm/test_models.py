@@ -153,6 +153,53 @@ def test_leaks_of_frequent_short_items(spark):
     assert {(r.doc_id, r.item_id) for r in found} == truth and len(found) == len(truth) and all(r.covered >= 0.6 and r.cosine is not None for r in found)
 
 
+def test_passages_as_pairs_of_blocks():
+    rng = np.random.default_rng(2)
+    idf = rng.random(decontaminate.BUCKETS).astype(np.float32)
+    for trial in range(40):
+        counts = rng.choice([0, 1, 15, 16, 17, 31, 32, 33, 48, 100, 300], rng.integers(0, 9)).astype(np.int64)
+        bucket = rng.integers(0, [3, 60, 30_000][trial % 3], counts.sum())
+        text, first, length = decontaminate.passages(counts)
+        held = rng.random(decontaminate.BUCKETS) < 0.5
+        want = np.stack(decontaminate._norms(bucket, idf[bucket], first, length, held))
+        grid, last, *pair, of, where = decontaminate.grid_of(bucket, counts)
+        got = np.zeros((2, len(of)))
+        for at, *stretch in decontaminate._stretches(grid, last, *pair, most=5):
+            got[:, at : at + 5] = decontaminate._norms_of(*stretch, np.append(idf * idf, np.float32(0)), held)
+        order, plain = np.lexsort((where, of)), np.lexsort((first, text))
+        assert of[order].tolist() == text[plain].tolist() and where[order].tolist() == first[plain].tolist()
+        assert np.allclose(got[:, order], want[:, plain], rtol=1e-4, atol=1e-6)
+
+
+def test_latent_space_is_fitted_to_every_passage(spark):
+    rng = random.Random(6)
+    vocabulary = [f"word{i}" for i in range(300)]
+    texts = [" ".join(vocabulary[int(300 * rng.random() ** 3)] for _ in range(rng.choice([3, 20, 40, 130]))) for _ in range(2500)]
+    documents = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, ""])], "doc_id long, text string").repartition(3)
+    items = [textvec.words(pa.array([" ".join(rng.choice(vocabulary) for _ in range(25))]))[0] for _ in range(4)]
+    streams = decontaminate.packed(documents)
+    seen, n, n_words, n_passages = decontaminate.frequencies(streams)
+    numbers = lambda h: (h % np.uint64(decontaminate.BUCKETS)).astype(int)
+    columns = np.unique(numbers(textvec.words(pa.array([" ".join(vocabulary)]))[0]))
+    rows, weights = [], []
+    idf = np.log((n + 1) / (seen + 0.5)).clip(0.01).astype(np.float32)
+    for h, w in [(textvec.words(pa.array([t]))[0], 1.0) for t in texts] + [(h, 7.0) for h in items]:
+        for _, first, length in zip(*decontaminate.passages(np.array([len(h)])), strict=True):
+            counts = np.bincount(np.searchsorted(columns, numbers(h[first : first + length])), minlength=len(columns)) * idf[columns]
+            rows.append(counts / np.linalg.norm(counts) * w)
+            weights.append(w)
+    assert (n, n_words, n_passages) == (2502, sum(len(t.split()) for t in texts), weights.count(1.0))
+    assert seen.sum() == sum(len(set(numbers(textvec.words(pa.array([t]))[0]).tolist())) for t in texts)
+    a = np.array(rows)
+    basis = decontaminate.latent_basis(streams, items, 7.0, idf, 2, dim=8)[columns]
+    x = decontaminate._start(8)[columns].astype(float)
+    for _ in range(decontaminate.POWER):
+        x = np.linalg.qr(a.T @ (a @ x))[0]
+    # The same space but for the words with next to no part in it.
+    kept = np.linalg.norm(basis, axis=1) > 0
+    assert np.allclose((basis @ basis.T)[np.ix_(kept, kept)], (x @ x.T)[np.ix_(kept, kept)], atol=2e-3) and (x[kept] ** 2).sum() >= 0.94 * 8
+
+
 def test_keep_clean_tells_rows_apart_by_text(spark):
     item = " ".join(f"word{i}" for i in range(20))
     rows = [(None, f"before {item} after"), (None, "clean one"), (1, f"some {item} more"), (1, "clean two"), (2, None)]
