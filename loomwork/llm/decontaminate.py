@@ -37,6 +37,8 @@ BUCKETS, DIM, LENGTH, STEP = 1 << 15, 128, 32, 16
 #: Power iterations. Bytes of word numbers, at least, for each task of an iteration, which sends one sum of BUCKETS x DIM.
 POWER, FIT_BYTES = 2, 1 << 25
 BLOCK_ITEMS = 256
+#: Text at once in memory, about.
+TEXT_BYTES = 1 << 20
 #: Share of the basis (in squares) that the words with the smallest parts may hold to be left out.
 SPARE = 0.05
 #: Least cosine of a candidate, as a share of the cosine that the item has with itself in the latent space, and at
@@ -88,12 +90,12 @@ def _gather(rows: DataFrame, n: int, dtype: str, shape: tuple[int, ...], many: b
 
 
 def packed(documents: DataFrame) -> DataFrame:
-    """Numbers of the hashed words of all texts, some 2 MB of text in a row, with the number of words of each text."""
+    """Numbers of the hashed words of all texts, some TEXT_BYTES of text in a row, with the number of words of each text."""
 
     def run(batches):
         for batch in batches:
             column = batch.column("text")
-            for at, n in slices(column):
+            for at, n in slices(column, TEXT_BYTES):
                 h, counts = words(column.slice(at, n))
                 data = (counts.astype("<i8").tobytes(), (h % np.uint64(BUCKETS)).astype("<u2").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([d], pa.binary()) for d in data], ["counts", "words"])
@@ -220,7 +222,7 @@ def _sums(rows: np.ndarray, grid: np.ndarray) -> np.ndarray:
     """For each row of ``grid`` the sum of the rows that it numbers."""
     out, buffer = np.empty((len(grid), rows.shape[1]), np.float32), np.empty((256, rows.shape[1]), np.float32)
     for at in range(0, len(grid), 256):
-        which = grid[at : at + 256].astype(np.intp)
+        which = grid[at : at + 256].astype(np.intp, copy=False)
         total, part = out[at : at + 256], buffer[: len(which)]
         np.take(rows, which[:, 0], axis=0, out=total, mode="clip")
         for j in range(1, grid.shape[1]):
@@ -244,7 +246,7 @@ def _norms_of(grid: np.ndarray, last: np.ndarray, first: np.ndarray, second: np.
     if held is not None:
         weights.append(weights[0] * held[word])
     inside, across = [np.bincount(block, w, len(grid)) for w in weights], [np.zeros(len(grid)) for _ in weights]
-    at = np.arange(len(word))
+    at = np.flatnonzero((word[1:] == word[:-1]) & (block[1:] - block[:-1] <= 1))
     for lag in range(1, 2 * STEP):
         at = at[: np.searchsorted(at, len(word) - lag)]
         step = block[at + lag] - block[at]
@@ -375,28 +377,41 @@ def word_index(items: list[tuple[object, np.ndarray]], idf: np.ndarray) -> tuple
     return known, np.append(begin, len(flat)), item[order], weights[order], least, blocks
 
 
-def holding(h: np.ndarray, bucket: np.ndarray, counts: np.ndarray, index: tuple[np.ndarray, ...]) -> dict[tuple[int, int], list[int]]:
+class Held:
+    """Where in texts the listed words of items stand: their weights by item and block of STEP words, summed up in order."""
+
+    def __init__(self, h: np.ndarray, bucket: np.ndarray, counts: np.ndarray, index: tuple[np.ndarray, ...]) -> None:
+        known, begin, item, weight, self.least, self.blocks = index
+        likely = np.zeros(BUCKETS, bool)
+        likely[(known % np.uint64(BUCKETS)).astype(np.int64)] = True
+        at = np.flatnonzero(likely[bucket])
+        where = np.minimum(np.searchsorted(known, h[at]), len(known) - 1)
+        at, where = at[known[where] == h[at]], where[known[where] == h[at]]
+        self.starts = np.cumsum(counts) - counts
+        self.own = -(-counts // STEP)
+        self.ends = np.cumsum(self.own)
+        text = np.searchsorted(np.cumsum(counts), at, "right")
+        key = np.unique(((self.ends - self.own)[text] + (at - self.starts[text]) // STEP) * len(known) + where)
+        block, where = np.divmod(key, len(known))
+        times = begin[where + 1] - begin[where]
+        last = np.cumsum(times)
+        entry = np.repeat(begin[where] - (last - times), times) + np.arange(times.sum())
+        self.n = int(self.ends[-1]) if len(counts) else 0
+        self.key, place = np.unique(item[entry] * self.n + np.repeat(block, times), return_inverse=True)
+        self.total = np.concatenate([[0.0], np.cumsum(np.bincount(place, weight[entry]))])
+
+    def may_leak(self, text: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether the listed words of items within words ``low`` to ``high`` of a text can reach the least weight."""
+        base = item * self.n + (self.ends - self.own)[text]
+        first, until = base + (low - self.starts[text]) // STEP, base - (-(high - self.starts[text]) // STEP)
+        return self.total[np.searchsorted(self.key, until)] - self.total[np.searchsorted(self.key, first)] >= self.least[item] - 1e-9
+
+
+def holding(held: Held) -> dict[tuple[int, int], list[int]]:
     """By text and item, the first words of all windows in which listed words of the item reach its least weight."""
-    known, begin, item, weight, least, blocks = index
-    likely = np.zeros(BUCKETS, bool)
-    likely[(known % np.uint64(BUCKETS)).astype(np.int64)] = True
-    at = np.flatnonzero(likely[bucket])
-    where = np.minimum(np.searchsorted(known, h[at]), len(known) - 1)
-    at, where = at[known[where] == h[at]], where[known[where] == h[at]]
-    if not len(at):
+    if not len(held.key):
         return {}
-    starts = np.cumsum(counts) - counts
-    own = -(-counts // STEP)
-    ends = np.cumsum(own)
-    text = np.searchsorted(np.cumsum(counts), at, "right")
-    key = np.unique(((ends - own)[text] + (at - starts[text]) // STEP) * len(known) + where)
-    block, where = np.divmod(key, len(known))
-    times = begin[where + 1] - begin[where]
-    last = np.cumsum(times)
-    entry = np.repeat(begin[where] - (last - times), times) + np.arange(last[-1])
-    n = int(ends[-1])
-    key, place = np.unique(item[entry] * n + np.repeat(block, times), return_inverse=True)
-    total = np.concatenate([[0.0], np.cumsum(np.bincount(place, weight[entry]))])
+    starts, own, ends, n, key, total, least, blocks = held.starts, held.own, held.ends, held.n, held.key, held.total, held.least, held.blocks
     item, block = np.divmod(key, n)
     text = np.searchsorted(ends, block, "right")
     # The blocks of a window end with its text; a word found in two of them counts twice, so nothing is passed over.
@@ -412,15 +427,16 @@ def covering(own: np.ndarray, h: np.ndarray, weight: np.ndarray, firsts: list[in
     """First word and shares of the first leaking window among those that begin at ``firsts``."""
     runs: list[list[int]] = []
     for first in firsts:
-        if runs and first <= runs[-1][-1] + size:
+        if runs and first <= min(runs[-1][-1] + size, runs[-1][0] + (1 << 16)):
             runs[-1].append(first)
         else:
             runs.append([first])
     for run in runs:
-        # No window of a run is covered better than the run.
-        if len(run) > 1 and covered(own, h[run[0] : min(end, run[-1] + size)], weight)[0] < PARAPHRASED:
-            continue
-        for first in run:
+        # A window's words bound what is covered in it, as in covered().
+        ends = np.minimum(end, np.array(run) + size) - run[0]
+        met = np.concatenate([np.zeros((len(own), 1), np.int32), np.cumsum(own[:, None] == h[run[0] : run[0] + int(ends[-1])], axis=1, dtype=np.int32)], axis=1)
+        bound = weight.astype(np.float64) @ (met[:, ends] > met[:, np.array(run) - run[0]])
+        for first in np.array(run)[bound >= (PARAPHRASED - 1e-4) * weight.sum()].tolist():
             whole, answer = covered(own, h[first : min(end, first + size)], weight)
             if leaking(whole, answer):
                 return first, whole, answer
@@ -446,11 +462,12 @@ def search(documents: DataFrame, items: list[tuple[object, np.ndarray]], idf: np
     def run(batches):
         items, idf, rows, halves, latent, of_item, least, index = shared.value
         held, basis, square = np.zeros(BUCKETS, bool), np.zeros((BUCKETS + 1, halves.shape[1]), np.float32), np.append(idf * idf, np.float32(0))
+        bound = least.astype(np.float32)
         held[rows], basis[rows] = True, halves * idf[rows, None]
         for batch in batches:
             column, ids = batch.column("text"), batch.column("doc_id")
             found: list[tuple] = []
-            for at, n in slices(column):
+            for at, n in slices(column, TEXT_BYTES):
                 h, counts = words(column.slice(at, n))
                 bucket = (h % np.uint64(BUCKETS)).astype(np.int64)
                 grid, last, first, second, text, where = grid_of(bucket, counts)
@@ -464,23 +481,28 @@ def search(documents: DataFrame, items: list[tuple[object, np.ndarray]], idf: np
                     place, own = np.cumsum(used) - 1, _sums(basis, blocks[used])
                     for c in range(0, len(likely), 2048):
                         some = likely[c : c + 2048]
-                        cosine = (own[place[f[some]]] + own[place[s[some]]]) @ latent.T / norm[some, None]
-                        for p, q in zip(*np.nonzero(cosine >= least), strict=True):
+                        passage = (own[place[f[some]]] + own[place[s[some]]]) / norm[some, None].astype(np.float32)
+                        cosine = passage @ latent.T
+                        for p, q in zip(*np.divmod(np.flatnonzero(cosine >= bound), len(bound)), strict=True):
                             at_ = a + some[p]
                             near.setdefault((int(text[at_]), int(of_item[q])), []).append((float(cosine[p, q]), int(where[at_])))
                 starts = np.cumsum(counts) - counts
                 leaked: set[tuple[int, int]] = set()
+                held_words = Held(h, bucket, counts, index)
+                stretches = []
                 for (t, i), passages_ in near.items():
-                    own = items[i][1]
-                    w = idf[(own % np.uint64(BUCKETS)).astype(np.int64)]
-                    for c, (low, high) in _regions(passages_):
-                        low, high = max(starts[t], low - 2 * len(own)), min(starts[t] + counts[t], high + LENGTH + 2 * len(own))
-                        whole, answer = covered(own, h[low:high], w)
-                        if leaking(whole, answer):
-                            found.append((at + t, i, c, whole, answer))
-                            leaked.add((t, i))
-                            break
-                for (t, i), firsts in holding(h, bucket, counts, index).items():
+                    more = 2 * len(items[i][1])
+                    stretches += [(t, i, max(starts[t], low - more), min(starts[t] + counts[t], high + LENGTH + more), c) for c, (low, high) in _regions(passages_)]
+                if stretches:
+                    may = held_words.may_leak(*np.array([x[:4] for x in stretches], np.int64).T)
+                    for t, i, low, high, c in (stretches[k] for k in np.flatnonzero(may)):
+                        if (t, i) not in leaked:
+                            own = items[i][1]
+                            whole, answer = covered(own, h[low:high], idf[(own % np.uint64(BUCKETS)).astype(np.int64)])
+                            if leaking(whole, answer):
+                                found.append((at + t, i, c, whole, answer))
+                                leaked.add((t, i))
+                for (t, i), firsts in holding(held_words).items():
                     if (t, i) in leaked:
                         continue
                     name, own = items[i]
