@@ -4,9 +4,12 @@ Words are hashed to BUCKETS rows. Each bucket has a fixed sparse random index
 vector; a word's context vector is the sum of the index vectors around it over
 the whole corpus, gathered by one pass whose result has a fixed size (BUCKETS x
 DIM), however large the corpus. A document is the frequency-damped mean of its
-words' vectors. A two-layer network is fitted with numpy on the driver to at most
-``fit_rows`` labelled documents (those with the smallest hashes: the documented
-bound), and its temperature is fitted to a part that the fit has not seen.
+words' vectors, worked out once for every document. A two-layer network is fitted
+with numpy to all labelled ones: dealt by hash into parts of about PART_ROWS, each
+of which is a task that goes on from the network so far, and the parts' networks
+are averaged after each of ROUNDS rounds (one part: one round). Means and scales
+of the inputs come from all labelled rows, and the temperature from all those of
+a fifth of them that no fit has seen.
 
 Defined cases: null and empty texts are scored as documents without words; null
 or conflicting labels of a document count by their smallest value, null ones not
@@ -24,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
-from .common import arrow_map, lean
+from .common import cut, drop_cut, lean
 from .textvec import slices
 
 BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 64, 2, 2
@@ -35,7 +39,8 @@ BLOCK, SLICE = 256, 1 << 16
 DAMP = 0.003
 #: Pseudo-words at the corpus mean (the origin), which hold back documents of a few words.
 FEW = 4
-FIT_ROWS, HIDDEN, EPOCHS, RATE, DECAY, CALIBRATE = 20_000, 32, 60, 0.01, 1e-4, 0.2
+PART_ROWS, ROUNDS, HIDDEN, EPOCHS, RATE, DECAY, CALIBRATE = 20_000, 4, 32, 60, 0.01, 1e-4, 0.2
+TEMPERATURES = np.exp(np.linspace(-0.7, 2.5, 97))
 THRESHOLD = 0.3
 SAME = 0  # the bucket of a word that repeats the one before it
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -187,27 +192,24 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -40, 40)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, seed: int = 11) -> Network:
-    """Adam on the log loss over all but the last CALIBRATE of the rows, which set the temperature."""
+def start(mean: np.ndarray, scale: np.ndarray, seed: int = 11) -> Network:
     rng = np.random.default_rng(seed)
-    mean, scale = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
-    net = Network(mean, scale, rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.1, HIDDEN), 0.0)
-    if len(y) == 0 or y.min() == y.max():
-        net.w2[:], share = 0, (y.sum() + 1) / (len(y) + 2)
-        net.b2 = float(np.log(share / (1 - share)))
-        return net
-    held = max(1, int(len(y) * CALIBRATE))
-    train, check = slice(0, len(y) - held), slice(len(y) - held, None)
-    tx, ty = (x[train] - mean) / scale, y[train]
-    weights = [net.w1, net.b1, net.w2, np.array([net.b2])]
+    return Network(mean, scale, rng.normal(0, 1 / np.sqrt(len(mean)), (len(mean), HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.1, HIDDEN), 0.0)
+
+
+def fit(net: Network, x: np.ndarray, y: np.ndarray, epochs: range, seed: int = 11) -> Network:
+    """The network after some of EPOCHS epochs of Adam on the log loss over the rows."""
+    rng = np.random.default_rng([seed, epochs.start])
+    tx = (x - net.mean) / net.scale
+    weights = [net.w1.copy(), net.b1.copy(), net.w2.copy(), np.array([net.b2])]
     first, second, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
-    for epoch in range(EPOCHS):
-        order = rng.permutation(len(ty))
+    for epoch in epochs:
+        order = rng.permutation(len(y))
         rate = RATE * (1 - epoch / EPOCHS)
         for at in range(0, len(order), 256):
             rows = order[at : at + 256]
             hidden = np.tanh(tx[rows] @ weights[0] + weights[1])
-            error = (1 / (1 + np.exp(-np.clip(hidden @ weights[2] + weights[3], -40, 40))) - ty[rows]) / len(rows)
+            error = (1 / (1 + np.exp(-np.clip(hidden @ weights[2] + weights[3], -40, 40))) - y[rows]) / len(rows)
             back = np.outer(error, weights[2]) * (1 - hidden**2)
             grads = [tx[rows].T @ back + DECAY * weights[0], back.sum(0), hidden.T @ error + DECAY * weights[2], np.array([error.sum()])]
             step += 1
@@ -215,11 +217,7 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 11) -> Network:
                 first[i] = 0.9 * first[i] + 0.1 * g
                 second[i] = 0.999 * second[i] + 0.001 * g * g
                 weights[i] -= rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
-    net.w1, net.b1, net.w2, net.b2 = *weights[:3], float(weights[3][0])
-    z, cy = net.logits(x[check]), y[check]
-    loss = lambda t: float(np.mean(np.logaddexp(0, -np.where(cy > 0, z, -z) / t)))
-    net.temperature = min(np.exp(np.linspace(-0.7, 2.5, 97)), key=loss)
-    return net
+    return Network(net.mean, net.scale, *weights[:3], float(weights[3][0]))
 
 
 def held_out(doc_id: Column | str = "doc_id") -> Column:
@@ -227,62 +225,121 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(documents: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, Network]:
-    """Word vectors of all documents and a network fitted to labelled ones outside the held-out fold."""
-    vectors = word_vectors(documents)
+#: A document's inputs beside a table's own columns; a name that no column of documents has.
+INPUTS = "_loomwork_inputs"
+
+
+def with_inputs(documents: DataFrame, vectors: np.ndarray) -> DataFrame:
+    """The documents with their inputs of the network, as bytes."""
     shared = documents.sparkSession.sparkContext.broadcast(vectors)
-    usable = labels.select("doc_id", F.col(label).alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    chosen = usable.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # fit_rows rows of two numbers
 
-    def each(batch: pa.RecordBatch):
-        number = Numberer()
-        x = np.concatenate([pool(shared.value, number, texts) for texts in _texts([batch])])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y").cast(pa.float64()), pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))], ["doc_id", "y", "x"])
+    def run(batches):
+        table, number = shared.value, Numberer()
+        for batch in batches:
+            inputs = [row.tobytes() for texts in _texts([batch]) for row in pool(table, number, texts).astype("<f4")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(inputs, pa.binary())], [*batch.schema.names, INPUTS])
+
+    return documents.mapInArrow(lean(run), StructType([*documents.schema.fields, StructField(INPUTS, BinaryType())]))
+
+
+def _inputs(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(-1, DIM + 2).astype(np.float64)
+
 
-    kind = dict(documents.dtypes)["doc_id"]
-    sample = arrow_map(rows, each, f"doc_id {kind}, y double, x array<float>").toArrow()
-    x = np.array(sample.column("x").to_pylist(), np.float64).reshape(-1, DIM + 2)
-    # An order that no partitioning changes: the fit is the same on every run.
-    order = np.lexsort((x[:, 0], [zlib.crc32(str(d).encode()[::-1]) for d in sample.column("doc_id").to_pylist()])) if len(x) else []
-    y = np.array(sample.column("y").to_pylist(), np.float64)
-    return vectors, fit(x[order], y[order]) if len(x) else fit(np.zeros((0, DIM + 2)).reshape(0, DIM + 2), y)
+def _over(rows: DataFrame, each) -> list[np.ndarray]:
+    """What ``each`` makes of (part, inputs, labels) of every part of the labelled rows: one array of a fixed size each, in order."""
+
+    def run(batches):
+        parts: dict[int, list[tuple]] = {}
+        for batch in batches:
+            part, y, order = (batch.column(c).to_numpy() for c in ("part", "y", "place"))
+            x = _inputs(batch.column("x"))
+            for p in np.unique(part):
+                parts.setdefault(int(p), []).append((x[part == p], y[part == p], order[part == p]))
+        for p in list(parts):
+            x, y, order = (np.concatenate(a) for a in zip(*parts.pop(p), strict=True))
+            order = np.lexsort((x[:, 0], order))  # an order that no partitioning changes
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([np.asarray(each(x[order], y[order]), "<f8").tobytes()], pa.binary())], ["part", "data"])
+
+    got = rows.mapInArrow(lean(run), "part long, data binary").collect()
+    return [np.frombuffer(bytes(r.data), "<f8") for r in sorted(got, key=lambda r: r.part)]
+
+
+def train(inputs: DataFrame, labels: DataFrame, label: str = "quality", part_rows: int = PART_ROWS) -> Network:
+    """A network fitted to all labelled documents outside the held-out fold, given the documents' inputs."""
+    usable = labels.select("doc_id", F.col(label).alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    chosen = usable.groupBy("doc_id").agg(F.min("y").cast("double").alias("y"))
+    name = F.col("doc_id").cast("string")
+    rows = inputs.select("doc_id", F.col(INPUTS).alias("x")).join(chosen, "doc_id").select("x", "y", F.crc32(F.reverse(name).cast("binary")).alias("place"), F.xxhash64(name).alias("h"))
+    rows = cut(rows)
+    counts = rows.agg(F.count("*").alias("n"), F.sum("y").alias("good")).first()
+    size = DIM + 2
+    if not counts.n or counts.good in (0, counts.n):
+        net, share = start(np.zeros(size), np.ones(size)), ((counts.good or 0) + 1) / (counts.n + 2)
+        net.w2[:], net.b2 = 0, float(np.log(share / (1 - share)))
+        drop_cut(rows)
+        return net
+    n_parts = -(-counts.n // part_rows)
+    unseen = F.pmod(F.shiftright("h", 20), F.lit(100)) < int(100 * CALIBRATE)
+    dealt = cut(rows.withColumn("part", F.pmod(F.col("h"), F.lit(n_parts))).withColumn("unseen", unseen).repartition(n_parts, "part").drop("h"))
+    drop_cut(rows)
+
+    def moments(x, y):
+        return np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)])
+
+    n, sums, squares = np.split(sum(_over(dealt, moments)), [1, 1 + size])
+    mean = sums / n
+    net = start(mean, np.sqrt(np.maximum(squares / n - mean * mean, 0)) + 1e-6)
+    seen, rounds = dealt.where("NOT unseen"), ROUNDS if n_parts > 1 else 1
+    for r in range(rounds):
+        epochs = range(r * EPOCHS // rounds, (r + 1) * EPOCHS // rounds)
+
+        def step(x, y, net=net, epochs=epochs):
+            new = fit(net, x, y, epochs)
+            return np.concatenate([[len(y)], len(y) * np.concatenate([new.w1.ravel(), new.b1, new.w2, [new.b2]])])
+
+        total = sum(_over(seen, step) or _over(dealt, step))  # a handful of rows may all be unseen ones
+        w1, b1, w2, b2 = np.split(total[1:] / total[0], np.cumsum([size * HIDDEN, HIDDEN, HIDDEN]))
+        net = Network(net.mean, net.scale, w1.reshape(size, HIDDEN), b1, w2, float(b2[0]))
+
+    def losses(x, y, net=net):
+        z = net.logits(x)
+        return np.array([np.logaddexp(0, -np.where(y > 0, z, -z) / t).sum() for t in TEMPERATURES])
+
+    if len(found := _over(dealt.where("unseen"), losses)):
+        net.temperature = float(TEMPERATURES[int(np.argmin(sum(found)))])
+    drop_cut(dealt)
+    return net
 
 
 #: The score beside a table's own columns, before the decision.
 SCORE = "_loomwork_score"
 
 
-def score(documents: DataFrame, vectors: np.ndarray, net: Network, keep: bool = False) -> DataFrame:
-    """doc_id and score of each document; with ``keep`` all columns and the score."""
-    shared = documents.sparkSession.sparkContext.broadcast(vectors)
-    rows = documents if keep else documents.select("doc_id", "text")
+def score(inputs: DataFrame, net: Network) -> DataFrame:
+    """The rows with their score in place of their inputs."""
+    names = [c for c in inputs.columns if c != INPUTS]
 
     def run(batches):
-        table, model = shared.value, net
-        number = Numberer()
         for batch in batches:
-            scores = pa.array(np.concatenate([model(pool(table, number, texts)) for texts in _texts([batch])] or [np.zeros(0)]), pa.float64())
-            if keep:
-                yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, SCORE])
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), scores], ["doc_id", "score"])
+            scores = pa.array(net(_inputs(batch.column(INPUTS))), pa.float64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), scores], [*names, SCORE])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
+    return inputs.mapInArrow(lean(run), StructType([*(f for f in inputs.schema.fields if f.name != INPUTS), StructField(SCORE, DoubleType())]))
 
-    kind = documents.schema["doc_id"].dataType
-    schema = StructType([*rows.schema.fields, StructField(SCORE, DoubleType())]) if keep else StructType([StructField("doc_id", kind), StructField("score", DoubleType())])
-    return rows.mapInArrow(lean(run), schema)
+
+def scored(documents: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of the documents, doc_id among them, with their scores."""
+    inputs = cut(with_inputs(documents, word_vectors(documents)).select(*columns, INPUTS))
+    return score(inputs, train(inputs, labels))
 
 
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    scored = score(documents, *train(documents, labels))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    out = scored(documents.select("doc_id", "text"), labels, ["doc_id"])
+    return out.select("doc_id", held_out().alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score reaches the threshold, with their own columns."""
-    return score(documents, *train(documents, labels), keep=True).where(F.col(SCORE) >= threshold).drop(SCORE)
-
-
+    return scored(documents, labels, documents.columns).where(F.col(SCORE) >= threshold).drop(SCORE)

@@ -52,6 +52,25 @@ def test_quality_ignores_held_out_labels(spark):
     assert first == pytest.approx(second)
 
 
+def test_quality_is_fitted_to_all_labels_in_parts(spark, monkeypatch):
+    docs, labels = labelled(spark, 900)
+    sizes = spark.sparkContext.accumulator(0)
+
+    def counting(net, x, y, epochs, plain=quality.fit):
+        sizes.add(len(y))
+        return plain(net, x, y, epochs)
+
+    monkeypatch.setattr(quality, "fit", counting)
+    inputs = quality.cut(quality.with_inputs(docs, quality.word_vectors(docs)))
+    net = quality.train(inputs, labels, part_rows=150)
+    usable = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(900))
+    assert quality.ROUNDS * 0.7 * usable <= sizes.value <= quality.ROUNDS * 0.9 * usable  # all but those for the temperature, each round
+    held = quality.score(inputs, net).where(quality.held_out() & (quality.F.col("doc_id") < 900)).collect()
+    assert sum((r[quality.SCORE] >= 0.3) == bool(r.doc_id % 4) for r in held) >= 0.97 * len(held)
+    two = labels.where("doc_id IN (1, 4)")
+    assert all(0 <= r[quality.SCORE] <= 1 for r in quality.score(inputs, quality.train(inputs, two)).collect())
+
+
 def test_quality_without_labels(spark):
     docs, labels = labelled(spark, 20)
     assert {round(r.score, 6) for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
