@@ -50,15 +50,11 @@ UNLISTED = 0.25
 PAIRS = "item_id {item}, cosine double, covered double, answered double"
 
 
-def _rows(sums: np.ndarray, rows: int) -> list[bytes]:
-    return [np.ascontiguousarray(piece).tobytes() for piece in np.split(sums, rows)]
-
-
 def _blocks_of(name: str, array: np.ndarray, n: int) -> pa.RecordBatch:
     import zstandard
 
     press = zstandard.ZstdCompressor(level=1).compress
-    return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([press(b) for b in _rows(array, n)], pa.binary())], ["block", "data"])
+    return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([press(np.ascontiguousarray(piece)) for piece in np.split(array, n)], pa.binary())], ["block", "data"])
 
 
 def _add(dtype: str):
@@ -175,7 +171,11 @@ def _norms(bucket: np.ndarray, weight: np.ndarray, first: np.ndarray, length: np
 
 def _start(dim: int) -> np.ndarray:
     """The random matrix that the iterations start from."""
-    return np.random.default_rng(3).normal(size=(BUCKETS, dim)).astype(np.float32) / np.float32(BUCKETS**0.5)
+    rng, out = np.random.default_rng(3), np.empty((BUCKETS, dim), np.float32)
+    for rows in np.split(out, 16):  # drawn in double precision, a part at a time
+        rows[:] = rng.normal(size=rows.shape)
+    out /= np.float32(BUCKETS**0.5)
+    return out
 
 
 def grid_of(bucket: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -283,7 +283,9 @@ def _scatter(grid: np.ndarray, parts: np.ndarray, total: np.ndarray, width: int
 
 def _weighted(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Rows of a basis times their words' IDF, and a row of zeros for what fills up blocks."""
-    return np.concatenate([x.astype(np.float32) * idf[:, None], np.zeros((1, x.shape[1]), np.float32)])
+    out = np.zeros((len(x) + 1, x.shape[1]), np.float32)
+    np.multiply(x, idf[:, None], out=out[:-1], dtype=np.float32)
+    return out
 
 
 def _images(bucket: np.ndarray, counts: np.ndarray, idf: np.ndarray, x: np.ndarray, total: np.ndarray) -> None:
@@ -293,7 +295,9 @@ def _images(bucket: np.ndarray, counts: np.ndarray, idf: np.ndarray, x: np.ndarr
     for _, blocks, ends, f, s in _stretches(grid, last, first, second):
         scale = 1 / np.maximum(_norms_of(blocks, ends, f, s, square)[0], 1e-9)
         own = _sums(x, blocks)
-        y = (own[f] + own[s]) * (scale * scale)[:, None].astype(np.float32)
+        y = own[f]
+        y += own[s]
+        y *= (scale * scale)[:, None].astype(np.float32)
         parts = np.zeros_like(own)
         parts[f] += y  # every block is the first of one passage and the second of one at most
         parts[s] += y
@@ -310,6 +314,7 @@ def latent_basis(streams: DataFrame, items: list[np.ndarray], weight: float, idf
             x, total = _weighted(_start(dim) if x is None else x, idf), np.zeros((BUCKETS, dim), np.float32)
             for counts, bucket in _unpacked(batches):
                 _images(bucket, counts, idf, x, total)
+            del x  # not held while the sums are packed
             yield _blocks_of("z", total, 16)
 
         return run

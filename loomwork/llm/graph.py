@@ -9,6 +9,8 @@ from .common import cut, drop_cut
 
 #: Rounds at most, and parts that a node's links are dealt to: a hub of thousands is no hot task.
 ROUNDS, PARTS = 60, 8
+#: Links that a round writes to a file, about: a few links go to a few files, whatever the number of shuffle partitions.
+FILE_LINKS = 1 << 14
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -33,7 +35,8 @@ def components(links: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         if not state.n:
             break
-        after = cut(_star(_star(edges, small=False), small=True))
+        files = max(links.sparkSession.sparkContext.defaultParallelism, state.n // FILE_LINKS + 1)
+        after = cut(_star(_star(edges, small=False), small=True).coalesce(files))
         drop_cut(edges)
         edges, before = after, state
         state = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()

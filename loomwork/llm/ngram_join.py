@@ -58,7 +58,7 @@ CELL_NODES, TASK_SHINGLES = 1024, 4_000_000
 #: A region goes by rare shingles where it has more than so many pivots for each of them that a node has.
 RARE = 1.0
 #: Comparisons at a time, and own nodes below which a cell is not split again.
-BLOCK, LEAF = 1 << 22, 32
+BLOCK, LEAF = 1 << 20, 32
 #: Counters of shingle frequency over all documents (2 to this many), kept and sent in blocks; a shingle is hot whose counter is so many times the mean.
 COUNTER_BITS, COUNTER_BLOCKS, HOT = 21, 32, 4
 #: Parts that a large region's rows meet its numbers in; a name that no column of documents has.

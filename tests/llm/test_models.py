@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -219,6 +220,21 @@ def test_latent_space_is_fitted_to_every_passage(spark):
     assert np.allclose((basis @ basis.T)[np.ix_(kept, kept)], (x @ x.T)[np.ix_(kept, kept)], atol=2e-3) and (x[kept] ** 2).sum() >= 0.94 * 8
 
 
+def test_fit_holds_one_matrix_at_a_time():
+    n, dim = decontaminate.BUCKETS, decontaminate.DIM
+    rng = np.random.default_rng(4)
+    x, idf = rng.normal(size=(n, dim)).astype(np.float16), rng.random(n).astype(np.float32)
+    peaks, got = [], []
+    for make in (lambda: decontaminate._start(dim), lambda: decontaminate._weighted(x, idf)):
+        tracemalloc.start()
+        got.append(make())
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert (got[0] == np.random.default_rng(3).normal(size=(n, dim)).astype(np.float32) / np.float32(n**0.5)).all()
+    assert (got[1][:-1] == x.astype(np.float32) * idf[:, None]).all() and not got[1][-1].any()
+    assert max(peaks) < 1.5 * 4 * n * dim
+
+
 def test_keep_clean_tells_rows_apart_by_text(spark):
     item = " ".join(f"word{i}" for i in range(20))
     rows = [(None, f"before {item} after"), (None, "clean one"), (1, f"some {item} more"), (1, "clean two"), (2, None)]

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -155,6 +156,34 @@ def test_components(spark):
     assert got == {x: r for x, r in low.items() if x != r}
 
 
+def test_few_links_go_to_few_files(spark, monkeypatch):
+    files = []
+    monkeypatch.setattr(graph, "cut", lambda df, cut=graph.cut: files.append(len((out := cut(df)).inputFiles())) or out)
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r.node: r.root for r in graph.components(spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: 0 for i in range(1, 301)}
+    assert max(files[1:]) <= spark.sparkContext.defaultParallelism
+
+
+def test_overlaps_are_counted_in_small_parts():
+    rng = np.random.default_rng(2)
+    a, b = ([np.flatnonzero(row).astype(np.uint64) for row in rng.random((1000, 600)) < 0.1] for _ in range(2))
+    tracemalloc.start()
+    got = ngram_join.overlaps(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    x, y = (np.array([np.isin(np.arange(600), s) for s in sets], np.int64) for sets in (a, b))
+    assert (got == x @ y.T).all()
+    assert peak < 100 << 20  # 6 million pairs of occurrences
+
+
 def test_links_of_far_nodes_count(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "RARE", 1e6)  # every region goes by rare shingles
     rows = corpus(9)
