@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, lean
+from .common import cut, drop_cut, lean, release
 from .textvec import slices, words
 
 #: Hashed vocabulary, latent dimensions, words of a passage and their step.
@@ -326,8 +326,14 @@ def latent_basis(streams: DataFrame, items: list[np.ndarray], weight: float, idf
         shared.destroy()
         own = np.zeros((BUCKETS, dim), np.float32)
         _images((np.concatenate(items) % np.uint64(BUCKETS)).astype(np.int64), np.array([len(h) for h in items]), idf, _weighted(_start(dim) if x is None else x, idf), own)
-        basis, values, _ = np.linalg.svd((z + weight * weight * own) * idf[:, None], full_matrices=False)
+        own *= np.float32(weight * weight)
+        z += own
+        z *= idf[:, None]
+        del own
+        basis, values, _ = np.linalg.svd(z, full_matrices=False)
+        del z
         x = basis.astype(np.float16)
+        release()
     basis = basis * (values > 1e-6 * max(1e-30, values.max()))
     # Words with next to no part in the space leave it: it is as sparse as the passages that span it.
     square = np.sort((basis * basis).sum(axis=1))

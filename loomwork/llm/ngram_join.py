@@ -21,8 +21,9 @@
    far node is met there, in the cell of the least shingle it shares, any other pair by
    windows.
 4. Cells are joined again in tasks of their own, split by the same rule in memory
-   as long as that saves comparisons; a cell with very many copied nodes is dealt
-   to several tasks. Each link is met from either end, once.
+   as long as that saves comparisons; a cell with very many nodes is dealt to several
+   tasks, each of a part of its own nodes and a part of all. Each link is met from
+   either end, once.
 5. Links meet in a distributed components computation, their numbers in a sum.
 
 Defined cases: null and empty texts have no shingles and stay alone; a document
@@ -37,24 +38,29 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, lean
+from .common import cut, drop_cut, lean, release, small_batches
 from .graph import components
 from .textvec import slices
 
 #: Bytes of input for each route of the part shuffle.
 ROUTE_BYTES, LEAST, PARTITIONS = 2 << 20, 16, 1 << 15
 #: Linked nodes of several routes that a task of chains holds before it passes them on.
-CHAINED = 1 << 19
+CHAINED = 1 << 17
 #: Size classes with at most so many parts chain over pairs of parts, drawn within GROUPS groups of them.
 PAIRED, GROUPS = 32, 3
-#: Nodes and shingles that are dealt to one task of a cell, beside the cell's own, and shingles to one of comparisons with pivots.
-CELL_NODES, TASK_SHINGLES = 1024, 4_000_000
+#: Nodes of a cell, and of its own nodes, that are dealt to one task; shingles of either, and of the nodes that a task compares with pivots.
+CELL_NODES, OWN_NODES, TASK_SHINGLES = 1024, 1 << 14, 1_000_000
+#: Shingles of all copies that a task of comparisons writes, and of those that it writes at once.
+COPIED_SHINGLES, WRITTEN_SHINGLES = 4_000_000, 1 << 18
+#: Rows in a batch that workers get: texts and sets come a few MB at a time.
+BATCH_ROWS = 1000
 #: A region goes by rare shingles where it has more than so many pivots for each of them that a node has.
 RARE = 1.0
 #: Comparisons at a time, and own nodes below which a cell is not split again.
@@ -65,7 +71,7 @@ COUNTER_BITS, COUNTER_BLOCKS, HOT = 21, 32, 4
 SALTS, KEY = 16, "_loomwork_text_key"
 _ALL = (1 << 64) - 1
 _PARTS: dict[tuple[int, int], tuple[int, int]] = {}
-_CACHE, _FLUSH = 150_000, 1 << 20
+_CACHE, _FLUSH = 150_000, 1 << 19
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -348,17 +354,18 @@ def candidates(documents: DataFrame, marks: np.ndarray, words: int, percent: int
 
         def settle(rows: list[dict]) -> None:
             """Chains of one route into the partition's forest."""
-            hs, ofs, sizes = [], [], []
-            number: dict[bytes, int] = {}
-            for row in rows:
-                digests = row["nodes"]
-                local = np.array([number.setdefault(digests[i : i + 16], len(number)) for i in range(0, len(digests), 16)], np.int64)
-                sizes += [0] * (len(number) - len(sizes))
-                for i, x in zip(local.tolist(), np.frombuffer(row["sizes"], "<u4").tolist(), strict=True):
-                    sizes[i] = x
-                hs.append(np.frombuffer(row["h"], "<u8"))
-                ofs.append(local[np.frombuffer(row["of"], "<u4")])
-            h, of, size = np.concatenate(hs), np.concatenate(ofs), np.array(sizes, np.int64)
+            digests = np.frombuffer(b"".join(r["nodes"] for r in rows), "<u8").reshape(-1, 2)
+            order = np.lexsort((digests[:, 1], digests[:, 0]))
+            digests = digests[order]
+            new = np.append(True, (digests[1:] != digests[:-1]).any(axis=1))
+            local = np.empty(len(order), np.int64)
+            local[order] = np.cumsum(new) - 1
+            own = digests[new]
+            size = np.zeros(len(own), np.int64)
+            size[local] = np.frombuffer(b"".join(r["sizes"] for r in rows), "<u4")
+            h = np.frombuffer(b"".join(r["h"] for r in rows), "<u8")
+            until = np.cumsum([len(r["nodes"]) // 16 for r in rows])
+            of = np.concatenate([local[end - len(r["nodes"]) // 16 : end][np.frombuffer(r["of"], "<u4")] for r, end in zip(rows, until.tolist(), strict=True)])
             order = np.argsort(h)
             h, of = h[order], of[order]
             same = h[1:] == h[:-1]
@@ -368,9 +375,8 @@ def candidates(documents: DataFrame, marks: np.ndarray, words: int, percent: int
             h, of = h[order], of[order]
             a, b = of[:-1], of[1:]
             near = (h[1:] == h[:-1]) & (a != b) & (100 * size[a] >= percent * size[b])
-            own = list(number)
             for pair in np.unique(a[near] * len(own) + b[near]).tolist():
-                x, y = (names.setdefault(own[i], len(names)) for i in divmod(pair, len(own)))
+                x, y = (names.setdefault(own[i].tobytes(), len(names)) for i in divmod(pair, len(own)))
                 forest.up += range(len(forest.up), len(names))
                 forest.join(x, y)
 
@@ -524,15 +530,25 @@ _KINDS = {"cell": pa.binary(), "node": pa.binary(), "n": pa.int64(), "copies": p
 _MET = "node binary, met bigint, root binary"
 
 
-def _cell_rows(length: int, **columns) -> pa.Table:
-    return pa.table({c: columns[c].cast(kind) if c in columns else pa.nulls(length, kind) for c, kind in _KINDS.items()})
+def _cell_rows(length: int, **columns) -> pa.RecordBatch:
+    return pa.record_batch({c: columns[c].cast(kind) if c in columns else pa.nulls(length, kind) for c, kind in _KINDS.items()})
+
+
+def _written(size: np.ndarray):
+    """Stretches of rows whose sizes are WRITTEN_SHINGLES in all, about."""
+    ends, at = np.cumsum(size), 0
+    while at < len(size):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + WRITTEN_SHINGLES, "right")))
+        yield slice(at, stop)
+        at = stop
 
 
 def _compare(words: int, percent: int, every: bool, levels):
     """A part of a region against its pivots: a row for each node and cell it goes to, and the links with pivots."""
     radius = 1 - percent / 100
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
         rows = _Rows(table.sort_by([("node", "ascending"), ("own", "ascending")]), words)
         flags = {node for node, own in zip(table.column("node").to_pylist(), table.column("own").to_pylist(), strict=True) if not own}
         size = np.array([len(s) for s in rows.sets], np.int64)
@@ -542,13 +558,14 @@ def _compare(words: int, percent: int, every: bool, levels):
         names = [rows.nodes[i] for i in pivots.tolist()]
         cells = pa.array([hashlib.md5(region + name).digest() for name in names], pa.binary())
         by_rare = table.column("rare")[0].as_py()
-        whole = pa.array([s.astype("<u8").tobytes() for s in rows.sets], pa.binary())
+        about = rows.table.select(["node", "n", "copies"]).combine_chunks()
+        del table, rows.table  # no text is needed any more
 
         def taken(which: np.ndarray) -> dict:
-            which = pa.array(which, pa.int64())
-            return {**{c: rows.table.column(c).take(which).combine_chunks() for c in ("node", "n", "copies")}, "shingles": whole.take(which)}
+            some = about.take(pa.array(which, pa.int64()))
+            return {**{c: some.column(c).combine_chunks() for c in some.column_names}, "shingles": pa.array([rows.sets[i].astype("<u8").tobytes() for i in which.tolist()], pa.binary())}
 
-        out, step = [], max(1, BLOCK // max(1, len(pivots)))
+        step = max(1, BLOCK // max(1, len(pivots)))
         for at in range(0, len(mine), step):
             these = mine[at : at + step]
             inter = overlaps([rows.sets[i] for i in these], [rows.sets[i] for i in pivots])
@@ -568,16 +585,21 @@ def _compare(words: int, percent: int, every: bool, levels):
                 # A shingle of one document alone is shared with nobody.
                 shared = [p[levels.value[_counter(p)] > 0] for p in firsts]
                 x = np.repeat(met, [len(p) for p in shared])
-                rare = [k.tobytes() for p in shared for k in p.astype("<u8")]
-                prefix = pa.array([p.astype("<u8").tobytes() for p in firsts], pa.binary()).take(pa.array(np.repeat(np.arange(len(met)), [len(p) for p in shared]), pa.int64()))
-                names_ = pa.array([hashlib.md5(region + b"rare" + k).digest() for k in rare], pa.binary())
-                out.append(_cell_rows(len(x), cell=names_, **taken(these[x]), own=pa.array(np.ones(len(x), bool)), rare=pa.array(rare, pa.binary()), prefix=prefix, far=pa.array(far[x])))
+                of = np.repeat(np.arange(len(met)), [len(p) for p in shared])
+                keys = np.concatenate([np.zeros(0, np.uint64), *shared]).astype("<u8")
+                for part in _written(size[these[x]]):
+                    rare = [k.tobytes() for k in keys[part]]
+                    prefix = pa.array([firsts[i].astype("<u8").tobytes() for i in of[part].tolist()], pa.binary())
+                    names_ = pa.array([hashlib.md5(region + b"rare" + k).digest() for k in rare], pa.binary())
+                    yield _cell_rows(len(rare), cell=names_, **taken(these[x[part]]), own=pa.array(np.ones(len(rare), bool)), rare=pa.array(rare, pa.binary()), prefix=prefix, far=pa.array(far[x[part]]))
             x, j = np.nonzero(within)
-            out.append(_cell_rows(len(x), cell=cells.take(pa.array(j)), **taken(these[x]), own=pa.array(home[x] == j)))
+            for part in _written(size[these[x]]):
+                yield _cell_rows(part.stop - part.start, cell=cells.take(pa.array(j[part])), **taken(these[x[part]]), own=pa.array(home[x[part]] == j[part]))
             if not every:
                 x, j = np.nonzero(_linked(inter, size[these][:, None], size[pivots][None, :], percent) & (these[:, None] != pivots[None, :]))
-                out.append(_cell_rows(len(x), a=pa.array([rows.nodes[i] for i in these[x].tolist()], pa.binary()), b=pa.array([names[i] for i in j.tolist()], pa.binary())))
-        return pa.concat_tables(out)
+                yield _cell_rows(len(x), a=pa.array([rows.nodes[i] for i in these[x].tolist()], pa.binary()), b=pa.array([names[i] for i in j.tolist()], pa.binary()))
+        if len(mine) > CELL_NODES:
+            release()
 
     return run
 
@@ -630,6 +652,25 @@ def _members(documents: DataFrame, nodes: DataFrame, marks: np.ndarray, words: i
     return cut(named.select(columns).unionByName(nameless.select(columns)))
 
 
+def dealt_cells(cells: DataFrame) -> DataFrame:
+    """Rows of cells by task: a task has a part of the cell's own nodes (``own``) and a part of all its nodes (``there``).
+
+    Both parts are bounded, in nodes and in shingles, however many the cell has;
+    each own node meets each other node in one task.
+    """
+    mine = F.col("own").cast("long")
+    counts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("shingles"), F.sum(mine).alias("own_nodes"), F.sum(mine * F.col("n")).alias("own_shingles"))
+    chunks, owns = (F.greatest(F.lit(1), F.ceil(F.greatest(F.col(n) / most, F.col(m) / TASK_SHINGLES))).cast("int") for n, m, most in (("nodes", "shingles", CELL_NODES), ("own_nodes", "own_shingles", OWN_NODES)))
+    wide = counts.select("cell", chunks.alias("chunks"), owns.alias("owns")).where("chunks > 1 OR owns > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = cells.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(7)), F.lit(SALTS)).cast("int")).join(wide, ["cell", "salt"], "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("chunks", "owns")})
+    spread = spread.withColumns({"home": F.pmod(F.xxhash64("node", F.lit(9)), F.col("chunks")).cast("int"), "own_home": F.pmod(F.xxhash64("node", F.lit(11)), F.col("owns")).cast("int")})
+    there = F.transform(F.sequence(F.lit(0), F.col("owns") - 1), lambda a: a * F.col("chunks") + F.col("home"))
+    here = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda t: F.col("own_home") * F.col("chunks") + t)
+    spread = spread.withColumn("task", F.explode(F.when(F.col("own"), F.array_union(here, there)).otherwise(there)))
+    own = F.col("own") & (F.floor(F.col("task") / F.col("chunks")) == F.col("own_home"))
+    return spread.select("cell", "task", "node", "copies", "shingles", own.alias("own"), "rare", "prefix", "far", (F.col("task") % F.col("chunks") == F.col("home")).alias("there"))
+
+
 def met_links(documents: DataFrame, nodes: DataFrame, marks: np.ndarray, words: int, percent: int, every: bool = True) -> DataFrame:
     """node, met, root: for nodes with links, how many rows link with them, and nodes that they are connected with.
 
@@ -643,9 +684,9 @@ def met_links(documents: DataFrame, nodes: DataFrame, marks: np.ndarray, words:
     wanted = F.ceil(F.sqrt("nodes") / 2).cast("int").alias("pivots")
     each = F.col("shingles") * (100 - percent) / 100 / F.col("nodes") + 1
     size = size.select("region", "nodes", "shingles", wanted, each.alias("each")).withColumn("rare", F.col("pivots") * RARE > F.col("each"))
-    # What a task of comparisons reads and what it writes are bounded: shingles of a part, and of all their copies.
+    # What a task of comparisons reads and what it writes are bounded: shingles of a part, and of all their copies, which it writes a few at a time.
     copied = F.col("shingles") * F.when(F.col("rare"), F.least("each", "pivots")).otherwise(F.col("pivots"))
-    size = size.select("region", "pivots", "rare", F.greatest(F.lit(1), F.ceil(F.greatest(F.col("nodes") / (16 * F.col("pivots")), copied / TASK_SHINGLES))).cast("int").alias("parts"))
+    size = size.select("region", "pivots", "rare", F.greatest(F.lit(1), F.ceil(F.greatest(F.col("nodes") / (16 * F.col("pivots")), copied / COPIED_SHINGLES, F.col("shingles") / TASK_SHINGLES))).cast("int").alias("parts"))
     # Most regions have one pivot and one part, which need no row to say so; a large one is met in salted parts.
     salted = size.where("pivots > 1 OR parts > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     sized = members.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(7)), F.lit(SALTS)).cast("int")).join(salted, ["region", "salt"], "left")
@@ -659,13 +700,7 @@ def met_links(documents: DataFrame, nodes: DataFrame, marks: np.ndarray, words:
     met = dealt.select(columns).unionByName(pivots.select(columns)).repartition(tasks, "region", "part")
     compared = cut(met.groupBy("region", "part").applyInArrow(_compare(words, percent, every, levels), _CELLS))
     cells = compared.where("cell IS NOT NULL")
-    # A cell with very many copied nodes is dealt to several tasks, its own nodes to each.
-    wide = cells.groupBy("cell").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CELL_NODES, F.sum("n") / TASK_SHINGLES)).cast("int").alias("chunks")).where("chunks > 1")
-    wide = wide.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = cells.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(7)), F.lit(SALTS)).cast("int")).join(wide, ["cell", "salt"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("home", F.pmod(F.xxhash64("node", F.lit(9)), F.col("chunks")).cast("int"))
-    spread = spread.withColumn("chunk", F.explode(F.when(F.col("own"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("home"))))
-    spread = spread.select("cell", "chunk", "node", "copies", "shingles", "own", "rare", "prefix", "far", (F.col("chunk") == F.col("home")).alias("there"))
-    found = spread.repartition(tasks, "cell", "chunk").groupBy("cell", "chunk").applyInArrow(_join_cell(percent), _MET)
+    found = dealt_cells(cells).repartition(tasks, "cell", "task").groupBy("cell", "task").applyInArrow(_join_cell(percent), _MET)
     ties = compared.where("cell IS NULL").select(F.col("a").alias("node"), F.lit(0).cast("long").alias("met"), F.col("b").alias("root"))
     out = cut(found.unionByName(ties))
     drop_cut(members)
@@ -675,9 +710,10 @@ def met_links(documents: DataFrame, nodes: DataFrame, marks: np.ndarray, words:
 
 def _classes(documents: DataFrame, words: int, percent: int, every: bool) -> DataFrame:
     """doc_id, key, n_shingles, component_id, n_links, first (the row's id and text are the component's first): one row per document."""
-    nodes, marks = node_table(documents, words)
-    met = met_links(documents, nodes, marks, words, percent, every)
-    roots = components(met.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    with small_batches(documents.sparkSession, BATCH_ROWS):
+        nodes, marks = node_table(documents, words)
+        met = met_links(documents, nodes, marks, words, percent, every)
+        roots = components(met.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = met.groupBy("node").agg(F.sum("met").alias("met"))
     # Rows without an id come last; of rows with one id, the text with the least key is first.
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")

@@ -5,6 +5,7 @@ import re
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomwork.llm import graph, ngram_join
@@ -210,3 +211,44 @@ def test_far_nodes_are_not_copied_to_every_cell(spark, monkeypatch, every):
     monkeypatch.setattr(ngram_join, "drop_cut", lambda df: written.append(df.where("cell IS NOT NULL").count()) if "cell" in df.columns else None)
     assert cut(ngram_join.met_links(docs, nodes, marks, 5, 80, every=every)).where("met > 0").count() == 0
     assert written[0] < 8 * len(texts)  # of 18 pivots
+
+
+def test_tasks_of_a_cell_are_bounded_whatever_its_own_nodes(spark, monkeypatch):
+    """A cell whose nodes are all its own, as those of a frequent rare shingle are: once each task had all of them."""
+    for name, most in (("CELL_NODES", 40), ("OWN_NODES", 60), ("TASK_SHINGLES", 1500)):
+        monkeypatch.setattr(ngram_join, name, most)
+    rows = [(b"hot", i, 1, 10, b"", True) for i in range(400)] + [(b"part", i, 1, 10, b"", i < 30) for i in range(90)] + [(b"one", i, 1, 10, b"", i < 2) for i in range(5)]
+    cells = spark.createDataFrame(rows, "cell binary, node long, copies long, n long, shingles binary, own boolean")
+    cells = cells.selectExpr("*", "CAST(NULL AS BINARY) AS rare", "CAST(NULL AS BINARY) AS prefix", "false AS far")
+    tasks = {}
+    for r in ngram_join.dealt_cells(cells).collect():
+        tasks.setdefault((bytes(r.cell), r.task), []).append(r)
+    assert max(len(t) for t in tasks.values()) < 200 and len([c for c, _ in tasks if c == b"one"]) == 1
+    met = sorted((c, x.node, y.node) for (c, _), t in tasks.items() for x in t if x.own for y in t if y.there)
+    assert met == sorted((c, x[1], y[1]) for c in (b"hot", b"part", b"one") for x in rows if x[0] == c and x[5] for y in rows if y[0] == c)
+
+
+@pytest.mark.parametrize("rare", [1.0, 1e6])
+def test_links_of_dealt_cells_count(spark, monkeypatch, rare):
+    for name, most in (("CELL_NODES", 3), ("OWN_NODES", 2), ("TASK_SHINGLES", 100), ("WRITTEN_SHINGLES", 50), ("RARE", rare), ("CHAINED", 4)):
+        monkeypatch.setattr(ngram_join, name, most)
+    rows = corpus(9)
+    sets = [shingles(t, 4) for _, t in rows]
+    want = {d: sum(i != j and bool(s) and bool(o) and 100 * len(s & o) >= 85 * len(s | o) for j, o in enumerate(sets)) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.component_table(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+    assert got == {d: (*v, want[d]) for d, v in brute(rows, 4, 85).items()}
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_comparisons_are_written_a_few_at_a_time():
+    """1,000 copies of one text's shingles in the cells of 30 pivots: once they all were in memory at once."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join(base[:200] + [f"x{i}y{j}" for j in range(200)]) for i in range(1000)]
+    names = [ngram_join.digest_of(s) for s in ngram_join.Shingler(5).sets(texts)]
+    n = len(texts)
+    flat = pa.table({"region": pa.array([b"r"] * (n + 30)), "part": pa.array([0] * (n + 30)), "node": pa.array(names + names[:30]), "n": pa.array([396] * (n + 30)), "copies": pa.array([1] * (n + 30)), "text": pa.array(texts + texts[:30]), "own": pa.array([True] * n + [False] * 30), "rare": pa.array([False] * (n + 30))})
+    batches = list(ngram_join._compare(5, 80, True, None)(iter(flat.to_batches(100))))
+    assert sum(b.num_rows for b in batches) == (n - 30) * 30 + 30  # a pivot is far from the others
+    assert max(b.nbytes for b in batches) < 4 << 20  # of 95 MB
