@@ -59,8 +59,8 @@ PAIRED, GROUPS = 32, 3
 CELL_NODES, OWN_NODES, TASK_SHINGLES = 1024, 1 << 14, 1_000_000
 #: Shingles of all copies that a task of comparisons writes, and of those that it writes at once.
 COPIED_SHINGLES, WRITTEN_SHINGLES = 4_000_000, 1 << 18
-#: Rows in a batch that workers get: texts and sets come a few MB at a time.
-BATCH_ROWS = 1000
+#: Rows in a batch that workers get, and where rows hold a route's parts of many texts: a few MB at a time.
+BATCH_ROWS, ROUTE_ROWS = 1000, 64
 #: A region goes by rare shingles where it has more than so many pivots for each of them that a node has.
 RARE = 1.0
 #: Comparisons at a time, and own nodes below which a cell is not split again.
@@ -632,7 +632,8 @@ def _join_cell(percent: int):
 
 def _members(documents: DataFrame, nodes: DataFrame, marks: np.ndarray, words: int, percent: int) -> DataFrame:
     """region, node, n (shingles), copies and text: the nodes that candidates chain together; all links lie within regions."""
-    roots = components(candidates(documents, marks, words, percent))
+    with small_batches(documents.sparkSession, ROUTE_ROWS):
+        roots = components(candidates(documents, marks, words, percent))
     regions = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     first = nodes.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
     members = first.join(regions.withColumnRenamed("root", "region"), "node")

@@ -252,3 +252,17 @@ def test_comparisons_are_written_a_few_at_a_time():
     batches = list(ngram_join._compare(5, 80, True, None)(iter(flat.to_batches(100))))
     assert sum(b.num_rows for b in batches) == (n - 30) * 30 + 30  # a pivot is far from the others
     assert max(b.nbytes for b in batches) < 4 << 20  # of 95 MB
+
+
+def test_workers_get_few_rows_at_a_time(spark, monkeypatch):
+    """A route's rows hold the parts of many texts each: a partition of them once came in one batch."""
+    monkeypatch.setattr(ngram_join, "BATCH_ROWS", 50)
+    monkeypatch.setattr(ngram_join, "ROUTE_ROWS", 7)
+    seen = []
+    for name in ("components", "cut"):
+        real = getattr(ngram_join, name)
+        monkeypatch.setattr(ngram_join, name, lambda df, name=name, real=real: seen.append((name, spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))) or real(df))
+    docs = spark.createDataFrame([(i, f"a b c d e f{i % 3} g h i j k l m n") for i in range(20)], "doc_id long, text string")
+    assert ngram_join.component_table(docs).count() == 20
+    assert [rows for name, rows in seen if name == "components"] == ["7", "50"]
+    assert {rows for name, rows in seen if name == "cut"} == {"50"}
